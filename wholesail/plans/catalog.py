@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_projections"]
+MODULES = ["q_projections", "q_decision"]
 
 
 def load() -> None:

@@ -302,3 +302,91 @@ LEFT JOIN (SELECT rep_id, date_trunc('month', created_at) AS month,
            FROM ord WHERE rep_id IS NOT NULL GROUP BY 1, 2) g
 ON v.rep_id = g.rep_id AND v.month = g.month
 """, ("visits_t", "ord"))
+
+# --- decisioning (J) -----------------------------------------------------------------------
+cte("rfm_latest", """
+SELECT customer_id, arg_max(r_score, month) AS rfm_r, arg_max(f_score, month) AS rfm_f,
+       arg_max(m_score, month) AS rfm_m, arg_max(monetary, month) AS rfm_monetary
+FROM rfm_t GROUP BY customer_id
+""", ("rfm_t",))
+
+cte("enriched", """
+SELECT o.order_id, o.customer_id, o.created_at, o.status, o.channel, o.rep_id,
+       coalesce(o.total_value, 0.0::DOUBLE) AS total_amount,
+       coalesce(o.fraud_score, 0.5::DOUBLE) AS fraud_score,
+       CASE coalesce(c.segment, 'regular') WHEN 'premium' THEN 'premium' WHEN 'regular' THEN 'standard'
+            WHEN 'low_volume' THEN 'at-risk' ELSE 'standard' END AS customer_segment,
+       coalesce(c.payment_method, 'cash') AS payment_method,
+       coalesce(c.credit_limit, 0.0::DOUBLE) AS credit_limit,
+       coalesce(c.risk_score, 0.0::DOUBLE) AS customer_risk,
+       coalesce(c.customer_type, '') AS customer_type,
+       coalesce(c.area_id, '') AS area_id,
+       coalesce(r.rfm_r, '') AS rfm_r, coalesce(r.rfm_f, '') AS rfm_f, coalesce(r.rfm_m, '') AS rfm_m,
+       coalesce(r.rfm_monetary, 0.0::DOUBLE) AS rfm_monetary,
+       coalesce(r.rfm_monetary, 0.0::DOUBLE) AS avg_basket_90d
+FROM orders_t o
+LEFT JOIN customers_t c ON o.customer_id = c.customer_id
+LEFT JOIN rfm_latest r ON o.customer_id = r.customer_id
+WHERE o.order_id IS NOT NULL AND o.customer_id IS NOT NULL
+""", ("orders_t", "customers_t", "rfm_latest"))
+
+cte("factors", """
+SELECT e.*,
+       CASE lower(coalesce(customer_segment, 'standard')) WHEN 'premium' THEN 1.0::DOUBLE
+            WHEN 'standard' THEN 0.6::DOUBLE WHEN 'at-risk' THEN 0.2::DOUBLE WHEN 'new' THEN 0.4::DOUBLE
+            WHEN 'churned' THEN 0.1::DOUBLE ELSE 0.4::DOUBLE END AS f_ltv,
+       1.0::DOUBLE - greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+            CASE WHEN fraud_score IS NULL OR fraud_score = 0 THEN 0.5::DOUBLE ELSE fraud_score END)) AS f_fraud,
+       CASE lower(coalesce(payment_method, 'cod')) WHEN 'credit' THEN 0.9::DOUBLE
+            WHEN 'bank_transfer' THEN 0.8::DOUBLE WHEN 'direct_debit' THEN 0.8::DOUBLE
+            WHEN 'cheque' THEN 0.65::DOUBLE WHEN 'cod' THEN 0.5::DOUBLE WHEN 'cash' THEN 0.45::DOUBLE
+            ELSE 0.5::DOUBLE END
+       * (1.0::DOUBLE - CASE WHEN avg_basket_90d > 0
+              THEN least(greatest(total_amount / avg_basket_90d - 1.0::DOUBLE, 0.0::DOUBLE) / 4.0::DOUBLE, 1.0::DOUBLE)
+              ELSE least(total_amount / 30000.0::DOUBLE, 1.0::DOUBLE) END * 0.3::DOUBLE) AS f_pay
+FROM enriched e
+""", ("enriched",))
+
+cte("scored", """
+SELECT f.*,
+       0.4::DOUBLE * f_ltv + 0.35::DOUBLE * f_fraud + 0.25::DOUBLE * f_pay AS composite_raw
+FROM factors f
+""", ("factors",))
+
+cte("decided", """
+SELECT s.*,
+       CASE WHEN composite_raw >= 0.7 THEN 'AUTO_APPROVE' WHEN composite_raw >= 0.4 THEN 'MANUAL_REVIEW'
+            ELSE 'DECLINE' END AS decision,
+       floor(f_ltv * 10000.0 + 0.5) / 10000.0 AS ltv_score,
+       floor(f_fraud * 10000.0 + 0.5) / 10000.0 AS fraud_approval_component,
+       floor(f_pay * 10000.0 + 0.5) / 10000.0 AS payment_score,
+       floor(composite_raw * 10000.0 + 0.5) / 10000.0 AS decision_score,
+       'v1.0' AS model_version
+FROM scored s
+""", ("scored",))
+
+cte("routed", """
+SELECT d.*,
+       CASE decision WHEN 'AUTO_APPROVE' THEN 'FULFILLED' WHEN 'MANUAL_REVIEW' THEN 'ESCALATED'
+            ELSE 'REJECTED' END AS action,
+       CASE decision WHEN 'AUTO_APPROVE' THEN 'Order approved and routed to fulfillment DC'
+            WHEN 'MANUAL_REVIEW' THEN concat('Order escalated to review queue — score ',
+                 CAST(CAST(floor(decision_score * 1000.0 + 0.5) AS BIGINT) // 1000 AS VARCHAR), '.',
+                 lpad(CAST(CAST(floor(decision_score * 1000.0 + 0.5) AS BIGINT) % 1000 AS VARCHAR), 3, '0'))
+            ELSE 'Order declined — insufficient approval score; credit team notified' END AS action_detail,
+       CASE WHEN decision = 'MANUAL_REVIEW' AND decision_score < 0.55 THEN 'high'
+            WHEN decision = 'MANUAL_REVIEW' THEN 'medium' ELSE 'normal' END AS priority,
+       lower(sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(order_id))) AS h
+FROM decided d
+""", ("decided",))
+
+cte("audit_t", """
+SELECT concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-',
+              ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1],
+              substr(h, 18, 3), '-', substr(h, 21, 12)) AS action_id,
+       order_id, action, action_detail, priority, coalesce(decision, 'UNKNOWN') AS decision,
+       coalesce(decision_score, 0.0::DOUBLE) AS composite_score, coalesce(customer_id, '') AS customer_id,
+       coalesce(customer_segment, '') AS customer_segment, coalesce(total_amount, 0.0::DOUBLE) AS total_amount,
+       coalesce(payment_method, '') AS payment_method
+FROM routed
+""", ("routed",))

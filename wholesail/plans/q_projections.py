@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import projections as P
-from ..sources.adapter import build_log
+from ..sources.logstore import stored_log
 from ..sources.eventlog import event_count, type_registry_report, typed
 from .oracle import sql
 from .registry import query
 
 
 def log_of(spark, sf_dir):
-    return build_log(spark, sf_dir)
+    return stored_log(spark, sf_dir)
 
 
 @query("orders", sql("""
