@@ -50,3 +50,31 @@ def latest_by(df: DataFrame, key: str | Sequence[str], value: str, order: Sequen
     """
     keys = [key] if isinstance(key, str) else list(key)
     return df.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(*order)).alias(out))
+
+
+def global_rank(df: DataFrame, value: str, tiebreak: str, descending: bool = True, out: str = "rank",
+                ranges: int = 128) -> DataFrame:
+    """1-based position of every row in a total order over the whole frame, without a
+    single-partition window.
+
+    Rows are cut into ~``ranges`` value ranges by ``approx_percentile`` (used only for balance),
+    numbered inside each range by a window partitioned by range, and offset by the row counts
+    of all earlier ranges (one row per range).  Equal values always share a range, so the
+    ``tiebreak`` column orders them exactly.
+    """
+    key = F.col(value).cast("double")
+    key = -key if descending else key
+    d = df.withColumn("_k", key)
+    cut_probs = [i / ranges for i in range(1, ranges)]
+    cuts = d.agg(F.percentile_approx("_k", cut_probs, 10000).alias("_cuts"))
+    d = d.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_k")))).drop("_cuts")
+    per = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_bc"))
+    offs = per.withColumn(
+        "_off", F.coalesce(F.sum("_bc").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).select("_b", "_off")  # ≤ ranges rows
+    w = Window.partitionBy("_b").orderBy(F.col("_k").asc_nulls_last(), F.col(tiebreak).asc())
+    return (
+        d.join(F.broadcast(offs), "_b")
+        .withColumn(out, F.col("_off") + F.row_number().over(w))
+        .drop("_k", "_b", "_off")
+    )
