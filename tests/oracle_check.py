@@ -14,6 +14,7 @@ import sys
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -36,7 +37,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(v):
     if v is None or v is pd.NA or v is pd.NaT:
         return None
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
+    if isinstance(v, (bool, np.bool_)):
         return bool(v)
     if isinstance(v, (int, float)) or type(v).__module__ == "numpy" and type(v).__name__[:3] in ("int", "flo", "uin"):
         v = float(v)

@@ -78,3 +78,49 @@ def global_rank(df: DataFrame, value: str, tiebreak: str, descending: bool = Tru
         .withColumn(out, F.col("_off") + F.row_number().over(w))
         .drop("_k", "_b", "_off")
     )
+
+
+def cumulative_at(
+    events: DataFrame,
+    probes: DataFrame,
+    key: str,
+    event_ts: str,
+    probe_at: Column,
+    probe_id: str,
+    value: Column | None = None,
+    bucket_us: int = 86_400_000_000,
+) -> DataFrame:
+    """For every probe row: count (and sum of ``value``) of the key's events with time ≤ ``probe_at``.
+
+    ``probe_at`` is a micros column on ``probes``.  Trailing windows are differences of two such
+    lookups (``C(t) − C(t − W)``), so a range window never needs one task per key: events and
+    probes are unioned, counted inside (key, time-bucket) partitions with a RANGE frame, and
+    offset by prefix totals over the key's buckets (one row per touched bucket).
+    Returns ``probe_id, _cnt, _sum``.
+    """
+    v = value if value is not None else F.lit(0)
+    ev = events.select(
+        F.col(key), F.unix_micros(F.col(event_ts)).alias("_t"), F.lit(1).alias("_isev"),
+        v.cast("decimal(38,2)").alias("_v"), F.lit(None).cast("string").alias("_pid"),
+    )
+    pr = probes.select(
+        F.col(key), probe_at.cast("long").alias("_t"), F.lit(0).alias("_isev"),
+        F.lit(None).cast("decimal(38,2)").alias("_v"), F.col(probe_id).cast("string").alias("_pid"),
+    )
+    base = ev.unionByName(pr).withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
+    w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    u = base.withColumn("_c", F.sum("_isev").over(w)).withColumn("_s", F.sum("_v").over(w))
+    tot = base.groupBy(key, "_b").agg(F.sum("_isev").alias("_bc"), F.sum("_v").alias("_bs"))
+    prior = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(key, "_b", F.sum("_bc").over(prior).alias("_oc"), F.sum("_bs").over(prior).alias("_os"))
+    res = u.filter(F.col("_isev") == 0).join(offs, [key, "_b"], "left")
+    return res.select(
+        F.col("_pid").alias(probe_id),
+        (F.coalesce("_oc", F.lit(0)) + F.coalesce("_c", F.lit(0))).cast("long").alias("_cnt"),
+        (F.coalesce("_os", F.lit(0)) + F.coalesce("_s", F.lit(0))).alias("_sum"),
+    )
+
+
+def sequence_number(df: DataFrame, key: str, order_cols: Sequence[str], out: str = "_seq") -> DataFrame:
+    """1-based position of each row within its key (skew-safe running count)."""
+    return running_sum(df.withColumn("_one", F.lit(1)), key, order_cols, "_one", out=out).drop("_one")
