@@ -15,7 +15,7 @@ WRITE_OFF_DAYS = 180
 AGEING_BUCKETS = [(0, "current"), (1, "1-30"), (31, "31-60"), (61, "61-90"), (91, "90+")]
 
 CREDIT_OUT = T.StructType([
-    T.StructField("customer_id", T.StringType()), T.StructField("_seq", T.LongType()),
+    T.StructField("customer_id", T.StringType()), T.StructField("ts", T.TimestampType()),
     T.StructField("kind", T.StringType()), T.StructField("order_id", T.StringType()),
     T.StructField("amount", T.DoubleType()), T.StructField("accepted", T.BooleanType()),
     T.StructField("used_after", T.DoubleType()),
@@ -35,12 +35,12 @@ def _credit_step(pdf: pd.DataFrame, state: dict | None):
                 open_[r.order_id] = float(r.amount)
         elif r.order_id in open_:
             used = max(0.0, used - open_.pop(r.order_id))
-        rows.append((r.customer_id, int(r.seq), r.kind, r.order_id,
+        rows.append((r.customer_id, r.ts, r.kind, r.order_id,
                      None if pd.isna(r.amount) else float(r.amount), ok, used))
     return pd.DataFrame(rows, columns=[f.name for f in CREDIT_OUT.fields]), {"used": used, "open": open_}
 
 
-def credit_check(orders: DataFrame, releases: DataFrame, customers: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def credit_check(orders: DataFrame, releases: DataFrame, customers: DataFrame) -> DataFrame:
     """Accept an order if used + total ≤ limit; accepted orders add to used credit, their
     delivery or cancellation releases it (floor 0).  Releases sort before orders at one instant.
 
@@ -53,9 +53,7 @@ def credit_check(orders: DataFrame, releases: DataFrame, customers: DataFrame, c
                         F.lit(None).cast("double").alias("amount"), F.lit("release").alias("kind"), F.lit(0).alias("_k"))
     u = o.unionByName(r).join(lim, "customer_id", "left").withColumn(
         "credit_limit", F.coalesce("credit_limit", F.lit(0.0)))
-    kw = {} if chunk_rows is None else {"chunk_rows": chunk_rows}
-    return sequential_scan(u, "customer_id", ["ts", "_k", "order_id"], _credit_step, CREDIT_OUT,
-                           T.StructType([T.StructField("used", T.DoubleType())]), **kw)
+    return sequential_scan(u, "customer_id", ["ts", "_k", "order_id"], _credit_step, CREDIT_OUT)
 
 
 def dunning(invoices: DataFrame, payments: DataFrame, writeoffs: DataFrame, as_of: DataFrame) -> DataFrame:

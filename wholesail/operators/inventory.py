@@ -88,7 +88,7 @@ def elastic_quantity(base_qty: Column, price_change: Column, demand_class: Colum
 
 # --- L12: allocation in arrival order ----------------------------------------------------------
 ALLOC_OUT = T.StructType([
-    T.StructField("sku_id", T.StringType()), T.StructField("_seq", T.LongType()),
+    T.StructField("sku_id", T.StringType()), T.StructField("timestamp", T.TimestampType()),
     T.StructField("kind", T.StringType()), T.StructField("ref", T.StringType()),
     T.StructField("quantity", T.LongType()), T.StructField("reserved", T.BooleanType()),
     T.StructField("available_before", T.LongType()), T.StructField("level_after", T.LongType()),
@@ -107,11 +107,11 @@ def _allocate_step(pdf: pd.DataFrame, state: dict | None):
             ok = level >= int(r.quantity)
             if ok:
                 level -= int(r.quantity)
-        rows.append((r.sku_id, int(r.seq), r.kind, r.ref, int(r.quantity), ok, before, level))
+        rows.append((r.sku_id, r.timestamp, r.kind, r.ref, int(r.quantity), ok, before, level))
     return pd.DataFrame(rows, columns=[f.name for f in ALLOC_OUT.fields]), {"level": level}
 
 
-def allocate(receipts: DataFrame, demand: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def allocate(receipts: DataFrame, demand: DataFrame) -> DataFrame:
     """Per SKU in time order, a line is reserved if the level covers it, else it stocks out
     with the level as available quantity (later, smaller lines may still fit).
 
@@ -122,9 +122,7 @@ def allocate(receipts: DataFrame, demand: DataFrame, chunk_rows: int | None = No
     d = demand.select("sku_id", "timestamp", "ref", F.col("quantity").cast("long"), F.lit("demand").alias("kind"),
                       F.lit(1).alias("_k"))
     u = r.unionByName(d)
-    kw = {} if chunk_rows is None else {"chunk_rows": chunk_rows}
-    return sequential_scan(u, "sku_id", ["timestamp", "_k", "ref"], _allocate_step, ALLOC_OUT,
-                           T.StructType([T.StructField("level", T.LongType())]), **kw)
+    return sequential_scan(u, "sku_id", ["timestamp", "_k", "ref", "quantity"], _allocate_step, ALLOC_OUT)
 
 
 def backorder_fulfilment(backorders: DataFrame, supply: DataFrame) -> DataFrame:

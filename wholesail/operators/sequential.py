@@ -1,87 +1,62 @@
 """Path-dependent per-key scans (L11 credit check, L12 stock allocation).
 
 A decision that changes the state seen by the next one (a rejected order must not consume
-credit) is not a window sum.  ``sequential_scan`` numbers every key's rows (skew-safe running
-count), cuts each key's sequence into chunks of at most ``chunk_rows`` rows and processes chunk
-``i`` of every key in iteration ``i`` with a grouped pandas function that receives the state left
-by chunk ``i − 1``.  A pandas group therefore never exceeds ``chunk_rows`` rows, however hot the
-key; typical keys finish in the first iteration.  Each iteration's output is checkpointed to the
-shared checkpoint folder so lineage stays short and a lost executor recomputes one iteration.
+credit) is not a window sum, so these rules run as an ordered scan per key:
+
+* rows are hash-partitioned by key and sorted by (key, order columns) inside each partition;
+* ``mapInPandas`` streams each partition as Arrow batches (``arrow.maxRecordsPerBatch`` rows),
+  and the generator carries only the current key's state from one batch to the next.
+
+Memory per task is one Arrow batch plus one key's state — never a whole group, however hot
+the key.  The scan of one key is inherently sequential, so a hot key costs time in one task but
+not memory; everything else runs in parallel across partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
-from .windows import sequence_number
-
-CHUNK_ROWS = 200_000
+Step = Callable[[pd.DataFrame, "dict | None"], "tuple[pd.DataFrame, dict]"]
 
 
 def sequential_scan(
     df: DataFrame,
     key: str,
     order_cols: Sequence[str],
-    step: Callable[[pd.DataFrame, dict | None], tuple[pd.DataFrame, dict]],
+    step: Step,
     out_schema: T.StructType,
-    state_schema: T.StructType,
-    chunk_rows: int = CHUNK_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """``step(rows_sorted, state) -> (output_rows, new_state)`` runs once per (key, chunk); the rows
-    carry their position as ``seq`` and the output keeps it as ``_seq``."""
-    spark = df.sparkSession
-    d = sequence_number(df, key, list(order_cols)).withColumn(
-        "_chunk", F.call_function("div", F.col("_seq") - 1, F.lit(chunk_rows)))
-    n_iter = int(d.agg(F.max("_chunk")).first()[0] or 0) + 1
-    if n_iter > 1:
-        checkpoint_dir(spark)
-        d = d.checkpoint(eager=True)
-    key_type = df.schema[key].dataType
-    state_json = T.StructField("_state", T.StringType())
-    res_schema = T.StructType(list(out_schema.fields) + [state_json, T.StructField("_last", T.BooleanType())])
-    import json
-
-    def run_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seq", kind="stable")
-        raw = pdf["_in_state"].iloc[0] if "_in_state" in pdf.columns else None
-        state = json.loads(raw) if isinstance(raw, str) else None
-        rows = pdf.drop(columns=[c for c in ("_in_state",) if c in pdf.columns]).rename(columns={"_seq": "seq"})
-        out, new_state = step(rows, state)
-        out = out.reset_index(drop=True)
-        out["_state"] = None
-        out["_last"] = False
-        if len(out):
-            out.loc[len(out) - 1, "_state"] = json.dumps(new_state)
-            out.loc[len(out) - 1, "_last"] = True
-        return out[[f.name for f in res_schema.fields]]
-
-    state_df = None
-    outs = []
-    for i in range(n_iter):
-        part = d.filter(F.col("_chunk") == i).drop("_chunk")
-        if state_df is not None:
-            part = part.join(state_df, key, "left")
-        else:
-            part = part.withColumn("_in_state", F.lit(None).cast("string"))
-        res = part.groupBy(key).applyInPandas(run_group, res_schema)
-        if n_iter > 1:
-            res = res.checkpoint(eager=True)
-        outs.append(res.drop("_state", "_last"))
-        new_state = res.filter(F.col("_last")).select(key, F.col("_state").alias("_new"))
-        if state_df is None:
-            state_df = new_state.withColumnRenamed("_new", "_in_state")
-        else:
-            state_df = state_df.join(new_state, key, "full").select(
-                key, F.coalesce("_new", "_in_state").alias("_in_state"))
-            state_df = state_df.checkpoint(eager=True)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    _ = key_type, state_schema
-    return out
+    """``step(rows, state) -> (output_rows, new_state)`` is called for consecutive runs of one
+    key's rows in scan order; ``state`` is None at the key's first row."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = df.repartition(n, key).sortWithinPartitions(key, *order_cols)
+    cols = [f.name for f in out_schema.fields]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur_key, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys = pdf[key].to_numpy()
+            # boundaries of runs of equal keys inside this (sorted) batch
+            starts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            ends = starts[1:] + [len(keys)]
+            outs = []
+            for s, e in zip(starts, ends):
+                k = keys[s]
+                if k != cur_key:
+                    cur_key, state = k, None
+                out, state = step(pdf.iloc[s:e], state)
+                outs.append(out)
+            yield pd.concat(outs, ignore_index=True)[cols] if outs else pd.DataFrame(columns=cols)
+
+    return d.mapInPandas(scan, out_schema)
+
+
+_ = F

@@ -268,7 +268,7 @@ def q_allocation(spark, d):
     receipts = typed(log, "StockReceived").select("sku_id", "timestamp", F.col("purchase_order_id").alias("ref"),
                                                   "quantity")
     demand = lines_with_time(log).select("sku_id", "timestamp", F.col("order_id").alias("ref"), "quantity")
-    return INV.allocate(receipts, demand).drop("_seq")
+    return INV.allocate(receipts, demand)
 
 
 @query("backorder_fulfilment", sql("""
@@ -332,7 +332,7 @@ def q_credit_check(spark, d):
     rel = read_events(log, "OrderDelivered", "OrderCancelled").select(
         F.get_json_object("payload", "$.order_id").alias("order_id"),
         F.get_json_object("payload", "$.customer_id").alias("customer_id"), "timestamp")
-    return CR.credit_check(P.orders(log), rel, P.customers(log)).drop("_seq")
+    return CR.credit_check(P.orders(log), rel, P.customers(log))
 
 
 cte("dun_asof", """
@@ -371,3 +371,38 @@ def q_dunning(spark, d):
     return CR.dunning(inv, pay, wo, as_of).select(
         "invoice_id", "customer_id", "amount", "failed_attempts", "stage", "days_overdue", "ageing_bucket",
         "write_off_due")
+
+
+# --- I1–I5 -----------------------------------------------------------------------------------------
+@query("noise_counts", sql("""
+SELECT CAST(floor(n * 0.001::DOUBLE) AS BIGINT) AS out_of_order,
+       greatest(CAST(1 AS BIGINT), CAST(floor(n * 0.0001::DOUBLE) AS BIGINT)) AS corrupt,
+       CAST(floor(n * 0.02::DOUBLE) AS BIGINT) AS late, n AS rows
+FROM (SELECT count(*) AS n FROM (
+  SELECT 1 FROM customer UNION ALL SELECT 1 FROM orders
+  UNION ALL SELECT 1 FROM ord, (SELECT unnest([1, 2, 3, 4]) AS s) x
+      WHERE (s = 1 AND orderstatus IN ('O', 'F')) OR (s = 2 AND orderstatus = 'F')
+         OR (s = 3 AND orderstatus = 'F' AND orderkey % 20 = 0) OR (s = 4 AND orderstatus = 'P' AND orderkey % 25 = 0)
+  UNION ALL SELECT 1 FROM invoices_t UNION ALL SELECT 1 FROM payments_t UNION ALL SELECT 1 FROM writeoffs_t
+  UNION ALL SELECT 1 FROM stock_po UNION ALL SELECT 1 FROM stock_po
+  UNION ALL SELECT 1 FROM lines WHERE l_linestatus = 'F'
+  UNION ALL SELECT 1 FROM lines WHERE l_linestatus = 'F' AND orderstatus = 'P' AND l_orderkey % 25 = 0
+  UNION ALL SELECT 1 FROM stockouts_t UNION ALL SELECT 1 FROM promo_applied
+  UNION ALL SELECT 1 FROM events
+  UNION ALL SELECT 1 FROM lifecycle_t))""", "ord", "invoices_t", "payments_t", "writeoffs_t", "stock_po", "lines",
+    "stockouts_t", "promo_applied", "lifecycle_t"), "I1 I2 I3 I4 I5 A16")
+def q_noise_counts(spark, d):
+    from ..operators.noise import inject_noise
+
+    return inject_noise(log_of(spark, d))[1]
+
+
+@query("noisy_order_totals", None, "I4 B6 T18")
+def q_noisy_orders(spark, d):
+    """Orders rebuilt from the noisy log: corrupted totals read as null (lenient cast) or negative."""
+    from ..operators.noise import inject_noise
+
+    noisy, _ = inject_noise(log_of(spark, d))
+    o = P.orders(noisy)
+    return o.agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("total_value").isNull()).alias("null_totals"),
+                 F.count_if(F.col("total_value") < 0).alias("negative_totals"))
