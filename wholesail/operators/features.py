@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS_PER_DAY, MICROS_PER_HOUR
 from .joins import broadcast_if_small
-from .windows import cumulative_at, running_sum, sequence_number
+from .windows import cumulative_at, running_sum, running_sums, sequence_number
 
 # Fixed values (fraud engine / monitor configuration)
 VELOCITY_THRESHOLD = 3
@@ -38,9 +38,8 @@ def previous_n_mean(orders: DataFrame, key: str, ts: str, oid: str, value: str,
 
     Sum of rows r−n … r−1 = S(r−1) − S(r−n−1) with S a running sum; S(r−n−1) is fetched with an
     equi-join on (key, position), so no window ever spans a whole key."""
-    d = orders.select(key, ts, oid, F.col(value).cast("decimal(20,2)").alias("_v"))
-    d = sequence_number(d, key, [ts, oid])
-    d = running_sum(d, key, [ts, oid], "_v", out="_S")
+    d = orders.select(key, ts, oid, F.col(value).cast("decimal(20,2)").alias("_v"), F.lit(1).alias("_one"))
+    d = running_sums(d, key, [ts, oid], {"_seq": "_one", "_S": "_v"})
     back = d.select(key, (F.col("_seq") + n + 1).alias("_seq"), F.col("_S").alias("_Sback"))  # S(r − n − 1)
     j = d.join(back, [key, "_seq"], "left")
     prev_sum = (F.col("_S") - F.col("_v")) - F.coalesce(F.col("_Sback"), F.lit(0))
@@ -75,15 +74,35 @@ def fraud_score(count_24h: Column, value: Column, avg_90: Column, risk: Column,
 
 def order_features(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """L1–L3 per order: 24 h velocity (before this order), mean of the previous 90 orders,
-    true 90-day mean, and the fraud score the order would get."""
+    true 90-day mean, and the fraud score the order would get.
+
+    Both trailing windows come from ONE ``cumulative_at`` pass with three probes per order
+    (t−1µs, t−24h−1µs, t−90d−1µs): count and sum in [t−W, t) are differences of two probes."""
     o = orders.select("order_id", "customer_id", "created_at", "total_value")
-    vel = trailing_count(o, "customer_id", "created_at", "order_id", 24 * MICROS_PER_HOUR, include_current=False)
+    t = F.unix_micros("created_at")
+    probes = o.select("customer_id", F.explode(F.array(
+        F.struct(F.concat("order_id", F.lit("|a")).alias("pid"), (t - 1).alias("at")),
+        F.struct(F.concat("order_id", F.lit("|b")).alias("pid"), (t - F.lit(24 * MICROS_PER_HOUR) - 1).alias("at")),
+        F.struct(F.concat("order_id", F.lit("|c")).alias("pid"), (t - F.lit(90 * MICROS_PER_DAY) - 1).alias("at")),
+    )).alias("p")).select("customer_id", "p.pid", "p.at")
+    c = cumulative_at(o, probes, "customer_id", "created_at", F.col("at"), "pid",
+                      value=F.col("total_value").cast("decimal(20,2)"))
+    c = c.select(F.substring_index("pid", "|", 1).alias("order_id"), F.substring_index("pid", "|", -1).alias("tag"),
+                 "_cnt", "_sum")
+
+    def pick(tag, col):
+        return F.max(F.when(F.col("tag") == tag, F.col(col)))
+
+    w = c.groupBy("order_id").agg(pick("a", "_cnt").alias("ca"), pick("b", "_cnt").alias("cb"),
+                                  pick("c", "_cnt").alias("cc"), pick("a", "_sum").alias("sa"),
+                                  pick("c", "_sum").alias("sc"))
+    n90 = F.col("ca") - F.col("cc")
+    feats = w.select("order_id", (F.col("ca") - F.col("cb")).alias("velocity_24h"),
+                     F.when(n90 > 0, (F.col("sa") - F.col("sc")).cast("double") / n90).otherwise(F.lit(0.0))
+                     .alias("mean_90d"))
     prev = previous_n_mean(o, "customer_id", "created_at", "order_id", "total_value")
-    m90 = trailing_mean(o, "customer_id", "created_at", "order_id", "total_value", 90 * MICROS_PER_DAY)
     risk = customers.select("customer_id", F.col("risk_score").alias("_risk"))
-    j = (o.join(vel.withColumnRenamed("n", "velocity_24h"), "order_id")
-         .join(prev, "order_id").join(m90.withColumnRenamed("mean", "mean_90d"), "order_id")
-         .join(risk, "customer_id", "left"))
+    j = o.join(feats, "order_id").join(prev, "order_id").join(risk, "customer_id", "left")
     return j.select(
         "order_id", "customer_id", "velocity_24h", "avg_prev", "mean_90d",
         fraud_score(F.col("velocity_24h"), F.col("total_value"), F.col("avg_prev"),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import map_values, month_end_midnight, whole_days
 from ..sources.eventlog import LIFECYCLE_TYPES, ORDER_STATUS_TYPES, read_events, typed
-from .stats import bin_by_breaks, exact_quantiles
+from .stats import bin_by_breaks, exact_quantiles_multi
 from .windows import latest_by, running_sum
 
 # Lifecycle event → customer status (unmapped → active)
@@ -179,11 +179,9 @@ def rfm_monthly(log: DataFrame) -> DataFrame:
 def rfm_scores(log: DataFrame) -> DataFrame:
     """Customer × month RFM with global quintile labels (T4: not ntile; exact breaks)."""
     m = rfm_monthly(log)
-    br = (
-        exact_quantiles(m, "recency_days", QUINTILE_BREAKS, "r_breaks")
-        .crossJoin(exact_quantiles(m, "frequency", QUINTILE_BREAKS, "f_breaks"))
-        .crossJoin(exact_quantiles(m, "monetary", QUINTILE_BREAKS, "m_breaks"))
-    )  # one row
+    q = exact_quantiles_multi(m, ["recency_days", "frequency", "monetary"], QUINTILE_BREAKS)  # one row
+    br = q.select(F.col("recency_days_breaks").alias("r_breaks"), F.col("frequency_breaks").alias("f_breaks"),
+                  F.col("monetary_breaks").alias("m_breaks"))
     return m.crossJoin(F.broadcast(br)).select(
         "customer_id", "month", "last_order_date", "frequency", "monetary", "recency_days",
         bin_by_breaks(F.col("recency_days").cast("double"), F.col("r_breaks"), R_LABELS).alias("r_score"),

@@ -75,3 +75,42 @@ def bin_by_breaks(value: Column, breaks: Column, labels: Sequence[str]) -> Colum
     """T4: label index = number of breaks strictly below the value (right-closed bins)."""
     idx = F.size(F.filter(breaks, lambda b: b < value))
     return F.element_at(F.array(*[F.lit(x) for x in labels]), idx + 1)
+
+
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float], ranges: int = 128) -> DataFrame:
+    """``exact_quantiles`` for several columns in ONE set of jobs: the columns are stacked into
+    (metric, value) rows and every step is grouped by metric.  Returns one row with a
+    ``<col>_breaks`` array per column."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")
+    ).select("s.m", "s.v").filter(F.col("v").isNotNull())
+    counts = stacked.groupBy("m", "v").agg(F.count(F.lit(1)).alias("c"))
+    cut_probs = [i / ranges for i in range(1, ranges)]
+    per_metric = counts.groupBy("m").agg(
+        F.percentile_approx("v", cut_probs, 10000).alias("cuts"), F.sum("c").alias("n"))  # one row per column
+    b = counts.join(F.broadcast(per_metric), "m").withColumn(
+        "b", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    per_range = b.groupBy("m", "b").agg(F.sum("c").alias("bc"))  # ≤ ranges rows per column
+    offsets = per_range.withColumn("off", F.coalesce(F.sum("bc").over(
+        Window.partitionBy("m").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(
+        "m", "b", "off")
+    w = Window.partitionBy("m", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (b.join(F.broadcast(offsets), ["m", "b"])
+              .withColumn("cum_end", F.col("off") + F.sum("c").over(w))
+              .withColumn("cum_start", F.col("cum_end") - F.col("c")))
+    targets = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                 (F.floor((F.col("n") - 1) * F.lit(p)) + F.lit(j)).cast("long").alias("r"))
+        for i, p in enumerate(probs) for j in (0, 1)])
+    hits = ranked.select("m", "v", "n", "cum_start", "cum_end", F.explode(F.filter(
+        targets, lambda t: (t["r"] >= F.col("cum_start")) & (t["r"] < F.col("cum_end")))).alias("t"))
+    per = hits.groupBy("m", F.col("t.i").alias("i")).agg(
+        F.max(F.when(F.col("t.j") == 0, F.col("v"))).alias("lo"),
+        F.max(F.when(F.col("t.j") == 1, F.col("v"))).alias("hi"),
+        F.first("n").alias("n"))
+    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
+    pos = (F.col("n") - 1) * prob
+    q = F.col("lo") + (F.coalesce(F.col("hi"), F.col("lo")) - F.col("lo")) * (pos - F.floor(pos))
+    arrays = per.select("m", "i", q.alias("q")).groupBy("m").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("breaks"))
+    return arrays.agg(*[F.max(F.when(F.col("m") == c, F.col("breaks"))).alias(f"{c}_breaks") for c in cols])

@@ -124,3 +124,22 @@ def cumulative_at(
 def sequence_number(df: DataFrame, key: str, order_cols: Sequence[str], out: str = "_seq") -> DataFrame:
     """1-based position of each row within its key (skew-safe running count)."""
     return running_sum(df.withColumn("_one", F.lit(1)), key, order_cols, "_one", out=out).drop("_one")
+
+
+def running_sums(df: DataFrame, key: str, order_cols: Sequence[str], values: dict[str, str],
+                 bucket: Column | None = None) -> DataFrame:
+    """Several running sums in one pass ({output: value column}); same plan shape as ``running_sum``."""
+    b = bucket if bucket is not None else F.date_trunc("day", F.col(order_cols[0]))
+    d = df.withColumn("_bkt", b)
+    within = Window.partitionBy(key, "_bkt").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    for out, v in values.items():
+        d = d.withColumn(f"_w_{out}", F.sum(v).over(within))
+    totals = d.groupBy(key, "_bkt").agg(*[F.sum(v).alias(f"_t_{out}") for out, v in values.items()])
+    prior = Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(key, "_bkt", *[F.sum(f"_t_{out}").over(prior).alias(f"_o_{out}") for out in values])
+    res = d.join(offsets, [key, "_bkt"], "left")
+    for out in values:
+        w_, o_ = F.col(f"_w_{out}"), F.col(f"_o_{out}")
+        res = res.withColumn(out, F.when(w_.isNull() & o_.isNull(), F.lit(None)).otherwise(
+            F.coalesce(o_, F.lit(0)) + F.coalesce(w_, F.lit(0))))
+    return res.drop("_bkt", *[f"_w_{o}" for o in values], *[f"_o_{o}" for o in values])
