@@ -79,3 +79,15 @@ def dunning(invoices: DataFrame, payments: DataFrame, writeoffs: DataFrame, as_o
                     stage.alias("stage"), F.when(~paid & ~wo, overdue).otherwise(0).alias("days_overdue"),
                     F.when(~paid & ~wo, bucket).otherwise("closed").alias("ageing_bucket"),
                     ((age >= WRITE_OFF_DAYS) & ~paid & ~wo).alias("write_off_due"))
+
+
+def promise_kept(promises: DataFrame, payments: DataFrame) -> DataFrame:
+    """A promise is kept when the invoice is captured after the promise was made and no later
+    than the promised date; returns promises, kept and the kept rate (one row)."""
+    paid = payments.filter(F.col("status") == "paid").select("invoice_id", F.col("timestamp").alias("paid_at"))
+    p = promises.select("event_id", "invoice_id", "promise_date", F.col("timestamp").alias("promised_at"))
+    j = p.join(paid, "invoice_id", "left")
+    hit = (F.col("paid_at") >= F.col("promised_at")) & (F.to_date("paid_at") <= F.to_date("promise_date"))
+    per = j.groupBy("event_id").agg(F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias("kept"))
+    return per.agg(F.count(F.lit(1)).alias("promises"), F.sum("kept").cast("long").alias("kept"),
+                   (F.sum("kept") / F.count(F.lit(1))).alias("kept_rate"))

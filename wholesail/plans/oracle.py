@@ -390,3 +390,41 @@ SELECT concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-'
        coalesce(payment_method, '') AS payment_method
 FROM routed
 """, ("routed",))
+
+
+# --- dunning promises (L16) and the whole log's per-type counts ------------------------------------
+cte("promises_t", """
+SELECT invoice_id, customer_id, total_value AS promised_amount,
+       strftime(invoiced_at + to_days(CAST(base_days + 7 AS INTEGER)), '%Y-%m-%d') AS promise_date,
+       invoiced_at + to_days(CAST(base_days AS INTEGER)) AS timestamp, orderkey % 10 IN (7, 8) AS kept
+FROM delivered WHERE orderkey % 10 >= 7
+""", ("delivered",))
+
+cte("type_counts", """
+SELECT 'CustomerCreated' AS event_type, count(*) AS n FROM customer
+UNION ALL SELECT 'OrderCreated', count(*) FROM orders
+UNION ALL SELECT 'OrderShipped', count(*) FROM ord WHERE orderstatus IN ('O', 'F')
+UNION ALL SELECT 'OrderDelivered', count(*) FROM ord WHERE orderstatus = 'F'
+UNION ALL SELECT 'OrderReturned', count(*) FROM ord WHERE orderstatus = 'F' AND orderkey % 20 = 0
+UNION ALL SELECT 'OrderCancelled', count(*) FROM ord WHERE orderstatus = 'P' AND orderkey % 25 = 0
+UNION ALL SELECT 'InvoiceCreated', count(*) FROM invoices_t
+UNION ALL SELECT 'PaymentCaptured', count(*) FROM payments_t WHERE status = 'paid'
+UNION ALL SELECT 'PaymentFailed', count(*) FROM payments_t WHERE status = 'failed'
+UNION ALL SELECT 'CreditWrittenOff', count(*) FROM writeoffs_t
+UNION ALL SELECT 'CollectionScheduled', count(*) FROM promises_t
+UNION ALL SELECT 'CollectionPromiseMade', count(*) FROM promises_t
+UNION ALL SELECT 'PurchaseOrderCreated', count(*) FROM stock_po
+UNION ALL SELECT 'StockReceived', count(*) FROM stock_po
+UNION ALL SELECT 'StockReserved', count(*) FROM lines WHERE l_linestatus = 'F'
+UNION ALL SELECT 'StockReleased', count(*) FROM lines
+          WHERE l_linestatus = 'F' AND orderstatus = 'P' AND l_orderkey % 25 = 0
+UNION ALL SELECT 'StockoutOccurred', count(*) FROM stockouts_t
+UNION ALL SELECT 'PromotionApplied', count(*) FROM promo_applied
+UNION ALL SELECT 'RepVisitCompleted', count(*) FROM events WHERE event_type = 'view'
+UNION ALL SELECT 'AppSessionEvent', count(*) FROM events WHERE event_type IN ('signup', 'click', 'purchase')
+UNION ALL SELECT 'AppError', count(*) FROM events WHERE event_type = 'error'
+UNION ALL SELECT event_type, count(*) FROM lifecycle_t GROUP BY event_type
+""", ("ord", "invoices_t", "payments_t", "writeoffs_t", "promises_t", "stock_po", "lines", "stockouts_t",
+      "promo_applied", "lifecycle_t"))
+
+cte("total_events", "SELECT CAST(sum(n) AS BIGINT) AS n FROM type_counts", ("type_counts",))

@@ -378,19 +378,7 @@ def q_dunning(spark, d):
 SELECT CAST(floor(n * 0.001::DOUBLE) AS BIGINT) AS out_of_order,
        greatest(CAST(1 AS BIGINT), CAST(floor(n * 0.0001::DOUBLE) AS BIGINT)) AS corrupt,
        CAST(floor(n * 0.02::DOUBLE) AS BIGINT) AS late, n AS rows
-FROM (SELECT count(*) AS n FROM (
-  SELECT 1 FROM customer UNION ALL SELECT 1 FROM orders
-  UNION ALL SELECT 1 FROM ord, (SELECT unnest([1, 2, 3, 4]) AS s) x
-      WHERE (s = 1 AND orderstatus IN ('O', 'F')) OR (s = 2 AND orderstatus = 'F')
-         OR (s = 3 AND orderstatus = 'F' AND orderkey % 20 = 0) OR (s = 4 AND orderstatus = 'P' AND orderkey % 25 = 0)
-  UNION ALL SELECT 1 FROM invoices_t UNION ALL SELECT 1 FROM payments_t UNION ALL SELECT 1 FROM writeoffs_t
-  UNION ALL SELECT 1 FROM stock_po UNION ALL SELECT 1 FROM stock_po
-  UNION ALL SELECT 1 FROM lines WHERE l_linestatus = 'F'
-  UNION ALL SELECT 1 FROM lines WHERE l_linestatus = 'F' AND orderstatus = 'P' AND l_orderkey % 25 = 0
-  UNION ALL SELECT 1 FROM stockouts_t UNION ALL SELECT 1 FROM promo_applied
-  UNION ALL SELECT 1 FROM events
-  UNION ALL SELECT 1 FROM lifecycle_t))""", "ord", "invoices_t", "payments_t", "writeoffs_t", "stock_po", "lines",
-    "stockouts_t", "promo_applied", "lifecycle_t"), "I1 I2 I3 I4 I5 A16")
+FROM total_events""", "total_events"), "I1 I2 I3 I4 I5 A16")
 def q_noise_counts(spark, d):
     from ..operators.noise import inject_noise
 

@@ -283,10 +283,14 @@ def payment_events(t: Tables) -> DataFrame:
         rec(et="PaymentFailed", n=2, d=base + r, on=m == 9),
         rec(et="PaymentFailed", n=3, d=base + 2 * r, on=m == 9),
         rec(et="CreditWrittenOff", n=0, d=F.lit(WRITE_OFF_DAYS).cast("long"), on=m == 9),
+        # dunning after the first failed attempt: a collection case and a promise to pay at the retry
+        rec(et="CollectionScheduled", n=1, d=base, on=m >= 7),
+        rec(et="CollectionPromiseMade", n=1, d=base, on=m >= 7),
     )
     e = d.select("*", F.explode(F.filter(cands, lambda s: s["on"])).alias("s"))
     et = F.col("s.et")
-    abbrev = F.when(et == "PaymentCaptured", "PC-").when(et == "PaymentFailed", "PF-").otherwise("CW-")
+    abbrev = (F.when(et == "PaymentCaptured", "PC-").when(et == "PaymentFailed", "PF-")
+              .when(et == "CollectionScheduled", "CS-").when(et == "CollectionPromiseMade", "CP-").otherwise("CW-"))
     return e.select(
         *envelope(
             et,
@@ -298,9 +302,14 @@ def payment_events(t: Tables) -> DataFrame:
                 "customer_id": F.col("customer_id"),
                 "amount": F.col("total_value"),
                 "payment_method": F.when(et == "PaymentCaptured", F.col("payment_method")),
-                "attempt_number": F.when(et != "CreditWrittenOff", F.col("s.n")),
+                "attempt_number": F.when(et.isin("PaymentCaptured", "PaymentFailed"), F.col("s.n")),
                 "reason": F.when(et == "PaymentFailed", F.lit("insufficient_funds")),
-                "days_overdue": F.when(et == "CreditWrittenOff", F.lit(WRITE_OFF_OVERDUE)),
+                "days_overdue": F.when(et == "CreditWrittenOff", F.lit(WRITE_OFF_OVERDUE))
+                .when(et == "CollectionScheduled", F.greatest(F.col("s.d") - TERMS_DAYS, F.lit(0))),
+                "amount_due": F.when(et == "CollectionScheduled", F.col("total_value")),
+                "promised_amount": F.when(et == "CollectionPromiseMade", F.col("total_value")),
+                "promise_date": F.when(et == "CollectionPromiseMade", F.date_format(
+                    plus_days("invoiced_at", F.col("s.d") + RETRY_DAYS), "yyyy-MM-dd")),
             },
             causation_id=F.concat(F.lit("IC-"), k.cast("string")),
             correlation_id=F.col("order_id"),

@@ -91,6 +91,8 @@ REGISTRY: dict[str, T.StructType] = {
     "PaymentCaptured": _s("invoice_id", "customer_id", "payment_method", amount=D, attempt_number=I),
     "PaymentFailed": _s("invoice_id", "customer_id", "reason", amount=D, attempt_number=I),
     "CreditWrittenOff": _s("customer_id", "invoice_id", amount=D, days_overdue=I),
+    "CollectionScheduled": _s("invoice_id", "customer_id", days_overdue=I, amount_due=D),
+    "CollectionPromiseMade": _s("invoice_id", "customer_id", "promise_date", promised_amount=D),
     "PurchaseOrderCreated": _s("purchase_order_id", "sku_id", "supplier_id", quantity=L, expected_lead_time_days=I),
     "StockReceived": _s("sku_id", "supplier_id", "purchase_order_id", quantity=L),
     "StockReserved": _s("sku_id", "order_id", quantity=L),

@@ -19,7 +19,7 @@ from ..session import checkpoint_dir, configure
 from .eventlog import ENVELOPE_COLS
 from .tables import DRIVER_TABLES, Tables
 
-LOG_VERSION = "3"  # bump when adapter rules change
+LOG_VERSION = "4"  # bump when adapter rules change
 
 
 def _fs(spark: SparkSession, path: str):

@@ -92,3 +92,12 @@ def best_source(name: str, full_dir: str, sample_dir: str) -> str:
     """Prefer the full table, else the sample."""
     full = os.path.join(full_dir, f"{name}.parquet")
     return full if os.path.exists(full) else os.path.join(sample_dir, f"{name}.parquet")
+
+
+def bulk_keyed_load(df: DataFrame, path: str, key: str, limit: int | None = None) -> int:
+    """Load items keyed by ``key`` (a later put of the same key replaces the earlier one —
+    here: one row per key), optionally only the first ``limit`` keys in key order."""
+    d = df.dropDuplicates([key])
+    if limit is not None:
+        d = d.orderBy(key).limit(limit)
+    return write_table(d, path)
