@@ -177,8 +177,14 @@ def rfm_monthly(log: DataFrame) -> DataFrame:
 
 
 def rfm_scores(log: DataFrame) -> DataFrame:
-    """Customer × month RFM with global quintile labels (T4: not ntile; exact breaks)."""
-    m = rfm_monthly(log)
+    """Customer × month RFM with global quintile labels (T4: not ntile; exact breaks).
+
+    The customer × month table feeds the quantile pass and the labelling; it is checkpointed
+    once (shared checkpoint folder) so the order events are scanned and decoded once."""
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(log.sparkSession)
+    m = rfm_monthly(log).checkpoint(eager=True)
     q = exact_quantiles_multi(m, ["recency_days", "frequency", "monetary"], QUINTILE_BREAKS)  # one row
     br = q.select(F.col("recency_days_breaks").alias("r_breaks"), F.col("frequency_breaks").alias("f_breaks"),
                   F.col("monetary_breaks").alias("m_breaks"))
