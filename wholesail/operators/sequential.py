@@ -53,8 +53,10 @@ def sequential_scan(
                 if k != cur_key:
                     cur_key, state = k, None
                 out, state = step(pdf.iloc[s:e], state)
-                outs.append(out)
-            yield pd.concat(outs, ignore_index=True)[cols] if outs else pd.DataFrame(columns=cols)
+                if len(out):
+                    outs.append(out)
+            if outs:
+                yield pd.concat(outs, ignore_index=True)[cols]
 
     return d.mapInPandas(scan, out_schema)
 

@@ -47,7 +47,8 @@ def _lifecycle(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
         state.update((last, status))
     else:
         last, status = state.get if state.exists else (None, "active")
-        rows = pd.concat(list(pdfs)).sort_values(["t_us", "channel"], na_position="first")
+        parts = [p for p in pdfs if len(p)]
+        rows = (pd.concat(parts) if len(parts) > 1 else parts[0]).sort_values(["t_us", "channel"], na_position="first")
         for r in rows.itertuples(index=False):
             if status == "churned":
                 break
