@@ -22,22 +22,21 @@ CREDIT_OUT = T.StructType([
 ])
 
 
-def _credit_step(pdf: pd.DataFrame, state: dict | None):
-    used = float(state["used"]) if state else 0.0
-    open_ = dict(state["open"]) if state else {}
-    rows = []
-    for r in pdf.itertuples(index=False):
-        ok = None
-        if r.kind == "order":
-            ok = used + float(r.amount) <= float(r.credit_limit)
-            if ok:
-                used += float(r.amount)
-                open_[r.order_id] = float(r.amount)
-        elif r.order_id in open_:
-            used = max(0.0, used - open_.pop(r.order_id))
-        rows.append((r.customer_id, r.ts, r.kind, r.order_id,
-                     None if pd.isna(r.amount) else float(r.amount), ok, used))
-    return pd.DataFrame(rows, columns=[f.name for f in CREDIT_OUT.fields]), {"used": used, "open": open_}
+def _credit_init() -> dict:
+    return {"used": 0.0, "open": {}}
+
+
+def _credit_step(r, st: dict):
+    ok = None
+    if r.kind == "order":
+        ok = st["used"] + float(r.amount) <= float(r.credit_limit)
+        if ok:
+            st["used"] += float(r.amount)
+            st["open"][r.order_id] = float(r.amount)
+    elif r.order_id in st["open"]:
+        st["used"] = max(0.0, st["used"] - st["open"].pop(r.order_id))
+    amount = None if pd.isna(r.amount) else float(r.amount)
+    return (r.customer_id, r.ts, r.kind, r.order_id, amount, ok, st["used"]), st
 
 
 def credit_check(orders: DataFrame, releases: DataFrame, customers: DataFrame) -> DataFrame:
@@ -53,7 +52,7 @@ def credit_check(orders: DataFrame, releases: DataFrame, customers: DataFrame) -
                         F.lit(None).cast("double").alias("amount"), F.lit("release").alias("kind"), F.lit(0).alias("_k"))
     u = o.unionByName(r).join(lim, "customer_id", "left").withColumn(
         "credit_limit", F.coalesce("credit_limit", F.lit(0.0)))
-    return sequential_scan(u, "customer_id", ["ts", "_k", "order_id"], _credit_step, CREDIT_OUT)
+    return sequential_scan(u, "customer_id", ["ts", "_k", "order_id"], _credit_init, _credit_step, CREDIT_OUT)
 
 
 def dunning(invoices: DataFrame, payments: DataFrame, writeoffs: DataFrame, as_of: DataFrame) -> DataFrame:

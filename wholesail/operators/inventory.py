@@ -95,20 +95,20 @@ ALLOC_OUT = T.StructType([
 ])
 
 
-def _allocate_step(pdf: pd.DataFrame, state: dict | None):
-    level = int(state["level"]) if state else 0
-    rows = []
-    for r in pdf.itertuples(index=False):
-        before = level
-        if r.kind == "receipt":
-            level += int(r.quantity)
-            ok = None
-        else:
-            ok = level >= int(r.quantity)
-            if ok:
-                level -= int(r.quantity)
-        rows.append((r.sku_id, r.timestamp, r.kind, r.ref, int(r.quantity), ok, before, level))
-    return pd.DataFrame(rows, columns=[f.name for f in ALLOC_OUT.fields]), {"level": level}
+def _allocate_init() -> dict:
+    return {"level": 0}
+
+
+def _allocate_step(r, st: dict):
+    before = st["level"]
+    ok = None
+    if r.kind == "receipt":
+        st["level"] += int(r.quantity)
+    else:
+        ok = before >= int(r.quantity)
+        if ok:
+            st["level"] -= int(r.quantity)
+    return (r.sku_id, r.timestamp, r.kind, r.ref, int(r.quantity), ok, before, st["level"]), st
 
 
 def allocate(receipts: DataFrame, demand: DataFrame) -> DataFrame:
@@ -122,7 +122,8 @@ def allocate(receipts: DataFrame, demand: DataFrame) -> DataFrame:
     d = demand.select("sku_id", "timestamp", "ref", F.col("quantity").cast("long"), F.lit("demand").alias("kind"),
                       F.lit(1).alias("_k"))
     u = r.unionByName(d)
-    return sequential_scan(u, "sku_id", ["timestamp", "_k", "ref", "quantity"], _allocate_step, ALLOC_OUT)
+    return sequential_scan(u, "sku_id", ["timestamp", "_k", "ref", "quantity"], _allocate_init, _allocate_step,
+                           ALLOC_OUT)
 
 
 def backorder_fulfilment(backorders: DataFrame, supply: DataFrame) -> DataFrame:

@@ -33,12 +33,14 @@ def best_promotion(orders: DataFrame, customers: DataFrame, promotions: DataFram
     """eligible = active on the order day and (no target or segment targeted); best = largest
     discount (strictly > 0, first id on ties); orders whose discounted total would be ≤ 0 are rejected.
 
-    The calendar is joined with a size-checked broadcast range join (start ≤ day ≤ end)."""
+    The interval condition start ≤ day ≤ end becomes an equi-join: each promotion is expanded
+    to its active days (rows = Σ active days, bounded by the calendar) and joined on the day, so
+    no nested-loop or cartesian join is ever planned; the expanded calendar is broadcast only
+    under a checked size."""
     o = orders.select("order_id", "customer_id", "created_at", "total_value").join(
-        customers.select("customer_id", "segment"), "customer_id", "left")
-    p = broadcast_if_small(promotions)
-    day = F.to_date("created_at")
-    j = o.join(p, (day >= p.start_day) & (day <= p.end_day), "left")
+        customers.select("customer_id", "segment"), "customer_id", "left").withColumn("_day", F.to_date("created_at"))
+    days = promotions.select("*", F.explode(F.sequence("start_day", "end_day")).alias("_day"))
+    j = o.join(broadcast_if_small(days), "_day", "left")
     eligible = F.col("promotion_id").isNotNull() & (
         F.col("target_segments").isNull() | (F.size("target_segments") == 0)
         | F.array_contains(F.coalesce("target_segments", F.array().cast("array<string>")), F.col("segment")))

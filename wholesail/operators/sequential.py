@@ -21,42 +21,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Step = Callable[[pd.DataFrame, "dict | None"], "tuple[pd.DataFrame, dict]"]
+Init = Callable[[], dict]
+Step = Callable[[tuple, dict], "tuple[tuple | None, dict]"]
 
 
 def sequential_scan(
     df: DataFrame,
     key: str,
     order_cols: Sequence[str],
+    init: Init,
     step: Step,
     out_schema: T.StructType,
     partitions: int | None = None,
 ) -> DataFrame:
-    """``step(rows, state) -> (output_rows, new_state)`` is called for consecutive runs of one
-    key's rows in scan order; ``state`` is None at the key's first row."""
+    """``step(row, state) -> (output_row | None, state)`` is called for every row in scan order;
+    ``init()`` gives a key's state at its first row.  One output frame per Arrow batch."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     d = df.repartition(n, key).sortWithinPartitions(key, *order_cols)
     cols = [f.name for f in out_schema.fields]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur_key, state = None, None
+        cur_key, state = object(), None
         for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key].to_numpy()
-            # boundaries of runs of equal keys inside this (sorted) batch
-            starts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
-            ends = starts[1:] + [len(keys)]
-            outs = []
-            for s, e in zip(starts, ends):
-                k = keys[s]
+            out = []
+            for r in pdf.itertuples(index=False):
+                k = getattr(r, key)
                 if k != cur_key:
-                    cur_key, state = k, None
-                out, state = step(pdf.iloc[s:e], state)
-                if len(out):
-                    outs.append(out)
-            if outs:
-                yield pd.concat(outs, ignore_index=True)[cols]
+                    cur_key, state = k, init()
+                res, state = step(r, state)
+                if res is not None:
+                    out.append(res)
+            if out:
+                yield pd.DataFrame(out, columns=cols)
 
     return d.mapInPandas(scan, out_schema)
 
