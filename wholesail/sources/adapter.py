@@ -1,9 +1,11 @@
 """Derive the wholesale event log from the driver's TPC-H-like tables.
 
 Every rule is deterministic and row-local (or a per-order aggregate of its lines), so the
-log is a lazy union of per-event-type branches.  ``read_events(log, "X")`` keeps only the
-branch that produces X: Catalyst pushes the ``event_type`` filter into each union child,
-folds the literal comparison and drops the empty branches.
+log is a lazy union of branches.  For a branch with a fixed type, ``read_events(log, "X")``
+is free: Catalyst pushes the ``event_type`` filter into the union child, folds the literal
+comparison and drops the branch.  Branches whose type is chosen per row (order statuses,
+payments, lifecycle) are filtered after they are generated — the reason queries read the
+stored log (``logstore``), where every type is its own parquet partition.
 
 The same rules are restated in SQL in ``wholesail.plans.oracle`` for the DuckDB check.
 """

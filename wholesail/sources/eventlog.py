@@ -2,8 +2,7 @@
 
 The log is one table with a fixed envelope and a JSON payload.  On disk it is
 parquet partitioned by ``event_type`` so a read of one type prunes every other
-partition; in memory it is a lazy union whose per-type branches Catalyst drops
-when a filter on ``event_type`` makes them empty.
+partition (see ``logstore``).
 """
 
 from __future__ import annotations
