@@ -194,73 +194,106 @@ def size_budget_sample(df: DataFrame, budget_bytes: int, key: str, seed: int, pr
 class SampleRun:
     samples: dict[str, dict[str, DataFrame]]
     reference: dict[str, DataFrame]
+    tagged: dict[str, DataFrame] | None = None     # table -> rows with their ``_sample``
+    sample_names: list[str] | None = None
 
 
 def run_sampler(tables: dict[str, DataFrame], cfg: SamplerConfig, preserve_keys: bool = False,
                 apply_total_cap: bool = True) -> SampleRun:
     """Six phases: anchor window, stratified split, per-sample anchor, dependency-ordered semi
     joins (G6/D7), proportional cap (G7; ``preserve_keys`` trims only the anchor and re-derives
-    the children so foreign keys survive — T11), and the static reference copies (G10)."""
+    the children so foreign keys survive — T11), and the static reference copies (G10).
+
+    All samples are derived in one pass: rows carry a ``_sample`` tag, a child table is joined
+    once with its parent's distinct (key, sample) pairs (= one semi join per sample, null keys
+    never match), and counts, caps and ranks are grouped by the tag."""
     cfg.validate()
+    names = [x.name for x in cfg.samples]
     anchor_spec = next(t for t in cfg.tables if t.split_anchor)
     anchor_df = tables[anchor_spec.name]
     anchor_dt = resolve_anchor(anchor_df, cfg.anchor)
     a = date_window(anchor_df, anchor_dt, cfg.days)
     akey = anchor_spec.key or a.columns[0]
     a = stratified_split(a, cfg.stratify_by, akey, cfg.random_seed)
-    # every sample and child table re-reads the split: materialise it once (reliable checkpoint
-    # in the shared checkpoint folder, so a lost executor does not recompute the whole chain)
+    by_split = {0: [x.name for x in cfg.samples if x.split == "even"],
+                1: [x.name for x in cfg.samples if x.split == "odd"]}
+    arr = {k: F.array(*[F.lit(n) for n in v]).cast("array<string>") for k, v in by_split.items()}
+    a = a.withColumn("_sample", F.explode(F.when(F.col("_split") == 0, arr[0]).otherwise(arr[1]))).drop("_split")
+    # every child table re-reads the split: materialise it once (reliable checkpoint in the
+    # shared folder, so a lost executor does not recompute the whole chain)
     from ..session import checkpoint_dir
 
     checkpoint_dir(a.sparkSession)
     a = a.checkpoint(eager=True)
-    sample_anchor = {}
-    for s in cfg.samples:
-        part = a.filter(F.col("_split") == (0 if s.split == "even" else 1)).drop("_split")
-        if cfg.total_records_per_sample is None and cfg.target_rows is not None:
-            part = target_rows(part, cfg.target_rows, cfg.tolerance, akey, cfg.random_seed)
-        sample_anchor[s.name] = part
-
-    def derive(anchor_frames: dict[str, DataFrame]) -> dict[str, dict[str, DataFrame]]:
-        out = {}
-        for name, adf in anchor_frames.items():
-            resolved = {anchor_spec.name: adf}
-            for t in cfg.tables:
-                if t.static or t.split_anchor:
-                    continue
-                df = tables[t.name]
-                if t.filter == "date_window":
-                    df = date_window(df, anchor_dt, cfg.days)
-                if t.join is not None:
-                    if t.join.parent not in resolved:
-                        raise ValueError(f"parent '{t.join.parent}' not yet resolved for sample '{name}'")
-                    df = df.join(resolved[t.join.parent].select(t.join.key), t.join.key, "left_semi")
-                resolved[t.name] = df
-            out[name] = resolved
-        return out
-
-    resolved = derive(sample_anchor)
-    if apply_total_cap and cfg.total_records_per_sample:
-        all_counts = table_counts(resolved)
-        for name in list(resolved):
-            counts = all_counts[name]
-            sizes = cap_sizes(counts, cfg.total_records_per_sample)
-            if preserve_keys:
-                n = sizes[anchor_spec.name]
-                trimmed = exact_n(resolved[name][anchor_spec.name], n, akey, cfg.random_seed)
-                resolved[name] = derive({name: trimmed})[name]
+    seed = cfg.random_seed
+
+    def trim(df: DataFrame, key: str, n_by_sample: dict[str, int]) -> DataFrame:
+        n = F.create_map(*[x for s_, v in n_by_sample.items() for x in (F.lit(s_), F.lit(int(v)))])
+        return ranked(df, key, seed, ["_sample"]).filter(F.col("_rank") <= n[F.col("_sample")]).drop("_rank")
+
+    if cfg.total_records_per_sample is None and cfg.target_rows is not None:
+        lo, hi = int(cfg.target_rows * (1 - cfg.tolerance)), int(cfg.target_rows * (1 + cfg.tolerance))
+        got = {r["_sample"]: int(r["n"]) for r in a.groupBy("_sample").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for n_ in names:
+            if got.get(n_, 0) < lo:
+                raise ValueError(f"split '{n_}' has {got.get(n_, 0):,} rows, below minimum {lo:,} "
+                                 f"(target={cfg.target_rows:,} ±{cfg.tolerance:.0%})")
+        a = trim(a, akey, {n_: (cfg.target_rows if got[n_] > hi else got[n_]) for n_ in names})
+
+    def derive(anchor: DataFrame) -> dict[str, DataFrame]:
+        resolved = {anchor_spec.name: anchor}
+        every = F.array(*[F.lit(n_) for n_ in names])
+        for t in cfg.tables:
+            if t.static or t.split_anchor:
+                continue
+            df = tables[t.name]
+            cols = df.columns
+            if t.filter == "date_window":
+                df = date_window(df, anchor_dt, cfg.days)
+            if t.join is not None:
+                if t.join.parent not in resolved:
+                    raise ValueError(f"parent '{t.join.parent}' of '{t.name}' is not resolved yet")
+                keys = resolved[t.join.parent].select(t.join.key, "_sample").distinct()
+                df = df.join(keys, t.join.key).select(*cols, "_sample")
             else:
-                for t, df in resolved[name].items():
-                    if sizes[t] < counts[t]:
-                        spec = next(s for s in cfg.tables if s.name == t)
-                        resolved[name][t] = exact_n(df, sizes[t], spec.key or df.columns[0], cfg.random_seed)
+                df = df.withColumn("_sample", F.explode(every))
+            resolved[t.name] = df
+        return resolved
+
+    tagged = derive(a)
+    if apply_total_cap and cfg.total_records_per_sample:
+        counts = tagged_counts(tagged, names)
+        sizes = {n_: cap_sizes(counts[n_], cfg.total_records_per_sample) for n_ in names}
+        if preserve_keys:
+            tagged = derive(trim(tagged[anchor_spec.name], akey, {n_: sizes[n_][anchor_spec.name] for n_ in names}))
+        else:
+            for t in list(tagged):
+                if any(sizes[n_][t] < counts[n_][t] for n_ in names):
+                    spec = next(x for x in cfg.tables if x.name == t)
+                    key = spec.key or tagged[t].columns[0]
+                    tagged[t] = trim(tagged[t], key, {n_: sizes[n_][t] for n_ in names})
+    samples = {n_: {t: df.filter(F.col("_sample") == n_).drop("_sample") for t, df in tagged.items()} for n_ in names}
     reference = {t.name: tables[t.name] for t in cfg.tables if t.static}
-    return SampleRun(resolved, reference)
+    return SampleRun(samples, reference, tagged, names)
+
+
+def tagged_counts(tagged: dict[str, DataFrame], names: list[str]) -> dict[str, dict[str, int]]:
+    """Rows per (sample, table) in ONE job: one conditional-count aggregate per table, unioned and
+    collected (samples × tables small rows)."""
+    parts = [df.agg(*[F.count_if(F.col("_sample") == n_).alias(f"n{i}") for i, n_ in enumerate(names)])
+             .select(F.lit(t).alias("t"), *[f"n{i}" for i in range(len(names))]) for t, df in tagged.items()]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    out: dict[str, dict[str, int]] = {n_: {} for n_ in names}
+    for r in u.collect():
+        for i, n_ in enumerate(names):
+            out[n_][r["t"]] = int(r[f"n{i}"])
+    return {n_: {t: out[n_][t] for t in tagged} for n_ in names}
 
 
 def table_counts(resolved: dict[str, dict[str, DataFrame]]) -> dict[str, dict[str, int]]:
-    """Row counts of every (sample, table) in ONE job: a union of one-row aggregates, collected
-    as at most samples × tables small rows."""
+    """Row counts of every (sample, table) of untagged frames in ONE job."""
     parts = [
         df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("s"), F.lit(t).alias("t"), "n")
         for s, tabs in resolved.items() for t, df in tabs.items()
@@ -275,12 +308,21 @@ def table_counts(resolved: dict[str, dict[str, DataFrame]]) -> dict[str, dict[st
 
 
 def manifest(run: SampleRun) -> DataFrame:
-    """(sample, table, rows) for every written frame — a union of per-table counts."""
+    """(sample, table, rows) for every frame of the run — counted from the data (one
+    conditional aggregate per table, so a sample with no rows still reports 0)."""
     parts = []
-    for sample, tabs in run.samples.items():
-        for t, df in tabs.items():
-            parts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
-                F.lit(sample).alias("sample"), F.lit(t).alias("table"), "rows"))
+    if run.tagged is not None:
+        names = run.sample_names or list(run.samples)
+        for t, df in run.tagged.items():
+            wide = df.agg(*[F.count_if(F.col("_sample") == n_).alias(f"n{i}") for i, n_ in enumerate(names)])
+            stack = ", ".join(f"'{n_}', n{i}" for i, n_ in enumerate(names))
+            parts.append(wide.selectExpr(f"stack({len(names)}, {stack}) AS (sample, rows)").select(
+                "sample", F.lit(t).alias("table"), "rows"))
+    else:
+        for sample, tabs in run.samples.items():
+            for t, df in tabs.items():
+                parts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
+                    F.lit(sample).alias("sample"), F.lit(t).alias("table"), "rows"))
     for t, df in run.reference.items():
         parts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
             F.lit("reference").alias("sample"), F.lit(t).alias("table"), "rows"))
