@@ -144,7 +144,7 @@ def q_dso(spark, d):
 
 
 @query("rep_leaderboard", sql("""
-SELECT rep_id, sum(total_visits) AS visits, sum(order_visits) AS orders_from_visits,
+SELECT rep_id, CAST(sum(total_visits) AS BIGINT) AS visits, CAST(sum(order_visits) AS BIGINT) AS orders_from_visits,
        CAST(sum(order_visits) AS DOUBLE) * 100.0::DOUBLE / CAST(sum(total_visits) AS DOUBLE) AS conversion_pct,
        CAST(sum(CAST(gmv AS DECIMAL(20, 2))) AS DOUBLE) / 1000000.0::DOUBLE AS gmv_million
 FROM rep_perf_t WHERE month >= (SELECT max(month) FROM rep_perf_t) - INTERVAL 5 MONTH

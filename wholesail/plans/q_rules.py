@@ -342,7 +342,7 @@ SELECT max(t) AS as_of FROM (SELECT timestamp AS t FROM invoices_t UNION ALL SEL
 
 @query("dunning", sql(f"""
 SELECT invoice_id, customer_id, amount, failed_attempts, stage,
-       CASE WHEN NOT paid AND NOT wo THEN overdue ELSE 0 END AS days_overdue,
+       CAST(CASE WHEN NOT paid AND NOT wo THEN overdue ELSE 0 END AS INTEGER) AS days_overdue,
        CASE WHEN paid OR wo THEN 'closed' WHEN overdue >= 91 THEN '90+' WHEN overdue >= 61 THEN '61-90'
             WHEN overdue >= 31 THEN '31-60' WHEN overdue >= 1 THEN '1-30' ELSE 'current' END AS ageing_bucket,
        age >= 180 AND NOT paid AND NOT wo AS write_off_due
