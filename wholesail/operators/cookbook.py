@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import dim_join
 from .windows import global_rank
 from .projections import money
 
@@ -308,5 +307,3 @@ def ledger_ratios(ledger: DataFrame) -> DataFrame:
         (F.col("writeoffs") / F.col("debits")).alias("writeoff_share"),
     )
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["dim_join"]

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS_PER_DAY, MICROS_PER_HOUR
-from .joins import broadcast_if_small
-from .windows import cumulative_at, running_sum, running_sums, sequence_number
+from .windows import cumulative_at, running_sums
 
 # Fixed values (fraud engine / monitor configuration)
 VELOCITY_THRESHOLD = 3
@@ -249,5 +248,3 @@ def price_index(daily_delta: DataFrame, day: str = "day", delta: str = "delta")
     w = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     return daily_delta.select(day, delta, F.exp(F.sum(F.log1p(delta)).over(w)).alias("index"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["broadcast_if_small"]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,5 +146,3 @@ def supplier_lead_times(pos: DataFrame, receipts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("purchase_orders"), (F.sum("lead") / F.count("lead")).alias("avg_lead_days"),
         (F.sum("delay") / F.count("delay")).alias("avg_delay_days"), F.max("delay").alias("max_delay_days"))
 
-
-_ = math

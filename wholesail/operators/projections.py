@@ -85,20 +85,17 @@ def customers(log: DataFrame) -> DataFrame:
 def customer_history(log: DataFrame) -> DataFrame:
     """C4: one row per lifecycle event (plus segment changes)."""
     ev = read_events(log, *LIFECYCLE_TYPES, "CustomerSegmentChanged")
+    p = F.from_json("payload", "segment string, days_without_order int")  # one parse per row
     return ev.select(
-        F.col("aggregate_id").alias("customer_id"), "event_type", "timestamp",
-        F.get_json_object("payload", "$.segment").alias("segment"),
-        F.get_json_object("payload", "$.days_without_order").cast("int").alias("days_without_order"),
-    )
+        F.col("aggregate_id").alias("customer_id"), "event_type", "timestamp", p.alias("_p")
+    ).select("customer_id", "event_type", "timestamp", "_p.segment", "_p.days_without_order")
 
 
 def inventory_snapshot(log: DataFrame) -> DataFrame:
     """Received − reserved + released per SKU in one pass; SKUs without receipts dropped."""
     ev = read_events(log, "StockReceived", "StockReserved", "StockReleased").select(
-        "event_type",
-        F.get_json_object("payload", "$.sku_id").alias("sku_id"),
-        F.get_json_object("payload", "$.quantity").cast("long").alias("q"),
-    )
+        "event_type", F.from_json("payload", "sku_id string, quantity long").alias("_p")
+    ).select("event_type", "_p.sku_id", F.col("_p.quantity").alias("q"))
 
     def s(t):
         return F.sum(F.when(F.col("event_type") == t, F.col("q")))
@@ -147,12 +144,11 @@ def credit_ledger(log: DataFrame) -> DataFrame:
     The running balance is summed in exact cents and computed per (customer, day) partitions
     (``windows.running_sum``), so a hot customer is not sorted by one task.
     """
+    p = F.from_json("payload", "customer_id string, total_value double, amount double")  # one parse per row
     ev = read_events(log, "OrderCreated", "PaymentCaptured", "CreditWrittenOff").select(
-        "event_id", "event_type", "timestamp",
-        F.get_json_object("payload", "$.customer_id").alias("customer_id"),
-        F.coalesce(F.get_json_object("payload", "$.total_value"), F.get_json_object("payload", "$.amount"))
-        .cast("double").alias("amount"),
-    )
+        "event_id", "event_type", "timestamp", p.alias("_p")
+    ).select("event_id", "event_type", "timestamp", "_p.customer_id",
+             F.coalesce("_p.total_value", "_p.amount").alias("amount"))
     tt = F.when(F.col("event_type") == "OrderCreated", "debit").when(
         F.col("event_type") == "PaymentCaptured", "credit").otherwise("writeoff")
     ev = ev.withColumn("transaction_type", tt).withColumn(

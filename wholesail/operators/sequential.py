@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Init = Callable[[], dict]
@@ -56,5 +55,3 @@ def sequential_scan(
 
     return d.mapInPandas(scan, out_schema)
 
-
-_ = F

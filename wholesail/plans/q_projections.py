@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import projections as P
 from ..sources.logstore import stored_log
-from ..sources.eventlog import event_count, type_registry_report, typed
+from ..sources.eventlog import event_count, type_registry_report
 from .oracle import sql
 from .registry import query
 

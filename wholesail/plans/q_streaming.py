@@ -100,8 +100,6 @@ def q_stream_ingest(spark, d):
     # every event delivered twice, in different files, plus types the filter must drop
     SM.write_time_sliced(src, f"{base}/source/copy1", "timestamp", files=3)
     SM.write_time_sliced(src, f"{base}/source/copy2", "timestamp", files=2)
-    from pyspark.sql import SparkSession  # noqa: F401
-
     SI.run_ingest(spark, f"{base}/source/*", f"{base}/log", f"{base}/_checkpoint",
                   event_types=STATUS_TYPES[:4], files_per_trigger=2)
     return spark.read.parquet(f"{base}/log").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))

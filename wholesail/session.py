@@ -41,12 +41,16 @@ def local_session(cores: int | str = "*", app: str = "wholesail", shuffle_partit
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a scratch one only when unset (tests)."""
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    """The shared checkpoint folder the cluster names (``spark.checkpoint.dir``); a scratch
+    folder is created only when the session has none, as in tests."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 — no driver-side context (e.g. a remote session)
+        sc = None
+    d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
         d = tempfile.mkdtemp(prefix="wholesail-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d

@@ -29,8 +29,11 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
+    try:
+        fs, p = _fs(spark, path)
+        return bool(fs.exists(p))
+    except Exception:  # noqa: BLE001 — no JVM handle: fall back to a local path check
+        return os.path.exists(path.replace("file:", "", 1))
 
 
 def _source_key(sf_dir: str) -> str:
