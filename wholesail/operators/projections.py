@@ -259,3 +259,20 @@ def project_all(log: DataFrame, out_dir: str | None = None) -> dict[str, DataFra
         write_table(df, path)
         out[name] = spark.read.parquet(path)
     return out
+
+
+def stored_projections(spark, sf_dir: str) -> dict[str, DataFrame]:
+    """C14 as storage: every projection of the stored log written once (parquet, ``_SUCCESS``-
+    guarded, next to the log in the shared checkpoint folder) and read back — what downstream
+    consumers such as the sampler read, as the reference's sampler reads projected tables."""
+    from ..sources.logstore import _exists, log_path, stored_log
+
+    log = stored_log(spark, sf_dir)
+    base = log_path(spark, sf_dir) + "-tables"
+    out = {}
+    for name, fn in PROJECTIONS.items():
+        path = f"{base}/{name}.parquet"
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            fn(log).write.mode("overwrite").parquet(path)
+        out[name] = spark.read.parquet(path)
+    return out

@@ -43,8 +43,7 @@ def last_90d_config(cap: int | None = CAP) -> G.SamplerConfig:
 
 
 def run(spark, d, cap: int | None = CAP, preserve_keys: bool = False):
-    log = log_of(spark, d)
-    tables = {n: fn(log) for n, fn in P.PROJECTIONS.items()}
+    tables = P.stored_projections(spark, d)  # the sampler reads projected tables, not the log
     return G.run_sampler(tables, last_90d_config(cap), preserve_keys=preserve_keys, apply_total_cap=cap is not None)
 
 
