@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cookbook as K
 from ..operators import projections as P
 from .oracle import sql
-from .q_projections import log_of
+from .q_projections import log_of, tables_of
 from .registry import query
 
 DSUM = "CAST(sum(CAST({c} AS DECIMAL(20, 2))) AS DOUBLE)"
@@ -22,30 +22,30 @@ SELECT count(*) AS orders, {dsum('total_value')} AS gmv, {dsum('total_value')} /
        count(DISTINCT customer_id) AS customers, count(*) FILTER (WHERE fraud_score > 0.5) AS high_fraud_orders
 FROM orders_t""", "orders_t"), "K1 E4")
 def q_kpi(spark, d):
-    return K.kpi_tile(P.orders(log_of(spark, d)))
+    return K.kpi_tile(tables_of(spark, d)["orders"])
 
 
 @query("orders_by_channel", sql("SELECT channel, count(*) AS count FROM orders_t GROUP BY channel", "orders_t"), "K2")
 def q_by_channel(spark, d):
-    return K.count_by(P.orders(log_of(spark, d)), "channel")
+    return K.count_by(tables_of(spark, d)["orders"], "channel")
 
 
 @query("orders_by_status", sql("SELECT status, count(*) AS count FROM orders_t GROUP BY status", "orders_t"), "K2")
 def q_by_status(spark, d):
-    return K.count_by(P.orders(log_of(spark, d)), "status")
+    return K.count_by(tables_of(spark, d)["orders"], "status")
 
 
 @query("payment_method_mix", sql("""
 SELECT payment_method, count(*) AS count FROM payments_t WHERE status = 'paid' GROUP BY payment_method""",
                                  "payments_t"), "K3")
 def q_method_mix(spark, d):
-    return K.count_by(P.payments(log_of(spark, d)).filter(F.col("status") == "paid"), "payment_method")
+    return K.count_by(tables_of(spark, d)["payments"].filter(F.col("status") == "paid"), "payment_method")
 
 
 @query("customer_type_mix", sql("SELECT customer_type, count(*) AS count FROM cust GROUP BY customer_type", "cust"),
        "K3")
 def q_type_mix(spark, d):
-    return K.count_by(P.customers(log_of(spark, d)), "customer_type")
+    return K.count_by(tables_of(spark, d)["customers"], "customer_type")
 
 
 @query("fraud_histogram", sql("""
@@ -58,14 +58,14 @@ FROM (SELECT CAST(CASE WHEN b.hi = b.lo THEN 0
       WHERE o.fraud_score IS NOT NULL) b
 GROUP BY bin, b.lo, b.hi""", "orders_t"), "K4 E12")
 def q_fraud_hist(spark, d):
-    return K.histogram(P.orders(log_of(spark, d)), "fraud_score", 30)
+    return K.histogram(tables_of(spark, d)["orders"], "fraud_score", 30)
 
 
 @query("monthly_gmv_text", sql(f"""
 SELECT strftime(created_at, '%Y-%m') AS month, {dsum('total_value')} AS gmv, count(*) AS orders
 FROM orders_t GROUP BY 1""", "orders_t"), "K5 B13")
 def q_monthly_text(spark, d):
-    return K.monthly_gmv_text(P.orders(log_of(spark, d)))
+    return K.monthly_gmv_text(tables_of(spark, d)["orders"])
 
 
 @query("orders_with_customers", sql("""
@@ -75,7 +75,7 @@ FROM orders_t o JOIN customers_t c ON o.customer_id = c.customer_id WHERE o.tota
                                     "orders_t", "customers_t"), "K8 D3")
 def q_orders_customers(spark, d):
     log = log_of(spark, d)
-    return K.orders_with_customers(P.orders(log), P.customers(log))
+    return K.orders_with_customers(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"])
 
 
 @query("order_invoice_payment", sql("""
@@ -86,7 +86,7 @@ LEFT JOIN payments_t p ON i.invoice_id = p.invoice_id AND p.status = 'paid'""",
                                     "orders_t", "invoices_t", "payments_t"), "K8 D9 D3")
 def q_chain(spark, d):
     log = log_of(spark, d)
-    return K.order_invoice_payment(P.orders(log), P.invoices(log), P.payments(log))
+    return K.order_invoice_payment(tables_of(spark, d)["orders"], tables_of(spark, d)["invoices"], tables_of(spark, d)["payments"])
 
 
 @query("lines_with_orders", sql("""
@@ -94,7 +94,7 @@ SELECT l.order_id, l.sku_id, l.quantity, l.line_total, l.demand_class, o.created
 FROM lines l JOIN orders_t o ON l.order_id = o.order_id""", "lines", "orders_t"), "K8")
 def q_lines_orders(spark, d):
     log = log_of(spark, d)
-    return K.lines_with_orders(P.order_lines(log), P.orders(log))
+    return K.lines_with_orders(tables_of(spark, d)["order_lines"], tables_of(spark, d)["orders"])
 
 
 @query("rfm_with_customers", sql("""
@@ -103,7 +103,7 @@ SELECT r.customer_id, r.month, r.r_score, r.f_score, r.m_score, r.recency_days,
 FROM rfm_t r JOIN customers_t c ON r.customer_id = c.customer_id""", "rfm_t", "customers_t"), "K8")
 def q_rfm_customers(spark, d):
     log = log_of(spark, d)
-    return K.rfm_with_customers(P.rfm_scores(log), P.customers(log))
+    return K.rfm_with_customers(tables_of(spark, d)["rfm_scores"], tables_of(spark, d)["customers"])
 
 
 @query("clv_by_segment", sql(f"""
@@ -116,7 +116,7 @@ WHERE o.status = 'OrderDelivered' AND o.total_value > 0
 GROUP BY c.segment""", "orders_t", "cust"), "K10 E8")
 def q_clv(spark, d):
     log = log_of(spark, d)
-    return K.clv_by_segment(P.orders(log), P.customers(log))
+    return K.clv_by_segment(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"])
 
 
 @query("churn_by_cohort", sql("""
@@ -129,7 +129,7 @@ LEFT JOIN (SELECT customer_id FROM lifecycle_t WHERE event_type = 'CustomerChurn
 GROUP BY f.cohort_month""", "orders_t", "lifecycle_t"), "K11 F8")
 def q_churn_cohort(spark, d):
     log = log_of(spark, d)
-    return K.churn_by_cohort(P.orders(log), P.customer_history(log))
+    return K.churn_by_cohort(tables_of(spark, d)["orders"], tables_of(spark, d)["customer_history"])
 
 
 @query("dso_stats", sql("""
@@ -140,7 +140,7 @@ FROM (SELECT datediff('day', CAST(i.timestamp AS DATE), CAST(p.timestamp AS DATE
                         "invoices_t", "payments_t"), "K12 E6 D3")
 def q_dso(spark, d):
     log = log_of(spark, d)
-    return K.dso_stats(P.invoices(log), P.payments(log))
+    return K.dso_stats(tables_of(spark, d)["invoices"], tables_of(spark, d)["payments"])
 
 
 @query("rep_leaderboard", sql("""
@@ -150,7 +150,7 @@ SELECT rep_id, CAST(sum(total_visits) AS BIGINT) AS visits, CAST(sum(order_visit
 FROM rep_perf_t WHERE month >= (SELECT max(month) FROM rep_perf_t) - INTERVAL 5 MONTH
 GROUP BY rep_id ORDER BY gmv_million DESC NULLS LAST, rep_id ASC LIMIT 10""", "rep_perf_t"), "K13 F6")
 def q_rep_leaderboard(spark, d):
-    return K.rep_leaderboard(P.rep_performance(log_of(spark, d)))
+    return K.rep_leaderboard(tables_of(spark, d)["rep_performance"])
 
 
 @query("sku_stockout_frequency", sql("""
@@ -161,7 +161,7 @@ SELECT sku_id, count(*) AS stockout_events,
 FROM stockouts_t GROUP BY sku_id ORDER BY stockout_events DESC, sku_id ASC LIMIT 20""", "stockouts_t"),
     "K14 E10 F6")
 def q_stockout_freq(spark, d):
-    return K.sku_stockout_frequency(P.stockout_events(log_of(spark, d)))
+    return K.sku_stockout_frequency(tables_of(spark, d)["stockout_events"])
 
 
 @query("payment_mix_by_area", sql(f"""
@@ -170,7 +170,7 @@ FROM payments_t p JOIN cust c ON p.customer_id = c.customer_id WHERE p.status =
 GROUP BY c.area_id, p.payment_method""", "payments_t", "cust"), "K15")
 def q_payment_area(spark, d):
     log = log_of(spark, d)
-    return K.payment_mix_by_area(P.payments(log), P.customers(log))
+    return K.payment_mix_by_area(tables_of(spark, d)["payments"], tables_of(spark, d)["customers"])
 
 
 @query("rfm_champions", sql("""
@@ -183,7 +183,7 @@ WHERE r.month = (SELECT max(month) FROM rfm_t)
                             "rfm_t", "cust"), "K16 F7")
 def q_champions(spark, d):
     log = log_of(spark, d)
-    return K.rfm_champions(P.rfm_scores(log), P.customers(log))
+    return K.rfm_champions(tables_of(spark, d)["rfm_scores"], tables_of(spark, d)["customers"])
 
 
 @query("credit_utilisation", sql("""
@@ -196,7 +196,7 @@ JOIN cust c ON l.customer_id = c.customer_id
 ORDER BY utilization_pct DESC NULLS LAST, l.customer_id ASC LIMIT 20""", "ledger_t", "cust"), "K17 E7 T14")
 def q_credit_util(spark, d):
     log = log_of(spark, d)
-    return K.credit_utilisation(P.credit_ledger(log), P.customers(log))
+    return K.credit_utilisation(tables_of(spark, d)["credit_ledger"], tables_of(spark, d)["customers"])
 
 
 @query("month_over_month", sql(f"""
@@ -206,7 +206,7 @@ SELECT month, orders, gmv, lag(gmv) OVER (ORDER BY month) AS prev_gmv,
 FROM (SELECT date_trunc('month', created_at) AS month, count(*) AS orders, {dsum('total_value')} AS gmv
       FROM orders_t GROUP BY 1)""", "orders_t"), "K19")
 def q_mom(spark, d):
-    return K.month_over_month(P.orders(log_of(spark, d)))
+    return K.month_over_month(tables_of(spark, d)["orders"])
 
 
 @query("time_profile", sql(f"""
@@ -214,7 +214,7 @@ SELECT hour(created_at) AS hour, dayofweek(created_at) + 1 AS dow, count(*) AS o
        {dsum('total_value')} AS gmv
 FROM orders_t GROUP BY 1, 2""", "orders_t"), "K20")
 def q_time_profile(spark, d):
-    return K.time_profile(P.orders(log_of(spark, d)))
+    return K.time_profile(tables_of(spark, d)["orders"])
 
 
 @query("revenue_concentration", sql("""
@@ -225,7 +225,7 @@ FROM (SELECT rev, row_number() OVER (ORDER BY rev DESC, sku_id) AS rk, count(*)
       FROM (SELECT sku_id, sum(CAST(line_total AS DECIMAL(20, 2))) AS rev FROM lines GROUP BY sku_id))""",
                                     "lines"), "K21")
 def q_concentration(spark, d):
-    return K.revenue_concentration(P.order_lines(log_of(spark, d)))
+    return K.revenue_concentration(tables_of(spark, d)["order_lines"])
 
 
 @query("return_rate_by_class", sql("""
@@ -235,7 +235,7 @@ SELECT l.demand_class, count(*) AS lines,
 FROM lines l JOIN orders_t o ON l.order_id = o.order_id GROUP BY l.demand_class""", "lines", "orders_t"), "K22")
 def q_return_rate(spark, d):
     log = log_of(spark, d)
-    return K.return_rate_by_class(P.order_lines(log), P.orders(log))
+    return K.return_rate_by_class(tables_of(spark, d)["order_lines"], tables_of(spark, d)["orders"])
 
 
 @query("aov_by_area", sql(f"""
@@ -243,7 +243,7 @@ SELECT c.area_id, count(*) AS orders, {dsum('o.total_value')} / count(*) AS aov
 FROM orders_t o JOIN cust c ON o.customer_id = c.customer_id GROUP BY c.area_id""", "orders_t", "cust"), "K22")
 def q_aov_area(spark, d):
     log = log_of(spark, d)
-    return K.aov_by_area(P.orders(log), P.customers(log))
+    return K.aov_by_area(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"])
 
 
 @query("fraud_by_channel_status", sql("""
@@ -251,7 +251,7 @@ SELECT channel, status, count(*) AS orders,
        CAST(sum(CAST(fraud_score AS DECIMAL(20, 2))) AS DOUBLE) / count(fraud_score) AS mean_fraud
 FROM orders_t GROUP BY channel, status""", "orders_t"), "K22")
 def q_fraud_channel(spark, d):
-    return K.fraud_by_channel_status(P.orders(log_of(spark, d)))
+    return K.fraud_by_channel_status(tables_of(spark, d)["orders"])
 
 
 @query("segment_channel_economics", sql("""
@@ -263,7 +263,7 @@ FROM (SELECT c.segment, o.channel, count(*) AS orders, sum(CAST(o.total_value AS
       FROM orders_t o JOIN cust c ON o.customer_id = c.customer_id GROUP BY 1, 2)""", "orders_t", "cust"), "K23")
 def q_seg_channel(spark, d):
     log = log_of(spark, d)
-    return K.segment_channel_economics(P.orders(log), P.customers(log))
+    return K.segment_channel_economics(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"])
 
 
 @query("ledger_ratios", sql("""
@@ -274,4 +274,4 @@ FROM (SELECT CAST(sum(CAST(amount AS DECIMAL(20, 2))) FILTER (WHERE transaction_
                AS writeoffs
       FROM ledger_t)""", "ledger_t"), "K24")
 def q_ledger_ratios(spark, d):
-    return K.ledger_ratios(P.credit_ledger(log_of(spark, d)))
+    return K.ledger_ratios(tables_of(spark, d)["credit_ledger"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import decision as J
 from ..operators import projections as P
 from .oracle import sql
-from .q_projections import log_of
+from .q_projections import log_of, tables_of
 from .registry import query
 
 ENRICHED_COLS = [
@@ -21,7 +21,7 @@ WHAT_IF_GRID = [(0.70, 0.40), (0.65, 0.40), (0.75, 0.45), (0.70, 0.35), (0.80, 0
 
 def enriched(spark, d):
     log = log_of(spark, d)
-    return J.enrich_orders(P.orders(log), P.customers(log), P.rfm_scores(log))
+    return J.enrich_orders(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"], tables_of(spark, d)["rfm_scores"])
 
 
 def decided(spark, d):

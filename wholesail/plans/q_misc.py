@@ -11,7 +11,7 @@ from ..operators import quality as H
 from ..sources.eventlog import typed
 from .oracle import sql
 from .q_decision import enriched
-from .q_projections import log_of
+from .q_projections import log_of, tables_of
 from .registry import query
 
 LOOKUP_ORDER = "ORD-1"
@@ -100,7 +100,7 @@ SELECT 'orphan-rate-below', v < 0.03, v FROM (
     "H14")
 def q_smoke(spark, d):
     log = log_of(spark, d)
-    return H.smoke_assertions(log, P.orders(log), P.customers(log))
+    return H.smoke_assertions(log, tables_of(spark, d)["orders"], tables_of(spark, d)["customers"])
 
 
 @query("promise_kept_rate", sql("""
@@ -109,5 +109,5 @@ SELECT count(*) AS promises, CAST(count(*) FILTER (WHERE kept) AS BIGINT) AS kep
     "L16")
 def q_promises(spark, d):
     log = log_of(spark, d)
-    return CR.promise_kept(typed(log, "CollectionPromiseMade"), P.payments(log))
+    return CR.promise_kept(typed(log, "CollectionPromiseMade"), tables_of(spark, d)["payments"])
 

@@ -15,6 +15,11 @@ def log_of(spark, sf_dir):
     return stored_log(spark, sf_dir)
 
 
+def tables_of(spark, sf_dir):
+    """The projected tables as stored parquet (C14) — what consumers of projections read."""
+    return P.stored_projections(spark, sf_dir)
+
+
 @query("orders", sql("""
 SELECT order_id, customer_id, created_at, total_value, channel, rep_id, fraud_score, promotion_id, status
 FROM orders_t""", "orders_t"), "C1 D1 E2 A1 B1")

@@ -8,7 +8,7 @@ from ..operators import projections as P
 from ..operators import quality as H
 from ..sources.eventlog import typed
 from .oracle import D_US, sql
-from .q_projections import log_of
+from .q_projections import log_of, tables_of
 from .registry import query
 
 
@@ -56,7 +56,7 @@ FROM (SELECT CAST(count(*) FILTER (WHERE invoice_id NOT IN (SELECT invoice_id FR
     "orders_t", "cust", "lines", "ledger_t", "customers_t", "invoices_t", "payments_t", "inventory_t"),
     "H1 H2 H3 H4 H5 H6 H7 H8 H9 H10 D3 D5 E13 A7")
 def q_scorecard(spark, d):
-    return H.scorecard(tables(log_of(spark, d)))
+    return H.scorecard(tables_of(spark, d))
 
 
 @query("order_row_validation", sql("""
@@ -138,8 +138,8 @@ FROM invoices_t i JOIN (SELECT invoice_id, CAST(sum(CAST(amount AS DECIMAL(20, 2
 def q_business_rules(spark, d):
     log = log_of(spark, d)
     return H.business_rule_violations(
-        P.credit_ledger(log), P.customers(log), P.customer_history(log), P.orders(log), P.stockout_events(log),
-        P.payments(log), P.invoices(log))
+        tables_of(spark, d)["credit_ledger"], tables_of(spark, d)["customers"], tables_of(spark, d)["customer_history"], tables_of(spark, d)["orders"], tables_of(spark, d)["stockout_events"],
+        tables_of(spark, d)["payments"], tables_of(spark, d)["invoices"])
 
 
 @query("duplicate_event_ids", sql("""
@@ -160,7 +160,7 @@ def q_dup_events(spark, d):
 @query("duplicate_order_ids", sql("""
 SELECT order_id, count(*) AS copies FROM orders_t GROUP BY order_id HAVING count(*) > 1""", "orders_t"), "H15")
 def q_dup_orders(spark, d):
-    return H.duplicate_keys(P.orders(log_of(spark, d)), "order_id")
+    return H.duplicate_keys(tables_of(spark, d)["orders"], "order_id")
 
 
 @query("impossible_values", sql("""
@@ -172,7 +172,7 @@ UNION ALL SELECT 'amount<0', count(*) FILTER (WHERE amount < 0) FROM payments_t"
     "orders_t", "payments_t", "invoices_t", "inventory_t"), "H16")
 def q_impossible(spark, d):
     log = log_of(spark, d)
-    return H.impossible_values(P.orders(log), P.payments(log), P.invoices(log), P.inventory_snapshot(log))
+    return H.impossible_values(tables_of(spark, d)["orders"], tables_of(spark, d)["payments"], tables_of(spark, d)["invoices"], tables_of(spark, d)["inventory_snapshot"])
 
 
 @query("paid_before_invoiced", sql("""
@@ -181,7 +181,7 @@ FROM invoices_t i JOIN payments_t p ON i.invoice_id = p.invoice_id WHERE p.statu
     "invoices_t", "payments_t"), "H17")
 def q_paid_before(spark, d):
     log = log_of(spark, d)
-    return H.paid_before_invoiced(P.invoices(log), P.payments(log))
+    return H.paid_before_invoiced(tables_of(spark, d)["invoices"], tables_of(spark, d)["payments"])
 
 
 @query("segment_null_coverage", sql("""
@@ -189,14 +189,14 @@ SELECT event_type, count(*) AS rows, count(segment) AS non_null, CAST(count(segm
 FROM (SELECT 'CustomerCreated' AS event_type, segment FROM cust
       UNION ALL SELECT event_type, NULL FROM lifecycle_t) GROUP BY event_type""", "cust", "lifecycle_t"), "H18")
 def q_null_coverage(spark, d):
-    return H.null_coverage(P.customer_history(log_of(spark, d)), "event_type", "segment")
+    return H.null_coverage(tables_of(spark, d)["customer_history"], "event_type", "segment")
 
 
 @query("unstable_sku_class", sql("""
 SELECT sku_id, count(DISTINCT demand_class) AS "values" FROM lines GROUP BY sku_id
 HAVING count(DISTINCT demand_class) > 1""", "lines"), "H19")
 def q_unstable(spark, d):
-    return H.unstable_dimension(P.order_lines(log_of(spark, d)), "sku_id", "demand_class")
+    return H.unstable_dimension(tables_of(spark, d)["order_lines"], "sku_id", "demand_class")
 
 
 @query("promotion_reconciliation", sql("""
@@ -206,7 +206,7 @@ SELECT (SELECT count(DISTINCT order_id) FROM promo_applied) AS orders_redeemed,
     "promo_applied", "orders_t"), "H20")
 def q_promo_recon(spark, d):
     log = log_of(spark, d)
-    return H.promotion_reconciliation(typed(log, "PromotionApplied", ["order_id"]), P.orders(log))
+    return H.promotion_reconciliation(typed(log, "PromotionApplied", ["order_id"]), tables_of(spark, d)["orders"])
 
 
 @query("missing_order_days", sql("""
@@ -215,4 +215,4 @@ SELECT strftime(day, '%Y-%m-%d') AS day FROM (
   FROM orders_t)
 WHERE CAST(day AS DATE) NOT IN (SELECT DISTINCT CAST(created_at AS DATE) FROM orders_t)""", "orders_t"), "H21")
 def q_missing_days(spark, d):
-    return H.missing_days(P.orders(log_of(spark, d)), "created_at")
+    return H.missing_days(tables_of(spark, d)["orders"], "created_at")

@@ -12,7 +12,7 @@ from ..operators import projections as P
 from ..operators import promotions as PR
 from ..sources.eventlog import read_events, typed
 from .oracle import D_US, cte, sql
-from .q_projections import log_of
+from .q_projections import log_of, tables_of
 from .registry import query
 
 FRAUD_SCORE_SQL = """least(1.0::DOUBLE,
@@ -64,7 +64,7 @@ JOIN feat_m90 m ON o.order_id = m.order_id LEFT JOIN cust c ON o.customer_id = c
     "feat_o", "feat_vel", "feat_prev", "feat_m90", "cust"), "L1 L2 L3 F3 F4 T10")
 def q_fraud_features(spark, d):
     log = log_of(spark, d)
-    return L.order_features(P.orders(log), P.customers(log))
+    return L.order_features(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"])
 
 
 @query("fraud_velocity_windows", sql(f"""
@@ -80,7 +80,7 @@ FROM (SELECT o.customer_id,
 LEFT JOIN cust c ON w.customer_id = c.customer_id""", "orders_t", "cust"), "L4 M6")
 def q_fraud_windows(spark, d):
     log = log_of(spark, d)
-    return L.fraud_windows(P.orders(log), P.customers(log))
+    return L.fraud_windows(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"])
 
 
 # --- L8, L18–L21 ---------------------------------------------------------------------------------
@@ -96,7 +96,7 @@ JOIN (SELECT demand_class, count(*) AS c FROM lift_oc GROUP BY demand_class) sa
 JOIN (SELECT demand_class, count(*) AS c FROM lift_oc GROUP BY demand_class) sb ON p.cat_b = sb.demand_class,
      (SELECT count(DISTINCT order_id) AS n FROM lift_oc) n""", "lift_oc"), "L8")
 def q_category_lift(spark, d):
-    return L.category_lift(P.order_lines(log_of(spark, d)))
+    return L.category_lift(tables_of(spark, d)["order_lines"])
 
 
 @query("session_funnel", sql("""
@@ -115,7 +115,7 @@ SELECT coalesce(c.segment, 'unknown') AS segment, v.outcome, count(*) AS visits
 FROM visits_t v LEFT JOIN cust c ON v.customer_id = c.customer_id GROUP BY 1, 2""", "visits_t", "cust"), "L19")
 def q_visit_mix(spark, d):
     log = log_of(spark, d)
-    return L.visit_outcome_mix(typed(log, "RepVisitCompleted"), P.customers(log))
+    return L.visit_outcome_mix(typed(log, "RepVisitCompleted"), tables_of(spark, d)["customers"])
 
 
 @query("visit_gaps", sql(f"""
@@ -135,7 +135,7 @@ FROM orders_t o LEFT JOIN visits_t v ON v.customer_id = o.customer_id
 GROUP BY o.order_id, o.customer_id, o.channel""", "orders_t", "visits_t"), "L21 D10")
 def q_attribution(spark, d):
     log = log_of(spark, d)
-    return L.channel_attribution(P.orders(log), typed(log, "RepVisitCompleted"))
+    return L.channel_attribution(tables_of(spark, d)["orders"], typed(log, "RepVisitCompleted"))
 
 
 cte("prop_f", f"""
@@ -160,12 +160,12 @@ SELECT customer_id, segment, days AS days_since_order,
 FROM prop_f""", "prop_f"), "L20")
 def q_propensity(spark, d):
     log = log_of(spark, d)
-    o = P.orders(log)
+    o = tables_of(spark, d)["orders"]
     as_of = o.agg(F.max("created_at").alias("as_of"))
     visits = typed(log, "RepVisitCompleted").crossJoin(F.broadcast(as_of)).filter(
         (F.col("timestamp") <= F.col("as_of"))
         & (F.col("timestamp") >= F.col("as_of") - F.make_dt_interval(F.lit(7))))
-    p = L.order_propensity(P.customers(log), o, as_of, promo_segments=[], visited_customers=visits)
+    p = L.order_propensity(tables_of(spark, d)["customers"], o, as_of, promo_segments=[], visited_customers=visits)
     return p.select("customer_id", "segment", "days_since_order", F.round("p_order", 9).alias("p_order"))
 
 
@@ -174,7 +174,7 @@ SELECT CASE WHEN risk_score < 0.3 THEN 0.95::DOUBLE WHEN risk_score < 0.7 THEN 0
          AS success_probability, count(*) AS customers
 FROM cust GROUP BY 1""", "cust"), "L14")
 def q_tiers(spark, d):
-    c = P.customers(log_of(spark, d))
+    c = tables_of(spark, d)["customers"]
     return c.groupBy(L.payment_success_probability(F.col("risk_score")).alias("success_probability")).agg(
         F.count(F.lit(1)).alias("customers"))
 
@@ -245,7 +245,7 @@ def q_inventory_policy(spark, d):
     li = lines_with_time(log)
     lead = typed(log, "PurchaseOrderCreated", ["sku_id", "expected_lead_time_days"]).groupBy("sku_id").agg(
         F.max("expected_lead_time_days").alias("lead_time_days"))
-    return INV.inventory_policy(li, F.to_date("timestamp"), lead, P.inventory_snapshot(log))
+    return INV.inventory_policy(li, F.to_date("timestamp"), lead, tables_of(spark, d)["inventory_snapshot"])
 
 
 @query("elastic_quantities", sql("""
@@ -283,7 +283,7 @@ LEFT JOIN (SELECT sku_id, sum(quantity) AS total FROM stock_po GROUP BY sku_id)
     "stockouts_t", "stock_po"), "L13")
 def q_backorders(spark, d):
     log = log_of(spark, d)
-    so = P.stockout_events(log).filter(F.col("resolution") == "backorder").withColumn(
+    so = tables_of(spark, d)["stockout_events"].filter(F.col("resolution") == "backorder").withColumn(
         "shortfall", F.col("requested_quantity") - F.col("available_quantity"))
     supply = typed(log, "StockReceived", ["sku_id", "quantity"])
     return INV.backorder_fulfilment(so, supply)
@@ -323,7 +323,7 @@ FROM orders_t o LEFT JOIN (
 def q_best_promotion(spark, d):
     log = log_of(spark, d)
     cal = PR.promotion_calendar(typed(log, "PromotionApplied", ["promotion_id"]))
-    return PR.best_promotion(P.orders(log), P.customers(log), cal)
+    return PR.best_promotion(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"], cal)
 
 
 @query("credit_check", None, "L11")
@@ -332,7 +332,7 @@ def q_credit_check(spark, d):
     rel = read_events(log, "OrderDelivered", "OrderCancelled").select(
         F.get_json_object("payload", "$.order_id").alias("order_id"),
         F.get_json_object("payload", "$.customer_id").alias("customer_id"), "timestamp")
-    return CR.credit_check(P.orders(log), rel, P.customers(log))
+    return CR.credit_check(tables_of(spark, d)["orders"], rel, tables_of(spark, d)["customers"])
 
 
 cte("dun_asof", """
@@ -364,7 +364,7 @@ FROM (SELECT i.invoice_id, i.customer_id, i.amount, coalesce(p.fails, 0) AS fail
     "L15")
 def q_dunning(spark, d):
     log = log_of(spark, d)
-    inv, pay = P.invoices(log), P.payments(log)
+    inv, pay = tables_of(spark, d)["invoices"], tables_of(spark, d)["payments"]
     wo = typed(log, "CreditWrittenOff", ["invoice_id"])
     as_of = inv.select("timestamp").unionByName(pay.select("timestamp")).unionByName(wo.select("timestamp")).agg(
         F.max("timestamp").alias("as_of"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import projections as P
 from ..operators import sampling as G
 from .oracle import cte, sql
-from .q_projections import log_of
 from .registry import query
 
 SEED = 42
@@ -102,7 +101,7 @@ FROM (SELECT *, sum(n) OVER (PARTITION BY sample) AS tot FROM smp_counts)
 @query("stratified_split", sql("""
 SELECT order_id, smonth AS month, channel, status, split FROM smp_anchor""", "smp_anchor"), "G1 G2 G3 G4 F2 T13")
 def q_split(spark, d):
-    o = P.orders(log_of(spark, d))
+    o = P.stored_projections(spark, d)["orders"]
     anchor = G.resolve_anchor(o, "latest")
     a = G.stratified_split(G.date_window(o, anchor, DAYS), ["month", "channel", "status"], "order_id", SEED)
     return a.select("order_id", F.date_format("created_at", "yyyy-MM").alias("month"), "channel", "status",

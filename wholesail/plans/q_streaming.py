@@ -19,7 +19,7 @@ from ..streaming import lifecycle as SL
 from ..streaming import metrics as SM
 from .oracle import D_US, cte, sql
 from .q_decision import enriched
-from .q_projections import log_of
+from .q_projections import log_of, tables_of
 from .registry import query
 
 STATUS_TYPES = ["OrderShipped", "OrderDelivered", "OrderCancelled", "OrderReturned", "InvoiceCreated"]
@@ -76,8 +76,8 @@ WHERE (churn_ts IS NULL OR timestamp <= churn_ts)
     "M8 L10")
 def q_stream_lifecycle(spark, d):
     log = log_of(spark, d)
-    o = P.orders(log).select("customer_id", F.col("created_at").alias("ts"), "channel", F.lit("order").alias("kind"))
-    c = P.customers(log).select("customer_id", F.col("created_at").alias("ts"),
+    o = tables_of(spark, d)["orders"].select("customer_id", F.col("created_at").alias("ts"), "channel", F.lit("order").alias("kind"))
+    c = tables_of(spark, d)["customers"].select("customer_id", F.col("created_at").alias("ts"),
                                 F.lit(None).cast("string").alias("channel"), F.lit("created").alias("kind"))
     base = scratch(spark, "lifecycle")
     SM.write_time_sliced(c.unionByName(o), f"{base}/source", "ts", files=8)
