@@ -129,7 +129,13 @@ def orders_domain(t: Tables) -> DataFrame:
 
 
 def lines_domain(t: Tables) -> DataFrame:
-    """One row per driver line item with its order context (join on the order key)."""
+    """One row per driver line item with its order context (join on the order key).
+
+    During a full log build the joined lines are materialised once (``event_log``) and reused
+    by the five branches that need them."""
+    cached = t.__dict__.get("_lines")
+    if cached is not None:
+        return cached
     li, p = t.lineitem, t.part
     o = orders_domain(t).select("orderkey", "order_id", "customer_id", "custkey", "created_at", "orderstatus")
     return (
@@ -440,8 +446,17 @@ def lifecycle_events(t: Tables) -> DataFrame:
     )
 
 
-def event_log(t: Tables) -> DataFrame:
-    """The whole log as one lazy union (see module docstring for why this stays cheap)."""
+def event_log(t: Tables, materialise_lines: bool = False) -> DataFrame:
+    """The whole log as one union of branches (see the module docstring).
+
+    With ``materialise_lines`` (the ingestion job) the line-item join — the largest input,
+    needed by five branches — is checkpointed once to the shared folder instead of being
+    shuffled five times."""
+    if materialise_lines:
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(t.spark)
+        t.__dict__["_lines"] = lines_domain(t).checkpoint(eager=True)
     parts = [
         customer_created(t), order_created(t), order_status_events(t), invoice_created(t), payment_events(t),
         stock_events(t), promotion_applied(t), activity_events(t), lifecycle_events(t),

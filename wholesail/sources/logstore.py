@@ -62,5 +62,5 @@ def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not _exists(spark, f"{path}/_SUCCESS"):
         from .adapter import event_log
 
-        write_log(event_log(Tables(spark, sf_dir)), path)
+        write_log(event_log(Tables(spark, sf_dir), materialise_lines=True), path)
     return spark.read.parquet(path).select(*ENVELOPE_COLS)
