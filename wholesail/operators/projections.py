@@ -276,3 +276,41 @@ def stored_projections(spark, sf_dir: str) -> dict[str, DataFrame]:
             fn(log).write.mode("overwrite").parquet(path)
         out[name] = spark.read.parquet(path)
     return out
+
+
+def rfm_trailing(orders: DataFrame, lookback_days: int) -> DataFrame:
+    """C10 with the T5 ``lookback``: for every customer × month with orders, frequency and
+    monetary over the trailing ``lookback_days`` ending at the month's end (window
+    [next month start − lookback, next month start)), recency as in the calendar version, and
+    global quintile labels.  Window counts/sums are differences of two ``cumulative_at`` probes
+    (no per-customer window spans the history)."""
+    from ..functions.scalar import MICROS_PER_DAY
+    from .windows import cumulative_at
+
+    o = orders.select("customer_id", "created_at", "total_value")
+    monthly = o.groupBy("customer_id", F.date_trunc("month", "created_at").alias("month")).agg(
+        F.max("created_at").alias("last_order_date"))
+    nxt = F.unix_micros(F.add_months("month", 1).cast("timestamp"))
+    probes = monthly.select("customer_id", "month", F.explode(F.array(
+        F.struct(F.lit("hi").alias("tag"), (nxt - 1).alias("at")),
+        F.struct(F.lit("lo").alias("tag"), (nxt - F.lit(lookback_days * MICROS_PER_DAY) - 1).alias("at")),
+    )).alias("p")).select("customer_id", F.concat_ws("|", "customer_id", F.col("month").cast("string"), "p.tag")
+                          .alias("pid"), "p.at")
+    c = cumulative_at(o, probes, "customer_id", "created_at", F.col("at"), "pid",
+                      value=F.col("total_value").cast("decimal(20,2)"))
+    c = c.select(F.substring_index("pid", "|", 2).alias("k"), F.substring_index("pid", "|", -1).alias("tag"),
+                 "_cnt", "_sum")
+    w = c.groupBy("k").agg(
+        (F.max(F.when(F.col("tag") == "hi", F.col("_cnt"))) - F.max(F.when(F.col("tag") == "lo", F.col("_cnt"))))
+        .alias("frequency"),
+        (F.max(F.when(F.col("tag") == "hi", F.col("_sum"))) - F.max(F.when(F.col("tag") == "lo", F.col("_sum"))))
+        .cast("double").alias("monetary"))
+    m = monthly.withColumn("k", F.concat_ws("|", "customer_id", F.col("month").cast("string"))).join(w, "k").drop("k")
+    m = m.withColumn("recency_days", whole_days(month_end_midnight("month"), "last_order_date"))
+    q = exact_quantiles_multi(m, ["recency_days", "frequency", "monetary"], QUINTILE_BREAKS)  # one row
+    return m.crossJoin(F.broadcast(q)).select(
+        "customer_id", "month", "last_order_date", "frequency", "monetary", "recency_days",
+        bin_by_breaks(F.col("recency_days").cast("double"), F.col("recency_days_breaks"), R_LABELS).alias("r_score"),
+        bin_by_breaks(F.col("frequency").cast("double"), F.col("frequency_breaks"), FM_LABELS).alias("f_score"),
+        bin_by_breaks(F.col("monetary"), F.col("monetary_breaks"), FM_LABELS).alias("m_score"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import projections as P
 from ..sources.logstore import stored_log
 from ..sources.eventlog import event_count, type_registry_report
-from .oracle import sql
+from .oracle import cte, sql
 from .registry import query
 
 
@@ -151,3 +151,27 @@ def q_monthly_gmv(spark, d):
         (s / F.lit(1e6)).alias("gmv_million"),
         (s / F.count(F.lit(1))).alias("avg_order_value"),
     )
+
+
+cte("rfm12_base", f"""
+SELECT r.customer_id, r.month, r.last_order_date, r.recency_days,
+       count(o.order_id) AS frequency, CAST(sum(CAST(o.total_value AS DECIMAL(20, 2))) AS DOUBLE) AS monetary
+FROM rfm_base r JOIN ord o ON o.customer_id = r.customer_id
+ AND o.created_at >= r.month + INTERVAL 1 MONTH - INTERVAL 365 DAY AND o.created_at < r.month + INTERVAL 1 MONTH
+GROUP BY r.customer_id, r.month, r.last_order_date, r.recency_days""", ("rfm_base", "ord"))
+
+cte("rfm12_breaks", """
+SELECT quantile_cont(CAST(recency_days AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS rb,
+       quantile_cont(CAST(frequency AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS fb,
+       quantile_cont(monetary, [0.2, 0.4, 0.6, 0.8]) AS mb
+FROM rfm12_base""", ("rfm12_base",))
+
+
+@query("rfm_trailing_12m", sql("""
+SELECT r.customer_id, r.month, r.last_order_date, r.frequency, r.monetary, r.recency_days,
+       ['5', '4', '3', '2', '1'][len(list_filter(b.rb, lambda x: x < CAST(r.recency_days AS DOUBLE))) + 1] AS r_score,
+       ['1', '2', '3', '4', '5'][len(list_filter(b.fb, lambda x: x < CAST(r.frequency AS DOUBLE))) + 1] AS f_score,
+       ['1', '2', '3', '4', '5'][len(list_filter(b.mb, lambda x: x < r.monetary)) + 1] AS m_score
+FROM rfm12_base r, rfm12_breaks b""", "rfm12_base", "rfm12_breaks"), "C10 T5 E5")
+def q_rfm_trailing(spark, d):
+    return P.rfm_trailing(tables_of(spark, d)["orders"], 365)
