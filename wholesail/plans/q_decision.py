@@ -77,3 +77,4 @@ FROM scored s, ({rows}) g GROUP BY g.a, g.r""", "scored")
 def q_what_if(spark, d):
     scored = J.score(enriched(spark, d), zero_is_missing=SEEDED_ZERO_IS_MISSING)
     return J.threshold_what_if(scored, WHAT_IF_GRID)
+

@@ -394,3 +394,28 @@ def q_noisy_orders(spark, d):
     o = P.orders(noisy)
     return o.agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("total_value").isNull()).alias("null_totals"),
                  F.count_if(F.col("total_value") < 0).alias("negative_totals"))
+
+
+# The true trailing-90-day basket mean as the baseline (the seeded path uses RFM monetary)
+from .oracle import _CTES  # noqa: E402
+
+cte("enriched90", """
+SELECT e.* EXCLUDE (avg_basket_90d), m.mean_90d AS avg_basket_90d
+FROM enriched e JOIN feat_m90 m ON e.order_id = m.order_id""", ("enriched", "feat_m90"))
+cte("factors90", _CTES["factors"][0].replace("FROM enriched e", "FROM enriched90 e"), ("enriched90",))
+cte("scored90", _CTES["scored"][0].replace("FROM factors f", "FROM factors90 f"), ("factors90",))
+cte("decided90", _CTES["decided"][0].replace("FROM scored s", "FROM scored90 s"), ("scored90",))
+
+
+@query("order_scores_true_baseline", sql("""
+SELECT order_id, avg_basket_90d, payment_score, decision_score, decision FROM decided90""", "decided90"),
+    "T8 L2 J1 J4")
+def q_scores_true_baseline(spark, d):
+    from ..operators import decision as J
+    from .q_decision import SEEDED_ZERO_IS_MISSING
+
+    t = tables_of(spark, d)
+    base = L.order_features(t["orders"], t["customers"]).select("order_id", F.col("mean_90d").alias("avg_basket_90d"))
+    e = J.enrich_orders(t["orders"], t["customers"], t["rfm_scores"], basket_baseline=base)
+    return J.score(e, zero_is_missing=SEEDED_ZERO_IS_MISSING).select(
+        "order_id", "avg_basket_90d", "payment_score", "decision_score", "decision")
