@@ -103,3 +103,26 @@ def q_stream_ingest(spark, d):
     SI.run_ingest(spark, f"{base}/source/*", f"{base}/log", f"{base}/_checkpoint",
                   event_types=STATUS_TYPES[:4], files_per_trigger=2)
     return spark.read.parquet(f"{base}/log").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("stream_order_windows", sql("""
+SELECT customer_id, make_timestamp(b * 21600000000) AS window_start,
+       make_timestamp(b * 21600000000 + 86400000000) AS window_end,
+       count(*) AS events, CAST(sum(CAST(total_value AS DECIMAL(20, 2))) AS DOUBLE) AS value_sum
+FROM (SELECT customer_id, total_value, epoch_us(created_at) // 21600000000 - k.k AS b
+      FROM orders_t, (SELECT unnest([0, 1, 2, 3]) AS k) k)
+GROUP BY customer_id, b
+HAVING b * 21600000000 + 86400000000 <= (SELECT epoch_us(max(created_at)) - 86400000000 FROM orders_t)""",
+    "orders_t"), "M6 L4")
+def q_stream_order_windows(spark, d):
+    """Sliding 24 h windows every 6 h per customer, in append mode behind a 1-day watermark."""
+    from .q_projections import tables_of
+
+    o = tables_of(spark, d)["orders"].select("customer_id", F.col("created_at").alias("ts"),
+                                             F.col("total_value").alias("value"))
+    base = scratch(spark, "order-windows")
+    SM.write_time_sliced(o, f"{base}/source", "ts", files=4)
+    SM.run_window_stream(spark, f"{base}/source", o.schema, f"{base}/out", f"{base}/_checkpoint",
+                         watermark="1 day", width="24 hours", slide="6 hours", by=("customer_id",))
+    return spark.read.parquet(f"{base}/out").select("customer_id", "window_start", "window_end", "events",
+                                                    "value_sum")
