@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import mixing, near_order_minhash, pii_feistel, quality_pu, sentencepiece_rounds
+from . import exact_dual_tree, mixing, near_cross_polytope, near_order_minhash, pii_feistel, quality_pu, sentencepiece_rounds
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,14 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_feistel.pseudonymise(table(configure(spark), sf_dir, "documents"))
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_cross_polytope.links(table(configure(spark), sf_dir, "embeddings"))
+
+
+def op4_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dual_tree.search(table(configure(spark), sf_dir, "embeddings"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_order_minhash.groups(table(configure(spark), sf_dir, "documents"))
 
@@ -37,9 +45,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
+    "op2_cross_polytope": op2_cross_polytope,
+    "op4_dual_tree": op4_dual_tree,
     "op5_order_minhash": op5_order_minhash,
     "op6_source_mix": op6_source_mix,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {"op6_source_mix": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op4_dual_tree": exact_dual_tree.ORACLE, "op6_source_mix": mixing.ORACLE}
