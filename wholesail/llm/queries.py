@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import exact_dual_tree, mixing, near_cross_polytope, near_order_minhash, pii_feistel, quality_pu, sentencepiece_rounds
+from . import exact_dual_tree, mixing, near_cross_polytope, near_order_minhash, pii_feistel, quality_pu, sentencepiece_rounds, token_attribution, url_link_trust
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_rounds.encode(table(configure(spark), sf_dir, "documents"), digest=True)
 
 
+def op8_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_link_trust.judge(table(configure(spark), sf_dir, "pages"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_attribution.attribute(table(configure(spark), sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(configure(spark), sf_dir, "documents")
     return quality_pu.score(docs, quality_pu.train(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +58,12 @@ QUERIES: dict[str, Query] = {
     "op5_order_minhash": op5_order_minhash,
     "op6_source_mix": op6_source_mix,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_url_trust": op8_url_trust,
+    "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {"op4_dual_tree": exact_dual_tree.ORACLE, "op6_source_mix": mixing.ORACLE}
+ORACLE: dict[str, str] = {
+    "op4_dual_tree": exact_dual_tree.ORACLE,
+    "op6_source_mix": mixing.ORACLE,
+    "op8_url_trust": url_link_trust.ORACLE,
+}
