@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import exact_dual_tree, mixing, near_cross_polytope, near_order_minhash, pii_feistel, quality_pu, sentencepiece_rounds, token_attribution, url_link_trust
+from . import exact_dual_tree, mixing, near_cross_polytope, near_order_minhash, pii_feistel, quality_pu, sentencepiece_rounds, token_attribution, toxicity_chain, url_link_trust
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_cross_polytope.links(table(configure(spark), sf_dir, "embeddings"))
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(configure(spark), sf_dir, "documents")
+    return toxicity_chain.score(docs, toxicity_chain.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dual_tree.search(table(configure(spark), sf_dir, "embeddings"))
 
@@ -54,6 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_cross_polytope": op2_cross_polytope,
+    "op3_toxicity_chain": op3_toxicity_chain,
     "op4_dual_tree": op4_dual_tree,
     "op5_order_minhash": op5_order_minhash,
     "op6_source_mix": op6_source_mix,
