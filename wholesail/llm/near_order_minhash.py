@@ -3,15 +3,18 @@
 A document is its sequence of five-word shingles; the i-th occurrence of a shingle is labelled i, so repeats
 count.  Each of ``SKETCHES`` hash orders picks the ``PICK`` smallest labelled shingles and keeps them in
 text order; two texts agree on a sketch with a chance that falls with their edit distance, also when
-the same shingles stand in another order.  Texts that agree on a sketch meet in a bucket; pairs that agree on
-``AGREE`` or more sketches and whose lengths allow the similarity are candidates.  A candidate pair is
-aligned (longest common subsequence of shingles inside a band as wide as the similarity leaves) and linked
-if ``c / (n + m - c) >= 0.8``, c being the aligned shingles.
+the same shingles stand in another order.  Texts that agree on a sketch meet in a bucket.  Pairs that meet are
+candidates if their lengths and a signature of ``BINS`` bins (smallest labelled shingle of each hash range)
+allow the similarity; the margin is ``SIGMAS`` standard errors of the signature.  A candidate pair is aligned
+(longest common subsequence of shingles inside a band as wide as the similarity leaves) and linked if
+``c / (n + m - c) >= 0.8``, c being the aligned shingles.
 
 How the work stays in proportion: exact copies are one class before anything else.  Inside a bucket rows are
 assigned to star centres, so a first pass sends at most one pair per row and bucket to the alignment.
-A second pass sends the pairs of a bucket whose members are still in different components, so no
-candidate link between them is lost.  Buckets above ``BLOCK`` rows are cut into pairs of blocks.
+A second pass settles the candidates that are still in different components: the rows that have such a candidate
+are gathered by connected candidates, in blocks, and aligned there unless meanwhile connected, so no
+list of pairs is built and no candidate link between components is lost.  Only the rows outside a gathering's
+largest component meet all others; buckets and gatherings of any size are cut into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, stored, whole_groups
+from .common import slices, stored, whole_groups
 from .components import connected_components
 
 WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 PICK = 3
-AGREE = 2
-BLOCK = 8192
+BINS = 256
+SIGMAS = 4.5
+BLOCK = 4096
 STAR = 512
+GATHER = 512
 NAMELESS = 1 << 62  # ids from here on stand for texts whose rows have no id
 
 _Q = np.uint64(0x9E3779B97F4A7C15)
@@ -84,14 +89,8 @@ def shingles(text: str | None) -> np.ndarray:
     return out
 
 
-def sketch(sh: np.ndarray) -> np.ndarray:
-    """``SKETCHES`` 32-bit sketches of a shingle sequence (not empty)."""
-    by = np.argsort(sh, kind="stable")
-    run = sh[by]
-    head = np.r_[True, run[1:] != run[:-1]]
-    seen = np.arange(len(sh)) - np.maximum.accumulate(np.where(head, np.arange(len(sh)), 0))
-    label = np.empty(len(sh), dtype=np.uint64)
-    label[by] = _mix(run + seen.astype(np.uint64) * _A)
+def sketch(sh: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """``SKETCHES`` 32-bit sketches of a shingle sequence (not empty) with its labelled hashes."""
     order = _mix(label[None, :] ^ _SEEDS[:, None])
     k = min(PICK, len(sh))
     at = np.argpartition(order, k - 1, axis=1)[:, :k] if len(sh) > k else np.broadcast_to(np.arange(k), (SKETCHES, k))
@@ -102,6 +101,36 @@ def sketch(sh: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _labelled(sh: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles with their occurrence number."""
+    by = np.argsort(sh, kind="stable")
+    run = sh[by]
+    head = np.r_[True, run[1:] != run[:-1]]
+    seen = np.arange(len(sh)) - np.maximum.accumulate(np.where(head, np.arange(len(sh)), 0))
+    label = np.empty(len(sh), dtype=np.uint64)
+    label[by] = _mix(run + seen.astype(np.uint64) * _A)
+    return label
+
+
+def signature(label: np.ndarray) -> bytes:
+    """One byte for each of ``BINS`` hash ranges: a digest of its smallest labelled shingle, 0 if it has none."""
+    run = np.sort(label)
+    bins = (run >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]])
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[bins[first]] = (_mix(run[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
+def _candidates(sig: np.ndarray, n: np.ndarray, head: int, tail: np.ndarray, least: float) -> np.ndarray:
+    """Which of the rows ``tail`` lengths and signatures allow to be ``least`` similar to row ``head``."""
+    one, many = sig[head], sig[tail]
+    same = ((many == one) & (one > 0)).sum(1)
+    either = ((many > 0) | (one > 0)).sum(1)
+    near = same / either >= least - SIGMAS * np.sqrt(least * (1 - least) / either)
+    return near & (np.minimum(n[tail], n[head]) >= least * np.maximum(n[tail], n[head]))
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Aligned shingles over all shingles, of two shingle sequences; exact where it is ``least`` or more, else
     some value below ``least``.  Only matches inside the band that ``least`` allows are aligned."""
@@ -151,22 +180,28 @@ def _copy(sh: np.ndarray) -> str | None:
 
 # -- stages ------------------------------------------------------------------------------------
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, copy`` (hash of the shingle-relevant text, 32 hex digits), ``n`` shingles, ``sk`` for each row."""
+    """``doc_id, copy`` (hash of the shingle-relevant text, 32 hex digits), ``n`` shingles, sketches ``sk``,
+    signature ``sig`` for each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            copy, n, sk = [], [], []
+            copy, n, sk, sig = [], [], [], []
             for t in part.column("text").to_pylist():
                 sh = shingles(t)
+                label = _labelled(sh)
                 n.append(len(sh))
                 copy.append(_copy(sh))
-                sk.append(sketch(sh) if len(sh) else None)
+                sk.append(sketch(sh, label) if len(sh) else None)
+                sig.append(signature(label) if len(sh) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(copy, pa.string()), pa.array(n, pa.int32()), pa.array(sk, pa.list_(pa.int32()))],
-                ["doc_id", "copy", "n", "sk"],
+                [
+                    part.column("doc_id"), pa.array(copy, pa.string()), pa.array(n, pa.int32()),
+                    pa.array(sk, pa.list_(pa.int32())), pa.array(sig, pa.binary()),
+                ],
+                ["doc_id", "copy", "n", "sk", "sig"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, copy string, n int, sk array<int>")
+    return rows.mapInArrow(run, "doc_id long, copy string, n int, sk array<int>, sig binary")
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
@@ -180,51 +215,142 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     met = each.join(sizes, ["band", "value"]).withColumn("own", own)
     met = met.select("id", "band", "value", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     key = F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other"))
-    return met.select("id", key.alias("key")).join(nodes, "id")
+    return met.select("id", key.alias("key")).join(nodes.drop("sk", "copy"), "id")
+
+
+def _signatures(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
 
 
-def _pairs(nodes: DataFrame, star: bool) -> DataFrame:
-    """Candidate pairs ``(a, b)``, a < b.  ``star``: each row with the centre it is assigned to, one pair per
-    row and bucket at most; else all pairs whose ``component`` differs."""
-    columns = ["id", "n", "sk", "key"] + ([] if star else ["component"])
+def _stars(nodes: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs ``(a, b)``, a < b: in each bucket every row with the centre it is assigned to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "key"):
-            key = t.column("key").to_numpy()
-            ids = t.column("id").to_numpy()
-            n = t.column("n").to_numpy().astype(np.float64)
-            sk = t.column("sk").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
-            comp = None if star else t.column("component").to_numpy()
+            key, ids = t.column("key").to_numpy(), t.column("id").to_numpy()
+            n, sig = t.column("n").to_numpy().astype(np.float64), _signatures(t)
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             a, b = [], []
             for lo, hi in zip(cut.tolist(), np.r_[cut[1:], len(key)].tolist(), strict=True):
                 rest = lo + np.argsort(ids[lo:hi], kind="stable")
-                heads = len(rest)
-                if comp is not None:
-                    # of two rows in different components one is outside the largest: only those lead
-                    names, sizes = np.unique(comp[rest], return_counts=True)
-                    large = comp[rest] == names[sizes.argmax()]
-                    rest = np.concatenate([rest[~large], rest[large]])
-                    heads = int((~large).sum())
-                while len(rest) > 1 and heads > 0:
-                    heads -= 1
+                while len(rest) > 1:
                     head, tail = rest[0], rest[1:]
-                    near = (sk[tail] == sk[head]).sum(1) >= AGREE
-                    near &= np.minimum(n[tail], n[head]) >= SIMILARITY * np.maximum(n[tail], n[head])
-                    if comp is not None:
-                        near &= comp[tail] != comp[head]
+                    near = _candidates(sig, n, head, tail, least)
                     met = tail[near & (ids[tail] != ids[head])]
-                    if len(met):
-                        a.append(np.minimum(ids[met], ids[head]))
-                        b.append(np.maximum(ids[met], ids[head]))
-                    rest = tail[~near] if star else tail
-            if a:
+                    a.append(np.full(len(met), ids[head]))
+                    b.append(ids[met])
+                    rest = tail[~near]
+            if a and sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    rows = _blocks(nodes).select(*columns).repartition("key").sortWithinPartitions("key")
+    rows = _blocks(nodes).select("id", "n", "sig", "key").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("seen")).select("a", "b")
 
 
+def _open(nodes: DataFrame, least: float) -> DataFrame:
+    """Edges ``(a, b)`` that connect all candidates that meet in a bucket but lie in different components: per
+    bucket one edge for each row that has such a candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "key"):
+            key, ids, comp = (t.column(k).to_numpy() for k in ("key", "id", "component"))
+            n, sig = t.column("n").to_numpy().astype(np.float64), _signatures(t)
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            a, b = [], []
+            for lo, hi in zip(cut.tolist(), np.r_[cut[1:], len(key)].tolist(), strict=True):
+                # of two rows in different components one is outside the largest: only those lead
+                names, back, sizes = np.unique(comp[lo:hi], return_inverse=True, return_counts=True)
+                if len(names) < 2:
+                    continue
+                large = back == sizes.argmax()
+                rest = lo + np.r_[np.flatnonzero(~large), np.flatnonzero(large)]
+                root = np.arange(len(rest))
+                for k in range(int((~large).sum())):
+                    tail = rest[k + 1 :]
+                    near = _candidates(sig, n, rest[k], tail, least) & (comp[tail] != comp[rest[k]]) & (ids[tail] != ids[rest[k]])
+                    if near.any():
+                        with_ = np.unique(root[np.r_[k, k + 1 + np.flatnonzero(near)]])
+                        root[np.isin(root, with_)] = with_[0]
+                moved = np.flatnonzero(root != np.arange(len(rest)))
+                a.append(ids[rest[moved]])
+                b.append(ids[rest[root[moved]]])
+            if a and sum(map(len, a)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    rows = _blocks(nodes).select("id", "n", "sig", "component", "key").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _settled(nodes: DataFrame, gathered: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Verified links ``(a, b)`` that connect the components of ``nodes(id, n, sig, component)`` inside each gathering
+    of ``gathered(node, component)``."""
+    rows = nodes.join(gathered.select(F.col("node").alias("id"), F.col("component").alias("gathering")), "id")
+    sizes = rows.groupBy("gathering", "component").agg(F.count("*").alias("rows"))
+    largest = sizes.groupBy("gathering").agg(
+        F.max_by("component", F.struct("rows", "component")).alias("largest"), F.max("rows").alias("inside"), F.sum("rows").alias("all")
+    )
+    chunks = lambda c: F.greatest(F.lit(1), F.ceil(c / GATHER).cast("int"))
+    light, heavy = chunks(F.col("all") - F.col("inside")), chunks(F.col("inside"))
+    cut = rows.join(largest, "gathering").withColumn("light", F.col("component") != F.col("largest"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("light"), light).otherwise(heavy)).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), c - 1)
+    # a light chunk meets the light and the heavy chunks, heavy ones do not meet each other
+    met = F.transform(upto(light), lambda o: F.when(F.col("light"), F.struct(
+        F.lit("l").alias("kind"), F.least("own", o).alias("x"), F.greatest("own", o).alias("y"), (F.col("own") > o).cast("int").alias("side")
+    )).otherwise(F.struct(F.lit("h").alias("kind"), o.alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"))))
+    also = F.when(F.col("light"), F.transform(upto(heavy), lambda o: F.struct(
+        F.lit("h").alias("kind"), F.col("own").alias("x"), o.alias("y"), F.lit(0).alias("side")
+    ))).otherwise(F.array().cast("array<struct<kind:string,x:int,y:int,side:int>>"))
+    placed = cut.select("id", "n", "sig", "component", "gathering", F.explode(F.concat(met, also)).alias("at"))
+    key = F.xxhash64("gathering", "at.kind", "at.x", "at.y").alias("key")
+    cross = ((F.col("at.kind") == "h") | (F.col("at.x") != F.col("at.y"))).alias("cross")
+    placed = placed.select("id", "n", "sig", "component", key, F.col("at.side").alias("side"), cross)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "key"):
+            key, ids, comp, side = (t.column(k).to_numpy() for k in ("key", "id", "component", "side"))
+            cross = t.column("cross").to_numpy().astype(bool)
+            n, sig, text = t.column("n").to_numpy().astype(np.float64), _signatures(t), t.column("text")
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            a, b = [], []
+            for lo, hi in zip(cut.tolist(), np.r_[cut[1:], len(key)].tolist(), strict=True):
+                if (comp[lo:hi] == comp[lo]).all():
+                    continue
+                made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+                def words(i: int) -> tuple[np.ndarray, np.ndarray]:
+                    if i not in made:
+                        sh = shingles(text[i].as_py())
+                        made[i] = (sh, np.sort(_labelled(sh)))
+                    return made[i]
+
+                root = np.unique(comp[lo:hi], return_inverse=True)[1]
+                order = lo + np.argsort(side[lo:hi], kind="stable")
+                for k, i in enumerate(order.tolist()):
+                    if cross[i] and side[i]:
+                        break
+                    tail = order[k + 1 :]
+                    tail = tail[(root[tail - lo] != root[i - lo]) & (ids[tail] != ids[i])]
+                    if cross[i]:
+                        tail = tail[side[tail] == 1]
+                    if not len(tail):
+                        continue
+                    for j in tail[_candidates(sig, n, i, tail, least)].tolist():
+                        if root[i - lo] == root[j - lo]:
+                            continue
+                        (x, lx), (y, ly) = words(i), words(j)
+                        c = (ly[np.minimum(np.searchsorted(ly, lx), len(ly) - 1)] == lx).sum()
+                        if c >= least * (len(x) + len(y) - c) and similarity(x, y, least) >= least:
+                            a.append(ids[i])
+                            b.append(ids[j])
+                            root[root == root[j - lo]] = root[i - lo]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    full = placed.join(texts, "id").select("id", "n", "sig", "component", "key", "side", "cross", "text")
+    return full.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts align to ``least`` or more.  ``texts(id, text)``.  The text of a centre goes once
     to each group of up to ``STAR`` partners, not once to each pair."""
@@ -281,14 +407,14 @@ def _grouped(docs: DataFrame, least: float) -> DataFrame:
     signed = stored(sketches(docs), "order-minhash")
     made_up = F.lit(NAMELESS) + F.conv(F.substring("copy", 1, 15), 16, 10).cast("long")
     classes = stored(
-        signed.filter("n > 0").groupBy("copy").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sk").alias("sk"))
-        .select("copy", F.coalesce("least_id", made_up).alias("id"), "n", "sk"),
+        signed.filter("n > 0").groupBy("copy").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("sig").alias("sig"))
+        .select("copy", F.coalesce("least_id", made_up).alias("id"), "n", "sk", "sig"),
         "order-minhash-classes",
     )
     texts = _distinct_text(docs, signed, classes)
-    stars = connected_components(_verified(_pairs(classes, star=True), texts, least))
+    stars = connected_components(_verified(_stars(classes, least), texts, least))
     named = classes.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = _verified(checkpointed(_pairs(named, star=False)), texts, least)
+    rest = _settled(named.select("id", "n", "sig", "component"), connected_components(_open(named, least)), texts, least)
     linked = connected_components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(rest))
     of_copy = classes.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("group_id", F.coalesce("component", "id"))
     of_copy = of_copy.select("copy", F.when(F.col("group_id") < NAMELESS, F.col("group_id")).alias("group_id"))
