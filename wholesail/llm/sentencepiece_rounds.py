@@ -32,7 +32,7 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 NONE = np.int64(2**62)
 LONG_WORD = 4096
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 
 class Vocabulary:
@@ -81,24 +81,31 @@ class Vocabulary:
         ]
         self.out_array = np.array(self.out, dtype=object)
         self.is_control = np.array([sp.is_control(i) for i in range(n)])
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
+        self.of_point = -1 - np.arange(0x110000, dtype=np.int32)
+        for p, i in self.normal.items():
+            if len(p) == 1:
+                self.of_point[ord(p)] = i
 
     # -- symbols -------------------------------------------------------------------------------
-    def symbols(self, word: str) -> list[int]:
-        """Ids of single characters; a character outside the vocabulary is -1 - code point (it never merges)."""
-        get = self.normal.get
-        return [get(c, -1 - ord(c)) for c in word]
-
-    def finish(self, ids: np.ndarray) -> np.ndarray:
-        if not len(ids) or ids.min() >= 0:
-            return ids.astype(np.int32)
-        flat: list[int] = []
-        for i in ids.tolist():
-            if i >= 0:
-                flat.append(i)
-            else:
-                flat.extend(self.byte_id[b] for b in chr(-1 - i).encode())
-        return np.array(flat, dtype=np.int32)
+    def symbols(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``symbols, sizes``: ids of the characters of all words in one array, and the characters of each word.  A
+        character outside the vocabulary is -1 - code point; it never merges."""
+        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        return self.of_point[points].astype(np.int64), sizes
+
+    def finish(self, ids: np.ndarray) -> bytes:
+        """The ids of one word as 32-bit integers, characters outside the vocabulary as their bytes' ids."""
+        if ids.min(initial=0) < 0:
+            flat: list[int] = []
+            for i in ids.tolist():
+                if i >= 0:
+                    flat.append(i)
+                else:
+                    flat.extend(self.byte_id[b] for b in chr(-1 - i).encode())
+            ids = np.array(flat)
+        return ids.astype(np.int32).tobytes()
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Id of the piece that each adjacent pair makes, or -1."""
@@ -107,62 +114,67 @@ class Vocabulary:
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], -1)
 
     # -- merging -------------------------------------------------------------------------------
-    def merge_words(self, words: Sequence[str]) -> list[np.ndarray]:
-        """Piece ids of each word, by merge rounds over all words at once."""
-        rows = [self.symbols(w) for w in words]
-        out: list[np.ndarray | None] = [None] * len(words)
-        short = []
-        for k, r in enumerate(rows):
-            if len(r) > LONG_WORD:
-                out[k] = self.finish(np.array(self.merge_long(r), dtype=np.int64))
-            else:
-                short.append(k)
-        sym = np.array([s for k in short for s in rows[k]], dtype=np.int64)
-        seg = np.repeat(np.array(short, dtype=np.int64), [len(rows[k]) for k in short])
+    def merge_words(self, words: Sequence[str]) -> list[bytes]:
+        """Piece ids (32-bit integers) of each word, by merge rounds over all words at once."""
+        out = [b""] * len(words)
+        every, sizes = self.symbols(words)
+        seg = np.repeat(np.arange(len(words)), sizes)
+        for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[k] = self.finish(np.array(self.merge_long(every[seg == k].tolist()), dtype=np.int64))
+        if (sizes > LONG_WORD).any():
+            short = sizes[seg] <= LONG_WORD
+            every, seg = every[short], seg[short]
+        sym = every
+        made = np.full(len(sym), -1, dtype=np.int64)  # made[i]: what symbols i and i + 1 make
+        if len(sym) > 1:
+            made[:-1] = np.where(seg[:-1] == seg[1:], self.lookup(sym[:-1], sym[1:]), -1)
         done_seg, done_sym = [], []
         while len(sym):
-            made = np.full(len(sym), -1, dtype=np.int64)  # made[i]: what symbols i and i+1 make
-            if len(sym) > 1:
-                made[:-1] = np.where(seg[:-1] == seg[1:], self.lookup(sym[:-1], sym[1:]), -1)
             rank = np.where(made >= 0, self.rank[made], NONE)
             first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            sizes = np.diff(np.r_[first, len(seg)])
-            best = np.repeat(np.minimum.reduceat(rank, first), sizes)
-            open_ = best < NONE
-            if not open_.all():  # words without a pair are finished: compact them away
+            count = np.diff(np.r_[first, len(seg)])
+            best = np.minimum.reduceat(rank, first)
+            if (best == NONE).any():  # words without a pair are finished: compact them away
+                open_ = np.repeat(best < NONE, count)
                 done_seg.append(seg[~open_])
                 done_sym.append(sym[~open_])
-                sym, seg, made, rank, best = sym[open_], seg[open_], made[open_], rank[open_], best[open_]
+                sym, seg, made, rank = sym[open_], seg[open_], made[open_], rank[open_]
+                count = count[best < NONE]
+                best = best[best < NONE]
                 if not len(sym):
                     break
-            hit = rank == best
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(rank == np.repeat(best, count))
             # position inside a chain of overlapping occurrences: every second one is merged, from the left
-            fresh = np.r_[True, (np.diff(at) > 1) | (seg[at[1:]] != seg[at[:-1]])]
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-            take = (np.arange(len(at)) - start) % 2 == 0
-            new_word = np.r_[True, seg[at[1:]] != seg[at[:-1]]]
-            take &= self.settled[made[at]] | new_word
-            # a piece of the same rank but other parts that overlaps or is not settled waits for the leftmost
-            unsettled = np.zeros(len(at), dtype=bool)
+            word = seg[at]
+            new_word = np.r_[True, word[1:] != word[:-1]]
+            fresh = new_word | np.r_[True, np.diff(at) > 1]
+            place = np.arange(len(at))
+            take = (place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0
+            # where a piece that is not settled is among the occurrences, only the leftmost of the word goes
             heads = np.flatnonzero(new_word)
-            any_unsettled = np.logical_or.reduceat(~self.settled[made[at]], heads)
-            unsettled = np.repeat(any_unsettled, np.diff(np.r_[heads, len(at)]))
-            take = np.where(unsettled, new_word, take)
+            waits = np.logical_or.reduceat(~self.settled[made[at]], heads)
+            take = np.where(np.repeat(waits, np.diff(np.r_[heads, len(at)])), new_word, take)
             at = at[take]
             sym[at] = made[at]
             keep = np.ones(len(sym), dtype=bool)
             keep[at + 1] = False
-            sym, seg = sym[keep], seg[keep]
+            sym, seg, made = sym[keep], seg[keep], made[keep]
+            now = at - np.arange(len(at))  # where the merged symbols stand after compaction
+            again = np.r_[now, now[now > 0] - 1]
+            right = np.minimum(again + 1, len(sym) - 1)
+            pair = (again + 1 < len(sym)) & (seg[again] == seg[right])
+            made[again] = np.where(pair, self.lookup(sym[again], sym[right]), -1)
         if done_seg:
             dseg, dsym = np.concatenate(done_seg), np.concatenate(done_sym)
             by = np.argsort(dseg, kind="stable")
             dseg, dsym = dseg[by], dsym[by]
             cut = np.flatnonzero(np.r_[True, dseg[1:] != dseg[:-1]])
-            for k, ids in zip(dseg[cut], np.split(dsym, cut[1:]), strict=True):
-                out[k] = self.finish(ids)
-        empty = np.zeros(0, dtype=np.int32)
-        return [empty if o is None else o for o in out]
+            end = np.r_[cut[1:], len(dseg)]
+            raw = dsym.astype(np.int32).tobytes()
+            odd = set(dseg[dsym < 0].tolist())
+            for k, x, y in zip(dseg[cut].tolist(), cut.tolist(), end.tolist(), strict=True):
+                out[k] = self.finish(dsym[x:y]) if k in odd else raw[4 * x : 4 * y]
+        return out
 
     def merge_long(self, sym: list[int]) -> list[int]:
         """The same merges for one very long word, in heap order (rank, position)."""
@@ -202,11 +214,11 @@ class Vocabulary:
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = list({w for ws in cut for w in ws})
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
             cache.update(zip(part, self.merge_words(part), strict=True))
-        empty = np.zeros(0, dtype=np.int32)
-        return [np.concatenate([cache[w] for w in ws]) if ws else empty for ws in cut]
+        get = cache.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), dtype=np.int32) for ws in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: bytes of the pieces, one leading space (the added prefix) dropped, invalid UTF-8
