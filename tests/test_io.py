@@ -23,8 +23,8 @@ def test_write_read_load_dir(spark):
     assert empty.count() == 0 and empty.schema == df.schema
     with pytest.raises(FileNotFoundError):
         read_table(spark, f"{d}/missing.parquet")
-    assert best_source("a", d, "/nowhere") == f"{d}/a.parquet"
-    assert best_source("zz", d, "/sample") == "/sample/zz.parquet"
+    assert best_source(spark, "a", d, "/nowhere") == f"{d}/a.parquet"
+    assert best_source(spark, "zz", d, "/sample") == "/sample/zz.parquet"
 
 
 def test_bulk_keyed_load(spark):

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wholesail.operators.sampling import ranked
+from wholesail.operators.sampling import exact_n, ranked
 from wholesail.operators.stats import exact_quantiles
-from wholesail.operators.windows import cumulative_at, global_rank, running_sum
+from wholesail.operators.windows import cumulative_at, global_rank, running_sum, running_sums
 
 DAY = 86_400_000_000
 
@@ -67,3 +67,35 @@ def test_hash_rank_within_groups(spark, events):
     plain = df.withColumn("rn", F.row_number().over(w))
     j = r.join(plain.select("id", "rn"), "id")
     assert j.filter(F.col("_rank") != F.col("rn")).count() == 0
+
+
+def test_null_keys_keep_their_running_state(spark):
+    rows = [(None, 0, 10.0), (None, 1, 5.0), ("a", 0, 1.0), ("a", 3, 2.0)]
+    df = spark.createDataFrame(rows, "key string, day int, v double").withColumn("ts", F.timestamp_micros(F.col("day") * DAY))
+    want = [(None, 0, 10.0), (None, 1, 15.0), ("a", 0, 1.0), ("a", 3, 3.0)]
+    one = running_sum(df, "key", ["ts"], "v").select("key", "day", "running_sum")
+    many = running_sums(df, "key", ["ts"], {"s": "v"}).select("key", "day", "s")
+    for out in (one, many):
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    probes = df.withColumn("t", F.unix_micros("ts"))
+    got = {(r["day"], r["key"]): r["_cnt"] for r in probes.join(cumulative_at(
+        df, probes.withColumn("pid", F.struct("key", "day")), "key", "ts", F.col("t"), "pid").select("pid", "_cnt"),
+        F.struct("key", "day").eqNullSafe(F.col("pid"))).collect()}
+    assert got == {(0, None): 1, (1, None): 2, (0, "a"): 1, (3, "a"): 2}
+
+
+def test_ranked_keeps_null_groups_and_null_keys(spark):
+    rows = [(f"o{i}" if i % 7 else None, None if i % 4 == 0 else "web") for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, channel string")
+    out = ranked(df, "id", 1, ["channel"]).collect()
+    assert len(out) == 20
+    for c in (None, "web"):
+        assert sorted(r["_rank"] for r in out if r["channel"] == c) == list(range(1, 1 + sum(r[1] == c for r in rows)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 599, 600, 1000])
+def test_exact_n_takes_the_first_by_hash(spark, events, n):
+    df, rows = events
+    want = {r["id"] for r in ranked(df, "id", 5).filter(F.col("_rank") <= n).collect()}
+    got = [r["id"] for r in exact_n(df, n, "id", 5).collect()]
+    assert len(got) == min(n, len(rows)) and set(got) == want

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS_PER_DAY, MICROS_PER_HOUR
+from .joins import null_safe_join
 from .windows import cumulative_at, running_sums
 
 # Fixed values (fraud engine / monitor configuration)
@@ -22,16 +23,6 @@ RISK_TIERS = [(0.3, 0.95), (0.7, 0.70)]
 RISK_TIER_ELSE = 0.40
 
 
-def trailing_count(orders: DataFrame, key: str, ts: str, oid: str, window_us: int, include_current: bool,
-                   bucket_us: int = MICROS_PER_DAY) -> DataFrame:
-    """Per order, the key's orders in [t − W, t] (or [t − W, t) without the current time)."""
-    hi = F.unix_micros(F.col(ts)) - (0 if include_current else 1)
-    lo = F.unix_micros(F.col(ts)) - F.lit(window_us) - 1
-    a = cumulative_at(orders, orders, key, ts, hi, oid, bucket_us=bucket_us).withColumnRenamed("_cnt", "_a")
-    b = cumulative_at(orders, orders, key, ts, lo, oid, bucket_us=bucket_us).withColumnRenamed("_cnt", "_z")
-    return a.select(oid, "_a").join(b.select(oid, "_z"), oid).select(oid, (F.col("_a") - F.col("_z")).alias("n"))
-
-
 def previous_n_mean(orders: DataFrame, key: str, ts: str, oid: str, value: str, n: int = HISTORY_ORDERS) -> DataFrame:
     """Mean of the key's previous ``n`` orders (0 without history).
 
@@ -40,25 +31,13 @@ def previous_n_mean(orders: DataFrame, key: str, ts: str, oid: str, value: str,
     d = orders.select(key, ts, oid, F.col(value).cast("decimal(20,2)").alias("_v"), F.lit(1).alias("_one"))
     d = running_sums(d, key, [ts, oid], {"_seq": "_one", "_S": "_v"})
     back = d.select(key, (F.col("_seq") + n + 1).alias("_seq"), F.col("_S").alias("_Sback"))  # S(r − n − 1)
-    j = d.join(back, [key, "_seq"], "left")
+    j = null_safe_join(d, back, [key, "_seq"], "left")
     prev_sum = (F.col("_S") - F.col("_v")) - F.coalesce(F.col("_Sback"), F.lit(0))
     cnt = F.least(F.col("_seq") - 1, F.lit(n))
     mean = F.when(cnt > 0, prev_sum.cast("double") / cnt).otherwise(F.lit(0.0))
     return j.select(oid, mean.alias("avg_prev"), F.col("_seq").alias("order_seq"))
 
 
-def trailing_mean(orders: DataFrame, key: str, ts: str, oid: str, value: str, window_us: int) -> DataFrame:
-    """L2 (true time window): mean over the key's orders in [t − W, t), 0 without any."""
-    v = F.col(value).cast("decimal(20,2)")
-    hi = F.unix_micros(F.col(ts)) - 1
-    lo = F.unix_micros(F.col(ts)) - F.lit(window_us) - 1
-    a = cumulative_at(orders, orders, key, ts, hi, oid, value=v).select(oid, F.col("_cnt").alias("_ca"), F.col("_sum").alias("_sa"))
-    b = cumulative_at(orders, orders, key, ts, lo, oid, value=v).select(oid, F.col("_cnt").alias("_cb"), F.col("_sum").alias("_sb"))
-    j = a.join(b, oid)
-    c = F.col("_ca") - F.col("_cb")
-    return j.select(oid, F.when(c > 0, (F.col("_sa") - F.col("_sb")).cast("double") / c).otherwise(F.lit(0.0)).alias("mean"))
-
-
 def fraud_score(count_24h: Column, value: Column, avg_90: Column, risk: Column,
                 velocity_threshold: int = VELOCITY_THRESHOLD, multiplier: float = AMOUNT_MULTIPLIER) -> Column:
     """L3: velocity and amount-spike signals plus profile risk, capped at 1."""
@@ -80,14 +59,13 @@ def order_features(orders: DataFrame, customers: DataFrame) -> DataFrame:
     o = orders.select("order_id", "customer_id", "created_at", "total_value")
     t = F.unix_micros("created_at")
     probes = o.select("customer_id", F.explode(F.array(
-        F.struct(F.concat("order_id", F.lit("|a")).alias("pid"), (t - 1).alias("at")),
-        F.struct(F.concat("order_id", F.lit("|b")).alias("pid"), (t - F.lit(24 * MICROS_PER_HOUR) - 1).alias("at")),
-        F.struct(F.concat("order_id", F.lit("|c")).alias("pid"), (t - F.lit(90 * MICROS_PER_DAY) - 1).alias("at")),
+        F.struct(F.struct("order_id", F.lit("a").alias("tag")).alias("pid"), (t - 1).alias("at")),
+        F.struct(F.struct("order_id", F.lit("b").alias("tag")).alias("pid"), (t - F.lit(24 * MICROS_PER_HOUR) - 1).alias("at")),
+        F.struct(F.struct("order_id", F.lit("c").alias("tag")).alias("pid"), (t - F.lit(90 * MICROS_PER_DAY) - 1).alias("at")),
     )).alias("p")).select("customer_id", "p.pid", "p.at")
     c = cumulative_at(o, probes, "customer_id", "created_at", F.col("at"), "pid",
                       value=F.col("total_value").cast("decimal(20,2)"))
-    c = c.select(F.substring_index("pid", "|", 1).alias("order_id"), F.substring_index("pid", "|", -1).alias("tag"),
-                 "_cnt", "_sum")
+    c = c.select("pid.order_id", "pid.tag", "_cnt", "_sum")
 
     def pick(tag, col):
         return F.max(F.when(F.col("tag") == tag, F.col(col)))

@@ -9,6 +9,7 @@ it at runtime from exact shuffle statistics.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,14 @@ def dim_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str
     return fact.join(broadcast_if_small(dim, limit), on, how)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null (``using`` joins lose such rows)."""
+    own = {k: f"_right_{k}" for k in keys}
+    r = right.select(*[F.col(c).alias(own.get(c, c)) for c in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(own[k])) for k in keys])
+    return left.join(r, on, how).drop(*own.values())
+
+
 def semi(df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs in the parent (left semi: null keys never match)."""
     return df.join(parent.select(key), key, "left_semi")

@@ -6,12 +6,17 @@ partitions are pruned) and decodes the payload once with the registry schema.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import map_values, month_end_midnight, whole_days
 from ..sources.eventlog import LIFECYCLE_TYPES, ORDER_STATUS_TYPES, read_events, typed
+from ..session import checkpoint_dir, configure
+from ..sources import files
+from .joins import null_safe_join
 from .stats import bin_by_breaks, exact_quantiles_multi
 from .windows import latest_by, running_sum
 
@@ -177,8 +182,6 @@ def rfm_scores(log: DataFrame) -> DataFrame:
 
     The customer × month table feeds the quantile pass and the labelling; it is checkpointed
     once (shared checkpoint folder) so the order events are scanned and decoded once."""
-    from ..session import checkpoint_dir
-
     checkpoint_dir(log.sparkSession)
     m = rfm_monthly(log).checkpoint(eager=True)
     q = exact_quantiles_multi(m, ["recency_days", "frequency", "monetary"], QUINTILE_BREAKS)  # one row
@@ -261,21 +264,39 @@ def project_all(log: DataFrame, out_dir: str | None = None) -> dict[str, DataFra
     return out
 
 
-def stored_projections(spark, sf_dir: str) -> dict[str, DataFrame]:
-    """C14 as storage: every projection of the stored log written once (parquet, ``_SUCCESS``-
-    guarded, next to the log in the shared checkpoint folder) and read back — what downstream
-    consumers such as the sampler read, as the reference's sampler reads projected tables."""
-    from ..sources.logstore import _exists, log_path, stored_log
+class StoredProjections(Mapping):
+    """C14 as storage: the projections of the stored log, each written once when it is first asked for
+    (parquet, ``_SUCCESS``-guarded, next to the log in the shared checkpoint folder) and read back — what downstream
+    consumers such as the sampler read, as the reference's sampler reads projected tables.  Asking for one table
+    opens that table only; its schema is looked up once per process."""
 
-    log = stored_log(spark, sf_dir)
-    base = log_path(spark, sf_dir) + "-tables"
-    out = {}
-    for name, fn in PROJECTIONS.items():
-        path = f"{base}/{name}.parquet"
-        if not _exists(spark, f"{path}/_SUCCESS"):
-            fn(log).write.mode("overwrite").parquet(path)
-        out[name] = spark.read.parquet(path)
-    return out
+    _schemas: dict[str, T.StructType] = {}
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        from ..sources.logstore import log_path
+
+        self.spark, self.sf_dir = spark, sf_dir
+        self.base = log_path(spark, sf_dir) + "-tables"
+
+    def __getitem__(self, name: str) -> DataFrame:
+        make, path = PROJECTIONS[name], f"{self.base}/{name}.parquet"
+        if path not in self._schemas:
+            if not files.exists(self.spark, f"{path}/_SUCCESS"):
+                from ..sources.logstore import stored_log
+
+                make(stored_log(self.spark, self.sf_dir)).write.mode("overwrite").parquet(path)
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
+
+    def __iter__(self):
+        return iter(PROJECTIONS)
+
+    def __len__(self) -> int:
+        return len(PROJECTIONS)
+
+
+def stored_projections(spark: SparkSession, sf_dir: str) -> StoredProjections:
+    return StoredProjections(configure(spark), sf_dir)
 
 
 def rfm_trailing(orders: DataFrame, lookback_days: int) -> DataFrame:
@@ -294,19 +315,19 @@ def rfm_trailing(orders: DataFrame, lookback_days: int) -> DataFrame:
     probes = monthly.select("customer_id", "month", F.explode(F.array(
         F.struct(F.lit("hi").alias("tag"), (nxt - 1).alias("at")),
         F.struct(F.lit("lo").alias("tag"), (nxt - F.lit(lookback_days * MICROS_PER_DAY) - 1).alias("at")),
-    )).alias("p")).select("customer_id", F.concat_ws("|", "customer_id", F.col("month").cast("string"), "p.tag")
-                          .alias("pid"), "p.at")
+    )).alias("p")).select("customer_id", F.struct("customer_id", "month", "p.tag").alias("pid"), "p.at")
     c = cumulative_at(o, probes, "customer_id", "created_at", F.col("at"), "pid",
                       value=F.col("total_value").cast("decimal(20,2)"))
-    c = c.select(F.substring_index("pid", "|", 2).alias("k"), F.substring_index("pid", "|", -1).alias("tag"),
-                 "_cnt", "_sum")
-    w = c.groupBy("k").agg(
+    c = c.select("pid.customer_id", "pid.month", "pid.tag", "_cnt", "_sum")
+    w = c.groupBy("customer_id", "month").agg(
         (F.max(F.when(F.col("tag") == "hi", F.col("_cnt"))) - F.max(F.when(F.col("tag") == "lo", F.col("_cnt"))))
         .alias("frequency"),
         (F.max(F.when(F.col("tag") == "hi", F.col("_sum"))) - F.max(F.when(F.col("tag") == "lo", F.col("_sum"))))
         .cast("double").alias("monetary"))
-    m = monthly.withColumn("k", F.concat_ws("|", "customer_id", F.col("month").cast("string"))).join(w, "k").drop("k")
+    m = null_safe_join(monthly, w, ["customer_id", "month"])
     m = m.withColumn("recency_days", whole_days(month_end_midnight("month"), "last_order_date"))
+    checkpoint_dir(m.sparkSession)
+    m = m.checkpoint(eager=True)  # read by the quantiles and by the labels
     q = exact_quantiles_multi(m, ["recency_days", "frequency", "monetary"], QUINTILE_BREAKS)  # one row
     return m.crossJoin(F.broadcast(q)).select(
         "customer_id", "month", "last_order_date", "frequency", "monetary", "recency_days",

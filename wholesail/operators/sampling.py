@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import null_safe_join
+
 TIMESTAMP_PRIORITY = ["timestamp", "created_at", "month", "last_order_date"]  # T21
 
 
@@ -72,6 +74,10 @@ class SamplerConfig:
         return self
 
 
+HASH_PREFIX = 3  # hex digits: 4096 parts of each group
+EXACT_PREFIX = 4
+
+
 # --- hash order and distributed ranks -------------------------------------------------------
 def hash_key(key: Column, seed: int) -> Column:
     """md5 of ``seed|key`` (hex) — the same string in Spark and DuckDB."""
@@ -79,20 +85,32 @@ def hash_key(key: Column, seed: int) -> Column:
 
 
 def ranked(df: DataFrame, key: str, seed: int, groups: Sequence[str] = (), out: str = "_rank") -> DataFrame:
-    """1-based rank of each row by (md5(seed|key), key) within ``groups`` — skew-safe."""
+    """1-based rank of each row by (md5(seed|key), key) within ``groups`` — skew-safe: each group is ranked in
+    ``16 ** HASH_PREFIX`` parts.  Null groups are groups, null keys come first."""
     g = list(groups)
-    d = df.withColumn("_h", hash_key(F.col(key), seed)).withColumn("_hb", F.substring("_h", 1, 2))
+    d = df.withColumn("_h", F.coalesce(hash_key(F.col(key), seed), F.lit(""))).withColumn("_hb", F.substring("_h", 1, HASH_PREFIX))
     per = d.groupBy(*g, "_hb").agg(F.count(F.lit(1)).alias("_bc"))
     w_off = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("_hb").rowsBetween(
         Window.unboundedPreceding, -1)
-    offs = per.withColumn("_off", F.coalesce(F.sum("_bc").over(w_off), F.lit(0))).drop("_bc")  # ≤256 rows per group
+    offs = per.withColumn("_off", F.coalesce(F.sum("_bc").over(w_off), F.lit(0))).drop("_bc")  # one row per group and prefix
     w = Window.partitionBy(*g, "_hb").orderBy("_h", key)
-    return d.join(offs, [*g, "_hb"]).withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_h", "_hb", "_off")
+    return null_safe_join(d, offs, [*g, "_hb"]).withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_h", "_hb", "_off")
 
 
 def exact_n(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """Exactly ``min(n, len)`` rows, chosen by hash order (no ``sample()``, no ``rand``)."""
-    return ranked(df, key, seed).filter(F.col("_rank") <= n).drop("_rank")
+    """Exactly ``min(n, len)`` rows, chosen by hash order (no ``sample()``, no ``rand``).
+
+    Rows are counted per hash prefix; prefixes that fit whole are kept by a filter, and only the one prefix in
+    which the n-th row falls is sorted."""
+    d = df.withColumn("_h", F.coalesce(hash_key(F.col(key), seed), F.lit(""))).withColumn("_hb", F.substring("_h", 1, EXACT_PREFIX))
+    upto = Window.orderBy("_hb").rowsBetween(Window.unboundedPreceding, 0)  # one row per prefix
+    cut = d.groupBy("_hb").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(upto))
+    edge = cut.filter(F.col("_upto") - F.col("_c") < n).agg(
+        F.max("_hb").alias("_edge"), F.max_by(F.lit(n) - F.col("_upto") + F.col("_c"), "_hb").alias("_room"))
+    d = d.crossJoin(F.broadcast(edge)).filter(F.col("_hb") <= F.col("_edge"))  # a one-row bound
+    last = d.filter(F.col("_hb") == F.col("_edge")).withColumn("_r", F.row_number().over(Window.partitionBy("_hb").orderBy("_h", key)))
+    kept = d.filter(F.col("_hb") < F.col("_edge")).unionByName(last.filter(F.col("_r") <= F.col("_room")).drop("_r"))
+    return kept.drop("_h", "_hb", "_edge", "_room")
 
 
 # --- phases -----------------------------------------------------------------------------------
@@ -102,7 +120,7 @@ def resolve_anchor(df: DataFrame, anchor: str) -> DataFrame:
         for c in ("created_at", "timestamp"):
             if c in df.columns:
                 return df.agg(F.max(c).alias("anchor_dt"))
-        raise ValueError("cannot resolve 'latest' anchor — no created_at/timestamp column")
+        raise ValueError("the anchor 'latest' needs a column created_at or timestamp")
     return df.sparkSession.range(1).select(F.to_timestamp(F.lit(anchor)).alias("anchor_dt"))
 
 
@@ -141,17 +159,6 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: str, seed: int)
     return r.withColumn("_split", (F.col("_rank") % 2).cast("int")).drop("_rank", *[c for c in cols if c.startswith("_strat_")])
 
 
-def target_rows(df: DataFrame, n: int, tolerance: float, key: str, seed: int) -> DataFrame:
-    """Inside ±tolerance keep all; below → error; above → exactly n by hash order."""
-    lo, hi = int(n * (1 - tolerance)), int(n * (1 + tolerance))
-    size = df.count()
-    if lo <= size <= hi:
-        return df
-    if size < lo:
-        raise ValueError(f"split has {size:,} rows, below minimum {lo:,} (target={n:,} ±{tolerance:.0%})")
-    return exact_n(df, n, key, seed)
-
-
 def cap_sizes(counts: dict[str, int], total_records: int) -> dict[str, int]:
     """G7 arithmetic: ratio = cap/total; n = max(1, int(len·ratio)) for tables above n."""
     total = sum(counts.values())

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import null_safe_join
+
 
 def running_sum(
     df: DataFrame,
@@ -35,7 +37,7 @@ def running_sum(
     totals = d.groupBy(key, "_bkt").agg(F.sum(value).alias("_tot"))
     prior = Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.sum("_tot").over(prior)).drop("_tot")
-    res = d.join(offsets, [key, "_bkt"], "left")
+    res = null_safe_join(d, offsets, [key, "_bkt"], "left")
     running = F.when(F.col("_within").isNull() & F.col("_off").isNull(), F.lit(None)).otherwise(
         F.coalesce(F.col("_off"), F.lit(0)) + F.coalesce(F.col("_within"), F.lit(0))
     )
@@ -96,16 +98,18 @@ def cumulative_at(
     lookups (``C(t) − C(t − W)``), so a range window never needs one task per key: events and
     probes are unioned, counted inside (key, time-bucket) partitions with a RANGE frame, and
     offset by prefix totals over the key's buckets (one row per touched bucket).
+    ``probe_id`` may be of any type (a struct keeps compound ids apart); a null key is a key of its own.
     Returns ``probe_id, _cnt, _sum``.
     """
     v = value if value is not None else F.lit(0)
+    id_type = probes.schema[probe_id].dataType
     ev = events.select(
         F.col(key), F.unix_micros(F.col(event_ts)).alias("_t"), F.lit(1).alias("_isev"),
-        v.cast("decimal(38,2)").alias("_v"), F.lit(None).cast("string").alias("_pid"),
+        v.cast("decimal(38,2)").alias("_v"), F.lit(None).cast(id_type).alias("_pid"),
     )
     pr = probes.select(
         F.col(key), probe_at.cast("long").alias("_t"), F.lit(0).alias("_isev"),
-        F.lit(None).cast("decimal(38,2)").alias("_v"), F.col(probe_id).cast("string").alias("_pid"),
+        F.lit(None).cast("decimal(38,2)").alias("_v"), F.col(probe_id).alias("_pid"),
     )
     base = ev.unionByName(pr).withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
     w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -113,7 +117,7 @@ def cumulative_at(
     tot = base.groupBy(key, "_b").agg(F.sum("_isev").alias("_bc"), F.sum("_v").alias("_bs"))
     prior = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(key, "_b", F.sum("_bc").over(prior).alias("_oc"), F.sum("_bs").over(prior).alias("_os"))
-    res = u.filter(F.col("_isev") == 0).join(offs, [key, "_b"], "left")
+    res = null_safe_join(u.filter(F.col("_isev") == 0), offs, [key, "_b"], "left")
     return res.select(
         F.col("_pid").alias(probe_id),
         (F.coalesce("_oc", F.lit(0)) + F.coalesce("_c", F.lit(0))).cast("long").alias("_cnt"),
@@ -121,11 +125,6 @@ def cumulative_at(
     )
 
 
-def sequence_number(df: DataFrame, key: str, order_cols: Sequence[str], out: str = "_seq") -> DataFrame:
-    """1-based position of each row within its key (skew-safe running count)."""
-    return running_sum(df.withColumn("_one", F.lit(1)), key, order_cols, "_one", out=out).drop("_one")
-
-
 def running_sums(df: DataFrame, key: str, order_cols: Sequence[str], values: dict[str, str],
                  bucket: Column | None = None) -> DataFrame:
     """Several running sums in one pass ({output: value column}); same plan shape as ``running_sum``."""
@@ -137,7 +136,7 @@ def running_sums(df: DataFrame, key: str, order_cols: Sequence[str], values: dic
     totals = d.groupBy(key, "_bkt").agg(*[F.sum(v).alias(f"_t_{out}") for out, v in values.items()])
     prior = Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(key, "_bkt", *[F.sum(f"_t_{out}").over(prior).alias(f"_o_{out}") for out in values])
-    res = d.join(offsets, [key, "_bkt"], "left")
+    res = null_safe_join(d, offsets, [key, "_bkt"], "left")
     for out in values:
         w_, o_ = F.col(f"_w_{out}"), F.col(f"_o_{out}")
         res = res.withColumn(out, F.when(w_.isNull() & o_.isNull(), F.lit(None)).otherwise(

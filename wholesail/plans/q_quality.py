@@ -136,7 +136,6 @@ FROM invoices_t i JOIN (SELECT invoice_id, CAST(sum(CAST(amount AS DECIMAL(20, 2
                         FROM payments_t WHERE status = 'paid' GROUP BY invoice_id) p ON i.invoice_id = p.invoice_id""",
     "ledger_t", "cust", "orders_t", "lifecycle_t", "stockouts_t", "invoices_t", "payments_t"), "H13")
 def q_business_rules(spark, d):
-    log = log_of(spark, d)
     return H.business_rule_violations(
         tables_of(spark, d)["credit_ledger"], tables_of(spark, d)["customers"], tables_of(spark, d)["customer_history"], tables_of(spark, d)["orders"], tables_of(spark, d)["stockout_events"],
         tables_of(spark, d)["payments"], tables_of(spark, d)["invoices"])
@@ -171,7 +170,6 @@ UNION ALL SELECT 'stock<0', count(*) FILTER (WHERE estimated_on_hand < 0) FROM i
 UNION ALL SELECT 'amount<0', count(*) FILTER (WHERE amount < 0) FROM payments_t""",
     "orders_t", "payments_t", "invoices_t", "inventory_t"), "H16")
 def q_impossible(spark, d):
-    log = log_of(spark, d)
     return H.impossible_values(tables_of(spark, d)["orders"], tables_of(spark, d)["payments"], tables_of(spark, d)["invoices"], tables_of(spark, d)["inventory_snapshot"])
 
 
@@ -180,7 +178,6 @@ SELECT count(*) FILTER (WHERE p.timestamp < i.timestamp) AS violations
 FROM invoices_t i JOIN payments_t p ON i.invoice_id = p.invoice_id WHERE p.status = 'paid'""",
     "invoices_t", "payments_t"), "H17")
 def q_paid_before(spark, d):
-    log = log_of(spark, d)
     return H.paid_before_invoiced(tables_of(spark, d)["invoices"], tables_of(spark, d)["payments"])
 
 

@@ -63,7 +63,6 @@ FROM feat_o o JOIN feat_vel v ON o.order_id = v.order_id JOIN feat_prev p ON o.o
 JOIN feat_m90 m ON o.order_id = m.order_id LEFT JOIN cust c ON o.customer_id = c.customer_id""",
     "feat_o", "feat_vel", "feat_prev", "feat_m90", "cust"), "L1 L2 L3 F3 F4 T10")
 def q_fraud_features(spark, d):
-    log = log_of(spark, d)
     return L.order_features(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"])
 
 
@@ -79,7 +78,6 @@ FROM (SELECT o.customer_id,
       FROM orders_t o, (SELECT unnest([0, 1, 2, 3]) AS k) k GROUP BY 1, 2) w
 LEFT JOIN cust c ON w.customer_id = c.customer_id""", "orders_t", "cust"), "L4 M6")
 def q_fraud_windows(spark, d):
-    log = log_of(spark, d)
     return L.fraud_windows(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"])
 
 

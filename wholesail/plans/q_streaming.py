@@ -34,7 +34,7 @@ def q_stream_decisions(spark, d):
     base = scratch(spark, "decisions")
     SD.write_change_records(SD.change_records(enriched(spark, d)), f"{base}/source", files=4)
     SD.run_decisions(spark, f"{base}/source", f"{base}/out", f"{base}/_checkpoint")
-    return spark.read.parquet(f"{base}/out/actions").drop("batch_id")
+    return spark.read.parquet(f"{base}/out/actions").drop("batch_id", "actioned_at")
 
 
 @query("stream_event_metrics", sql(f"""
@@ -75,7 +75,6 @@ WHERE (churn_ts IS NULL OR timestamp <= churn_ts)
   AND (NOT final OR timestamp < (SELECT max(created_at) FROM ord) - INTERVAL 1 DAY)""", "lcs_cand", "ord"),
     "M8 L10")
 def q_stream_lifecycle(spark, d):
-    log = log_of(spark, d)
     o = tables_of(spark, d)["orders"].select("customer_id", F.col("created_at").alias("ts"), "channel", F.lit("order").alias("kind"))
     c = tables_of(spark, d)["customers"].select("customer_id", F.col("created_at").alias("ts"),
                                 F.lit(None).cast("string").alias("channel"), F.lit("created").alias("kind"))

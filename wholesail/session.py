@@ -41,16 +41,15 @@ def local_session(cores: int | str = "*", app: str = "wholesail", shuffle_partit
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names (``spark.checkpoint.dir``); a scratch
-    folder is created only when the session has none, as in tests."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 — no driver-side context (e.g. a remote session)
-        sc = None
-    d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
+    """The shared checkpoint folder the cluster names (``spark.checkpoint.dir``).  Only a local session without
+    one gets a scratch folder, as in tests; on a cluster executors would not share it, so that raises."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="wholesail-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
-    if sc is not None and not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
+from . import files
 
 ENVELOPE = T.StructType(
     [
@@ -168,18 +169,23 @@ def event_count(log: DataFrame) -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("events"))
 
 
+def new_events(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
+    """Rows of ``new`` whose id is not in the log at ``path``, the earliest of each id; rows without an id stay."""
+    rows = new.select(*ENVELOPE_COLS)
+    first = F.min_by(F.struct(*ENVELOPE_COLS), F.struct("timestamp", "event_type", "aggregate_id", "payload"))
+    named = rows.filter("event_id is not null").groupBy("event_id").agg(first.alias("_e")).select("_e.*")
+    if files.has_data(spark, path):
+        named = named.join(spark.read.schema(ENVELOPE).parquet(path).select("event_id"), "event_id", "left_anti")
+    return named.select(*ENVELOPE_COLS).unionByName(rows.filter("event_id is null"))
+
+
 def append_events(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
     """A3: insert-or-ignore on ``event_id`` — first write wins, within the batch and against the log.
 
     The batch is de-duplicated by id, rows whose id already exists are dropped with a
     left-anti join, and the rest appended (partitioned by event_type).  Returns the rows written.
     """
-    batch = new.select(*ENVELOPE_COLS).dropDuplicates(["event_id"])
-    try:
-        existing = spark.read.parquet(path).select("event_id")
-        batch = batch.join(existing, "event_id", "left_anti")
-    except Exception:  # no log yet
-        pass
+    batch = new_events(spark, new, path)
     # the batch reads the log it appends to: cut that lineage with a reliable checkpoint first
     checkpoint_dir(spark)
     ckpt = batch.checkpoint(eager=True)

@@ -11,44 +11,51 @@ log invisible: a lost job is simply redone.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import os
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir, configure
-from .eventlog import ENVELOPE_COLS
-from .tables import DRIVER_TABLES, Tables
+from . import files
+from .eventlog import ENVELOPE, ENVELOPE_COLS
+from .tables import Tables
 
-LOG_VERSION = "4"  # bump when adapter rules change
+LOG_VERSION = "5"
+#: What the log is derived from.
+SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+@lru_cache(maxsize=1)
+def _code() -> str:
+    """Fingerprint of the code that derives the log and the projections: other code makes another store."""
+    from ..operators import projections
+    from . import adapter, eventlog
 
+    h = hashlib.sha1()
+    for m in (adapter, eventlog, projections):
+        h.update(inspect.getsource(m).encode())
+    return h.hexdigest()
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        fs, p = _fs(spark, path)
-        return bool(fs.exists(p))
-    except Exception:  # noqa: BLE001 — no JVM handle: fall back to a local path check
-        return os.path.exists(path.replace("file:", "", 1))
 
+@lru_cache(maxsize=64)
+def _key_of(listing: tuple, where: str, code: str) -> str:
+    return hashlib.sha1(repr((LOG_VERSION, where, code, listing)).encode()).hexdigest()[:16]
 
-def _source_key(sf_dir: str) -> str:
-    h = hashlib.sha1(LOG_VERSION.encode())
-    h.update(os.path.abspath(sf_dir).encode())
-    for t in DRIVER_TABLES:
+
+def _source_key(spark: SparkSession, sf_dir: str) -> str:
+    """Changes with the length or the time of any part file of the source tables, and with the code."""
+    listing = []
+    for t in SOURCE_TABLES:
         p = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
-    return h.hexdigest()[:16]
+        if files.exists(spark, p):
+            listing.append((t, tuple((n.rsplit("/", 1)[-1], size, changed) for n, size, changed in files.files(spark, p))))
+    return _key_of(tuple(listing), files.qualified(spark, sf_dir), _code())
 
 
 def log_path(spark: SparkSession, sf_dir: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/wholesail-log-{_source_key(sf_dir)}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/wholesail-log-{_source_key(spark, sf_dir)}"
 
 
 def write_log(log: DataFrame, path: str) -> None:
@@ -59,8 +66,8 @@ def write_log(log: DataFrame, path: str) -> None:
 def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     path = log_path(spark, sf_dir)
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if not files.exists(spark, f"{path}/_SUCCESS"):
         from .adapter import event_log
 
         write_log(event_log(Tables(spark, sf_dir), materialise_lines=True), path)
-    return spark.read.parquet(path).select(*ENVELOPE_COLS)
+    return spark.read.schema(ENVELOPE).parquet(path).select(*ENVELOPE_COLS)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
+from . import files
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -68,30 +69,26 @@ def write_table(df: DataFrame, path: str, partition_by: Iterable[str] = (), comp
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Read a projected table; an absent table is an empty frame with the contract schema."""
-    if os.path.exists(path):
+    if files.exists(spark, path):
         return to_utc(spark.read.parquet(path))
     if schema is None:
         raise FileNotFoundError(path)
     return spark.createDataFrame([], schema)
 
 
-def table_exists(path: str) -> bool:
-    return os.path.exists(path)
-
-
 def load_dir(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Every ``<name>.parquet`` (file or folder) under ``path`` → {name: DataFrame}."""
     out = {}
-    for entry in sorted(os.listdir(path)):
+    for entry in files.names(spark, path):
         if entry.endswith(".parquet"):
             out[entry[: -len(".parquet")]] = to_utc(spark.read.parquet(os.path.join(path, entry)))
     return out
 
 
-def best_source(name: str, full_dir: str, sample_dir: str) -> str:
+def best_source(spark: SparkSession, name: str, full_dir: str, sample_dir: str) -> str:
     """Prefer the full table, else the sample."""
     full = os.path.join(full_dir, f"{name}.parquet")
-    return full if os.path.exists(full) else os.path.join(sample_dir, f"{name}.parquet")
+    return full if files.exists(spark, full) else os.path.join(sample_dir, f"{name}.parquet")
 
 
 def bulk_keyed_load(df: DataFrame, path: str, key: str, limit: int | None = None) -> int:

@@ -5,18 +5,20 @@ arriving as parquet files; ``maxFilesPerTrigger`` sets the micro-batch size (M1)
 
 Each micro-batch (``foreachBatch``) runs the same column functions as the batch path:
 skip rules (J9) → score (J2–J6) → upsert decisions if absent (A11) → route + audit (J7–J8) →
-upsert actions if absent → per-batch summary (J10).  Rows whose amount cannot be parsed go to
-a quarantine table (M4).  Every write is keyed and anti-joined against its target, so a
-replayed batch (after a failure, or the same files read again) adds nothing (M3).
+upsert actions if absent → per-batch summary (J10).  Records whose amount is no number go to
+a quarantine table and are not decided (M4).  Decisions and actions are keyed and anti-joined
+against their targets, quarantine and summary are keyed by batch, and actions are derived from the
+stored decisions: a batch repeated after a failure at any point ends in the same tables (M3).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.decision import audit, route, score
+from ..sources import files
 
 IMAGE = T.StructType([
     T.StructField("order_id", T.StringType()),
@@ -39,7 +41,8 @@ SENTINELS = ("", "None", "nan", "null")
 
 def clean(c):
     """Sentinel strings are absent values."""
-    return F.when(F.col(c).isin(*SENTINELS), F.lit(None)).otherwise(F.col(c))
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isin(*SENTINELS), F.lit(None)).otherwise(c)
 
 
 def change_records(enriched: DataFrame) -> DataFrame:
@@ -62,61 +65,76 @@ def write_change_records(records: DataFrame, path: str, files: int) -> None:
     write_time_sliced(records, path, "approximate_ts", files)
 
 
-def upsert_if_absent(spark: SparkSession, batch: DataFrame, path: str, key: str) -> DataFrame:
-    """Keep the first row per key in the batch, drop keys already in the target, append.
+def upsert_if_absent(spark: SparkSession, batch: DataFrame, path: str, key: str, first_by: str) -> DataFrame:
+    """Keep the first row per key in the batch (smallest ``first_by``), drop keys already in the target,
+    append.  Rows without a key are not written.
 
     Returns the rows actually written (read back from a checkpoint, not recomputed)."""
-    b = batch.dropDuplicates([key])
-    try:
-        existing = spark.read.parquet(path).select(key)
-        b = b.join(existing, key, "left_anti")
-    except Exception:  # noqa: BLE001 — first write: no target yet
-        pass
-    b = b.checkpoint(eager=True)
+    cols = batch.columns
+    first = F.min_by(F.struct(*cols), F.struct(first_by, F.xxhash64(*[F.col(c).cast("string") for c in cols])))
+    b = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(first.alias("_r")).select("_r.*")
+    if files.has_data(spark, path):
+        b = b.join(spark.read.parquet(path).select(key), key, "left_anti")
+    b = b.select(*cols).checkpoint(eager=True)
     b.write.mode("append").parquet(path)
     return b
 
 
+def record_id() -> Column:
+    """The one rule for a record's order: the image's id, else the record's own."""
+    return F.coalesce(clean(F.col("new_image")["order_id"]), clean(F.col("order_id")))
+
+
 def skip_reasons(batch: DataFrame) -> DataFrame:
     """A ``skip_reason`` per record (null = to be processed)."""
     img = F.col("new_image")
     return batch.withColumn(
         "skip_reason",
-        F.when(~F.col("event_name").isin(*ACCEPTED_EVENTS), "wrong_event")
+        F.when(~F.coalesce(F.col("event_name").isin(*ACCEPTED_EVENTS), F.lit(False)), "wrong_event")
         .when(img.isNull(), "no_image")
-        .when(F.coalesce(img["order_id"], F.col("order_id")).isNull(), "no_order_id"),
+        .when(record_id().isNull(), "no_order_id"),
+    )
+
+
+def typed_orders(batch: DataFrame) -> DataFrame:
+    """The records to be processed, typed; ``malformed`` marks an amount that is there but is no number."""
+    img = F.col("new_image")
+    text = lambda c: clean(img[c])
+    amount = text("total_amount").try_cast("double")
+    return skip_reasons(batch).filter(F.col("skip_reason").isNull()).select(
+        record_id().alias("order_id"), text("customer_id").alias("customer_id"), text("customer_segment").alias("customer_segment"),
+        text("payment_method").alias("payment_method"), F.coalesce(amount, F.lit(0.0)).alias("total_amount"),
+        text("fraud_score").try_cast("double").alias("fraud_score"),
+        F.coalesce(text("avg_basket_90d").try_cast("double"), F.lit(0.0)).alias("avg_basket_90d"), "approximate_ts",
+        img["total_amount"].alias("raw_amount"), (text("total_amount").isNotNull() & amount.isNull()).alias("malformed"),
     )
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out: str,
                   zero_is_missing: bool = True) -> None:
+    """One micro-batch, safe to repeat at any point: decisions and actions are keyed; actions are derived from the
+    stored decisions of the batch's orders, so those whose first attempt failed between the two writes get theirs;
+    quarantine and summary belong to the batch and replace what an earlier attempt wrote."""
     base = out.rstrip("/")
-    b = skip_reasons(batch)
-    valid = b.filter(F.col("skip_reason").isNull()).select("approximate_ts", "new_image.*")
-    amount = clean("total_amount").try_cast("double")
-    malformed = valid.filter(clean("total_amount").isNotNull() & amount.isNull())
-    if malformed.take(1):
-        malformed.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{base}/quarantine")
-    rows = valid.select(
-        "order_id", "customer_id", "customer_segment", "payment_method",
-        # Numeric coercion with default 0 (malformed rows were quarantined above)
-        F.coalesce(amount, F.lit(0.0)).alias("total_amount"),
-        clean("fraud_score").try_cast("double").alias("fraud_score"),
-        F.coalesce(clean("avg_basket_90d").try_cast("double"), F.lit(0.0)).alias("avg_basket_90d"),
-        "approximate_ts",
-    )
-    decided = score(rows, zero_is_missing=zero_is_missing).withColumn("batch_id", F.lit(batch_id))
-    written = upsert_if_absent(spark, decided, f"{base}/decisions", "order_id")
-    actions = audit(route(written)).withColumn("batch_id", F.lit(batch_id))
-    upsert_if_absent(spark, actions, f"{base}/actions", "action_id")
-    # J10 summary: processed = newly decided, skipped = rule skips + already-decided replays
-    n_written = written.count()
-    counts = b.agg(F.count_if(F.col("skip_reason").isNotNull()).alias("skipped_rules"),
-                   F.count_if(F.col("skip_reason").isNull()).alias("valid")).first()
-    summary = spark.createDataFrame(
-        [(batch_id, int(n_written), int(counts["skipped_rules"]) + int(counts["valid"]) - int(n_written), 0)],
-        "batch_id long, processed long, skipped long, errors long")
-    summary.write.mode("append").parquet(f"{base}/summaries")
+    rows = typed_orders(batch)
+    bad = rows.filter("malformed").select("order_id", "customer_id", "raw_amount", "approximate_ts")
+    bad = bad.withColumn("event_id", F.sha1(F.concat_ws("|", "order_id", "raw_amount", "approximate_ts"))).dropDuplicates(["event_id"])
+    bad = bad.checkpoint(eager=True)
+    errors = bad.count()
+    if errors:
+        bad.write.mode("overwrite").parquet(f"{base}/quarantine/batch_id={batch_id}")
+    # decision_at (J6) is the record's own time, so that a replay decides the same
+    good = rows.filter(~F.col("malformed")).drop("malformed", "raw_amount").withColumnRenamed("approximate_ts", "decision_at")
+    decided = score(good, zero_is_missing=zero_is_missing).withColumn("batch_id", F.lit(batch_id))
+    written = upsert_if_absent(spark, decided, f"{base}/decisions", "order_id", "decision_at")
+    keys = good.filter("order_id is not null").select("order_id").distinct()
+    stored = spark.read.schema(decided.schema).parquet(f"{base}/decisions").join(keys, "order_id", "left_semi")
+    actions = audit(route(stored), actioned_at=F.col("decision_at")).withColumn("batch_id", F.lit(batch_id))
+    upsert_if_absent(spark, actions, f"{base}/actions", "action_id", "actioned_at")
+    # J10 summary: processed = newly decided, errors = quarantined, skipped = rule skips and repeats
+    n_written, n = written.count(), batch.count()
+    summary = spark.createDataFrame([(n_written, n - n_written - errors, errors)], "processed long, skipped long, errors long")
+    summary.coalesce(1).write.mode("overwrite").parquet(f"{base}/summaries/batch_id={batch_id}")
 
 
 def run_decisions(spark: SparkSession, source: str, out: str, checkpoint: str, files_per_trigger: int = 1,

@@ -11,17 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.eventlog import ENVELOPE, ENVELOPE_COLS
+from ..sources.eventlog import ENVELOPE, append_events
 
 
 def _append_new(spark: SparkSession, batch: DataFrame, log_path: str) -> None:
-    b = batch.select(*ENVELOPE_COLS).dropDuplicates(["event_id"])
-    try:
-        b = b.join(spark.read.parquet(log_path).select("event_id"), "event_id", "left_anti")
-    except Exception:  # noqa: BLE001 — empty log
-        pass
-    b = b.checkpoint(eager=True)
-    b.write.mode("append").partitionBy("event_type").parquet(log_path)
+    append_events(spark, batch, log_path)
 
 
 def run_ingest(spark: SparkSession, source: str, log_path: str, checkpoint: str, horizon: str = "2 days",
