@@ -56,14 +56,16 @@ def credit_check(orders: DataFrame, releases: DataFrame, customers: DataFrame) -
 
 
 def dunning(invoices: DataFrame, payments: DataFrame, writeoffs: DataFrame, as_of: DataFrame) -> DataFrame:
-    """Per invoice — failed attempts, paid / collection / written-off stage, days overdue at
+    """Per invoice issued by ``as_of`` — failed attempts so far, paid / collection / written-off stage, days overdue at
     ``as_of`` (one-row frame) and the ageing bucket."""
-    p = payments.groupBy("invoice_id").agg(
+    seen = payments.crossJoin(F.broadcast(as_of)).filter(F.col("timestamp") <= F.col("as_of"))  # one row
+    p = seen.groupBy("invoice_id").agg(
         F.count_if(F.col("status") == "failed").alias("failed_attempts"),
         F.min(F.when(F.col("status") == "paid", F.col("timestamp"))).alias("paid_at"))
     w = writeoffs.groupBy("invoice_id").agg(F.min("timestamp").alias("written_off_at"))
     j = invoices.select("invoice_id", "customer_id", "amount", "due_date", F.col("timestamp").alias("invoiced_at")) \
-        .join(p, "invoice_id", "left").join(w, "invoice_id", "left").crossJoin(F.broadcast(as_of))  # one row
+        .join(p, "invoice_id", "left").join(w, "invoice_id", "left").crossJoin(F.broadcast(as_of)) \
+        .filter(F.col("invoiced_at") <= F.col("as_of"))
     fails = F.coalesce("failed_attempts", F.lit(0))
     paid = F.col("paid_at").isNotNull() & (F.col("paid_at") <= F.col("as_of"))
     wo = F.col("written_off_at").isNotNull() & (F.col("written_off_at") <= F.col("as_of"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS_PER_DAY, MICROS_PER_HOUR
@@ -13,6 +13,7 @@ from .windows import cumulative_at, running_sums
 VELOCITY_THRESHOLD = 3
 AMOUNT_MULTIPLIER = 5.0
 HIGH_RISK_THRESHOLD, REJECT_THRESHOLD = 0.8, 0.9
+REACTIVATION_DAYS = 30
 HISTORY_ORDERS = 90
 # Fixed values (ordering engine): base daily order rate by segment, month seasonality
 BASE_RATES = {"premium": 0.12, "regular": 0.07, "low_volume": 0.02, "new_30d": 0.15}
@@ -160,14 +161,17 @@ def session_windows(app_events: DataFrame, gap: str = "30 minutes") -> DataFrame
 def visit_gaps(visits: DataFrame, overdue_days: int = 30) -> DataFrame:
     """Days since the previous visit of the same rep to the same customer; overdue > 30 d.
 
-    ``lag`` runs per (rep, customer) pair; one pair's visits are a rep's calendar, not a data-sized group."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("rep_id", "customer_id").orderBy("timestamp", "event_id")
-    prev = F.lag("timestamp").over(w)
-    gap = (F.unix_micros("timestamp") - F.unix_micros(prev)) / F.lit(float(MICROS_PER_DAY))
-    return visits.select("event_id", "rep_id", "customer_id", "timestamp", "outcome", gap.alias("days_since_last"),
-                         (gap > overdue_days).alias("overdue"))
+    ``lag`` runs per (rep, customer, day); the first visit of a day looks back to the last one of the pair's
+    earlier days, of which there is one row each.  Null reps and customers are values of their own."""
+    pair = ["rep_id", "customer_id"]
+    v = visits.select("event_id", *pair, "timestamp", "outcome", F.date_trunc("day", "timestamp").alias("_day"))
+    last = v.groupBy(*pair, "_day").agg(F.max("timestamp").alias("_last"))
+    earlier = last.select(*pair, "_day", F.lag("_last").over(Window.partitionBy(*pair).orderBy("_day")).alias("_earlier"))
+    same_day = F.lag("timestamp").over(Window.partitionBy(*pair, "_day").orderBy("timestamp", "event_id"))
+    j = null_safe_join(v.withColumn("_same", same_day), earlier, [*pair, "_day"])
+    gap = (F.unix_micros("timestamp") - F.unix_micros(F.coalesce("_same", "_earlier"))) / F.lit(float(MICROS_PER_DAY))
+    return j.select("event_id", "rep_id", "customer_id", "timestamp", "outcome", gap.alias("days_since_last"),
+                    (gap > overdue_days).alias("overdue"))
 
 
 def visit_outcome_mix(visits: DataFrame, customers: DataFrame) -> DataFrame:
@@ -194,25 +198,37 @@ def channel_attribution(orders: DataFrame, visits: DataFrame, days: int = 7) ->
 
 
 def order_propensity(customers: DataFrame, orders: DataFrame, as_of: DataFrame, promo_segments: list[str] | None = None,
-                     visited_customers: DataFrame | None = None) -> DataFrame:
-    """logistic(base·recency·season + 0.2·promo + 0.3·visit) per customer at ``as_of``
-    (a one-row frame with column ``as_of``); the promotion boost needs a targeted segment."""
+                     visits: DataFrame | None = None, reactivations: DataFrame | None = None) -> DataFrame:
+    """logistic(base·recency·season + 0.2·promo + 0.3·visit) per customer at ``as_of`` (a one-row frame
+    with column ``as_of``).
+
+    recency is raised by half within 30 days of a reactivation (``reactivations(customer_id, timestamp)``); the
+    promotion boost needs a targeted segment, the visit boost a visit of the customer's own rep in the last
+    7 days (``visits(customer_id, rep_id, timestamp)``)."""
     last = orders.groupBy("customer_id").agg(F.max("created_at").alias("last_order"))
-    c = customers.select("customer_id", "segment").join(last, "customer_id", "left").crossJoin(F.broadcast(as_of))
+    c = customers.select("customer_id", "segment", "rep_id").join(last, "customer_id", "left").crossJoin(F.broadcast(as_of))
     days = (F.unix_micros("as_of") - F.unix_micros("last_order")) / F.lit(float(MICROS_PER_DAY))
     days = F.coalesce(days, F.lit(9999.0))
     recency = F.when(days < 7, 1.2).when(days > 60, 0.1).when(days > 30, 0.5).otherwise(1.0)
+
+    def recent(events: DataFrame, keys: list[str], n_days: int, flag: str) -> DataFrame:
+        at = events.crossJoin(F.broadcast(as_of)).filter(
+            (F.col("timestamp") <= F.col("as_of")) & (F.col("timestamp") >= F.col("as_of") - F.make_dt_interval(F.lit(n_days))))
+        return at.select(*keys).distinct().withColumn(flag, F.lit(True))
+
+    boosted = visited = F.lit(False)
+    if reactivations is not None:
+        c = c.join(recent(reactivations, ["customer_id"], REACTIVATION_DAYS, "_back"), "customer_id", "left")
+        boosted = F.coalesce("_back", F.lit(False))
+    if visits is not None:
+        c = c.join(recent(visits, ["customer_id", "rep_id"], 7, "_seen"), ["customer_id", "rep_id"], "left")
+        visited = F.coalesce("_seen", F.lit(False))
+    recency = F.when(boosted, recency * 1.5).otherwise(recency)
     base = F.coalesce(F.create_map(*[x for k, v in BASE_RATES.items() for x in (F.lit(k), F.lit(v))])[F.col("segment")],
                       F.lit(BASE_RATES["regular"]))
     season = F.create_map(*[x for k, v in SEASONALITY_BOOST.items() for x in (F.lit(k), F.lit(v))])[F.month("as_of")]
-    segs = promo_segments or []
-    promo = F.when(F.col("segment").isin(segs), 0.2).otherwise(0.0) if segs else F.lit(0.0)
-    if visited_customers is not None:
-        c = c.join(visited_customers.select("customer_id").distinct().withColumn("_v", F.lit(0.3)), "customer_id", "left")
-        visit = F.coalesce("_v", F.lit(0.0))
-    else:
-        visit = F.lit(0.0)
-    linear = base * recency * season + promo + visit
+    promo = F.when(F.col("segment").isin(promo_segments or []), 0.2).otherwise(0.0)
+    linear = base * recency * season + promo + F.when(visited, 0.3).otherwise(0.0)
     return c.select("customer_id", "segment", days.alias("days_since_order"),
                     (F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))).alias("p_order"))
 

@@ -257,11 +257,13 @@ def pay01_capture(balance: Column, payment: Column) -> Column:
 
 
 def business_rule_violations(ledger: DataFrame, customers: DataFrame, history: DataFrame, orders: DataFrame,
-                             stockouts: DataFrame, payments: DataFrame, invoices: DataFrame) -> DataFrame:
+                             stockouts: DataFrame, payments: DataFrame, invoices: DataFrame,
+                             promises: DataFrame) -> DataFrame:
     """H13 over the projected tables: (rule_id, checked, violations).
 
     CR-01 uses the balance before each debit (running balance − the debit);
-    CR-02 flags orders placed after the customer's churn event;
+    CR-02 flags orders placed after the customer's churn event; COLL-01 flags promises
+    (``promise_date``, ``timestamp``) to pay on a day before they were made;
     INV-01 checks stockouts; PAY-01 flags captures above the invoice's open balance."""
     debits = ledger.filter(F.col("transaction_type") == "debit").join(
         customers.select("customer_id", "credit_limit"), "customer_id", "left")
@@ -283,7 +285,10 @@ def business_rule_violations(ledger: DataFrame, customers: DataFrame, history: D
     pj = invoices.select("invoice_id", "amount").join(paid, "invoice_id")
     pay01 = pj.agg(F.lit("PAY-01").alias("rule_id"), F.count(F.lit(1)).alias("checked"),
                    F.count_if(pay01_capture(F.col("amount"), F.col("captured")) < F.col("captured")).alias("violations"))
-    return cr01.unionByName(cr02).unionByName(inv01).unionByName(pay01)
+    kept = coll01_promise(F.to_date("promise_date"), F.to_date("timestamp"))
+    coll01 = promises.agg(F.lit("COLL-01").alias("rule_id"), F.count(F.lit(1)).alias("checked"),
+                          F.count_if(~F.coalesce(kept, F.lit(False))).alias("violations"))
+    return cr01.unionByName(cr02).unionByName(inv01).unionByName(pay01).unionByName(coll01)
 
 
 # --- H14–H21: audit queries -----------------------------------------------------------------------

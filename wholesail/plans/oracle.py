@@ -18,7 +18,7 @@ def cte(name: str, body: str, deps: tuple[str, ...] = ()) -> None:
     _CTES[name] = (body.strip(), deps)
 
 
-def sql(body: str, *names: str) -> str:
+def sql(body: str, *names: str, recursive: bool = False) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -32,7 +32,7 @@ def sql(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return body.strip()
-    return "WITH " + ",\n".join(f"{n} AS (\n{_CTES[n][0]}\n)" for n in order) + "\n" + body.strip()
+    return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(f"{n} AS (\n{_CTES[n][0]}\n)" for n in order) + "\n" + body.strip()
 
 
 # --- domain -------------------------------------------------------------------------------
@@ -60,7 +60,8 @@ cte("ord", """
 SELECT o_orderkey AS orderkey, o_custkey AS custkey,
        concat('ORD-', o_orderkey) AS order_id,
        concat('C-', o_custkey) AS customer_id,
-       CAST(o_orderdate AS TIMESTAMP) + to_seconds(28800 + o_orderkey % 36000) AS created_at,
+       CASE WHEN o_custkey % 40 = 3 THEN TIMESTAMP '1999-03-15' ELSE CAST(o_orderdate AS TIMESTAMP) END
+         + to_seconds(28800 + o_orderkey % 36000) AS created_at,
        o_totalprice AS total_value,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'rep' WHEN '2' THEN 'app' WHEN '3' THEN 'direct'
             ELSE 'organic' END AS channel,
@@ -169,7 +170,7 @@ FROM part
 cte("stockouts_t", """
 SELECT sku_id, quantity AS requested_quantity, quantity - 46 AS available_quantity, order_id,
        ['cancel_line', 'cancel_line', 'cancel_line', 'cancel_line', 'cancel_line',
-        'substitute', 'substitute', 'substitute', 'backorder', 'backorder'][l_linenumber % 10 + 1] AS resolution,
+        'substitute', 'substitute', 'substitute', 'backorder', 'backorder'][(l_orderkey + l_linenumber) % 10 + 1] AS resolution,
        sku_id AS sku_id_agg, created_at AS timestamp
 FROM lines WHERE l_linestatus = 'O' AND quantity > 45
 """, ("lines",))
@@ -196,18 +197,18 @@ cte("visits_t", """
 SELECT concat('REP-', lpad(CAST(user_id % 25 AS VARCHAR), 2, '0')) AS rep_id,
        concat('C-', user_id) AS customer_id,
        ['no_order', 'small_order', 'large_order', 'reactivation'][event_id % 4 + 1] AS outcome,
-       CAST(ts AS TIMESTAMP) AS timestamp, concat('RV-', event_id) AS event_id
+       CAST(ts AS TIMESTAMP) - INTERVAL 8217 DAY AS timestamp, concat('RV-', event_id) AS event_id
 FROM events WHERE event_type = 'view'
 """)
 
 cte("app_t", """
 SELECT concat('C-', user_id) AS customer_id,
-       concat('S-', user_id, '-', strftime(ts, '%Y%m%d')) AS session_id,
+       concat('S-', user_id, '-', strftime(CAST(ts AS TIMESTAMP) - INTERVAL 8217 DAY, '%Y%m%d')) AS session_id,
        CASE event_type WHEN 'signup' THEN 'session_start' WHEN 'click' THEN 'screen_view'
             ELSE 'order_placed' END AS event_subtype,
        CAST(floor(value * 10) AS INTEGER) AS session_duration_seconds,
        event_type = 'purchase' AS led_to_order,
-       CAST(ts AS TIMESTAMP) AS timestamp, concat('AS-', event_id) AS event_id
+       CAST(ts AS TIMESTAMP) - INTERVAL 8217 DAY AS timestamp, concat('AS-', event_id) AS event_id
 FROM events WHERE event_type IN ('signup', 'click', 'purchase')
 """)
 

@@ -133,12 +133,16 @@ SELECT 'INV-01', count(*), count(*) FILTER (WHERE NOT (available_quantity >= req
 UNION ALL
 SELECT 'PAY-01', count(*), count(*) FILTER (WHERE least(i.amount, p.captured) < p.captured)
 FROM invoices_t i JOIN (SELECT invoice_id, CAST(sum(CAST(amount AS DECIMAL(20, 2))) AS DOUBLE) AS captured
-                        FROM payments_t WHERE status = 'paid' GROUP BY invoice_id) p ON i.invoice_id = p.invoice_id""",
-    "ledger_t", "cust", "orders_t", "lifecycle_t", "stockouts_t", "invoices_t", "payments_t"), "H13")
+                        FROM payments_t WHERE status = 'paid' GROUP BY invoice_id) p ON i.invoice_id = p.invoice_id
+UNION ALL
+SELECT 'COLL-01', count(*), count(*) FILTER (WHERE NOT coalesce(CAST(promise_date AS DATE) >= CAST(timestamp AS DATE), false))
+FROM promises_t""",
+    "promises_t", "ledger_t", "cust", "orders_t", "lifecycle_t", "stockouts_t", "invoices_t", "payments_t"), "H13")
 def q_business_rules(spark, d):
     return H.business_rule_violations(
         tables_of(spark, d)["credit_ledger"], tables_of(spark, d)["customers"], tables_of(spark, d)["customer_history"], tables_of(spark, d)["orders"], tables_of(spark, d)["stockout_events"],
-        tables_of(spark, d)["payments"], tables_of(spark, d)["invoices"])
+        tables_of(spark, d)["payments"], tables_of(spark, d)["invoices"],
+        typed(log_of(spark, d), "CollectionPromiseMade", ["promise_date"]))
 
 
 @query("duplicate_event_ids", sql("""

@@ -141,12 +141,16 @@ SELECT c.customer_id, c.segment,
        coalesce((epoch_us(a.as_of) - epoch_us(l.last_order)) / {float(D_US)}, 9999.0::DOUBLE) AS days,
        CASE c.segment WHEN 'premium' THEN 0.12::DOUBLE WHEN 'regular' THEN 0.07::DOUBLE
             WHEN 'low_volume' THEN 0.02::DOUBLE WHEN 'new_30d' THEN 0.15::DOUBLE ELSE 0.07::DOUBLE END AS base,
-       [0.85, 0.90, 1.20, 1.30, 1.00, 1.20, 1.40, 1.45, 1.30, 1.05, 0.95, 1.00][month(a.as_of)]::DOUBLE AS season
+       [0.85, 0.90, 1.20, 1.30, 1.00, 1.20, 1.40, 1.45, 1.30, 1.05, 0.95, 1.00][month(a.as_of)]::DOUBLE AS season,
+       EXISTS (SELECT 1 FROM visits_t v WHERE v.customer_id = c.customer_id AND v.rep_id = c.rep_id
+               AND v.timestamp <= a.as_of AND v.timestamp >= a.as_of - INTERVAL 7 DAY) AS visited,
+       EXISTS (SELECT 1 FROM lifecycle_t y WHERE y.customer_id = c.customer_id AND y.event_type = 'CustomerReactivated'
+               AND y.timestamp <= a.as_of AND y.timestamp >= a.as_of - INTERVAL 30 DAY) AS back
 FROM cust c
 LEFT JOIN (SELECT customer_id, max(created_at) AS last_order FROM orders_t GROUP BY customer_id) l
        ON c.customer_id = l.customer_id,
      (SELECT max(created_at) AS as_of FROM orders_t) a
-""", ("cust", "orders_t"))
+""", ("cust", "orders_t", "visits_t", "lifecycle_t"))
 
 
 @query("order_propensity", sql("""
@@ -154,16 +158,18 @@ SELECT customer_id, segment, days AS days_since_order,
        round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(base * CASE WHEN days < 7 THEN 1.2::DOUBLE
                                                              WHEN days > 60 THEN 0.1::DOUBLE
                                                              WHEN days > 30 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END
-                                                 * season + 0.0::DOUBLE + 0.0::DOUBLE))), 9) AS p_order
+                                                 * CASE WHEN back THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END * season
+                                                 + CASE WHEN segment = 'low_volume' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END
+                                                 + CASE WHEN visited THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END))), 9) AS p_order
 FROM prop_f""", "prop_f"), "L20")
 def q_propensity(spark, d):
     log = log_of(spark, d)
     o = tables_of(spark, d)["orders"]
     as_of = o.agg(F.max("created_at").alias("as_of"))
-    visits = typed(log, "RepVisitCompleted").crossJoin(F.broadcast(as_of)).filter(
-        (F.col("timestamp") <= F.col("as_of"))
-        & (F.col("timestamp") >= F.col("as_of") - F.make_dt_interval(F.lit(7))))
-    p = L.order_propensity(tables_of(spark, d)["customers"], o, as_of, promo_segments=[], visited_customers=visits)
+    visits = typed(log, "RepVisitCompleted", ["rep_id", "customer_id"])
+    back = tables_of(spark, d)["customer_history"].filter(F.col("event_type") == "CustomerReactivated")
+    p = L.order_propensity(tables_of(spark, d)["customers"], o, as_of, promo_segments=["low_volume"], visits=visits,
+                           reactivations=back)
     return p.select("customer_id", "segment", "days_since_order", F.round("p_order", 9).alias("p_order"))
 
 
@@ -260,7 +266,26 @@ def q_elastic(spark, d):
         F.sum(adj).cast("long").alias("adjusted_qty"))
 
 
-@query("stock_allocation", None, "L12")
+cte("alloc_ev", """
+SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY timestamp, k, ref, quantity) AS rn FROM (
+  SELECT sku_id, received_at AS timestamp, 'receipt' AS kind, purchase_order_id AS ref, quantity, 0 AS k FROM stock_po
+  UNION ALL SELECT sku_id, created_at, 'demand', order_id, quantity, 1 FROM lines)""", ("stock_po", "lines"))
+cte("alloc_walk", """
+SELECT sku_id, rn, timestamp, kind, ref, quantity, CASE WHEN kind = 'demand' THEN 0 >= quantity END AS reserved,
+       CAST(0 AS BIGINT) AS available_before,
+       CASE WHEN kind = 'receipt' THEN quantity WHEN 0 >= quantity THEN -quantity ELSE 0 END AS level_after
+FROM alloc_ev WHERE rn = 1
+UNION ALL
+SELECT e.sku_id, e.rn, e.timestamp, e.kind, e.ref, e.quantity,
+       CASE WHEN e.kind = 'demand' THEN w.level_after >= e.quantity END, w.level_after,
+       CASE WHEN e.kind = 'receipt' THEN w.level_after + e.quantity
+            WHEN w.level_after >= e.quantity THEN w.level_after - e.quantity ELSE w.level_after END
+FROM alloc_walk w JOIN alloc_ev e ON e.sku_id = w.sku_id AND e.rn = w.rn + 1""", ("alloc_ev",))
+
+
+@query("stock_allocation", sql("""
+SELECT sku_id, timestamp, kind, ref, quantity, reserved, available_before, CAST(level_after AS BIGINT) AS level_after
+FROM alloc_walk""", "alloc_walk", recursive=True), "L12")
 def q_allocation(spark, d):
     log = log_of(spark, d)
     receipts = typed(log, "StockReceived").select("sku_id", "timestamp", F.col("purchase_order_id").alias("ref"),
@@ -324,7 +349,34 @@ def q_best_promotion(spark, d):
     return PR.best_promotion(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"], cal)
 
 
-@query("credit_check", None, "L11")
+cte("credit_ev", """
+SELECT u.*, coalesce(c.credit_limit, 0.0::DOUBLE) AS credit_limit,
+       row_number() OVER (PARTITION BY u.customer_id ORDER BY ts, k, order_id) AS rn
+FROM (SELECT customer_id, created_at AS ts, 'order' AS kind, order_id, total_value AS amount, 1 AS k FROM ord
+      UNION ALL SELECT customer_id, created_at + INTERVAL 4 DAY, 'release', order_id, total_value, 0 FROM ord
+      WHERE orderstatus = 'F'
+      UNION ALL SELECT customer_id, created_at + INTERVAL 1 HOUR, 'release', order_id, total_value, 0 FROM ord
+      WHERE orderstatus = 'P' AND orderkey % 25 = 0) u
+LEFT JOIN cust c ON u.customer_id = c.customer_id""", ("ord", "cust"))
+cte("credit_walk", """
+SELECT customer_id, rn, ts, kind, order_id, amount, CASE WHEN kind = 'order' THEN 0.0::DOUBLE + amount <= credit_limit END AS accepted,
+       CASE WHEN kind = 'order' AND 0.0::DOUBLE + amount <= credit_limit THEN 0.0::DOUBLE + amount ELSE 0.0::DOUBLE END AS used_after,
+       CASE WHEN kind = 'order' AND 0.0::DOUBLE + amount <= credit_limit THEN [order_id] ELSE CAST([] AS VARCHAR[]) END AS open_ids
+FROM credit_ev WHERE rn = 1
+UNION ALL
+SELECT e.customer_id, e.rn, e.ts, e.kind, e.order_id, e.amount,
+       CASE WHEN e.kind = 'order' THEN w.used_after + e.amount <= e.credit_limit END,
+       CASE WHEN e.kind = 'order' AND w.used_after + e.amount <= e.credit_limit THEN w.used_after + e.amount
+            WHEN e.kind = 'release' AND list_contains(w.open_ids, e.order_id) THEN greatest(0.0::DOUBLE, w.used_after - e.amount)
+            ELSE w.used_after END,
+       CASE WHEN e.kind = 'order' AND w.used_after + e.amount <= e.credit_limit THEN list_append(w.open_ids, e.order_id)
+            WHEN e.kind = 'release' THEN list_filter(w.open_ids, lambda x: x <> e.order_id) ELSE w.open_ids END
+FROM credit_walk w JOIN credit_ev e ON e.customer_id = w.customer_id AND e.rn = w.rn + 1""", ("credit_ev",))
+
+
+@query("credit_check", sql("""
+SELECT customer_id, ts, kind, order_id, CASE WHEN kind = 'order' THEN amount END AS amount, accepted, used_after
+FROM credit_walk""", "credit_walk", recursive=True), "L11")
 def q_credit_check(spark, d):
     log = log_of(spark, d)
     rel = read_events(log, "OrderDelivered", "OrderCancelled").select(
@@ -333,9 +385,8 @@ def q_credit_check(spark, d):
     return CR.credit_check(tables_of(spark, d)["orders"], rel, tables_of(spark, d)["customers"])
 
 
-cte("dun_asof", """
-SELECT max(t) AS as_of FROM (SELECT timestamp AS t FROM invoices_t UNION ALL SELECT timestamp FROM payments_t
-                             UNION ALL SELECT timestamp FROM writeoffs_t)""", ("invoices_t", "payments_t", "writeoffs_t"))
+DUNNING_AS_OF = "1998-06-30 12:00:00"  # amid the orders: invoices of every stage are open then
+cte("dun_asof", f"SELECT TIMESTAMP '{DUNNING_AS_OF}' AS as_of")
 
 
 @query("dunning", sql(f"""
@@ -356,16 +407,15 @@ FROM (SELECT i.invoice_id, i.customer_id, i.amount, coalesce(p.fails, 0) AS fail
       FROM invoices_t i
       LEFT JOIN (SELECT invoice_id, count(*) FILTER (WHERE status = 'failed') AS fails,
                         min(CASE WHEN status = 'paid' THEN timestamp END) AS paid_at
-                 FROM payments_t GROUP BY invoice_id) p ON i.invoice_id = p.invoice_id
+                 FROM payments_t, dun_asof WHERE timestamp <= as_of GROUP BY invoice_id) p ON i.invoice_id = p.invoice_id
       LEFT JOIN (SELECT invoice_id, min(timestamp) AS wo_at FROM writeoffs_t GROUP BY invoice_id) w
-             ON i.invoice_id = w.invoice_id, dun_asof a)""", "invoices_t", "payments_t", "writeoffs_t", "dun_asof"),
+             ON i.invoice_id = w.invoice_id, dun_asof a WHERE i.timestamp <= a.as_of)""", "invoices_t", "payments_t", "writeoffs_t", "dun_asof"),
     "L15")
 def q_dunning(spark, d):
     log = log_of(spark, d)
     inv, pay = tables_of(spark, d)["invoices"], tables_of(spark, d)["payments"]
     wo = typed(log, "CreditWrittenOff", ["invoice_id"])
-    as_of = inv.select("timestamp").unionByName(pay.select("timestamp")).unionByName(wo.select("timestamp")).agg(
-        F.max("timestamp").alias("as_of"))
+    as_of = spark.range(1).select(F.to_timestamp(F.lit(DUNNING_AS_OF)).alias("as_of"))
     return CR.dunning(inv, pay, wo, as_of).select(
         "invoice_id", "customer_id", "amount", "failed_attempts", "stage", "days_overdue", "ageing_bucket",
         "write_off_due")

@@ -43,7 +43,10 @@ TERMS_DAYS = 30
 PAY_BASE_DAYS, PAY_SPREAD_DAYS, RETRY_DAYS = 10, 60, 7
 WRITE_OFF_DAYS, WRITE_OFF_OVERDUE = 180, 150
 STOCKOUT_MIN_QTY = 45             # open lines above this quantity stock out
-RESOLUTIONS = ["cancel_line"] * 5 + ["substitute"] * 3 + ["backorder"] * 2  # linenumber % 10
+RESOLUTIONS = ["cancel_line"] * 5 + ["substitute"] * 3 + ["backorder"] * 2  # (orderkey + linenumber) % 10
+ACTIVITY_SHIFT_DAYS = 8217        # driver events of January 2024 become the last month of the orders
+BURST_EVERY, BURST_REST = 40, 3   # these customers place all their orders on one day ...
+BURST_DAY = "1999-03-15"          # ... (bursts for the velocity rules)
 
 
 def rep_of(custkey: Column) -> Column:
@@ -113,7 +116,9 @@ def orders_domain(t: Tables) -> DataFrame:
         F.create_map(*[x for kv in CHANNEL_BY_PRIORITY.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])[prio],
         F.lit("organic"),
     )
-    created = plus_micros("o_orderdate", (F.lit(ORDER_HOUR_OFFSET_S) + k % ORDER_SPREAD_S) * 1_000_000)
+    day = F.when(F.col("o_custkey") % BURST_EVERY == BURST_REST, F.lit(BURST_DAY).cast("timestamp")).otherwise(
+        F.col("o_orderdate").cast("timestamp"))
+    created = plus_micros(day, (F.lit(ORDER_HOUR_OFFSET_S) + k % ORDER_SPREAD_S) * 1_000_000)
     return o.select(
         k.alias("orderkey"),
         F.col("o_custkey").alias("custkey"),
@@ -372,7 +377,7 @@ def stock_events(t: Tables) -> DataFrame:
         *envelope(
             "StockoutOccurred", line_key("SO"), F.col("sku_id"), F.col("created_at"),
             {"sku_id": F.col("sku_id"), "order_id": F.col("order_id"),
-             "resolution": pick(F.col("l_linenumber") % 10, RESOLUTIONS),
+             "resolution": pick((F.col("l_orderkey") + F.col("l_linenumber")) % 10, RESOLUTIONS),
              "requested_quantity": F.col("quantity"),
              "available_quantity": F.col("quantity") - (STOCKOUT_MIN_QTY + 1)},
             correlation_id=F.col("order_id"),
@@ -396,7 +401,7 @@ def promotion_applied(t: Tables) -> DataFrame:
 
 def activity_events(t: Tables) -> DataFrame:
     """Driver ``events``: view → rep visit, signup/click/purchase → app session, error → AppError."""
-    ev = t.events
+    ev = t.events.withColumn("ts", F.col("ts") - F.make_dt_interval(F.lit(ACTIVITY_SHIFT_DAYS)))
     uid, eid = F.col("user_id"), F.col("event_id")
     cid = cust_id(uid)
     visits = ev.filter(F.col("event_type") == "view").select(
