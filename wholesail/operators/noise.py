@@ -2,8 +2,7 @@
 corrupted numeric payload fields — and count what was done.
 
 Selection is exact-n by hash order (``sampling.exact_n``): no ``rand``, no driver-side id list.
-The rewrite is a single pass: each row is looked up in the three picked-id sets (semi-joined
-flags) and its timestamp or payload changed in place, so the row count never changes.
+The rewrite is one join: each row is looked up in one table of picked ids with their flags, and its timestamp or payload changed in place, so the row count never changes.
 """
 
 from __future__ import annotations
@@ -63,11 +62,13 @@ def inject_noise(log: DataFrame, cfg: NoiseConfig | None = None) -> tuple[DataFr
     n_oor = int(total * cfg.out_of_order_rate)
     n_cor = max(1, int(total * cfg.corruption_rate))
     n_late = int(total * cfg.late_arrival_rate)
-    # id sets are distinct so the flag joins can never duplicate a row
-    oor = exact_n(eligible.select("event_id").distinct(), n_oor, "event_id", cfg.seed * 3 + 1).withColumn("_oor", F.lit(True))
-    cor = exact_n(log.select("event_id").distinct(), n_cor, "event_id", cfg.seed * 3 + 2).withColumn("_cor", F.lit(True))
-    late = exact_n(eligible.select("event_id").distinct(), n_late, "event_id", cfg.seed * 3 + 3).withColumn("_late", F.lit(True))
-    j = log.join(oor, "event_id", "left").join(cor, "event_id", "left").join(late, "event_id", "left")
+    # one table of picked ids (few rows) with their flags: one join with the log
+    def pick(ids: DataFrame, n: int, i: int, flag: str) -> DataFrame:
+        return exact_n(ids.select("event_id").distinct(), n, "event_id", cfg.seed * 3 + i).select("event_id", F.lit(flag).alias("kind"))
+
+    picked = pick(eligible, n_oor, 1, "_oor").unionByName(pick(log, n_cor, 2, "_cor")).unionByName(pick(eligible, n_late, 3, "_late"))
+    flags = picked.groupBy("event_id").agg(*[F.max(F.when(F.col("kind") == k, True)).alias(k) for k in ("_oor", "_cor", "_late")])
+    j = log.join(flags, "event_id", "left")
     ts = F.col("timestamp")
     ts = F.when(F.col("_oor"), ts - F.make_dt_interval(F.lit(0), F.lit(cfg.out_of_order_hours))).otherwise(ts)
     ts = F.when(F.col("_late"), ts - F.make_dt_interval(F.lit(cfg.late_arrival_days))).otherwise(ts)

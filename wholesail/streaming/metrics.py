@@ -6,8 +6,9 @@ runs in append mode, so it emits exactly the windows the watermark has closed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def window_metrics(events: DataFrame, ts: str = "ts", width: str = "5 minutes", slide: str | None = None,
@@ -31,13 +32,17 @@ def closed_windows(metrics: DataFrame, events: DataFrame, ts: str, delay_us: int
 def late_share(events: DataFrame, ts: str, arrival: str, delay_us: int) -> DataFrame:
     """M7: share of rows that arrive after the watermark had passed them
     (event time < max event time seen at an earlier arrival − delay)."""
-    from pyspark.sql import Window
-
-    # arrival batches are few (one row per arrival value): the running max runs over batch maxima
-    per = events.groupBy(arrival).agg(F.max(ts).alias("_bmax"))
-    w = Window.orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    seen = per.select(arrival, F.max("_bmax").over(w).alias("_seen"))
-    j = events.join(F.broadcast(seen), arrival)
+    # the running maximum over arrivals is taken inside hours and carried on by one row per hour, so that an
+    # arrival time of its own for each row is no single sorted task
+    timed = isinstance(events.schema[arrival].dataType, (T.TimestampType, T.TimestampNTZType))
+    hour = F.date_trunc("hour", F.col(arrival)) if timed else F.floor(F.col(arrival) / 4096)
+    per = events.groupBy(arrival).agg(F.max(ts).alias("_max")).withColumn("_hour", hour)
+    up_to_hour = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)  # one row per hour
+    hours = per.groupBy("_hour").agg(F.max("_max").alias("_hmax")).select("_hour", F.max("_hmax").over(up_to_hour).alias("_before"))
+    inside = Window.partitionBy("_hour").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    seen = per.withColumn("_in", F.max("_max").over(inside)).join(hours, "_hour").select(
+        arrival, F.greatest("_in", "_before").alias("_seen"))
+    j = events.join(seen, arrival)
     late = F.unix_micros(ts) < (F.unix_micros("_seen") - F.lit(delay_us))
     return j.agg(F.count(F.lit(1)).alias("rows"), F.count_if(late).alias("late"),
                  (F.count_if(late) / F.count(F.lit(1))).alias("late_share"))
