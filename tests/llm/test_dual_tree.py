@@ -74,6 +74,14 @@ def test_tree_invariants_and_pruning():
     assert (best.score == -np.sort(-full, axis=1)[:, :5]).all()
 
 
+def test_stored_tree_is_the_tree():
+    x = np.floor(np.array([r[1] for r in clustered(n=2000)]) * 256)
+    tree = N.CoverTree(x)
+    again = N.CoverTree.stored(tree.x, tree.arrays())
+    flat = lambda n: [(n.lo, n.hi, n.radius, n.centre.tolist()), *(y for c in n.children for y in flat(c))]
+    assert flat(tree.root) == flat(again.root) and len(flat(tree.root)) > 5
+
+
 def test_too_large_components_raise():
     with pytest.raises(ValueError):
         N._exact(np.array([[2**40, 1]]))

@@ -44,6 +44,7 @@ SPREAD = 32
 class Node:
     lo: int
     hi: int
+    row: int  # of the centre
     centre: np.ndarray
     radius: float
     length: float
@@ -52,42 +53,75 @@ class Node:
 
 class CoverTree:
     """Cover tree over the rows of ``x`` (exact integers in doubles).  ``order`` lists the rows so that every node is a
-    range of them."""
+    range of them; ``x`` is kept in that order."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
         self.order = np.arange(len(x))
         self.leaf = leaf
         mean = x.mean(0)
-        start = int(((x - mean) ** 2).sum(1).argmin())
-        self.root = self._build(x, 0, len(x), x[start])
+        self.root = self._build(x, 0, len(x), int(((x - mean) ** 2).sum(1).argmin()))
         self.x = x[self.order]
 
-    def _build(self, x: np.ndarray, lo: int, hi: int, centre: np.ndarray) -> Node:
-        rows = self.order[lo:hi]
+    def _build(self, x: np.ndarray, lo: int, hi: int, row: int) -> Node:
+        rows, centre = self.order[lo:hi], x[row]
         own = x[rows]
         dist = np.sqrt(((own - centre) ** 2).sum(1))
-        node = Node(lo, hi, centre, float(dist.max()), float(np.sqrt((centre * centre).sum())))
+        node = Node(lo, hi, row, centre, float(dist.max()), float(np.sqrt((centre * centre).sum())))
         if hi - lo <= self.leaf or node.radius == 0:
             return node
         half = node.radius / 2
         most = max(2, (hi - lo) // 8)
-        near, who, centres = dist, np.zeros(hi - lo, dtype=np.int64), [centre]
+        near, who, centres = dist, np.zeros(hi - lo, dtype=np.int64), [row]
         while near.max() > half:  # farthest point first: the centres lie more than half apart
             if len(centres) >= most:
                 return node
-            far = own[int(near.argmax())]
-            d = np.sqrt(((own - far) ** 2).sum(1))
+            far = int(near.argmax())
+            d = np.sqrt(((own - own[far]) ** 2).sum(1))
             closer = d < near
             near, who = np.where(closer, d, near), np.where(closer, len(centres), who)
-            centres.append(far)
+            centres.append(int(rows[far]))
         by = np.argsort(who, kind="stable")
         self.order[lo:hi] = rows[by]
-        cuts = np.searchsorted(who[by], np.arange(len(centres) + 1))
-        for c, (a, b) in zip(centres, zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True):
-            if b > a:
-                node.children.append(self._build(x, lo + a, lo + b, c))
+        cuts = np.searchsorted(who[by], np.arange(len(centres) + 1)).tolist()
+        for c, i, j in zip(centres, cuts[:-1], cuts[1:], strict=True):
+            if j > i:
+                node.children.append(self._build(x, lo + i, lo + j, c))
         return node
 
+    def arrays(self) -> dict[str, list]:
+        """The nodes in preorder; ``after`` is the place behind a node's subtree, ``row`` counts in tree order."""
+        out: dict[str, list] = {k: [] for k in ("lo", "hi", "row", "radius", "after")}
+        place = np.argsort(self.order)
+
+        def put(n: Node) -> None:
+            at = len(out["lo"])
+            for k, v in (("lo", n.lo), ("hi", n.hi), ("row", int(place[n.row])), ("radius", n.radius), ("after", 0)):
+                out[k].append(v)
+            for c in n.children:
+                put(c)
+            out["after"][at] = len(out["lo"])
+
+        put(self.root)
+        return out
+
+    @classmethod
+    def stored(cls, x: np.ndarray, nodes: dict[str, list]) -> CoverTree:
+        """The tree whose rows ``x`` stand in tree order and whose nodes were ``arrays()``."""
+        tree = cls.__new__(cls)
+        tree.x, tree.order = x, np.arange(len(x))
+
+        def get(at: int) -> Node:
+            c = x[nodes["row"][at]]
+            n = Node(nodes["lo"][at], nodes["hi"][at], nodes["row"][at], c, nodes["radius"][at], float(np.sqrt(c @ c)))
+            k = at + 1
+            while k < nodes["after"][at]:
+                n.children.append(get(k))
+                k = nodes["after"][k]
+            return n
+
+        tree.root = get(0)
+        return tree
+
 
 def bound(a: Node, b: Node) -> float:
     """No inner product of a point under ``a`` and one under ``b`` is above this (with room for rounding)."""
@@ -200,11 +234,13 @@ def _with_cell(v: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
     return v.mapInArrow(run, "vec_id long, q array<long>, dim int, cell int")
 
 
-BLOCKS = "block long, dim int, cell int, ids array<long>, flat array<long>, centre array<double>, radius double, length double"
+NODES = "struct<lo:array<int>,hi:array<int>,row:array<int>,radius:array<double>,after:array<int>>"
+BLOCKS = f"block long, dim int, cell int, ids array<long>, flat array<long>, nodes {NODES}, centre array<double>, radius double, length double"
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """One row per block of up to about ``size`` vectors of a cell, with the ball of its tree's root."""
+    """One row per block of up to about ``size`` vectors of a cell: its vectors in the order of its cover tree, the
+    tree's nodes, and the ball of the root."""
     sizes = rows.groupBy("dim", "cell").agg(F.count("*").alias("rows"))
     part = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.ceil(F.col("rows") / size)).cast("int")
     cut = rows.join(sizes, ["dim", "cell"]).select("vec_id", "q", "dim", "cell", F.xxhash64("dim", "cell", part).alias("block"))
@@ -216,22 +252,22 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             for lo, hi in zip(edge.tolist(), np.r_[edge[1:], len(block)].tolist(), strict=True):
                 g = t.slice(lo, hi - lo)
                 flat, dims = _flat(g.column("q"), g.num_rows)
-                x = flat.reshape(g.num_rows, -1).astype(np.float64)
-                mean = x.mean(0)
-                centre = x[((x - mean) ** 2).sum(1).argmin()]
-                radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
+                tree = CoverTree(_exact(flat.reshape(g.num_rows, -1)))
+                root = tree.root
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(block[lo])]), pa.array([int(dims[0])], pa.int32()), g.column("cell").slice(0, 1).combine_chunks(),
-                        pa.array([g.column("vec_id").to_numpy()], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.int64())),
-                        pa.array([centre], pa.list_(pa.float64())), pa.array([radius]), pa.array([float(np.sqrt(centre @ centre))]),
+                        pa.array([g.column("vec_id").to_numpy()[tree.order]], pa.list_(pa.int64())),
+                        pa.array([tree.x.astype(np.int64).ravel()], pa.list_(pa.int64())), pa.array([tree.arrays()], _NODES),
+                        pa.array([root.centre], pa.list_(pa.float64())), pa.array([root.radius]), pa.array([root.length]),
                     ],
-                    ["block", "dim", "cell", "ids", "flat", "centre", "radius", "length"],
+                    ["block", "dim", "cell", "ids", "flat", "nodes", "centre", "radius", "length"],
                 )
 
     return cut.repartition("block").sortWithinPartitions("block").mapInArrow(run, BLOCKS)
 
 
+_NODES = pa.struct([(k, pa.list_(pa.float64() if k == "radius" else pa.int32())) for k in ("lo", "hi", "row", "radius", "after")])
 FOUND = "qblock long, query_id long, vec_id long, score double"
 
 
@@ -240,10 +276,10 @@ def _searched(pairs: DataFrame, qblocks: DataFrame, blocks: DataFrame, known: Da
     blocks, the query block first (with what is known of its queries), then the data blocks one by one."""
     spread = F.pmod("block", F.lit(8)).cast("int")  # a query block's data blocks go to several tasks
     pairs = pairs.select("qblock", "block", spread.alias("part"))
-    data = pairs.join(blocks.select("block", "ids", "flat"), "block").select(
-        "qblock", "part", F.lit(1).alias("side"), "ids", "flat", F.lit(None).cast("array<double>").alias("floor")
+    data = pairs.join(blocks.select("block", "ids", "flat", "nodes"), "block").select(
+        "qblock", "part", F.lit(1).alias("side"), "ids", "flat", "nodes", F.lit(None).cast("array<double>").alias("floor")
     )
-    heads = pairs.select("qblock", "part").distinct().join(qblocks.select(F.col("block").alias("qblock"), "ids", "flat"), "qblock")
+    heads = pairs.select("qblock", "part").distinct().join(qblocks.select(F.col("block").alias("qblock"), "ids", "flat", "nodes"), "qblock")
     if known is None:
         heads = heads.withColumn("floor", F.lit(None).cast("array<double>"))
     else:
@@ -252,7 +288,7 @@ def _searched(pairs: DataFrame, qblocks: DataFrame, blocks: DataFrame, known: Da
         low = F.transform("ids", lambda i: F.element_at(F.col("m"), i))
         m = F.map_from_entries(F.transform(F.coalesce("f", F.array().cast("array<struct<query_id:bigint,score:double,n:bigint>>")), lambda x: F.struct(x.query_id, F.when(x.n >= k, x.score))))
         heads = heads.withColumn("m", m).withColumn("floor", low)
-    rows = heads.select("qblock", "part", F.lit(0).alias("side"), "ids", "flat", "floor").unionAll(data)
+    rows = heads.select("qblock", "part", F.lit(0).alias("side"), "ids", "flat", "nodes", "floor").unionAll(data)
     rows = rows.repartition("qblock", "part").sortWithinPartitions("qblock", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,19 +306,19 @@ def _searched(pairs: DataFrame, qblocks: DataFrame, blocks: DataFrame, known: Da
             for r in range(batch.num_rows):
                 at = (batch.column("qblock")[r].as_py(), batch.column("part")[r].as_py())
                 ids = batch.column("ids")[r].values.to_numpy()
-                x = batch.column("flat")[r].values.to_numpy().reshape(len(ids), -1)
+                x = batch.column("flat")[r].values.to_numpy().reshape(len(ids), -1).astype(np.float64)
+                here = CoverTree.stored(x, batch.column("nodes")[r].as_py())
                 if batch.column("side")[r].as_py() == 0:
                     if best is not None:
                         yield result()
-                    key, tree = at, CoverTree(_exact(x))
-                    qid, best = ids[tree.order], Best(len(ids), k)
+                    key, tree = at, here
+                    qid, best = ids, Best(len(ids), k)
                     floor = batch.column("floor")[r]
                     if floor.is_valid:  # a score that k known neighbours reach: lower ones cannot count
-                        low = np.array([-np.inf if f is None else f for f in floor.as_py()])[tree.order]
+                        low = np.array([-np.inf if f is None else f for f in floor.as_py()])
                         best.score[:, :] = np.where(np.isneginf(low), -np.inf, np.nextafter(low, -np.inf))[:, None]
                 elif at == key:
-                    data = CoverTree(_exact(x))
-                    dual_search(tree, qid, data, ids[data.order], best)
+                    dual_search(tree, qid, here, ids, best)
         if best is not None:
             yield result()
 
@@ -308,7 +344,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
     all if there are fewer.
 
     Vectors that are null, empty or hold null or non-finite components and rows without an id take no part;
-    vectors of another length are not compared.  Repeated rows count once.  Other columns are ignored; an empty
+    vectors of another length are not compared.  Components so large that inner products may pass 2^53 raise.
+    Repeated rows count once.  Other columns are ignored; an empty
     table gives none."""
     v = stored(quantised(vectors, scale), "dual-tree-vectors")
     n = v.count()
