@@ -1,5 +1,6 @@
 """Sampler invariants: disjoint order-keyed samples, exact caps, and foreign keys in preserve mode."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -27,3 +28,34 @@ def test_compat_and_preserve_modes(spark):
               if r["sample"] == "sample_a"}
     want = cap_sizes({t: counts[t] for t in QS.SAMPLE_TABLES}, 1500)["orders"]
     assert pa["orders"].count() == want
+
+
+def test_config_file(spark, tmp_path):
+    import json
+
+    from wholesail.operators import sampling as G
+
+    raw = {
+        "random_seed": 7, "date_window": {"anchor": "latest", "days": 30}, "stratify_by": ["channel"],
+        "samples": [{"name": "a", "split": "even"}], "target_rows": 5,
+        "tables": [{"name": "orders", "split_anchor": True, "filter": "date_window"},
+                   {"name": "lines", "join": {"parent": "orders", "key": "order_id"}}, {"name": "skus", "static": True}],
+    }
+    path = tmp_path / "sampler.json"
+    path.write_text(json.dumps(raw))
+    cfg = G.load_config(spark, str(path))
+    assert (cfg.random_seed, cfg.days, cfg.target_rows, cfg.samples[0].name) == (7, 30, 5, "a")
+    assert cfg.tables[1].join == G.JoinSpec("orders", "order_id")
+    raw["tables"][2]["split_anchor"], raw["tables"][0]["split_anchor"] = True, False
+    path.write_text(json.dumps(raw))
+    with pytest.raises(ValueError):
+        G.load_config(spark, "file:" + str(path))
+
+
+def test_written_run_has_sizes_and_totals(spark, tmp_path):
+    from wholesail.operators import sampling as G
+
+    run = G.SampleRun(samples={"a": {"t": spark.range(10), "u": spark.range(3)}}, reference={"r": spark.range(2)})
+    got = {(r["sample"], r["table"]): (r["rows"], r["size_mb"]) for r in G.write_run(run, str(tmp_path)).collect()}
+    assert got[("a", "t")][0] == 10 and got[("a", None)][0] == 13 and got[("reference", None)][0] == 2
+    assert all(size >= 0 for _, size in got.values())

@@ -2,7 +2,8 @@
 corrupted numeric payload fields — and count what was done.
 
 Selection is exact-n by hash order (``sampling.exact_n``): no ``rand``, no driver-side id list.
-The rewrite is one join: each row is looked up in one table of picked ids with their flags, and its timestamp or payload changed in place, so the row count never changes.
+The rewrite is one join: each row is looked up in one table of picked ids with their flags, and its
+timestamp or payload is changed in place, so the row count never changes.
 """
 
 from __future__ import annotations

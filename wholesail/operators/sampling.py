@@ -9,12 +9,15 @@ bucket, so even a stratum holding a third of the data is ranked by many tasks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
+from ..sources.tables import write_table
 from .joins import null_safe_join
 
 TIMESTAMP_PRIORITY = ["timestamp", "created_at", "month", "last_order_date"]  # T21
@@ -63,7 +66,9 @@ class SamplerConfig:
         seen: set[str] = set()
         for t in self.tables:
             if t.static and t.join is not None:
-                raise ValueError(f"static table '{t.name}' cannot declare a join")
+                raise ValueError(f"table '{t.name}' is static, copied whole: it takes no join")
+            if t.static and t.split_anchor:
+                raise ValueError(f"table '{t.name}' is static, copied whole: it cannot be the one that is split")
             if t.join is not None and not t.static and t.join.parent not in seen:
                 raise ValueError(f"parent '{t.join.parent}' of '{t.name}' must be listed before it")
             if not t.static:
@@ -74,6 +79,23 @@ class SamplerConfig:
         return self
 
 
+def load_config(spark: SparkSession, path: str) -> SamplerConfig:
+    """A validated configuration from a JSON file (or YAML, where a parser is installed) on any path Spark reads."""
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    if text.lstrip().startswith("{"):
+        raw = json.loads(text)
+    else:
+        import yaml
+
+        raw = yaml.safe_load(text)
+    tables = [TableSpec(**{**t, "join": JoinSpec(**t["join"]) if t.get("join") else None}) for t in raw["tables"]]
+    window = raw.get("date_window", {})
+    known = {k: raw[k] for k in ("random_seed", "stratify_by", "total_records_per_sample", "target_rows", "tolerance") if k in raw}
+    samples = {"samples": [SampleSpec(**s) for s in raw["samples"]]} if "samples" in raw else {}
+    window = {k: window[k] for k in ("anchor", "days") if k in window}
+    return SamplerConfig(tables=tables, **samples, **window, **known).validate()
+
+
 HASH_PREFIX = 3  # hex digits: 4096 parts of each group
 EXACT_PREFIX = 4
 
@@ -299,21 +321,6 @@ def tagged_counts(tagged: dict[str, DataFrame], names: list[str]) -> dict[str, d
     return {n_: {t: out[n_][t] for t in tagged} for n_ in names}
 
 
-def table_counts(resolved: dict[str, dict[str, DataFrame]]) -> dict[str, dict[str, int]]:
-    """Row counts of every (sample, table) of untagged frames in ONE job."""
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("s"), F.lit(t).alias("t"), "n")
-        for s, tabs in resolved.items() for t, df in tabs.items()
-    ]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    out: dict[str, dict[str, int]] = {s: {} for s in resolved}
-    for r in u.collect():
-        out[r["s"]][r["t"]] = int(r["n"])
-    return {s: {t: out[s][t] for t in tabs} for s, tabs in resolved.items()}
-
-
 def manifest(run: SampleRun) -> DataFrame:
     """(sample, table, rows) for every frame of the run — counted from the data (one
     conditional aggregate per table, so a sample with no rows still reports 0)."""
@@ -340,20 +347,19 @@ def manifest(run: SampleRun) -> DataFrame:
 
 
 def write_run(run: SampleRun, output_dir: str) -> DataFrame:
-    """Write every sample table (and the reference copies once) and return the manifest with sizes."""
-    from ..sources.tables import write_table
-
-    spark = None
+    """Write every sample table (and the reference copies once) and return the manifest: (sample, table, rows,
+    size_mb), with one row per sample whose table is null for its totals."""
     rows = []
     for sample, tabs in list(run.samples.items()) + [("reference", run.reference)]:
         for t, df in tabs.items():
             path = f"{output_dir.rstrip('/')}/{sample}/{t}.parquet"
             n = write_table(df, path)
-            spark = df.sparkSession
-            jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-            size = jp.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jp).getLength()
-            rows.append((sample, t, n, round(size / 1_048_576, 3)))
-    return spark.createDataFrame(rows, "sample string, table string, rows long, size_mb double")
+            size = sum(length for _, length, _ in files.files(df.sparkSession, path))
+            rows.append((sample, t, n, size / 1_048_576))
+    spark = SparkSession.active()
+    m = spark.createDataFrame(rows, "sample string, table string, rows long, size_mb double")
+    totals = m.groupBy("sample").agg(F.lit(None).cast("string").alias("table"), F.sum("rows").alias("rows"), F.sum("size_mb").alias("size_mb"))
+    return m.unionByName(totals).withColumn("size_mb", F.round("size_mb", 3))
 
 
 def tag_samples(frames: dict[str, DataFrame]) -> DataFrame:
