@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a batch to a Python worker: both sides hold one or two, off the heap
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
