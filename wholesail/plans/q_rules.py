@@ -415,7 +415,7 @@ def q_dunning(spark, d):
     log = log_of(spark, d)
     inv, pay = tables_of(spark, d)["invoices"], tables_of(spark, d)["payments"]
     wo = typed(log, "CreditWrittenOff", ["invoice_id"])
-    as_of = spark.range(1).select(F.to_timestamp(F.lit(DUNNING_AS_OF)).alias("as_of"))
+    as_of = spark.range(1).agg(F.max(F.to_timestamp(F.lit(DUNNING_AS_OF))).alias("as_of"))  # one row
     return CR.dunning(inv, pay, wo, as_of).select(
         "invoice_id", "customer_id", "amount", "failed_attempts", "stage", "days_overdue", "ageing_bucket",
         "write_off_due")
