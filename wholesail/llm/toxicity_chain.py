@@ -37,7 +37,7 @@ CATEGORIES = {
 }
 TARGET = "toxic"
 BITS = 22
-MOST_FEATURES = 4000
+MOST_FEATURES = 2000
 FOLDS = 4
 THRESHOLD = 0.5
 _WORD = re.compile(r"\w+")
@@ -97,29 +97,50 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+@dataclass
+class Rows:
+    """0/1 features of documents as (row, column) pairs, and some dense columns."""
+
+    row: np.ndarray
+    col: np.ndarray
+    width: int
+    dense: np.ndarray
+
+    def only(self, keep: np.ndarray) -> Rows:
+        some = keep[self.row]
+        return Rows((np.cumsum(keep) - 1)[self.row[some]], self.col[some], self.width, self.dense[keep])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.col], minlength=len(self.dense)) + self.dense @ w[self.width :]
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(self.col, weights=e[self.row], minlength=self.width), self.dense.T @ e]
+
+
+def _logistic(x: Rows, y: np.ndarray, steps: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Adam on all rows at once; one class only gives its constant."""
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-    w, b = np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
-    if not len(y) or y.min() == y.max() or not x.shape[1]:
+    w, b = np.zeros(x.width + x.dense.shape[1]), float(np.log(share / (1 - share)))
+    if not len(y) or y.min() == y.max() or not len(w):
         return w, b
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        e = (_sigmoid(x @ w + b) - y) / len(y)
-        g = np.r_[x.T @ e + ridge * w / 10, e.sum()]
+        e = (_sigmoid(x.times(w) + b) - y) / len(y)
+        g = np.r_[x.back(e) + ridge * w / 10, e.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - float(step[-1])
     return w, b
 
 
-def fit(features: list[set[int]], y: np.ndarray, names: tuple[str, ...], fold: np.ndarray) -> Chain:
+def fit(features: list[np.ndarray], y: np.ndarray, names: tuple[str, ...], fold: np.ndarray) -> Chain:
     """Chain over the columns of ``y[rows, categories]``; ``fold`` (0 .. FOLDS - 1) makes the out-of-fold
     predictions.  The last column chooses the features."""
     target = y[:, -1] == 1 if len(y) else np.zeros(0, dtype=bool)
-    flat = [np.fromiter(f, dtype=np.int64, count=len(f)) for f in features]
-    with_ = np.bincount(np.concatenate([f for f, t in zip(flat, target, strict=True) if t] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
-    without = np.bincount(np.concatenate([f for f, t in zip(flat, target, strict=True) if not t] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
+    flat = np.concatenate([*features, np.zeros(0, dtype=np.int32)])
+    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    with_ = np.bincount(flat[target[row]], minlength=1 << BITS)
+    without = np.bincount(flat[~target[row]], minlength=1 << BITS)
     n1, n0 = max(1, int(target.sum())), max(1, int((~target).sum()))
     some = np.flatnonzero(with_ + without >= 3)
     a, b = with_[some], without[some]
@@ -129,25 +150,26 @@ def fit(features: list[set[int]], y: np.ndarray, names: tuple[str, ...], fold: n
     some, z = some[strong], np.abs(z[strong])
     columns = np.sort(some[np.lexsort((some, -z))[:MOST_FEATURES]])
     chain = Chain(names, columns, np.zeros((len(names), len(columns) + len(names))), np.zeros(len(names)))
-    x = chain.rows(features)
-    earlier = np.zeros((len(x), 0))
+    at = np.minimum(np.searchsorted(columns, flat), max(0, len(columns) - 1))
+    known = columns[at] == flat if len(columns) else np.zeros(len(flat), dtype=bool)
+    x = Rows(row[known], at[known], len(columns), np.zeros((len(features), 0)))
     for k in range(len(names)):
-        own = np.concatenate([x, earlier], axis=1)
-        w, chain.bias[k] = _logistic(own, y[:, k].astype(float))
-        chain.weights[k, : own.shape[1]] = w
+        own = y[:, k].astype(float)
+        w, chain.bias[k] = _logistic(x, own)
+        chain.weights[k, : len(w)] = w
         if k + 1 < len(names):
-            p = np.zeros(len(x))
+            p = np.zeros(len(features))
             for f in range(FOLDS):
                 out = fold == f
                 if out.any():
-                    w, b = _logistic(own[~out], y[~out, k].astype(float))
-                    p[out] = _sigmoid(own[out] @ w + b)
-            earlier = np.concatenate([earlier, p[:, None]], axis=1)
+                    w, b = _logistic(x.only(~out), own[~out])
+                    p[out] = _sigmoid(x.only(out).times(w) + b)
+            x = Rows(x.row, x.col, x.width, np.concatenate([x.dense, p[:, None]], axis=1))
     return chain
 
 
 # -- on tables ---------------------------------------------------------------------------------
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, max_rows: int = 8_000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, max_rows: int = 6_000) -> Chain:
     """Fit on at most ``max_rows`` labelled documents of the training folds (crc32 of the id's text mod 5 is not 0):
     half of them toxic ones if there are as many, those with the smallest id hashes.  ``labels(doc_id,
     toxic)``: null labels and ids are ignored, of repeated labels the highest counts.  The picked ids are broadcast and their
@@ -160,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
     by = [F.xxhash64(F.lit(13), "doc_id"), F.col("doc_id")]
     bad = own.filter("toxic = 1").orderBy(*by).limit(max_rows // 2)
     good = own.filter("toxic = 0").orderBy(*by).limit(max_rows - max_rows // 2)
-    words = {k: {zlib.crc32(f"={w}".encode()) >> (32 - BITS) for w in v} for k, v in categories.items()}
+    words = {k: [zlib.crc32(f"={w}".encode()) >> (32 - BITS) for w in v] for k, v in categories.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -171,9 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     picked = rows.join(F.broadcast(bad.unionAll(good)), "doc_id").select("doc_id", "toxic", "text")
     sample = picked.mapInArrow(run, "doc_id long, toxic int, f array<int>").toArrow().sort_by("doc_id")
-    features = [set(v.values.to_numpy().tolist()) for v in sample.column("f")]
+    features = [v.values.to_numpy() for v in sample.column("f")]
     toxic = sample.column("toxic").to_numpy().astype(np.int64)
-    y = np.stack([*(np.array([int(t and bool(f & w)) for f, t in zip(features, toxic.tolist(), strict=True)], dtype=np.int64) for w in words.values()), toxic], axis=1)
+    weak = [np.array([t and int(np.isin(w, f).any()) for f, t in zip(features, toxic.tolist(), strict=True)], dtype=np.int64) for w in words.values()]
+    y = np.stack([*weak, toxic], axis=1)
     fold = np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in sample.column("doc_id").to_pylist()], dtype=np.int64)
     return fit(features, y, (*categories, TARGET), fold)
 
