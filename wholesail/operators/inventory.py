@@ -127,7 +127,7 @@ def backorder_fulfilment(backorders: DataFrame, supply: DataFrame) -> DataFrame:
     """FIFO — backorder i covers cumulative demand (D_i − q_i, D_i]; supply total S of the SKU
     fills [0, S); the fulfilled part is the overlap.  D is a skew-safe running sum."""
     b = running_sum(backorders.select("sku_id", "timestamp", "order_id", F.col("shortfall").cast("long")),
-                    "sku_id", ["timestamp", "order_id"], "shortfall", out="_D")
+                    "sku_id", ["timestamp", "order_id", "shortfall"], "shortfall", out="_D")
     s = supply.groupBy("sku_id").agg(F.sum("quantity").cast("long").alias("_S"))
     j = b.join(s, "sku_id", "left")
     prev = F.col("_D") - F.col("shortfall")

@@ -60,7 +60,7 @@ cte("ord", """
 SELECT o_orderkey AS orderkey, o_custkey AS custkey,
        concat('ORD-', o_orderkey) AS order_id,
        concat('C-', o_custkey) AS customer_id,
-       CASE WHEN o_custkey % 40 = 3 THEN TIMESTAMP '1999-03-15' ELSE CAST(o_orderdate AS TIMESTAMP) END
+       CASE WHEN o_custkey % 40 = 3 THEN TIMESTAMP '1999-03-30' ELSE CAST(o_orderdate AS TIMESTAMP) END
          + to_seconds(28800 + o_orderkey % 36000) AS created_at,
        o_totalprice AS total_value,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'rep' WHEN '2' THEN 'app' WHEN '3' THEN 'direct'
@@ -168,7 +168,7 @@ FROM part
 """)
 
 cte("stockouts_t", """
-SELECT sku_id, quantity AS requested_quantity, quantity - 46 AS available_quantity, order_id,
+SELECT sku_id, quantity AS requested_quantity, quantity - 1 - l_orderkey % 45 AS available_quantity, order_id,
        ['cancel_line', 'cancel_line', 'cancel_line', 'cancel_line', 'cancel_line',
         'substitute', 'substitute', 'substitute', 'backorder', 'backorder'][(l_orderkey + l_linenumber) % 10 + 1] AS resolution,
        sku_id AS sku_id_agg, created_at AS timestamp

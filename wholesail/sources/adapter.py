@@ -46,7 +46,7 @@ STOCKOUT_MIN_QTY = 45             # open lines above this quantity stock out
 RESOLUTIONS = ["cancel_line"] * 5 + ["substitute"] * 3 + ["backorder"] * 2  # (orderkey + linenumber) % 10
 ACTIVITY_SHIFT_DAYS = 8217        # driver events of January 2024 become the last month of the orders
 BURST_EVERY, BURST_REST = 40, 3   # these customers place all their orders on one day ...
-BURST_DAY = "1999-03-15"          # ... (bursts for the velocity rules)
+BURST_DAY = "1999-03-30"          # ... (bursts for the velocity rules)
 
 
 def rep_of(custkey: Column) -> Column:
@@ -379,7 +379,7 @@ def stock_events(t: Tables) -> DataFrame:
             {"sku_id": F.col("sku_id"), "order_id": F.col("order_id"),
              "resolution": pick((F.col("l_orderkey") + F.col("l_linenumber")) % 10, RESOLUTIONS),
              "requested_quantity": F.col("quantity"),
-             "available_quantity": F.col("quantity") - (STOCKOUT_MIN_QTY + 1)},
+             "available_quantity": F.col("quantity") - 1 - F.col("l_orderkey") % STOCKOUT_MIN_QTY},
             correlation_id=F.col("order_id"),
         )
     )
