@@ -31,7 +31,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about ``max_bytes`` of text (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -47,6 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
             hi = max(lo + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()  # workers are reused: later tasks need not carry this one's buffers
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -72,3 +73,4 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         rest = t.slice(lo)
     if rest is not None and rest.num_rows:
         yield rest
+    pa.default_memory_pool().release_unused()

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+EDGES_PER_TASK = 50_000
+
+
 def _large(e: DataFrame) -> DataFrame:
     sym = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = sym.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
@@ -33,9 +36,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = checkpointed(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    mark = None
+    now = mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     for _ in range(max_rounds):
-        e = checkpointed(_small(_large(e)))
+        # few edges need few tasks and files, whatever the number of shuffle partitions is set to
+        tasks = max(1, -(-now[0] // EDGES_PER_TASK))
+        e = checkpointed(_small(_large(e.coalesce(tasks)).coalesce(tasks)).coalesce(tasks))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -204,25 +204,23 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, copy string, n int, sk array<int>, sig binary")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    """Rows of ``nodes`` once per bucket that holds several, keyed ``key``; a bucket of more than ``BLOCK`` rows
-    becomes pairs of blocks, each row in all pairs that hold its block.  Only ids are grouped by bucket; the
-    sketches join the rows that met."""
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """``id, key``: each node once per bucket that holds several; a bucket of more than ``BLOCK`` rows becomes pairs
+    of blocks, each row in all pairs that hold its block.  Only ids and sketches are grouped by bucket."""
     each = nodes.select("id", F.posexplode("sk").alias("band", "value"))
     sizes = each.groupBy("band", "value").agg(F.count("*").alias("rows")).filter("rows > 1")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     met = each.join(sizes, ["band", "value"]).withColumn("own", own)
     met = met.select("id", "band", "value", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    key = F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other"))
-    return met.select("id", key.alias("key")).join(nodes.drop("sk", "copy"), "id")
+    return met.select("id", F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
 
 
 def _signatures(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
 
 
-def _stars(nodes: DataFrame, least: float) -> DataFrame:
+def _stars(nodes: DataFrame, met: DataFrame, least: float) -> DataFrame:
     """Candidate pairs ``(a, b)``, a < b: in each bucket every row with the centre it is assigned to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +241,11 @@ def _stars(nodes: DataFrame, least: float) -> DataFrame:
             if a and sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    rows = _blocks(nodes).select("id", "n", "sig", "key").repartition("key").sortWithinPartitions("key")
+    rows = met.join(nodes, "id").select("id", "n", "sig", "key").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("seen")).select("a", "b")
 
 
-def _open(nodes: DataFrame, least: float) -> DataFrame:
+def _open(nodes: DataFrame, met: DataFrame, least: float) -> DataFrame:
     """Edges ``(a, b)`` that connect all candidates that meet in a bucket but lie in different components: per
     bucket one edge for each row that has such a candidate."""
 
@@ -277,7 +275,7 @@ def _open(nodes: DataFrame, least: float) -> DataFrame:
             if a and sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    rows = _blocks(nodes).select("id", "n", "sig", "component", "key").repartition("key").sortWithinPartitions("key")
+    rows = met.join(nodes, "id").select("id", "n", "sig", "component", "key").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -404,17 +402,20 @@ def _with_copy(rows: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, least: float) -> DataFrame:
     """``doc_id, copy, group_id`` per row; ``group_id`` is null for a group without any id."""
-    signed = stored(sketches(docs), "order-minhash")
+    whole = stored(sketches(docs), "order-minhash")
+    signed = whole.select("doc_id", "copy", "n")
     made_up = F.lit(NAMELESS) + F.conv(F.substring("copy", 1, 15), 16, 10).cast("long")
     classes = stored(
-        signed.filter("n > 0").groupBy("copy").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("sig").alias("sig"))
+        whole.filter("n > 0").groupBy("copy").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("sig").alias("sig"))
         .select("copy", F.coalesce("least_id", made_up).alias("id"), "n", "sk", "sig"),
         "order-minhash-classes",
     )
-    texts = _distinct_text(docs, signed, classes)
-    stars = connected_components(_verified(_stars(classes, least), texts, least))
+    met = stored(_meetings(classes), "order-minhash-met")
+    # whole texts cross the network once; the two passes join the few that met
+    texts = stored(_distinct_text(docs, signed, classes).join(met.select("id"), "id", "left_semi"), "order-minhash-texts")
+    stars = connected_components(_verified(_stars(classes, met, least), texts, least))
     named = classes.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = _settled(named.select("id", "n", "sig", "component"), connected_components(_open(named, least)), texts, least)
+    rest = _settled(named.select("id", "n", "sig", "component"), connected_components(_open(named, met, least)), texts, least)
     linked = connected_components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(rest))
     of_copy = classes.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("group_id", F.coalesce("component", "id"))
     of_copy = of_copy.select("copy", F.when(F.col("group_id") < NAMELESS, F.col("group_id")).alias("group_id"))
