@@ -15,26 +15,31 @@ from wholesail.session import configure
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on ``docs`` and the labels, accepts."""
+    configure(spark)
     return quality_pu.accept(docs, quality_pu.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest id."""
+    configure(spark)
     return near_order_minhash.keep_one(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; ``n_chars`` follows."""
+    configure(spark)
     return pii_feistel.pseudonymise_column(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as the schedule takes it."""
+    configure(spark)
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, decoded`` of every row of the mix."""
+    configure(spark)
     return sentencepiece_rounds.encode(docs)
 
 

@@ -32,7 +32,7 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 NONE = np.int64(2**62)
 LONG_WORD = 4096
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 class Vocabulary:
@@ -255,7 +255,8 @@ def encode(docs: DataFrame, model: str | None = None, digest: bool = False) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for part in slices(batches, max_bytes=4 << 20):
+        v.cache.clear()  # a reused worker starts each task without the last one's words
+        for part in slices(batches, max_bytes=1 << 20):
             texts = part.column("text").to_pylist()
             ids = [np.append(i, np.int32(v.eos)).astype(np.int32) for i in v.encode(texts)]
             back = [v.decode(i) for i in ids]
@@ -271,6 +272,7 @@ def encode(docs: DataFrame, model: str | None = None, digest: bool = False) -> D
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), flat, pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
+        v.cache.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else ENCODED
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
