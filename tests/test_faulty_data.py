@@ -72,3 +72,22 @@ def test_results_vary(name):
     assert len(d) or name in NO_FAULTS
     same = {c for c in d.columns if len(d) > 1 and d[c].astype(str).nunique(dropna=False) == 1}
     assert {(name, c) for c in same} <= ONE_VALUE
+
+
+def test_fraud_alerts(spark):
+    from wholesail.operators.features import fraud_alerts
+
+    rows = [("o1", "c1", 5, 0.95), ("o2", "c1", 0, 0.85), ("o3", "c2", 9, 0.79), ("o4", "c2", 3, None)]
+    df = spark.createDataFrame(rows, "order_id string, customer_id string, velocity_24h long, fraud_model_score double")
+    assert sorted(map(tuple, fraud_alerts(df).collect())) == [
+        ("o1", "c1", 0.95, "rejected", "velocity"), ("o2", "c1", 0.85, "flagged", "amount_spike")]
+
+
+def test_to_envelope(spark):
+    from wholesail.sources.eventlog import ENVELOPE_COLS, to_envelope
+
+    df = spark.createDataFrame([("e1", "a1", T0, 5, None)], "id string, agg string, ts timestamp, quantity int, note string")
+    out = to_envelope(df, "StockReceived", "id", "agg", "ts")
+    assert out.columns == ENVELOPE_COLS
+    r = out.first()
+    assert (r["event_id"], r["event_type"], r["aggregate_id"], r["timestamp"], r["payload"]) == ("e1", "StockReceived", "a1", T0, '{"quantity":5}')

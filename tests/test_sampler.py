@@ -1,7 +1,6 @@
 """Sampler invariants: disjoint order-keyed samples, exact caps, and foreign keys in preserve mode."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 

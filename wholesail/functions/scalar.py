@@ -54,10 +54,6 @@ def whole_days(later: str | Column, earlier: str | Column) -> Column:
     return F.call_function("div", diff, F.lit(MICROS_PER_DAY))
 
 
-def month_start(ts: str | Column) -> Column:
-    return F.date_trunc("month", col_(ts))
-
-
 def month_end_midnight(ts: str | Column) -> Column:
     """Last day of the month at 00:00."""
     return F.to_timestamp(F.last_day(col_(ts)))

@@ -188,16 +188,6 @@ def enrich_orders(orders: DataFrame, customers: DataFrame, rfm: DataFrame, baske
     return out
 
 
-def summary(df: DataFrame, status: str = "status") -> DataFrame:
-    """Processed / skipped / errors counts of one batch (one row)."""
-    s = F.col(status)
-    return df.agg(
-        F.count_if(s == "processed").alias("processed"),
-        F.count_if(s == "skipped").alias("skipped"),
-        F.count_if(s == "error").alias("errors"),
-    )
-
-
 def distribution(df: DataFrame, col: str) -> DataFrame:
     """``stats count(*) by col`` sorted by count."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), col)

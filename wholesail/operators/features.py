@@ -106,8 +106,14 @@ def fraud_windows(orders: DataFrame, customers: DataFrame, window: str = "24 hou
     )
 
 
-def fraud_alerts(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    return fraud_windows(orders, customers).filter(F.col("score") >= HIGH_RISK_THRESHOLD)
+def fraud_alerts(features: DataFrame, at_least: float = HIGH_RISK_THRESHOLD) -> DataFrame:
+    """L4: orders of ``order_features`` whose model score reaches the alert threshold, with what is done about them
+    and which signal it was."""
+    score = F.col("fraud_model_score")
+    return features.filter(score >= at_least).select(
+        "order_id", "customer_id", F.round(score, 4).alias("fraud_score"),
+        F.when(score >= REJECT_THRESHOLD, "rejected").otherwise("flagged").alias("action"),
+        F.when(F.col("velocity_24h") >= VELOCITY_THRESHOLD, "velocity").otherwise("amount_spike").alias("fraud_type"))
 
 
 def payment_success_probability(risk: Column) -> Column:
@@ -150,14 +156,6 @@ def session_funnel(app_events: DataFrame) -> DataFrame:
     )
 
 
-def session_windows(app_events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """L18 without a session id: ``session_window`` per customer."""
-    return app_events.groupBy("customer_id", F.session_window("timestamp", gap).alias("s")).agg(
-        F.count(F.lit(1)).alias("events"), F.max(F.col("led_to_order").cast("int")).alias("led_to_order")
-    ).select("customer_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-             "events", "led_to_order")
-
-
 def visit_gaps(visits: DataFrame, overdue_days: int = 30) -> DataFrame:
     """Days since the previous visit of the same rep to the same customer; overdue > 30 d.
 

@@ -41,13 +41,3 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     r = right.select(*[F.col(c).alias(own.get(c, c)) for c in right.columns])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(own[k])) for k in keys])
     return left.join(r, on, how).drop(*own.values())
-
-
-def semi(df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs in the parent (left semi: null keys never match)."""
-    return df.join(parent.select(key), key, "left_semi")
-
-
-def anti(df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Rows whose key does not occur in the parent (left anti)."""
-    return df.join(parent.select(key), key, "left_anti")

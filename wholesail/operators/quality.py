@@ -144,10 +144,6 @@ def scorecard(tables: dict[str, DataFrame], bounds: dict | None = None) -> DataF
     return out
 
 
-def scorecard_totals(card: DataFrame) -> DataFrame:
-    return card.agg(F.count_if(F.col("ok")).alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
-
-
 # --- H11/H12: row validators and domain rules -------------------------------------------------
 def order_row_violations(order_events: DataFrame) -> DataFrame:
     """H11 on typed OrderCreated rows: line_total = qty·price − discount (±0.02) for every line,

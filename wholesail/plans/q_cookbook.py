@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cookbook as K
-from ..operators import projections as P
 from .oracle import sql
 from .q_projections import tables_of
 from .registry import query

@@ -10,7 +10,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import projections as P
 from ..session import checkpoint_dir
 from ..sources.eventlog import read_events
 from ..streaming import decisions as SD

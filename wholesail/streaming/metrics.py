@@ -23,12 +23,6 @@ def window_metrics(events: DataFrame, ts: str = "ts", width: str = "5 minutes",
              "events", "value_sum", "value_p99")
 
 
-def closed_windows(metrics: DataFrame, events: DataFrame, ts: str, delay_us: int) -> DataFrame:
-    """Batch twin of an append-mode stream: windows whose end ≤ max(ts) − watermark delay."""
-    wm = events.agg((F.unix_micros(F.max(ts)) - F.lit(delay_us)).alias("_wm"))
-    return metrics.crossJoin(F.broadcast(wm)).filter(F.unix_micros("window_end") <= F.col("_wm")).drop("_wm")
-
-
 def late_share(events: DataFrame, ts: str, arrival: str, delay_us: int) -> DataFrame:
     """M7: share of rows that arrive after the watermark had passed them
     (event time < max event time seen at an earlier arrival − delay)."""
