@@ -119,15 +119,17 @@ def _hashed(classes: DataFrame) -> DataFrame:
                 each = np.repeat(np.arange(part.num_rows), TABLES * PROBES)
                 t = np.tile(np.repeat(np.arange(TABLES), PROBES), part.num_rows)
                 lives = np.tile(np.arange(PROBES) == 0, part.num_rows * TABLES)
-                take = pa.array(each)
+                once = lives | (code != code[:, :, :1]).ravel()  # probes that tiny dimensions lack repeat the first
+                take = pa.array(each[once])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(k).take(take) for k in ("k1", "k2", "label", "dim")] + [pa.array(t, pa.int32()), pa.array(code.ravel()), pa.array(lives)],
+                    [part.column(k).take(take) for k in ("k1", "k2", "label", "dim")]
+                    + [pa.array(t[once], pa.int32()), pa.array(code.ravel()[once]), pa.array(lives[once])],
                     ["k1", "k2", "label", "dim", "t", "code", "lives"],
                 )
 
     label = dict(classes.dtypes)["label"]
     rows = classes.select("k1", "k2", "label", F.size("vec").alias("dim"), "vec")
-    return rows.mapInArrow(run, f"k1 long, k2 long, label {label}, dim int, t int, code long, lives boolean").dropDuplicates()
+    return rows.mapInArrow(run, f"k1 long, k2 long, label {label}, dim int, t int, code long, lives boolean")
 
 
 def _met(classes: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def _met(classes: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("k1", "k2"), blocks).cast("int")
     met = hashed.join(sizes, bucket).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     key = F.xxhash64(*bucket, F.least("own", "other"), F.greatest("own", "other"))
-    met = met.select("k1", "k2", "t", "code", "lives", "own", (F.col("members") > BLOCK).alias("cut"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), key.alias("key"))
+    met = met.select("k1", "k2", "t", "code", "lives", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), key.alias("key"))
     return met.join(classes, ["k1", "k2"])
 
 
