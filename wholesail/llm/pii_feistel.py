@@ -43,10 +43,15 @@ class Permutation:
         self.half = math.isqrt(size - 1) + 1
         self.key = hashlib.blake2b(tweak.encode(), key=hashlib.sha256(key).digest(), digest_size=32).digest()
         self.bytes = (self.half.bit_length() + 7) // 8 + 1
+        self.drawn = max(24, self.bytes + 8)  # at least 64 bits more than half has, so that all its digits change alike
 
     def _round(self, r: int, x: int) -> int:
-        h = hashlib.blake2b(bytes([r]) + x.to_bytes(self.bytes, "big"), key=self.key, digest_size=24)
-        return int.from_bytes(h.digest(), "big") % self.half
+        given = bytes([r]) + x.to_bytes(self.bytes, "big")
+        if self.drawn <= 24:
+            h = hashlib.blake2b(given, key=self.key, digest_size=24).digest()
+        else:
+            h = hashlib.shake_256(self.key + given).digest(self.drawn)
+        return int.from_bytes(h, "big") % self.half
 
     def _forward(self, x: int) -> int:
         a, b = divmod(x, self.half)
