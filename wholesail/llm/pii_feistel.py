@@ -13,7 +13,8 @@ pseudonym would make it valid, the permutation is walked on, so the inverse stay
 another pseudonym than elsewhere.
 
 Kinds: card (13 to 19 digits, Luhn), iban (mod 97), ssn, phone (international or bracketed area code), ip (IPv4),
-date (calendar, 1900 to 2099), email (the part before the registered domain), secret (keys and quoted
+date (calendar, 1900 to 2099; it keeps whether month and day are below 10 and the day above 12, so all writings of a day
+have one pseudonym; 05/06/2020 is read month first), email (the part before the registered domain), secret (keys and quoted
 tokens; each character within its class).  A narrow pass over the documents, nothing is shuffled.
 """
 
@@ -213,10 +214,9 @@ class Pseudonyms:
             return None
         if not FIRST <= day <= LAST:
             return None
-        # 13/02/2020 can only be read day first: its pseudonym keeps that
-        valid = (lambda x: (FIRST + dt.timedelta(x)).day > 12) if form == "dmy" and sep == "/" else None
-        new = FIRST + dt.timedelta(self.permute(f"date/{form if valid else 'any'}", (day - FIRST).days, (LAST - FIRST).days + 1, valid))
-        y, mo, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+        x = self.permute("date/any", (day - FIRST).days, (LAST - FIRST).days + 1, lambda x: _date_class(FIRST + dt.timedelta(x)) == _date_class(day))
+        new = FIRST + dt.timedelta(x)
+        y, mo, d = f"{new.year:04d}", f"{new.month:0{len(mo)}d}", f"{new.day:0{len(d)}d}"
         return sep.join((y, mo, d) if form == "ymd" else (mo, d, y) if form == "mdy" else (d, mo, y))
 
     def email(self, m: re.Match) -> str | None:
@@ -324,6 +324,11 @@ def _iban_readings(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]
         yield lo, hi, [(b - lo, e - lo) for _, b, _, e in sorted(ordered)]
 
 
+def _date_class(day: dt.date) -> tuple[bool, bool, bool]:
+    """What a date keeps: a month and a day of one digit can be written so again, and 13/02/2020 can only be read day first."""
+    return day.month < 10, day.day < 10, day.day > 12
+
+
 def _ssn(d: str) -> bool:
     return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
 
@@ -350,7 +355,7 @@ KINDS = [
     ("secret", re.compile(r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key|token)\b)\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9_/+-]{8,})")),
     ("iban", _IBAN_RUN),
     ("card", _CARD_RUN),
-    ("date", re.compile(r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([/.-])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])")),
+    ("date", re.compile(r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([/.-])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])")),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\+(?P<country>1|7|[2-9][0-9]{1,2})[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
