@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -38,6 +39,13 @@ def test_later_models_use_earlier_probabilities():
     assert ((p[:, 1] >= 0.5) == z[:, 1]).mean() > 0.85
 
 
+def test_thousands_of_significant_features_are_kept():
+    bad, good = np.arange(3000, dtype=np.int32), np.arange(3000, 6000, 60, dtype=np.int32)
+    y = np.array([[1], [0]] * 40)
+    assert len(C.fit([bad, good] * 40, y, ("a",), np.arange(80) % C.FOLDS).columns) == 3050
+    assert inspect.signature(C.train).parameters["max_rows"].default == 8_000
+
+
 def test_one_class_or_nothing_gives_base_rates():
     s, f, y = sets(50, 3)
     assert (C.fit(f, y * 0, ("a", "b"), np.arange(50) % C.FOLDS).predict(s) < 0.01).all()
