@@ -6,7 +6,8 @@ training document's from models that did not see it), so a later model learns ho
 new documents.
 
 The last category is the label ``toxic``.  The labels know no finer ones, so the earlier categories are weak
-labels: a toxic document is of a category if it holds one of its words (``CATEGORIES``, a parameter).  The
+labels: a toxic document is of a category if it holds one of its words (``CATEGORIES``, a parameter; the given ones are
+English, so toxic documents in other languages are learnt as of neither).  The
 features are found in training and not listed: lower-case words and their 4- and 5-character prefixes,
 hashed; of them the models see those whose share among toxic and other training documents differs
 significantly.
