@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from wholesail.operators.features import session_funnel
 from wholesail.operators.windows import latest_by
 from wholesail.streaming.metrics import late_share
 
@@ -16,6 +17,18 @@ def test_latest_status_ties_break_on_event_id(spark):
     assert got == {"o1": "OrderDelivered", "o2": "OrderReturned"}
 
 
+def test_events_without_a_session_id_make_sessions_by_pauses(spark):
+    at = lambda minutes: T + dt.timedelta(minutes=minutes)
+    rows = [(None, "c1", "screen_view", 5, False, at(0)), (None, "c1", "product_search", 5, True, at(20)), (None, "c1", "screen_view", 5, False, at(90)),
+            (None, "c2", "screen_view", 5, False, at(10)), ("s", "c1", "screen_view", 5, False, at(0)), ("s", "c1", "screen_view", 5, False, at(300)),
+            (None, "c1", "screen_view", 5, False, None)]
+    df = spark.createDataFrame(rows, "session_id string, customer_id string, event_subtype string, session_duration_seconds int, "
+                                     "led_to_order boolean, timestamp timestamp")
+    got = sorted((tuple(r) for r in session_funnel(df).collect()), key=repr)
+    assert got == sorted([(None, "c1", 2, 1, 1, 10, True, at(0)), (None, "c1", 1, 1, 0, 5, False, at(90)), (None, "c2", 1, 1, 0, 5, False, at(10)),
+                          ("s", "c1", 2, 2, 0, 10, False, at(0)), (None, "c1", 1, 1, 0, 5, False, None)], key=repr)
+
+
 def test_late_share(spark):
     # arrival batches 0,1,2; batch 1 carries an event 3 days older than batch 0's newest row
     rows = [(0, T + dt.timedelta(days=5)), (0, T + dt.timedelta(days=6)),

@@ -145,15 +145,22 @@ def category_lift(lines: DataFrame, category: str = "demand_class") -> DataFrame
 
 
 def session_funnel(app_events: DataFrame) -> DataFrame:
-    """Per session — views, searches, duration, whether it led to an order."""
-    return app_events.groupBy("session_id", "customer_id").agg(
+    """Per session — views, searches, duration, whether it led to an order.
+
+    Events without a session id are of one session while their customer pauses for less than 30 minutes (those
+    without a time either: one per customer)."""
+    timed = F.col("session_id").isNull() & F.col("timestamp").isNotNull()
+    figures = [
         F.count(F.lit(1)).alias("events"),
         F.count_if(F.col("event_subtype") == "screen_view").alias("views"),
         F.count_if(F.col("event_subtype") == "product_search").alias("searches"),
         F.sum("session_duration_seconds").cast("long").alias("duration_seconds"),
         F.max(F.col("led_to_order").cast("int")).cast("boolean").alias("led_to_order"),
         F.min("timestamp").alias("started_at"),
-    )
+    ]
+    named = app_events.filter(~timed).groupBy("session_id", "customer_id").agg(*figures)
+    paused = app_events.filter(timed).groupBy("session_id", "customer_id", F.session_window("timestamp", "30 minutes")).agg(*figures)
+    return named.unionByName(paused.drop("session_window"))
 
 
 def visit_gaps(visits: DataFrame, overdue_days: int = 30) -> DataFrame:
