@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import exact_dual_tree, mixing, near_cross_polytope, near_order_minhash, pii_feistel, quality_pu, sentencepiece_rounds, token_attribution, toxicity_chain, url_link_trust
+from . import conversation_trie, exact_dual_tree, mixing, near_cross_polytope, near_order_minhash, pii_feistel, quality_pu, sentencepiece_rounds, target_resampling, token_attribution, token_wavelet, toxicity_chain, url_link_trust
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.score(docs, quality_pu.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(table(configure(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_wavelet.encoded(table(configure(spark), sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes(table(configure(spark), sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_pseudonyms": op1_pii_pseudonyms,
     "op2_cross_polytope": op2_cross_polytope,
@@ -67,9 +79,14 @@ QUERIES: dict[str, Query] = {
     "op8_url_trust": op8_url_trust,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_token_wavelet": op12_token_wavelet,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLE: dict[str, str] = {
     "op4_dual_tree": exact_dual_tree.ORACLE,
     "op6_source_mix": mixing.ORACLE,
     "op8_url_trust": url_link_trust.ORACLE,
+    "op11_target_resampling": target_resampling.ORACLE,
+    "op13_conversation_trie": conversation_trie.ORACLE,
 }
