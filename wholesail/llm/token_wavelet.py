@@ -32,7 +32,6 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +42,10 @@ END_ID = 2
 SHARD_TOKENS = 2_000_000
 BLOCK_BITS = 1 << 15
 MAGIC = b"WVM1"
-_CACHED = 300_000  # chunks and pieces of text whose ids a task remembers
-_LONG = 48  # longer chunks are not remembered
+_CACHED = 600_000  # pieces of text whose ids a worker remembers
+_LONG = 48  # longer ones are not remembered
+RANGE_DOCS = 8192  # documents in a range of ids
+MOST_RANGES = 16_384
 
 
 # -- wavelet matrix in one file ----------------------------------------------------------------------
@@ -207,10 +208,11 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-# what the tokenizer's own pattern does in chunks of these characters, all composed letters with one lower-case
-# letter each; anything else goes to the library as it stands
-_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+# what the tokenizer's own pattern does in texts of these characters, all composed letters with one lower-case letter
+# each; a chunk with anything else goes to the library as it stands
+_ODD = re.compile("[^ -~\n\t\rÀ-ÖØ-öø-įı-ſ]|<[|]")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ \n\t\r]+")
+_BLANK = re.compile("[ \n\t\r]+")
 
 
 class Encoder:
@@ -221,61 +223,66 @@ class Encoder:
     plain chunk's are those of its pieces."""
 
     def __init__(self, path: str):
+        from tokenizers.pre_tokenizers import ByteLevel
+
         self.tokenizer = _tokenizer(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a piece
-        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        letters = [chr(c) for c in range(0xC0, 0x180)]
+        spelt = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = str.maketrans({c: spelt.pre_tokenize_str(c)[0][0] for c in letters})  # as the model knows them
+        self.known: dict[str, bytes] = {}
 
-    def _ask(self, texts: list[str], into: dict[str, bytes]) -> None:
+    def _ask(self, texts: list[str]) -> None:
         for lo in range(0, len(texts), 4096):
             part = texts[lo : lo + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                into[c] = np.array(e.ids, dtype="<u4").tobytes()
+                self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def _ask_pieces(self, pieces: list[str]) -> None:
-        """Many pieces in one call, the ids parted where a piece ends."""
-        for lo in range(0, len(pieces), 1000):
-            part = pieces[lo : lo + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):
-                self._ask(part, self.pieces)
-                continue
-            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.pieces.update(zip(part, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
-
-    def _learn(self, new: set[str]) -> None:
-        plain = {c: _PIECE.findall(c.lower()) for c in new if _PLAIN.fullmatch(c) and "<|" not in c and len(c) <= _LONG}
-        self._ask([c for c in new if c not in plain], self.chunks)
-        need = {p for ps in plain.values() for p in ps}
-        fresh = [p for p in need if p not in self.pieces]
-        if len(self.pieces) + len(fresh) > _CACHED:
-            self.pieces.clear()
-            fresh = list(need)
-        self._ask_pieces(fresh)
-        get = self.pieces.__getitem__
-        for c, ps in plain.items():
-            self.chunks[c] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        """A piece is one word of the library's model, which merges it."""
+        merge, spelling = self.model.tokenize, self.spelling
+        for p in pieces:
+            ids = [t.id for t in merge(p if p.isascii() else p.translate(spelling))]
+            self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
+
+    @staticmethod
+    def _cut(text: str, odd: set[str]) -> list[str]:
+        """Pieces of a text; chunks that are not plain stay whole and are noted in ``odd``."""
+        if not _ODD.search(text):
+            return _PIECE.findall(text.lower())
+        out: list[str] = []
+        for chunk in _BLANK.split(text):
+            if _ODD.search(chunk):
+                odd.add(chunk)
+                out.append(chunk)
+            else:
+                out += _PIECE.findall(chunk.lower())
+        return out
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of every text; null and empty texts have none."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        known = self.chunks
-        new = {c for chunks in cut for c in chunks if c not in known}
+        odd: set[str] = set()
+        cut = [self._cut(t, odd) if t else [] for t in texts]
+        known = self.known
+        new = {p for pieces in cut for p in pieces if p not in known}
         if len(known) + len(new) > _CACHED:
             known.clear()
-            known[""] = b""
-            new = {c for chunks in cut for c in chunks if c}
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-        for c in new:
-            if len(c) > _LONG:
-                del known[c]
+            new = {p for pieces in cut for p in pieces}
+        self._ask_pieces([p for p in new if p not in odd])
+        self._ask([p for p in new if p in odd])
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for p in new:
+            if len(p) > _LONG:
+                del known[p]
         return out
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker: what a task has learnt (at most ``_CACHED`` pieces) serves the next."""
+    return Encoder(path)
+
+
 # -- on tables ---------------------------------------------------------------------------------------
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, n_bytes long"
 
@@ -285,51 +292,66 @@ def _open(file: str) -> Shard:
     return Shard(system.open_input_file(path))
 
 
-def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, range_docs: int = RANGE_DOCS) -> DataFrame:
     """Encode ``docs(doc_id, text, ..)`` into shard files below ``path`` (a shared folder as a URI; by default one of its own
-    in the checkpoint folder) in ascending doc_id order, null ids first, equal ids by a hash of their text.
+    in the checkpoint folder) in ascending doc_id order, null ids first, equal ids by the crc32 of their ids.
     Returns the stored manifest: ``part, seq`` (the shards' order), ``file, n_docs, n_tokens, n_bytes, start`` (ids
     before the shard).
 
-    Rows are parted by ranges of doc_id (Spark samples them) and encoded behind the exchange, so every text is encoded
-    once; a task holds one shard's ids.  A document longer than a shard makes a longer shard."""
+    Every text is encoded once, where it is read; only ids cross the network, to ranges of doc_id (quantiles of that
+    column).  A task holds one shard's ids; a range may give several shards, so a range of any size does.  A
+    document longer than a shard makes a longer shard."""
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
     home = (path or f"{checkpoint_dir(spark).rstrip('/')}/llm-token-shards-{uuid.uuid4().hex}").rstrip("/")
     home = home if "://" in home or home.startswith("file:") else f"file://{home}"
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = min(MOST_RANGES, 1 + own.select("doc_id").count() // range_docs)
+    cuts = own.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+    bounds = np.array(sorted(set(cuts or [])), dtype=np.int64)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = _encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        for piece in slices(batches, max_bytes=1 << 20):
+            ids = [i + end for i in encoder.encode(piece.column("text").to_pylist())]
+            name = piece.column("doc_id")
+            part = np.where(name.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, name.fill_null(0).to_numpy(), side="right"))
+            narrow = [a.astype("<u2").tobytes() if not len(a) or a.max() < 1 << 16 else b"\0" + a.tobytes() for a in (np.frombuffer(i, "<u4") for i in ids)]
+            cols = [pa.array(part.astype(np.int32)), name, pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(narrow, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "tie", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         names: list[int | None] = []
         held = seq = 0
+        now = -1
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(i) // 4 for i in ids], dtype=np.int64)
-            raw = shard_bytes(np.frombuffer(b"".join(ids), "<u4"), names, lengths)
-            file = f"{home}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.wvm"
+            lengths = np.array([len(i) for i in ids], dtype=np.int64)
+            raw = shard_bytes(np.concatenate(ids), names, lengths)
+            file = f"{home}/{now:06d}-{seq:06d}-{uuid.uuid4().hex}.wvm"
             system, inner = fs.FileSystem.from_uri(home)
             system.create_dir(inner, recursive=True)
             with system.open_output_stream(f"{inner}/{file.rsplit('/', 1)[1]}") as out:
                 out.write(raw)
-            row = {"part": part, "seq": seq, "file": file, "n_docs": len(names), "n_tokens": int(lengths.sum()), "n_bytes": len(raw)}
+            row = {"part": now, "seq": seq, "file": file, "n_docs": len(names), "n_tokens": int(lengths.sum()), "n_bytes": len(raw)}
             return pa.RecordBatch.from_pylist([row], _MANIFEST)
 
-        for piece in slices(batches, max_bytes=1 << 20):
-            for name, own in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist()), strict=True):
-                names.append(name)
-                ids.append(own + end)
-                held += len(ids[-1]) // 4
-                if held >= shard_tokens:
+        for b in batches:
+            for part, name, raw in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
+                if names and (part != now or held >= shard_tokens):
                     yield flush()
                     ids, names, held, seq = [], [], 0, seq + 1
+                if part != now:
+                    now, seq = part, 0
+                names.append(name)
+                ids.append(np.frombuffer(raw, "<u4", offset=1) if len(raw) % 2 else np.frombuffer(raw, "<u2").astype("<u4"))
+                held += len(ids[-1])
         if names:
             yield flush()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.withColumn("h", F.xxhash64("text"))
-    dealt = own.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    coded = own.mapInArrow(encode, "part int, doc_id long, tie long, ids binary")
+    dealt = coded.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie").select("part", "doc_id", "ids")
     return _with_starts(stored(dealt.mapInArrow(run, MANIFEST), "token-manifest"))
 
 
