@@ -66,8 +66,8 @@ def test_encoder_equals_the_library():
     texts = ODD + [None, ""] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 80))) for _ in range(1500)]
     e = W.Encoder(W.default_tokenizer())
     for _ in range(2):  # unknown and known pieces
-        assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == library(texts)
-    assert e.known and all(len(p) <= W._LONG for p in e.known)
+        assert [np.frombuffer(b, e.dtype).tolist() for b in e.encode(texts)] == library(texts)
+    assert e.pieces and all(len(p) <= W._LONG for known in (e.pieces, e.chunks, e.odd) for p in known)
 
 
 def expected(rows):

@@ -25,7 +25,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
@@ -42,7 +42,7 @@ END_ID = 2
 SHARD_TOKENS = 2_000_000
 BLOCK_BITS = 1 << 15
 MAGIC = b"WVM1"
-_CACHED = 600_000  # pieces of text whose ids a worker remembers
+_CACHED = 500_000  # chunks and pieces of text whose ids a worker remembers, of each
 _LONG = 48  # longer ones are not remembered
 RANGE_DOCS = 8192  # documents in a range of ids
 MOST_RANGES = 16_384
@@ -55,7 +55,7 @@ def shard_bytes(ids: np.ndarray, doc_ids: Sequence[int | None], lengths: np.ndar
     top = int(ids.max()).bit_length() if len(ids) else 0
     body, size, at, step = [MAGIC], [], len(MAGIC), BLOCK_BITS // 8
     ones, zeros = [], []  # ones before each block and all zeros, for every plane
-    order = ids.astype(np.uint16 if top <= 16 else np.uint32)
+    order = ids.astype(np.uint16 if top <= 16 else np.uint32, copy=False)
     for level in range(top):
         bit = (order & order.dtype.type(1 << (top - 1 - level))) != 0
         packed = np.packbits(bit, bitorder="little")
@@ -215,66 +215,56 @@ _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-
 _BLANK = re.compile("[ \n\t\r]+")
 
 
+class _Learnt(dict):
+    """Ids by text, little-endian; ``ask`` finds those of a text that is asked for the first time."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.ask(text)
+        if len(self) < _CACHED and len(text) <= _LONG:  # common texts come first
+            self[text] = out
+        return out
+
+
 class Encoder:
     """Ids of whole texts as the library gives them, asking it once for each distinct piece of text.
 
     This tokenizer's normaliser and pattern treat a blank only as a gap: no match, composition or special token
     holds or crosses one, so the ids of a text are those of its chunks between blanks, one after the other.  A
-    plain chunk's are those of its pieces."""
+    plain chunk's are those of its pieces, and a piece is one word of the library's model."""
 
     def __init__(self, path: str):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = _tokenizer(path)
-        self.model = self.tokenizer.model
-        letters = [chr(c) for c in range(0xC0, 0x180)]
+        self.merge = self.tokenizer.model.tokenize
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         spelt = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelling = str.maketrans({c: spelt.pre_tokenize_str(c)[0][0] for c in letters})  # as the model knows them
-        self.known: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> None:
-        for lo in range(0, len(texts), 4096):
-            part = texts[lo : lo + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _ask_pieces(self, pieces: list[str]) -> None:
-        """A piece is one word of the library's model, which merges it."""
-        merge, spelling = self.model.tokenize, self.spelling
-        for p in pieces:
-            ids = [t.id for t in merge(p if p.isascii() else p.translate(spelling))]
-            self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
-
-    @staticmethod
-    def _cut(text: str, odd: set[str]) -> list[str]:
-        """Pieces of a text; chunks that are not plain stay whole and are noted in ``odd``."""
-        if not _ODD.search(text):
-            return _PIECE.findall(text.lower())
-        out: list[str] = []
-        for chunk in _BLANK.split(text):
-            if _ODD.search(chunk):
-                odd.add(chunk)
-                out.append(chunk)
-            else:
-                out += _PIECE.findall(chunk.lower())
-        return out
+        self.spelling = str.maketrans({c: spelt.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x180))})  # as the model knows them
+        self.pieces, self.chunks, self.odd = _Learnt(self._piece), _Learnt(self._chunk), _Learnt(self._odd)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        return self._packed([t.id for t in self.merge(piece if piece.isascii() else piece.translate(self.spelling))])
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(chunk)))
+
+    def _odd(self, chunk: str) -> bytes:
+        if _ODD.search(chunk):
+            return self._packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        return self.chunks[chunk.lower()]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text; null and empty texts have none."""
-        odd: set[str] = set()
-        cut = [self._cut(t, odd) if t else [] for t in texts]
-        known = self.known
-        new = {p for pieces in cut for p in pieces if p not in known}
-        if len(known) + len(new) > _CACHED:
-            known.clear()
-            new = {p for pieces in cut for p in pieces}
-        self._ask_pieces([p for p in new if p not in odd])
-        self._ask([p for p in new if p in odd])
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for p in new:
-            if len(p) > _LONG:
-                del known[p]
-        return out
+        """Little-endian ids (``dtype``) of every text; null and empty texts have none."""
+        plain, odd = self.chunks.__getitem__, self.odd.__getitem__
+        return [b"" if not t else b"".join(map(odd, _BLANK.split(t)) if _ODD.search(t) else map(plain, t.lower().split())) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -311,14 +301,16 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     bounds = np.array(sorted(set(cuts or [])), dtype=np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder = _encoder(tokenizer)
+        kind = encoder.dtype if end_id <= np.iinfo(encoder.dtype).max else np.dtype("<u4")
+        end = np.array([end_id], dtype=kind).tobytes()
         for piece in slices(batches, max_bytes=1 << 20):
-            ids = [i + end for i in encoder.encode(piece.column("text").to_pylist())]
+            ids = encoder.encode(piece.column("text").to_pylist())
+            ids = [i + end for i in (ids if kind == encoder.dtype else [np.frombuffer(i, encoder.dtype).astype(kind).tobytes() for i in ids])]
             name = piece.column("doc_id")
             part = np.where(name.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, name.fill_null(0).to_numpy(), side="right"))
-            narrow = [a.astype("<u2").tobytes() if not len(a) or a.max() < 1 << 16 else b"\0" + a.tobytes() for a in (np.frombuffer(i, "<u4") for i in ids)]
-            cols = [pa.array(part.astype(np.int32)), name, pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(narrow, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "tie", "ids"])
+            cols = [pa.array(part.astype(np.int32)), name, pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array([kind.itemsize] * len(ids), pa.int32()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "tie", "width", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -338,20 +330,20 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
             return pa.RecordBatch.from_pylist([row], _MANIFEST)
 
         for b in batches:
-            for part, name, raw in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
+            for part, name, width, raw in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "width", "ids")), strict=True):
                 if names and (part != now or held >= shard_tokens):
                     yield flush()
                     ids, names, held, seq = [], [], 0, seq + 1
                 if part != now:
                     now, seq = part, 0
                 names.append(name)
-                ids.append(np.frombuffer(raw, "<u4", offset=1) if len(raw) % 2 else np.frombuffer(raw, "<u2").astype("<u4"))
+                ids.append(np.frombuffer(raw, f"<u{width}"))
                 held += len(ids[-1])
         if names:
             yield flush()
 
-    coded = own.mapInArrow(encode, "part int, doc_id long, tie long, ids binary")
-    dealt = coded.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie").select("part", "doc_id", "ids")
+    coded = own.mapInArrow(encode, "part int, doc_id long, tie long, width int, ids binary")
+    dealt = coded.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie").select("part", "doc_id", "width", "ids")
     return _with_starts(stored(dealt.mapInArrow(run, MANIFEST), "token-manifest"))
 
 
