@@ -121,3 +121,37 @@ def test_groups_without_any_id(spark):
     out = N.groups(data.docs(spark, rows)).collect()
     assert [r["group_id"] for r in out if r["doc_id"] is None] == [None] * 3
     assert N.keep_one(data.docs(spark, rows)).count() == 3  # one of each text without an id
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize("alphabet, size", [(1, 60), (2, 90), (5, 200), (400, 200)])
+def test_alignment_by_bits_equals_the_table(alphabet, size):
+    rng = np.random.default_rng(alphabet)
+    for _ in range(8):
+        x, y = (rng.integers(0, alphabet, int(rng.integers(1, size))) for _ in range(2))
+        by = np.argsort(y, kind="stable")
+        lo, hi = np.searchsorted(y[by], x, "left"), np.searchsorted(y[by], x, "right")
+        want = lcs(x.tolist(), y.tolist())
+        assert N._aligned_bits(lo, hi, by) == want == N._aligned(lo, hi, by, len(y), len(x))
+
+
+def test_long_repetitive_texts_align_in_seconds():
+    import time
+
+    head, tail = N.shingles("start of one"), N.shingles("another end here")
+    same = np.full(100_000, 7, dtype=np.uint64)
+    a, b = np.concatenate([head, same, tail]), np.concatenate([tail, same[:95_000], head])
+    began = time.process_time()
+    assert N.similarity(a, b) == pytest.approx(95_000 / (len(a) + len(b) - 95_000))
+    line = N.shingles("one two three four five six seven eight nine ten eleven twelve")
+    a, b = np.tile(line, 9000), np.tile(np.roll(line, 3), 8500)
+    assert N.similarity(a, b) > 0.8
+    assert time.process_time() - began < 20
