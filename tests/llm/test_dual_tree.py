@@ -60,11 +60,11 @@ def evaluated(x, queries):
     tree, q = N.CoverTree(x), N.CoverTree(x[:queries])
     seen, best = [], N.Best(queries, 5)
     offer = best.offer
-    best.offer = lambda lo, hi, s, ids: (seen.append(s.size), offer(lo, hi, s, ids))
+    best.offer = lambda at, s, ids: (seen.append(s.size), offer(at, s, ids))
     N.dual_search(q, q.order, tree, tree.order, best)
     full = q.x @ tree.x.T
     full[q.order[:, None] == tree.order[None, :]] = N.NONE
-    assert (best.score == -np.sort(-full, axis=1)[:, :5]).all()
+    assert (best.score == np.sort(full, axis=1)[:, :-6:-1]).all()
     return sum(seen) / (queries * len(x))
 
 
@@ -95,9 +95,9 @@ def test_tree_invariants(x):
 
 
 def test_pruning_follows_the_clusters():
-    assert evaluated(quantised(clustered(n=4000)), 200) < 0.2
-    assert evaluated(spread(0.3), 200) < 0.5
-    assert evaluated(spread(0.05), 200) < 0.1
+    assert evaluated(quantised(clustered(n=4000)), 200) < 0.35
+    assert evaluated(spread(0.3), 200) < 0.25
+    assert evaluated(spread(0.05), 200) < 0.15
 
 
 def test_stored_tree_is_the_tree():
