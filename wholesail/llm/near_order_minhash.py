@@ -40,6 +40,9 @@ SIGMAS = 4.5
 BLOCK = 4096
 STAR = 512
 GATHER = 512
+GATHER_SHINGLES = 1_000_000  # of the texts of a chunk of a gathering
+DENSE = 8  # matches a shingle from which alignment goes by bits
+MASK_BITS = 1 << 28
 NAMELESS = 1 << 62  # ids from here on stand for texts whose rows have no id
 
 _Q = np.uint64(0x9E3779B97F4A7C15)
@@ -131,6 +134,46 @@ def _candidates(sig: np.ndarray, n: np.ndarray, head: int, tail: np.ndarray, lea
     return near & (np.minimum(n[tail], n[head]) >= least * np.maximum(n[tail], n[head]))
 
 
+def _aligned(lo: np.ndarray, hi: np.ndarray, by: np.ndarray, above: int, below: int) -> int:
+    """Longest chain of matches that rises in both sequences; the i-th shingle matches places ``by[lo[i] : hi[i]]``.  Only places j
+    with ``-below <= j - i <= above`` (the band) count."""
+    tails: list[int] = []
+    for i in np.flatnonzero(hi > lo).tolist():
+        places = by[lo[i] : hi[i]]
+        if len(places) > 1:
+            places = places[np.searchsorted(places, i - below) : np.searchsorted(places, i + above, "right")][::-1]
+            places = places.tolist()
+        else:
+            j = int(places[0])
+            places = [j] if -below <= j - i <= above else []
+        for j in places:
+            k = bisect_left(tails, j)
+            if k == len(tails):
+                tails.append(j)
+            else:
+                tails[k] = j
+    return len(tails)
+
+
+def _aligned_bits(lo: np.ndarray, hi: np.ndarray, by: np.ndarray) -> int:
+    """The same without a band, for sequences of many repeats: one row of the alignment is one long integer, whose addition
+    carries a match on to the next free place (Hyyrö's bit-parallel longest common subsequence)."""
+    size = len(by)
+    row = every = (1 << size) - 1
+    masks: dict[int, int] = {}
+    for i in np.flatnonzero(hi > lo).tolist():
+        mask = masks.get(lo[i])
+        if mask is None:
+            bits = np.zeros(size, dtype=bool)
+            bits[by[lo[i] : hi[i]]] = True
+            mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if len(masks) * size < MASK_BITS:
+                masks[lo[i]] = mask
+        met = row & mask
+        row = ((row + met) | (row - met)) & every
+    return size - row.bit_count()
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Aligned shingles over all shingles, of two shingle sequences; exact where it is ``least`` or more, else
     some value below ``least``.  Only matches inside the band that ``least`` allows are aligned."""
@@ -152,24 +195,10 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
         by = np.argsort(y, kind="stable")
         sy = y[by]
         lo, hi = np.searchsorted(sy, x, "left"), np.searchsorted(sy, x, "right")
-        # a shingle of x at i may only meet places j of y with j - i inside the band
-        above, below = m - need, n - need
-        tails: list[int] = []
-        for i in np.flatnonzero(hi > lo).tolist():
-            places = by[lo[i] : hi[i]]
-            if len(places) > 1:
-                places = places[np.searchsorted(places, i - below) : np.searchsorted(places, i + above, "right")][::-1]
-                places = places.tolist()
-            else:
-                j = int(places[0])
-                places = [j] if -below <= j - i <= above else []
-            for j in places:
-                k = bisect_left(tails, j)
-                if k == len(tails):
-                    tails.append(j)
-                else:
-                    tails[k] = j
-        c += len(tails)
+        if int((hi - lo).sum()) > DENSE * (len(x) + len(y)):
+            c += _aligned_bits(lo, hi, by)
+        else:
+            c += _aligned(lo, hi, by, m - need, n - need)
     return c / (n + m - c)
 
 
@@ -283,11 +312,13 @@ def _settled(nodes: DataFrame, gathered: DataFrame, texts: DataFrame, least: flo
     """Verified links ``(a, b)`` that connect the components of ``nodes(id, n, sig, component)`` inside each gathering
     of ``gathered(node, component)``."""
     rows = nodes.join(gathered.select(F.col("node").alias("id"), F.col("component").alias("gathering")), "id")
-    sizes = rows.groupBy("gathering", "component").agg(F.count("*").alias("rows"))
+    # a chunk's load: rows and shingles, so that neither many texts nor long ones make it large
+    load = F.sum(F.lit(1.0) / GATHER + F.col("n") / GATHER_SHINGLES)
+    sizes = rows.groupBy("gathering", "component").agg(load.alias("load"))
     largest = sizes.groupBy("gathering").agg(
-        F.max_by("component", F.struct("rows", "component")).alias("largest"), F.max("rows").alias("inside"), F.sum("rows").alias("all")
+        F.max_by("component", F.struct("load", "component")).alias("largest"), F.max("load").alias("inside"), F.sum("load").alias("all")
     )
-    chunks = lambda c: F.greatest(F.lit(1), F.ceil(c / GATHER).cast("int"))
+    chunks = lambda c: F.greatest(F.lit(1), F.ceil(c).cast("int"))
     light, heavy = chunks(F.col("all") - F.col("inside")), chunks(F.col("inside"))
     cut = rows.join(largest, "gathering").withColumn("light", F.col("component") != F.col("largest"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("light"), light).otherwise(heavy)).cast("int"))
