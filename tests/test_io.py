@@ -30,9 +30,14 @@ def test_write_read_load_dir(spark):
 def test_bulk_keyed_load(spark):
     d = tempfile.mkdtemp(prefix="wholesail-test-kl-", dir="/tmp")
     df = spark.createDataFrame([("k2", 1), ("k1", 2), ("k2", 3), ("k3", 4)], "k string, v int")
-    assert bulk_keyed_load(df, f"{d}/t", "k") == 3
-    assert bulk_keyed_load(df, f"{d}/u", "k", limit=2) == 2
+    assert bulk_keyed_load(df, f"{d}/t", "k", "v") == 3
+    assert sorted(map(tuple, spark.read.parquet(f"{d}/t").collect())) == [("k1", 2), ("k2", 3), ("k3", 4)]  # the last put of k2
+    assert bulk_keyed_load(df, f"{d}/u", "k", "v", limit=2) == 2
     assert sorted(r[0] for r in spark.read.parquet(f"{d}/u").collect()) == ["k1", "k2"]
+    puts = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 0, "z"), (None, 9, "n")], "k string, v int, w string")
+    for n in (1, 4):  # ties by the other columns, whatever the partitions
+        assert bulk_keyed_load(puts.repartition(n), f"{d}/v{n}", "k", ["v"]) == 1
+        assert [tuple(r) for r in spark.read.parquet(f"{d}/v{n}").collect()] == [("a", 1, "y")]
 
 
 def test_size_budget_sample(spark):

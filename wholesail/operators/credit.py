@@ -2,57 +2,38 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalar import MICROS_PER_DAY
-from .sequential import sequential_scan
+from .joins import null_safe_join
+from .sequential import CHUNK, bounded_walk
 
 MAX_FAILED_ATTEMPTS = 3
 WRITE_OFF_DAYS = 180
 AGEING_BUCKETS = [(0, "current"), (1, "1-30"), (31, "31-60"), (61, "61-90"), (91, "90+")]
 
-CREDIT_OUT = T.StructType([
-    T.StructField("customer_id", T.StringType()), T.StructField("ts", T.TimestampType()),
-    T.StructField("kind", T.StringType()), T.StructField("order_id", T.StringType()),
-    T.StructField("amount", T.DoubleType()), T.StructField("accepted", T.BooleanType()),
-    T.StructField("used_after", T.DoubleType()),
-])
+UNITS_PER_CURRENCY = 10_000  # credit is counted in whole units of a hundredth of a cent
 
 
-def _credit_init() -> dict:
-    return {"used": 0.0, "open": {}}
-
-
-def _credit_step(r, st: dict):
-    ok = None
-    if r.kind == "order":
-        ok = st["used"] + float(r.amount) <= float(r.credit_limit)
-        if ok:
-            st["used"] += float(r.amount)
-            st["open"][r.order_id] = float(r.amount)
-    elif r.order_id in st["open"]:
-        st["used"] = max(0.0, st["used"] - st["open"].pop(r.order_id))
-    amount = None if pd.isna(r.amount) else float(r.amount)
-    return (r.customer_id, r.ts, r.kind, r.order_id, amount, ok, st["used"]), st
-
-
-def credit_check(orders: DataFrame, releases: DataFrame, customers: DataFrame) -> DataFrame:
+def credit_check(orders: DataFrame, releases: DataFrame, customers: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Accept an order if used + total ≤ limit; accepted orders add to used credit, their
-    delivery or cancellation releases it (floor 0).  Releases sort before orders at one instant.
-
-    orders(order_id, customer_id, created_at, total_value), releases(order_id, customer_id, timestamp)."""
-    lim = customers.select("customer_id", "credit_limit")
-    o = orders.select("customer_id", F.col("created_at").alias("ts"), "order_id",
-                      F.col("total_value").cast("double").alias("amount"), F.lit("order").alias("kind"),
-                      F.lit(1).alias("_k"))
-    r = releases.select("customer_id", F.col("timestamp").alias("ts"), "order_id",
-                        F.lit(None).cast("double").alias("amount"), F.lit("release").alias("kind"), F.lit(0).alias("_k"))
-    u = o.unionByName(r).join(lim, "customer_id", "left").withColumn(
-        "credit_limit", F.coalesce("credit_limit", F.lit(0.0)))
-    return sequential_scan(u, "customer_id", ["ts", "_k", "order_id"], _credit_init, _credit_step, CREDIT_OUT)
+    delivery or cancellation (the first after the order) releases it.  Releases sort before orders at one instant.
+
+    orders(order_id, customer_id, created_at, total_value), releases(order_id, customer_id, timestamp); a customer
+    without a limit has none to use.  The free credit is a bounded walk (``sequential``): an order takes from it, a
+    release gives its order's amount back if that was accepted."""
+    units = lambda c: F.round(F.col(c).cast("decimal(30,8)") * UNITS_PER_CURRENCY).cast("long")
+    o = orders.select("customer_id", F.col("created_at").alias("ts"), F.lit("order").alias("kind"), "order_id",
+                      F.col("total_value").cast("double").alias("value"), units("total_value").alias("amount"), F.lit(1).alias("_k"), F.lit(True).alias("take"))
+    r = releases.select("customer_id", F.col("timestamp").alias("ts"), F.lit("release").alias("kind"), "order_id",
+                        F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("amount"), F.lit(0).alias("_k"), F.lit(False).alias("take"))
+    room = customers.select("customer_id", units("credit_limit").alias("room"))
+    rows = o.unionByName(r).withColumn("tie", F.coalesce("order_id", F.lit("")))
+    walked = bounded_walk(rows, "customer_id", ["ts", "_k", "order_id"], room, chunk)
+    limit = null_safe_join(walked, room, ["customer_id"], "left")
+    used = (F.coalesce("room", F.lit(0)) - F.col("room_after")) / F.lit(float(UNITS_PER_CURRENCY))
+    return limit.select("customer_id", "ts", "kind", "order_id", F.col("value").alias("amount"), "accepted", used.alias("used_after"))
 
 
 def dunning(invoices: DataFrame, payments: DataFrame, writeoffs: DataFrame, as_of: DataFrame) -> DataFrame:

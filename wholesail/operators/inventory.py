@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalar import MICROS_PER_DAY
-from .sequential import sequential_scan
-from .windows import running_sum
+from .sequential import CHUNK, bounded_walk
+from .windows import carried, running_extreme, running_sums
 
 # Fixed values (inventory engine)
 SERVICE_LEVEL_Z = 1.645
@@ -76,6 +75,14 @@ def inventory_policy(lines: DataFrame, day: Column, lead_times: DataFrame, snaps
     )
 
 
+def open_orders(orders: DataFrame, now: DataFrame) -> DataFrame:
+    """``sku_id, on_order``: units ordered but not yet received at ``now`` (one row); an order without ``received_at`` is open.
+    ``orders(sku_id, po_at, received_at, quantity)``."""
+    o = orders.crossJoin(F.broadcast(now.select(F.col(now.columns[0]).alias("_now"))))  # one row
+    o = o.filter((F.col("po_at") <= F.col("_now")) & (F.col("received_at").isNull() | (F.col("received_at") > F.col("_now"))))
+    return o.groupBy("sku_id").agg(F.sum("quantity").cast("long").alias("on_order"))
+
+
 def elastic_quantity(base_qty: Column, price_change: Column, demand_class: Column) -> Column:
     """max(1, round-half-even(base · (1 + ε·Δp))) with ε by demand class (unknown → B)."""
     eps = F.coalesce(F.create_map(*[x for k, v in ELASTICITY.items() for x in (F.lit(k), F.lit(v))])[demand_class],
@@ -83,56 +90,54 @@ def elastic_quantity(base_qty: Column, price_change: Column, demand_class: Colum
     return F.greatest(F.lit(1), F.bround(base_qty * (F.lit(1.0) + eps * price_change), 0).cast("long"))
 
 
-# --- L12: allocation in arrival order ----------------------------------------------------------
-ALLOC_OUT = T.StructType([
-    T.StructField("sku_id", T.StringType()), T.StructField("timestamp", T.TimestampType()),
-    T.StructField("kind", T.StringType()), T.StructField("ref", T.StringType()),
-    T.StructField("quantity", T.LongType()), T.StructField("reserved", T.BooleanType()),
-    T.StructField("available_before", T.LongType()), T.StructField("level_after", T.LongType()),
-])
-
-
-def _allocate_init() -> dict:
-    return {"level": 0}
-
-
-def _allocate_step(r, st: dict):
-    before = st["level"]
-    ok = None
-    if r.kind == "receipt":
-        st["level"] += int(r.quantity)
-    else:
-        ok = before >= int(r.quantity)
-        if ok:
-            st["level"] -= int(r.quantity)
-    return (r.sku_id, r.timestamp, r.kind, r.ref, int(r.quantity), ok, before, st["level"]), st
-
-
-def allocate(receipts: DataFrame, demand: DataFrame) -> DataFrame:
+def allocate(receipts: DataFrame, demand: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per SKU in time order, a line is reserved if the level covers it, else it stocks out
     with the level as available quantity (later, smaller lines may still fit).
 
     receipts(sku_id, timestamp, ref, quantity), demand(sku_id, timestamp, ref, quantity);
-    receipts sort before demand at the same instant."""
-    r = receipts.select("sku_id", "timestamp", "ref", F.col("quantity").cast("long"), F.lit("receipt").alias("kind"),
-                        F.lit(0).alias("_k"))
-    d = demand.select("sku_id", "timestamp", "ref", F.col("quantity").cast("long"), F.lit("demand").alias("kind"),
-                      F.lit(1).alias("_k"))
-    u = r.unionByName(d)
-    return sequential_scan(u, "sku_id", ["timestamp", "_k", "ref", "quantity"], _allocate_init, _allocate_step,
-                           ALLOC_OUT)
+    receipts sort before demand at the same instant.  A SKU's rows are walked in chunks (``sequential``)."""
+    cols = ["sku_id", "timestamp", "ref", F.col("quantity").cast("long").alias("quantity"), F.col("quantity").cast("long").alias("amount")]
+    r = receipts.select(*cols, F.lit("receipt").alias("kind"), F.lit(0).alias("_k"), F.lit(False).alias("take"))
+    d = demand.select(*cols, F.lit("demand").alias("kind"), F.lit(1).alias("_k"), F.lit(True).alias("take"))
+    walked = bounded_walk(r.unionByName(d), "sku_id", ["timestamp", "_k", "ref", "quantity"], chunk=chunk)
+    return walked.select("sku_id", "timestamp", "kind", "ref", "quantity", F.col("accepted").alias("reserved"),
+                         F.col("room_before").alias("available_before"), F.col("room_after").alias("level_after"))
+
+
+UNITS = 1024  # width of the buckets on a SKU's line of backordered units
 
 
 def backorder_fulfilment(backorders: DataFrame, supply: DataFrame) -> DataFrame:
-    """FIFO — backorder i covers cumulative demand (D_i − q_i, D_i]; supply total S of the SKU
-    fills [0, S); the fulfilled part is the overlap.  D is a skew-safe running sum."""
-    b = running_sum(backorders.select("sku_id", "timestamp", "order_id", F.col("shortfall").cast("long")),
-                    "sku_id", ["timestamp", "order_id", "shortfall"], "shortfall", out="_D")
-    s = supply.groupBy("sku_id").agg(F.sum("quantity").cast("long").alias("_S"))
-    j = b.join(s, "sku_id", "left")
-    prev = F.col("_D") - F.col("shortfall")
-    filled = F.least(F.col("shortfall"), F.greatest(F.lit(0), F.coalesce(F.col("_S"), F.lit(0)) - prev))
-    return j.select("sku_id", "order_id", "timestamp", "shortfall", filled.cast("long").alias("fulfilled"))
+    """Which supply filled which backorder, and when.
+
+    A backorder means that nothing was left, so it waits for stock that arrives from then on; waiting backorders are
+    filled first come first served, in parts if need be, and supply that finds none waiting is not kept for
+    later ones.  So the units waiting are a queue: with X the running balance of backordered minus supplied units,
+    ``waiting = X - min(0, min X so far)``.  Demand and served supply are then two partitions of the same line of units
+    (backordered so far, served so far); every cut between them is one fill.
+
+    ``backorders(sku_id, timestamp, order_id, shortfall)``, ``supply(sku_id, timestamp, ref, quantity)``; supply comes first at one
+    instant.  Returns ``sku_id, order_id, timestamp, shortfall, quantity, fulfilled_at, ref``, one row per fill, and one with
+    null ``fulfilled_at`` for what is still open.  Rows of 0 units or less do not count.  All running figures are kept per
+    (SKU, day) or per (SKU, ``UNITS`` units), never per SKU."""
+    b = backorders.filter("shortfall > 0").select("sku_id", "timestamp", F.lit(1).alias("k"), F.col("order_id").alias("ref"), F.col("shortfall").cast("long").alias("n"))
+    s = supply.filter("quantity > 0").select("sku_id", "timestamp", F.lit(0).alias("k"), "ref", F.col("quantity").cast("long").alias("n"))
+    order = ["timestamp", "k", "ref", "n"]
+    u = b.unionByName(s).withColumn("dd", F.when(F.col("k") == 1, F.col("n")).otherwise(0)).withColumn("dx", F.when(F.col("k") == 1, F.col("n")).otherwise(-F.col("n")))
+    u = running_sums(u, "sku_id", order, {"d": "dd", "x": "dx"})
+    u = running_extreme(u, "sku_id", order, "x", "low", smallest=True, before=True)
+    waited = F.col("x") - F.col("dx") - F.least(F.lit(0), F.coalesce("low", F.lit(0)))
+    u = u.withColumn("waited", waited)
+    fill = F.struct(F.col("timestamp").alias("fulfilled_at"), F.col("ref"))
+    fills = u.filter("k = 0 and waited > 0").select("sku_id", (F.col("d") - F.greatest(F.lit(0), F.col("waited") - F.col("n"))).alias("at"), fill.alias("fill"))
+    need = F.struct(F.col("ref").alias("order_id"), "timestamp", F.col("n").alias("shortfall"))
+    needs = u.filter("k = 1").select("sku_id", F.col("d").alias("at"), need.alias("need"))
+    cuts = needs.unionByName(fills, allowMissingColumns=True).groupBy("sku_id", "at").agg(F.first("need", ignorenulls=True).alias("need"), F.first("fill", ignorenulls=True).alias("fill"))
+    cuts = running_extreme(cuts, "sku_id", ["at"], "at", "from", bucket=F.expr(f"at div {UNITS}"), before=True)
+    cuts = cuts.withColumn("back", -F.col("at"))  # the demand and the supply that a cut's units belong to end at or behind it
+    cuts = carried(cuts, "sku_id", ["back"], ["need", "fill"], bucket=-F.expr(f"at div {UNITS}"))
+    quantity = F.col("at") - F.coalesce("from", F.lit(0))
+    return cuts.select("sku_id", "need.order_id", "need.timestamp", "need.shortfall", quantity.alias("quantity"), "fill.fulfilled_at", "fill.ref")
 
 
 def supplier_lead_times(pos: DataFrame, receipts: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def timestamp_column(df: DataFrame) -> str:
     for c in TIMESTAMP_PRIORITY:
         if c in df.columns:
             return c
-    raise ValueError(f"no known timestamp column for date_window filter; available: {df.columns}")
+    raise ValueError(f"a window of days needs one of {', '.join(TIMESTAMP_PRIORITY)}; the table has {', '.join(df.columns)}")
 
 
 def date_window(df: DataFrame, anchor: DataFrame, days: int) -> DataFrame:
@@ -170,7 +170,7 @@ def strata_columns(df: DataFrame, stratify_by: Sequence[str]) -> tuple[DataFrame
         elif c in df.columns:
             cols.append(c)
         else:
-            raise ValueError(f"stratify column '{c}' not found; available: {df.columns}")
+            raise ValueError(f"cannot form strata by {c!r}: the anchor table has {', '.join(df.columns)}, and 'month' for created_at")
     return df, cols
 
 
@@ -265,8 +265,8 @@ def run_sampler(tables: dict[str, DataFrame], cfg: SamplerConfig, preserve_keys:
         got = {r["_sample"]: int(r["n"]) for r in a.groupBy("_sample").agg(F.count(F.lit(1)).alias("n")).collect()}
         for n_ in names:
             if got.get(n_, 0) < lo:
-                raise ValueError(f"split '{n_}' has {got.get(n_, 0):,} rows, below minimum {lo:,} "
-                                 f"(target={cfg.target_rows:,} ±{cfg.tolerance:.0%})")
+                raise ValueError(f"sample {n_!r} would hold {got.get(n_, 0)} anchor rows, and the run asks for {lo} to {hi}: "
+                                 "take more days, loosen the tolerance or ask for fewer rows")
         a = trim(a, akey, {n_: (cfg.target_rows if got[n_] > hi else got[n_]) for n_ in names})
 
     def derive(anchor: DataFrame) -> dict[str, DataFrame]:

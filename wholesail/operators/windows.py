@@ -142,3 +142,31 @@ def running_sums(df: DataFrame, key: str, order_cols: Sequence[str], values: dic
         res = res.withColumn(out, F.when(w_.isNull() & o_.isNull(), F.lit(None)).otherwise(
             F.coalesce(o_, F.lit(0)) + F.coalesce(w_, F.lit(0))))
     return res.drop("_bkt", *[f"_w_{o}" for o in values], *[f"_o_{o}" for o in values])
+
+
+def running_extreme(df: DataFrame, key: str, order_cols: Sequence[str], value: str, out: str, bucket: Column | None = None,
+                    smallest: bool = False, before: bool = False) -> DataFrame:
+    """Running maximum (or minimum) of ``value`` per ``key`` in ``order_cols`` order, nulls passed over; with ``before`` the
+    current row does not count.  Sorted per (key, bucket), stitched with one extreme per bucket, as ``running_sum``."""
+    agg, join = (F.min, F.least) if smallest else (F.max, F.greatest)
+    d = df.withColumn("_bkt", bucket if bucket is not None else F.date_trunc("day", F.col(order_cols[0])))
+    frame = (Window.unboundedPreceding, -1 if before else 0)
+    d = d.withColumn("_within", agg(value).over(Window.partitionBy(key, "_bkt").orderBy(*order_cols).rowsBetween(*frame)))
+    prior = Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = d.groupBy(key, "_bkt").agg(agg(value).alias("_x")).select(key, "_bkt", agg("_x").over(prior).alias("_off"))
+    res = null_safe_join(d, offsets, [key, "_bkt"], "left")
+    return res.withColumn(out, join("_off", "_within")).drop("_bkt", "_within", "_off")
+
+
+def carried(df: DataFrame, key: str, order_cols: Sequence[str], values: Sequence[str], bucket: Column | None = None) -> DataFrame:
+    """Every column of ``values`` replaced by its last value that is not null up to the row, per ``key`` in ``order_cols``
+    order: an as-of join that also reaches over buckets in which the key has no such row."""
+    d = df.withColumn("_bkt", bucket if bucket is not None else F.date_trunc("day", F.col(order_cols[0])))
+    within = Window.partitionBy(key, "_bkt").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    prior = Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    ends = d.groupBy(key, "_bkt").agg(
+        *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.struct(*order_cols))).alias(f"_x_{v}") for v in values])
+    offsets = ends.select(key, "_bkt", *[F.last(f"_x_{v}", ignorenulls=True).over(prior).alias(f"_o_{v}") for v in values])
+    res = null_safe_join(d.withColumns({f"_w_{v}": F.last(v, ignorenulls=True).over(within) for v in values}), offsets, [key, "_bkt"], "left")
+    res = res.withColumns({v: F.coalesce(f"_w_{v}", f"_o_{v}") for v in values})
+    return res.drop("_bkt", *[f"_w_{v}" for v in values], *[f"_o_{v}" for v in values])

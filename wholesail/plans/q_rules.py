@@ -10,8 +10,9 @@ from ..operators import features as L
 from ..operators import inventory as INV
 from ..operators import projections as P
 from ..operators import promotions as PR
+from ..sources.adapter import replenishment
 from ..sources.eventlog import read_events, typed
-from .oracle import D_US, cte, sql
+from .oracle import _CTES, D_US, cte, sql
 from .q_projections import log_of, tables_of
 from .registry import query
 
@@ -206,6 +207,37 @@ def q_price_index(spark, d):
                       F.round("index", 6).alias("index"))
 
 
+# --- L4: alerts among bursts ---------------------------------------------------------------------
+cte("burst_o", """
+SELECT order_id, concat('B-', strftime(created_at, '%Y%m')) AS customer_id,
+       make_timestamp(epoch_us(date_trunc('month', created_at)) + (epoch_us(created_at) - epoch_us(date_trunc('month', created_at))) // 8) AS created_at,
+       CASE WHEN k % 40 = 0 THEN round(total_value * (10 + k % 50), 2) ELSE total_value END AS total_value
+FROM (SELECT *, CAST(split_part(order_id, '-', 2) AS BIGINT) AS k FROM orders_t)""", ("orders_t",))
+for _name in ("feat_vel", "feat_prev"):
+    cte(f"{_name}_b", _CTES[_name][0].replace("feat_o", "burst_o"), ("burst_o",))
+
+
+def burst_orders(orders):
+    """The orders of a month as those of one buyer within its first days, one in 40 of many times its value."""
+    k = F.substring_index("order_id", "-", -1).cast("long")
+    month = F.unix_micros(F.date_trunc("month", "created_at"))
+    at = F.timestamp_micros(month + F.floor((F.unix_micros("created_at") - month) / 8).cast("long"))
+    value = F.when(k % 40 == 0, F.round(F.col("total_value") * (F.lit(10) + k % 50), 2)).otherwise(F.col("total_value"))
+    return orders.select("order_id", F.concat(F.lit("B-"), F.date_format("created_at", "yyyyMM")).alias("customer_id"), at.alias("created_at"), value.alias("total_value"))
+
+
+@query("fraud_alerts", sql(f"""
+SELECT order_id, customer_id, round(s, 4) AS fraud_score, CASE WHEN s >= 0.9 THEN 'rejected' ELSE 'flagged' END AS action,
+       CASE WHEN velocity_24h >= 3 THEN 'velocity' ELSE 'amount_spike' END AS fraud_type
+FROM (SELECT o.order_id, o.customer_id, v.velocity_24h,
+             {FRAUD_SCORE_SQL.format(v='v.velocity_24h', avg='p.avg_prev', val='o.total_value', risk='0.0::DOUBLE')} AS s
+      FROM burst_o o JOIN feat_vel_b v ON o.order_id = v.order_id JOIN feat_prev_b p ON o.order_id = p.order_id)
+WHERE s >= 0.8""", "burst_o", "feat_vel_b", "feat_prev_b"), "L4")
+def q_fraud_alerts(spark, d):
+    t = tables_of(spark, d)
+    return L.fraud_alerts(L.order_features(burst_orders(t["orders"]), t["customers"]))
+
+
 # --- L5–L7, L12, L13, L22 ------------------------------------------------------------------------
 cte("inv_st", """
 SELECT s.sku_id, CAST(s.sx AS DOUBLE) / n.n AS avg_daily_demand,
@@ -294,22 +326,79 @@ def q_allocation(spark, d):
     return INV.allocate(receipts, demand)
 
 
+cte("bo_need", """
+SELECT sku_id, timestamp, order_id, requested_quantity - available_quantity AS shortfall
+FROM stockouts_t WHERE resolution = 'backorder' AND requested_quantity > available_quantity""", ("stockouts_t",))
+cte("bo_po", """
+SELECT sku_id, concat('RPO-', pk, '-', strftime(month, '%Y%m')) AS ref, month + INTERVAL 1 MONTH AS po_at,
+       month + INTERVAL 1 MONTH + to_days(CAST(7 + pk % 14 + pk % 5 AS INTEGER)) AS received_at, open * 4 // 5 + 1 AS quantity
+FROM (SELECT sku_id, CAST(split_part(sku_id, '-', 2) AS BIGINT) AS pk, date_trunc('month', timestamp) AS month, CAST(sum(shortfall) AS BIGINT) AS open
+      FROM bo_need GROUP BY ALL)""", ("bo_need",))
+cte("bo_ev", """
+SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY timestamp, k, ref, n) AS rn FROM (
+  SELECT sku_id, timestamp, 1 AS k, order_id AS ref, shortfall AS n FROM bo_need
+  UNION ALL SELECT sku_id, received_at, 0, ref, quantity FROM bo_po
+  UNION ALL SELECT sku_id, received_at, 0, purchase_order_id, quantity FROM stock_po
+  UNION ALL SELECT sku_id, created_at + INTERVAL 1 HOUR, 0, order_id, quantity FROM lines
+            WHERE l_linestatus = 'F' AND orderstatus = 'P' AND l_orderkey % 25 = 0)""", ("bo_need", "bo_po", "stock_po", "lines"))
+cte("bo_walk", """
+SELECT sku_id, rn, timestamp, k, ref, n, CASE WHEN k = 1 THEN n ELSE CAST(0 AS BIGINT) END AS waiting, CAST(0 AS BIGINT) AS served
+FROM bo_ev WHERE rn = 1
+UNION ALL
+SELECT e.sku_id, e.rn, e.timestamp, e.k, e.ref, e.n, CASE WHEN e.k = 1 THEN w.waiting + e.n ELSE w.waiting - least(w.waiting, e.n) END,
+       CASE WHEN e.k = 0 THEN least(w.waiting, e.n) ELSE 0 END
+FROM bo_walk w JOIN bo_ev e ON e.sku_id = w.sku_id AND e.rn = w.rn + 1""", ("bo_ev",))
+
+
 @query("backorder_fulfilment", sql("""
-SELECT b.sku_id, b.order_id, b.timestamp, b.shortfall,
-       CAST(least(b.shortfall, greatest(0, coalesce(s.total, 0) - (b.d - b.shortfall))) AS BIGINT) AS fulfilled
-FROM (SELECT sku_id, order_id, timestamp, requested_quantity - available_quantity AS shortfall,
-             sum(requested_quantity - available_quantity) OVER (PARTITION BY sku_id
-                 ORDER BY timestamp, order_id, requested_quantity - available_quantity
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS d
-      FROM stockouts_t WHERE resolution = 'backorder') b
-LEFT JOIN (SELECT sku_id, sum(quantity) AS total FROM stock_po GROUP BY sku_id) s ON b.sku_id = s.sku_id""",
-    "stockouts_t", "stock_po"), "L13")
+SELECT d.sku_id, d.ref AS order_id, d.timestamp, d.n AS shortfall,
+       CAST(least(d.hi, f.hi) - greatest(d.hi - d.n, f.hi - f.served) AS BIGINT) AS quantity, f.timestamp AS fulfilled_at, f.ref
+FROM (SELECT *, sum(n) OVER (PARTITION BY sku_id ORDER BY rn) AS hi FROM bo_walk WHERE k = 1) d
+JOIN (SELECT *, sum(served) OVER (PARTITION BY sku_id ORDER BY rn) AS hi FROM bo_walk WHERE served > 0) f
+  ON f.sku_id = d.sku_id AND least(d.hi, f.hi) > greatest(d.hi - d.n, f.hi - f.served)
+UNION ALL
+SELECT d.sku_id, d.ref, d.timestamp, d.n, CAST(least(d.n, d.hi - coalesce(s.served, 0)) AS BIGINT), NULL, NULL
+FROM (SELECT *, sum(n) OVER (PARTITION BY sku_id ORDER BY rn) AS hi FROM bo_walk WHERE k = 1) d
+LEFT JOIN (SELECT sku_id, sum(served) AS served FROM bo_walk GROUP BY sku_id) s ON s.sku_id = d.sku_id
+WHERE d.hi > coalesce(s.served, 0)""", "bo_walk", recursive=True), "L13")
 def q_backorders(spark, d):
     log = log_of(spark, d)
-    so = tables_of(spark, d)["stockout_events"].filter(F.col("resolution") == "backorder").withColumn(
-        "shortfall", F.col("requested_quantity") - F.col("available_quantity"))
-    supply = typed(log, "StockReceived", ["sku_id", "quantity"])
-    return INV.backorder_fulfilment(so, supply)
+    need = open_backorders(spark, d)
+    received = typed(log, "StockReceived").select("sku_id", "timestamp", F.col("purchase_order_id").alias("ref"), "quantity")
+    released = typed(log, "StockReleased").select("sku_id", "timestamp", F.col("order_id").alias("ref"), "quantity")
+    again = replenishment(need).select("sku_id", F.col("received_at").alias("timestamp"), "ref", "quantity")
+    return INV.backorder_fulfilment(need, received.unionByName(released).unionByName(again))
+
+
+def open_backorders(spark, d):
+    short = F.col("requested_quantity") - F.col("available_quantity")
+    s = tables_of(spark, d)["stockout_events"].filter("resolution = 'backorder'")
+    return s.select("sku_id", "timestamp", "order_id", short.cast("long").alias("shortfall")).filter("shortfall > 0")
+
+
+@query("reorder_signals", sql("""
+SELECT sku_id, available, on_order, reorder_point, available <= reorder_point AND on_order <= 0 AS reorder,
+       greatest(CAST(1 AS BIGINT), CAST(ceil(greatest(CAST(eoq AS DOUBLE), reorder_point - (available + on_order) + safety_stock)) AS BIGINT)) AS order_quantity
+FROM (SELECT c.*, c.on_hand - coalesce(o.q, 0) AS available, coalesce(p.q, 0)::DOUBLE AS on_order
+      FROM inv_calc c
+      LEFT JOIN (SELECT sku_id, sum(quantity) AS q FROM lines WHERE l_linestatus = 'O' GROUP BY sku_id) o ON o.sku_id = c.sku_id
+      LEFT JOIN (SELECT sku_id, sum(quantity) AS q FROM bo_po, (SELECT max(created_at) AS now FROM ord)
+                 WHERE po_at <= now AND received_at > now GROUP BY sku_id) p ON p.sku_id = c.sku_id)""", "inv_calc", "bo_po", "lines", "ord"), "L6")
+def q_reorder(spark, d):
+    """L6 with stock that open lines have claimed and with purchase orders that are under way."""
+    log = log_of(spark, d)
+    li = lines_with_time(log)
+    lead = typed(log, "PurchaseOrderCreated", ["sku_id", "expected_lead_time_days"]).groupBy("sku_id").agg(
+        F.max("expected_lead_time_days").alias("lead_time_days"))
+    reserved = typed(log, "StockReserved", ["sku_id", "order_id", "quantity"]).groupBy("sku_id").agg(F.sum("quantity").alias("r"))
+    claimed = li.groupBy("sku_id").agg(F.sum("quantity").alias("q")).join(reserved, "sku_id", "left")
+    claimed = claimed.select("sku_id", (F.col("q") - F.coalesce("r", F.lit(0))).alias("claimed"))
+    stock = tables_of(spark, d)["inventory_snapshot"].join(claimed, "sku_id", "left")
+    stock = stock.withColumn("estimated_on_hand", F.col("estimated_on_hand") - F.coalesce("claimed", F.lit(0)))
+    now = tables_of(spark, d)["orders"].agg(F.max("created_at").alias("now"))
+    under_way = INV.open_orders(replenishment(open_backorders(spark, d)), now)
+    p = INV.inventory_policy(li, F.to_date("timestamp"), lead, stock, under_way)
+    return p.select("sku_id", F.col("on_hand").alias("available"), F.col("on_order"), "reorder_point", "reorder", "order_quantity")
 
 
 @query("supplier_lead_times", sql(f"""
@@ -445,7 +534,6 @@ def q_noisy_orders(spark, d):
 
 
 # The true trailing-90-day basket mean as the baseline (the seeded path uses RFM monetary)
-from .oracle import _CTES  # noqa: E402
 
 cte("enriched90", """
 SELECT e.* EXCLUDE (avg_basket_90d), m.mean_90d AS avg_basket_90d

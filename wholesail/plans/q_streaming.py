@@ -6,6 +6,7 @@ a fresh folder under the session's checkpoint directory; its result must equal t
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,12 +14,15 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from ..sources.eventlog import read_events
 from ..streaming import decisions as SD
+from ..streaming import fraud as SF
 from ..streaming import ingest as SI
 from ..streaming import lifecycle as SL
 from ..streaming import metrics as SM
+from .oracle import _CTES as CTES
 from .oracle import D_US, cte, sql
 from .q_decision import enriched
 from .q_projections import log_of, tables_of
+from .q_rules import FRAUD_SCORE_SQL
 from .registry import query
 
 STATUS_TYPES = ["OrderShipped", "OrderDelivered", "OrderCancelled", "OrderReturned", "InvoiceCreated"]
@@ -33,12 +37,13 @@ def q_stream_decisions(spark, d):
     base = scratch(spark, "decisions")
     SD.write_change_records(SD.change_records(enriched(spark, d)), f"{base}/source", files=4)
     SD.run_decisions(spark, f"{base}/source", f"{base}/out", f"{base}/_checkpoint")
-    return spark.read.parquet(f"{base}/out/actions").drop("batch_id", "actioned_at")
+    return spark.read.parquet(f"{base}/out/actions").drop("batch_id", "actioned_at", "bucket", "batch")
 
 
 @query("stream_event_metrics", sql(f"""
 SELECT make_timestamp(b * 300000000) AS window_start, make_timestamp(b * 300000000 + 300000000) AS window_end,
-       count(*) AS events, CAST(sum(CAST(value AS DECIMAL(20, 2))) AS DOUBLE) AS value_sum
+       count(*) AS events, CAST(sum(CAST(value AS DECIMAL(20, 2))) AS DOUBLE) AS value_sum,
+       list_sort(list(value))[CAST(ceil(count(*) * 0.99) AS BIGINT)] AS value_p99
 FROM (SELECT epoch_us(ts) // 300000000 AS b, value FROM events)
 GROUP BY b HAVING b * 300000000 + 300000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)""",), "M5 M7")
 def q_stream_metrics(spark, d):
@@ -49,7 +54,87 @@ def q_stream_metrics(spark, d):
     SM.write_time_sliced(ev, f"{base}/source", "ts", files=6)
     SM.run_window_stream(spark, f"{base}/source", ev.schema, f"{base}/out", f"{base}/_checkpoint",
                          watermark="10 minutes", width="5 minutes")
-    return spark.read.parquet(f"{base}/out").select("window_start", "window_end", "events", "value_sum")
+    # a window holds far fewer events than the sketch's accuracy, so its p99 is the exact one
+    return spark.read.parquet(f"{base}/out").select("window_start", "window_end", "events", "value_sum", "value_p99")
+
+
+@query("stream_late_share", sql("""
+SELECT count(*) AS rows, count(*) FILTER (late) AS late, count(*) FILTER (late) / count(*) AS late_share
+FROM (SELECT epoch_us(ts) < epoch_us(max(ts) OVER (ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)) - 600000000 AS late
+      FROM (SELECT CAST(ts AS TIMESTAMP) AS ts, CAST(ts AS TIMESTAMP) + to_seconds(event_id % 7 * 60 + CASE WHEN event_id % 97 = 0 THEN 7200 ELSE 0 END) AS arrival FROM events))"""), "M7")
+def q_late_share(spark, d):
+    """Events that arrive some minutes late, one in 97 two hours late, against a watermark of ten minutes."""
+    from ..sources.tables import load_table
+
+    ev = load_table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    delay = F.col("event_id") % 7 * 60 + F.when(F.col("event_id") % 97 == 0, 7200).otherwise(0)
+    ev = ev.withColumn("arrival", F.timestamp_micros(F.unix_micros("ts") + delay * 1_000_000))
+    return SM.late_share(ev, "ts", "arrival", 600_000_000)
+
+
+# --- the decision chain over a stream with faults -----------------------------------------------------
+cte("enriched_f", """
+SELECT * REPLACE (CASE WHEN k % 23 = 0 THEN 0.5::DOUBLE ELSE fraud_score END AS fraud_score,
+                  CASE WHEN k % 23 = 0 THEN NULL ELSE customer_segment END AS customer_segment)
+FROM (SELECT *, CAST(split_part(order_id, '-', 2) AS BIGINT) AS k FROM enriched)
+WHERE k % 11 <> 0 AND k % 17 <> 0 AND k % 19 <> 0 AND k % 29 <> 0""", ("enriched",))
+for _name, _from in (("factors", "enriched"), ("scored", "factors"), ("decided", "scored"), ("routed", "decided"), ("audit_t", "routed")):
+    cte(f"{_name}_f", re.sub(rf"\b{_from}\b", f"{_from}_f", CTES[_name][0]), tuple(f"{x}_f" if x == _from else x for x in CTES[_name][1]))
+cte("faulty", """
+SELECT order_id, CAST(split_part(order_id, '-', 2) AS BIGINT) AS k, created_at + to_days(CAST(3 * r.r AS INTEGER)) AS at
+FROM orders_t, (SELECT unnest([0, 1]) AS r) r WHERE r.r = 0 OR CAST(split_part(order_id, '-', 2) AS BIGINT) % 13 = 0""", ("orders_t",))
+_RUNS: dict[tuple[str, str], str] = {}
+
+
+def faulty_records(enriched_orders):
+    """Change records with faults by order number k: no number as amount (k % 11 = 0), delivered again three days later
+    (13), no id anywhere (17), REMOVE (19), sentinels for segment and fraud score (23), no image (29)."""
+    k = F.substring_index("order_id", "-", -1).cast("long")
+    r = SD.change_records(enriched_orders).withColumn("k", k)
+    img = F.col("new_image")
+    img = img.withField("total_amount", F.when(F.col("k") % 11 == 0, F.concat(img["total_amount"], F.lit("x"))).otherwise(img["total_amount"]))
+    img = img.withField("customer_segment", F.when(F.col("k") % 23 == 0, "None").otherwise(img["customer_segment"]))
+    img = img.withField("fraud_score", F.when(F.col("k") % 23 == 0, "nan").otherwise(img["fraud_score"]))
+    img = img.withField("order_id", F.when(F.col("k") % 17 == 0, "").otherwise(img["order_id"]))
+    r = r.withColumn("new_image", F.when(F.col("k") % 29 != 0, img))
+    r = r.withColumn("order_id", F.when(F.col("k") % 17 != 0, F.col("order_id")))
+    r = r.withColumn("event_name", F.when(F.col("k") % 19 == 0, "REMOVE").when(F.col("k") % 2 == 0, "MODIFY").otherwise("INSERT"))
+    again = r.filter("k % 13 = 0").withColumn("approximate_ts", F.col("approximate_ts") + F.expr("interval 3 days"))
+    return r.unionByName(again).drop("k")
+
+
+def faulty_run(spark, d) -> str:
+    """The chain over the faulty stream, once a session and source."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RUNS:
+        base = scratch(spark, "faulty")
+        SD.write_change_records(faulty_records(enriched(spark, d)), f"{base}/source", files=4)
+        SD.run_decisions(spark, f"{base}/source", f"{base}/out", f"{base}/_checkpoint")
+        _RUNS[key] = f"{base}/out"
+    return _RUNS[key]
+
+
+@query("stream_faulty_actions", sql("SELECT * FROM audit_t_f", "audit_t_f"), "M3 M4 J9 B8")
+def q_faulty_actions(spark, d):
+    return spark.read.parquet(f"{faulty_run(spark, d)}/actions").drop("batch_id", "actioned_at", "bucket", "batch")
+
+
+@query("stream_faulty_quarantine", sql("""
+SELECT f.order_id, f.at AS approximate_ts, e.customer_id
+FROM faulty f JOIN enriched e USING (order_id)
+WHERE k % 11 = 0 AND k % 17 <> 0 AND k % 19 <> 0 AND k % 29 <> 0""", "faulty", "enriched"), "M4 B5")
+def q_faulty_quarantine(spark, d):
+    return spark.read.parquet(f"{faulty_run(spark, d)}/quarantine").select("order_id", "approximate_ts", "customer_id")
+
+
+@query("stream_faulty_summary", sql("""
+SELECT count(DISTINCT order_id) FILTER (ok AND k % 11 <> 0) AS processed,
+       count(*) - count(DISTINCT order_id) FILTER (ok AND k % 11 <> 0) - count(*) FILTER (ok AND k % 11 = 0) AS skipped,
+       count(*) FILTER (ok AND k % 11 = 0) AS errors
+FROM (SELECT *, k % 17 <> 0 AND k % 19 <> 0 AND k % 29 <> 0 AS ok FROM faulty)""", "faulty"), "J10 M4")
+def q_faulty_summary(spark, d):
+    s = spark.read.parquet(f"{faulty_run(spark, d)}/summaries")
+    return s.agg(*[F.sum(c).cast("long").alias(c) for c in ("processed", "skipped", "errors")])
 
 
 cte("lcs_cand", f"""
@@ -124,3 +209,16 @@ def q_stream_order_windows(spark, d):
                          watermark="1 day", width="24 hours", slide="6 hours", by=("customer_id",))
     return spark.read.parquet(f"{base}/out").select("customer_id", "window_start", "window_end", "events",
                                                     "value_sum")
+
+
+@query("stream_fraud_features", sql(f"""
+SELECT o.order_id, o.customer_id, v.velocity_24h, p.avg_prev,
+       {FRAUD_SCORE_SQL.format(v='v.velocity_24h', avg='p.avg_prev', val='o.total_value', risk='coalesce(c.risk_score, 0.0::DOUBLE)')} AS fraud_model_score
+FROM feat_o o JOIN feat_vel v ON o.order_id = v.order_id JOIN feat_prev p ON o.order_id = p.order_id
+LEFT JOIN cust c ON o.customer_id = c.customer_id""", "feat_o", "feat_vel", "feat_prev", "cust"), "M8 L1 L2 L3")
+def q_stream_fraud(spark, d):
+    o = tables_of(spark, d)["orders"].select("order_id", "customer_id", "created_at", "total_value")
+    base = scratch(spark, "fraud")
+    SM.write_time_sliced(o, f"{base}/source", "created_at", files=4)
+    SF.run_fraud_stream(spark, f"{base}/source", tables_of(spark, d)["customers"], f"{base}/out", f"{base}/_checkpoint")
+    return spark.read.parquet(f"{base}/out")

@@ -51,7 +51,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="wholesail-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(d)
+        sc.setCheckpointDir(d)  # spark.checkpoint.dir itself cannot be set once a session runs
     return d

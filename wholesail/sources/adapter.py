@@ -386,6 +386,20 @@ def stock_events(t: Tables) -> DataFrame:
     return po.unionByName(received).unionByName(reserved).unionByName(released).unionByName(stockout)
 
 
+def replenishment(stockouts: DataFrame) -> DataFrame:
+    """Purchase orders that follow backorders: on the first day of the next month each SKU orders 4/5 (rounded down, and 1) of
+    what the month left open, delivered after its lead time.  ``stockouts(sku_id, timestamp, shortfall)``; returns
+    ``sku_id, ref, po_at, received_at, quantity``."""
+    month = F.trunc("timestamp", "month")
+    per = stockouts.groupBy("sku_id", month.alias("month")).agg(F.sum("shortfall").cast("long").alias("open"))
+    pk = F.substring_index("sku_id", "-", -1).cast("long")
+    at = F.add_months("month", 1).cast("timestamp")
+    return per.select(
+        "sku_id", F.concat(F.lit("RPO-"), pk.cast("string"), F.lit("-"), F.date_format("month", "yyyyMM")).alias("ref"), at.alias("po_at"),
+        plus_days(at, F.lit(7) + pk % 14 + pk % 5).alias("received_at"), (F.expr("open * 4 div 5") + 1).alias("quantity"),
+    )
+
+
 def promotion_applied(t: Tables) -> DataFrame:
     li = lines_domain(t).filter(F.col("l_discount") > 0)
     return li.select(

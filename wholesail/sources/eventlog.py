@@ -7,12 +7,13 @@ partition (see ``logstore``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
-from . import files
+from . import files, keyed
 
 ENVELOPE = T.StructType(
     [
@@ -169,28 +170,27 @@ def event_count(log: DataFrame) -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("events"))
 
 
-def new_events(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
-    """Rows of ``new`` whose id is not in the log at ``path``, the earliest of each id; rows without an id stay."""
-    rows = new.select(*ENVELOPE_COLS)
-    first = F.min_by(F.struct(*ENVELOPE_COLS), F.struct("timestamp", "event_type", "aggregate_id", "payload"))
-    named = rows.filter("event_id is not null").groupBy("event_id").agg(first.alias("_e")).select("_e.*")
-    if files.has_data(spark, path):
-        named = named.join(spark.read.schema(ENVELOPE).parquet(path).select("event_id"), "event_id", "left_anti")
-    return named.select(*ENVELOPE_COLS).unionByName(rows.filter("event_id is null"))
-
-
-def append_events(spark: SparkSession, new: DataFrame, path: str) -> DataFrame:
-    """A3: insert-or-ignore on ``event_id`` — first write wins, within the batch and against the log.
-
-    The batch is de-duplicated by id, rows whose id already exists are dropped with a
-    left-anti join, and the rest appended (partitioned by event_type).  Returns the rows written.
-    """
-    batch = new_events(spark, new, path)
-    # the batch reads the log it appends to: cut that lineage with a reliable checkpoint first
-    checkpoint_dir(spark)
-    ckpt = batch.checkpoint(eager=True)
-    ckpt.write.mode("append").partitionBy("event_type").parquet(path)
-    return ckpt
+def append_events(spark: SparkSession, new: DataFrame, path: str, batch: str | None = None) -> DataFrame:
+    """A3: insert-or-ignore on ``event_id`` — first write wins, within the batch and against the log; rows without an id stay.
+
+    The ids of the log lie beside it in a keyed folder, so that only files that may hold one of the new ids are looked
+    at.  The batch is de-duplicated by id, the ids that other batches have written are dropped, and the rest becomes the
+    partitions ``event_type=../batch=..``.  A batch repeated under its name replaces itself.  Returns the rows written."""
+    path = path.rstrip("/")
+    name = batch or uuid.uuid4().hex
+    ids_path = f"{path}/_ids"
+    if files.has_data(spark, path) and not files.exists(spark, ids_path):  # a log that was not written here
+        keyed.claim(spark, spark.read.schema(ENVELOPE).parquet(path).filter("event_id is not null").select("event_id").distinct(), ids_path, "event_id", "before")
+    with keyed.scratch(spark) as s:
+        rows = s.keep(new.select(*ENVELOPE_COLS))
+        first = F.min_by(F.struct(*ENVELOPE_COLS), F.struct("timestamp", "event_type", "aggregate_id", "payload"))
+        named = rows.filter("event_id is not null").groupBy("event_id").agg(first.alias("_e")).select("_e.*")
+        mine = keyed.claim(spark, named.select("event_id"), ids_path, "event_id", name)
+        kept = named.join(mine, "event_id", "left_semi").select(*ENVELOPE_COLS).unionByName(rows.filter("event_id is null"))
+        out = kept.withColumn("batch", F.lit(f"b-{name}"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_type", "batch").parquet(path)
+    schema = T.StructType([*ENVELOPE.fields, T.StructField("batch", T.StringType())])
+    return spark.read.schema(schema).parquet(path).filter(F.col("batch") == f"b-{name}").select(*ENVELOPE_COLS)
 
 
 def type_registry_report(log: DataFrame) -> DataFrame:

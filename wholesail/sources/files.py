@@ -42,3 +42,28 @@ def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
 def qualified(spark: SparkSession, path: str) -> str:
     fs, p = _open(spark, path)
     return str(fs.makeQualified(p).toString())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of our own, if it is there."""
+    fs, p = _open(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _open(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _open(spark, path)
+    source = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+    finally:
+        source.close()

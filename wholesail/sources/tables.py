@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,10 +91,13 @@ def best_source(spark: SparkSession, name: str, full_dir: str, sample_dir: str)
     return full if files.exists(spark, full) else os.path.join(sample_dir, f"{name}.parquet")
 
 
-def bulk_keyed_load(df: DataFrame, path: str, key: str, limit: int | None = None) -> int:
-    """Load items keyed by ``key`` (a later put of the same key replaces the earlier one —
-    here: one row per key), optionally only the first ``limit`` keys in key order."""
-    d = df.dropDuplicates([key])
+def bulk_keyed_load(df: DataFrame, path: str, key: str, order: str | Sequence[str], limit: int | None = None) -> int:
+    """Load items keyed by ``key``: of several puts of a key the last by ``order`` stays (rows equal in it: the one whose
+    other columns come last), optionally only the first ``limit`` keys in key order.  Rows without a key are not loaded."""
+    cols = [F.col(c) for c in df.columns]
+    by = [F.col(c) for c in ([order] if isinstance(order, str) else order)]
+    last = F.max_by(F.struct(*cols), F.struct(*by, *[c.cast("string") for c in cols]))
+    d = df.filter(F.col(key).isNotNull()).groupBy(key).agg(last.alias("_r")).select("_r.*")
     if limit is not None:
         d = d.orderBy(key).limit(limit)
     return write_table(d, path)

@@ -13,12 +13,14 @@ stored decisions: a batch repeated after a failure at any point ends in the same
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.decision import audit, route, score
-from ..sources import files
+from ..sources import keyed
 
 IMAGE = T.StructType([
     T.StructField("order_id", T.StringType()),
@@ -65,19 +67,16 @@ def write_change_records(records: DataFrame, path: str, files: int) -> None:
     write_time_sliced(records, path, "approximate_ts", files)
 
 
-def upsert_if_absent(spark: SparkSession, batch: DataFrame, path: str, key: str, first_by: str) -> DataFrame:
-    """Keep the first row per key in the batch (smallest ``first_by``), drop keys already in the target,
-    append.  Rows without a key are not written.
+def upsert_if_absent(spark: SparkSession, batch: DataFrame, path: str, key: str, first_by: str, name: str) -> DataFrame:
+    """Keep the first row per key in the batch (smallest ``first_by``), drop keys that other batches have written,
+    write the rest as batch ``name`` (replacing what an earlier attempt at it wrote).  Rows without a key are not written.
+    Only files that may hold one of the keys are looked at (``sources.keyed``).
 
-    Returns the rows actually written (read back from a checkpoint, not recomputed)."""
+    Returns the rows of the batch, read back from the target."""
     cols = batch.columns
     first = F.min_by(F.struct(*cols), F.struct(first_by, F.xxhash64(*[F.col(c).cast("string") for c in cols])))
-    b = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(first.alias("_r")).select("_r.*")
-    if files.has_data(spark, path):
-        b = b.join(spark.read.parquet(path).select(key), key, "left_anti")
-    b = b.select(*cols).checkpoint(eager=True)
-    b.write.mode("append").parquet(path)
-    return b
+    b = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(first.alias("_r")).select("_r.*").select(*cols)
+    return keyed.claim(spark, b, path, key, name)
 
 
 def record_id() -> Column:
@@ -111,30 +110,29 @@ def typed_orders(batch: DataFrame) -> DataFrame:
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out: str,
-                  zero_is_missing: bool = True) -> None:
-    """One micro-batch, safe to repeat at any point: decisions and actions are keyed; actions are derived from the
-    stored decisions of the batch's orders, so those whose first attempt failed between the two writes get theirs;
-    quarantine and summary belong to the batch and replace what an earlier attempt wrote."""
-    base = out.rstrip("/")
-    rows = typed_orders(batch)
-    bad = rows.filter("malformed").select("order_id", "customer_id", "raw_amount", "approximate_ts")
-    bad = bad.withColumn("event_id", F.sha1(F.concat_ws("|", "order_id", "raw_amount", "approximate_ts"))).dropDuplicates(["event_id"])
-    bad = bad.checkpoint(eager=True)
-    errors = bad.count()
-    if errors:
-        bad.write.mode("overwrite").parquet(f"{base}/quarantine/batch_id={batch_id}")
-    # decision_at (J6) is the record's own time, so that a replay decides the same
-    good = rows.filter(~F.col("malformed")).drop("malformed", "raw_amount").withColumnRenamed("approximate_ts", "decision_at")
-    decided = score(good, zero_is_missing=zero_is_missing).withColumn("batch_id", F.lit(batch_id))
-    written = upsert_if_absent(spark, decided, f"{base}/decisions", "order_id", "decision_at")
-    keys = good.filter("order_id is not null").select("order_id").distinct()
-    stored = spark.read.schema(decided.schema).parquet(f"{base}/decisions").join(keys, "order_id", "left_semi")
-    actions = audit(route(stored), actioned_at=F.col("decision_at")).withColumn("batch_id", F.lit(batch_id))
-    upsert_if_absent(spark, actions, f"{base}/actions", "action_id", "actioned_at")
-    # J10 summary: processed = newly decided, errors = quarantined, skipped = rule skips and repeats
-    n_written, n = written.count(), batch.count()
-    summary = spark.createDataFrame([(n_written, n - n_written - errors, errors)], "processed long, skipped long, errors long")
-    summary.coalesce(1).write.mode("overwrite").parquet(f"{base}/summaries/batch_id={batch_id}")
+                  zero_is_missing: bool = True, stream: str = "") -> None:
+    """One micro-batch, safe to repeat at any point: decisions and actions are keyed and a batch replaces its own; actions
+    are derived from the stored decisions of the batch's orders, so those whose first attempt failed between the two
+    writes get theirs; quarantine and summary belong to the batch too.  ``stream`` tells the batches of one stream from
+    those of another with the same target."""
+    base, name = out.rstrip("/"), f"{stream}-{batch_id}"
+    with keyed.scratch(spark) as s:
+        rows = s.keep(typed_orders(batch))
+        bad = rows.filter("malformed").select("order_id", "customer_id", "raw_amount", "approximate_ts")
+        bad = bad.withColumn("event_id", F.sha1(F.concat_ws("|", "order_id", "raw_amount", "approximate_ts"))).dropDuplicates(["event_id"])
+        bad = s.keep(bad)
+        errors = bad.count()
+        keyed.claim(spark, bad.withColumn("batch_id", F.lit(batch_id)), f"{base}/quarantine", "event_id", name)
+        # decision_at (J6) is the record's own time, so that a replay decides the same
+        good = rows.filter(~F.col("malformed")).drop("malformed", "raw_amount").withColumnRenamed("approximate_ts", "decision_at")
+        decided = score(good, zero_is_missing=zero_is_missing).withColumn("batch_id", F.lit(batch_id))
+        mine = upsert_if_absent(spark, decided, f"{base}/decisions", "order_id", "decision_at", name)
+        actions = audit(route(mine), actioned_at=F.col("decision_at")).withColumn("batch_id", F.lit(batch_id))
+        upsert_if_absent(spark, actions, f"{base}/actions", "action_id", "actioned_at", name)
+        # J10 summary: processed = orders this batch decided (in whichever attempt), errors = quarantined, skipped = rule skips and repeats
+        n_decided, n = mine.count(), batch.count()
+    summary = spark.createDataFrame([(n_decided, n - n_decided - errors, errors)], "processed long, skipped long, errors long")
+    summary.coalesce(1).write.mode("overwrite").parquet(f"{base}/summaries/stream=s{stream}/batch_id={batch_id}")
 
 
 def run_decisions(spark: SparkSession, source: str, out: str, checkpoint: str, files_per_trigger: int = 1,
@@ -143,10 +141,11 @@ def run_decisions(spark: SparkSession, source: str, out: str, checkpoint: str, f
     from ..session import checkpoint_dir
 
     checkpoint_dir(spark)
-    stream = (spark.readStream.schema(CHANGE_RECORD).option("maxFilesPerTrigger", files_per_trigger)
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    source_rows = (spark.readStream.schema(CHANGE_RECORD).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source))
-    q = (stream.writeStream.foreachBatch(
-        lambda df, bid: process_batch(spark, df, bid, out, zero_is_missing))
+    q = (source_rows.writeStream.foreachBatch(
+        lambda df, bid: process_batch(spark, df, bid, out, zero_is_missing, stream))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q

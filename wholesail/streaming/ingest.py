@@ -3,21 +3,20 @@
 Envelope rows arrive as files; duplicates of an ``event_id`` inside the watermark horizon are
 dropped by ``dropDuplicatesWithinWatermark`` (bounded state), and each micro-batch is anti-joined
 against the stored log before it is appended (partitioned by ``event_type``), so an id that
-arrives again after the horizon, or a replayed batch, is still ignored — first write wins.
+arrives again after the horizon, or a replayed batch, is still ignored — first write wins.  Looking back reads
+only id files that may hold one of the batch's ids (``sources.keyed``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.eventlog import ENVELOPE, append_events
 
 
-def _append_new(spark: SparkSession, batch: DataFrame, log_path: str) -> None:
-    append_events(spark, batch, log_path)
-
-
 def run_ingest(spark: SparkSession, source: str, log_path: str, checkpoint: str, horizon: str = "2 days",
                event_types: list[str] | None = None, files_per_trigger: int = 1):
     """``event_types`` keeps only those types (A10's event-name filter)."""
@@ -28,7 +27,12 @@ def run_ingest(spark: SparkSession, source: str, log_path: str, checkpoint: str,
     if event_types:
         s = s.filter(F.col("event_type").isin(event_types))
     s = s.withWatermark("timestamp", horizon).dropDuplicatesWithinWatermark(["event_id"])
-    q = (s.writeStream.foreachBatch(lambda df, bid: _append_new(spark, df, log_path))
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def append(df, batch_id: int) -> None:
+        append_events(spark, df, log_path, f"{stream}-{batch_id}")
+
+    q = (s.writeStream.foreachBatch(append)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
