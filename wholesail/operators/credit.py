@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS_PER_DAY
-from .joins import null_safe_join
 from .sequential import CHUNK, bounded_walk
 
 MAX_FAILED_ATTEMPTS = 3
@@ -30,10 +29,8 @@ def credit_check(orders: DataFrame, releases: DataFrame, customers: DataFrame, c
                         F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("amount"), F.lit(0).alias("_k"), F.lit(False).alias("take"))
     room = customers.select("customer_id", units("credit_limit").alias("room"))
     rows = o.unionByName(r).withColumn("tie", F.coalesce("order_id", F.lit("")))
-    walked = bounded_walk(rows, "customer_id", ["ts", "_k", "order_id"], room, chunk)
-    limit = null_safe_join(walked, room, ["customer_id"], "left")
-    used = (F.coalesce("room", F.lit(0)) - F.col("room_after")) / F.lit(float(UNITS_PER_CURRENCY))
-    return limit.select("customer_id", "ts", "kind", "order_id", F.col("value").alias("amount"), "accepted", used.alias("used_after"))
+    walked = bounded_walk(rows, "customer_id", ["ts", "_k", "order_id"], room, chunk, float(UNITS_PER_CURRENCY))
+    return walked.select("customer_id", "ts", "kind", "order_id", F.col("value").alias("amount"), "accepted", F.col("taken").alias("used_after"))
 
 
 def dunning(invoices: DataFrame, payments: DataFrame, writeoffs: DataFrame, as_of: DataFrame) -> DataFrame:

@@ -30,12 +30,13 @@ CHUNK = 50_000
 _MOST = 1 << 62  # further than any room
 
 
-def _walk(batches: Iterator[pa.RecordBatch], out_rows: list[str] | None) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch], out_rows: list[str] | None, unit: float = 1.0) -> Iterator[pa.RecordBatch]:
     """Walk the chunks of one task; per (key, chunk) its start row (side 0), the takes refused earlier (side 1), its rows.
     With ``out_rows`` the rows come out with what became of them, else one row per chunk and per take that was refused and
     has its give in a later chunk."""
     at: tuple | None = None
     begin = room = 0
+    taken = 0.0
     low, high = -_MOST, _MOST
     refused: set[int] = set()
     lost: list[tuple] = []
@@ -53,6 +54,7 @@ def _walk(batches: Iterator[pa.RecordBatch], out_rows: list[str] | None) -> Iter
         accepted: list[bool | None] = []
         before: list[int] = []
         after: list[int] = []
+        sums: list[float] = []
         for k, chunk, side, pos, take, amount, pair, later in zip(*cols, strict=True):
             if (k, chunk) != at:
                 if at is not None and out_rows is None:
@@ -64,15 +66,18 @@ def _walk(batches: Iterator[pa.RecordBatch], out_rows: list[str] | None) -> Iter
             old = room
             if side == 0:
                 begin = room = amount
+                taken = (pos - amount) / unit if chunk else 0.0
             elif side == 1:
                 refused.add(pos)
             elif not take:
                 if pair not in refused:
                     room += amount
+                    taken = max(0.0, taken - amount / unit)
             elif amount <= room:
                 ok = True
                 low = max(low, begin - room + amount)
                 room -= amount
+                taken += amount / unit
             else:
                 ok = False
                 high = min(high, begin + amount - room - 1)
@@ -83,9 +88,10 @@ def _walk(batches: Iterator[pa.RecordBatch], out_rows: list[str] | None) -> Iter
                 accepted.append(ok)
                 before.append(old)
                 after.append(room)
+                sums.append(taken)
         if out_rows is not None:
-            new = [pa.array(accepted, pa.bool_()), pa.array(before, pa.int64()), pa.array(after, pa.int64())]
-            done = pa.RecordBatch.from_arrays([*(b.column(c) for c in out_rows), *new], [*out_rows, "accepted", "room_before", "room_after"])
+            new = [pa.array(accepted, pa.bool_()), pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(sums, pa.float64())]
+            done = pa.RecordBatch.from_arrays([*(b.column(c) for c in out_rows), *new], [*out_rows, "accepted", "room_before", "room_after", "taken"])
             yield done.filter(pa.compute.equal(b.column("side"), 2))
     if at is not None and out_rows is None:
         yield from closed()
@@ -93,7 +99,8 @@ def _walk(batches: Iterator[pa.RecordBatch], out_rows: list[str] | None) -> Iter
 
 def _dealt(rows: DataFrame, starts: DataFrame, marks: DataFrame) -> DataFrame:
     """Rows of chunks with their starts ``(k, chunk, start)`` and refused takes ``(k, to_chunk, pos)``, each chunk in one task."""
-    heads = starts.select("k", "chunk", F.lit(0).alias("side"), F.col("start").alias("amount"))
+    room = F.col("room") if "room" in starts.columns else F.col("start")
+    heads = starts.select("k", "chunk", F.lit(0).alias("side"), F.col("start").alias("amount"), room.alias("pos"))
     known = marks.select("k", F.col("to_chunk").alias("chunk"), F.lit(1).alias("side"), "pos")
     u = rows.withColumn("side", F.lit(2)).unionByName(heads, allowMissingColumns=True).unionByName(known, allowMissingColumns=True)
     return u.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "side", "pos")
@@ -156,8 +163,10 @@ def _settled(hot: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
             return chained.select("k", "chunk", "start"), lost.select("k", "to_chunk", "pos")
 
 
-def bounded_walk(rows: DataFrame, key: str, order_cols: Sequence[str], room: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
-    """``rows(key, order_cols, take, amount, [tie], ..)`` with ``accepted`` (null for gives), ``room_before`` and ``room_after``.
+def bounded_walk(rows: DataFrame, key: str, order_cols: Sequence[str], room: DataFrame | None = None, chunk: int = CHUNK,
+                 unit: float = 1.0) -> DataFrame:
+    """``rows(key, order_cols, take, amount, [tie], ..)`` with ``accepted`` (null for gives), ``room_before``, ``room_after`` and ``taken``,
+    what is taken and not given back, added up in doubles of ``unit`` amounts from each chunk's exact start.
 
     Amounts are whole numbers of 0 or more (null: 0).  A key starts with its ``room(key, room)``, else 0.  Gives of a ``tie`` count if the row
     of that tie right before them is an accepted take, and give that take's amount back; gives without a tie always
@@ -188,5 +197,6 @@ def bounded_walk(rows: DataFrame, key: str, order_cols: Sequence[str], room: Dat
         settled, marks = _settled(hot.select("k", "chunk", "pos", "take", "amount", "pair", "later"), first)
         starts = starts.unionByName(settled)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*columns).schema)
-    out = f"{kinds}, accepted boolean, room_before long, room_after long"
-    return _dealt(d, starts, marks).mapInArrow(lambda b: _walk(b, columns), out)
+    out = f"{kinds}, accepted boolean, room_before long, room_after long, taken double"
+    starts = null_safe_join(starts, begins.select("k", "room"), ["k"], "inner")
+    return _dealt(d, starts, marks).mapInArrow(lambda b: _walk(b, columns, unit), out)

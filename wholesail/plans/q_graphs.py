@@ -25,13 +25,13 @@ UNION ALL SELECT concat(p, '-', orderkey, '-1'), concat('IC-', orderkey) FROM de
 UNION ALL SELECT concat('PO-', p_partkey), NULL FROM part
 UNION ALL SELECT concat('SRC-', p_partkey), concat('PO-', p_partkey) FROM part""", ("ord", "delivered", "payments_t", "writeoffs_t"))
 cte("chain_walk", """
-SELECT id, up, id AS at, CAST(0 AS BIGINT) AS depth FROM chain_ev
+SELECT id, up, id AS tip, CAST(0 AS BIGINT) AS depth FROM chain_ev
 UNION ALL
 SELECT w.id, e.up, e.id, w.depth + 1 FROM chain_walk w JOIN chain_ev e ON e.id = w.up""", ("chain_ev",))
 
 
 @query("causal_chains", sql("""
-SELECT id AS event_id, at AS root_id, depth, up AS missing_id, false AS cyclic
+SELECT id AS event_id, tip AS root_id, depth, up AS missing_id, false AS cyclic
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth DESC) AS last FROM chain_walk) WHERE last = 1""", "chain_walk", recursive=True), "N")
 def q_causal_chains(spark, d):
     """A log in which every seventh delivery was lost: the invoices it caused, and what they caused, hang in the air."""

@@ -397,8 +397,9 @@ def q_reorder(spark, d):
     stock = stock.withColumn("estimated_on_hand", F.col("estimated_on_hand") - F.coalesce("claimed", F.lit(0)))
     now = tables_of(spark, d)["orders"].agg(F.max("created_at").alias("now"))
     under_way = INV.open_orders(replenishment(open_backorders(spark, d)), now)
-    p = INV.inventory_policy(li, F.to_date("timestamp"), lead, stock, under_way)
-    return p.select("sku_id", F.col("on_hand").alias("available"), F.col("on_order"), "reorder_point", "reorder", "order_quantity")
+    p = INV.inventory_policy(li, F.to_date("timestamp"), lead, stock, under_way).join(under_way, "sku_id", "left")
+    on_order = F.coalesce("on_order", F.lit(0)).cast("double").alias("on_order")
+    return p.select("sku_id", F.col("on_hand").alias("available"), on_order, "reorder_point", "reorder", "order_quantity")
 
 
 @query("supplier_lead_times", sql(f"""

@@ -1,8 +1,8 @@
 """A keyed target that is looked back at without being read whole.
 
 Rows lie in ``bucket=<hash of the key>/batch=<writer's batch>``.  Beside them ``_keys`` holds a Bloom filter of the keys of
-every file.  Before a batch is written, the filters of its buckets say which files may hold one of its keys, and only
-the key column of those files is read.  Spark reads the target as a plain parquet folder (names that begin with ``_``
+every such folder.  Before a batch is written, the filters say which folders may hold one of its keys, and only the key
+column of those is read.  Spark reads the target as a plain parquet folder (names that begin with ``_``
 are no data).
 
 A batch owns its partitions: looking back passes over them and writing replaces them, so a batch repeated after a
@@ -26,11 +26,11 @@ from pyspark.sql import types as T
 from ..session import checkpoint_dir
 from . import files
 
-BUCKETS = 32
+BUCKETS = 16
 BITS = 1 << 15  # of one bitmap (Spark's bitmap functions)
 BITS_PER_KEY = 12
 PROBES = 4
-MOST_FILES = 16  # in a bucket before compaction
+MOST_BATCHES = 16  # in a bucket before compaction
 
 
 class Scratch:
@@ -70,55 +70,42 @@ def _hashes(key: str):
 
 
 def filters(rows: DataFrame, key: str) -> DataFrame:
-    """``bucket, file, segments, segment, bits``: the Bloom filter of every file of ``rows(file, bucket, key)`` in bitmaps of ``BITS``."""
-    own = rows.select("file", "bucket", *_hashes(key))
-    sizes = own.groupBy("file").agg((F.floor(F.count("*") * BITS_PER_KEY / BITS) + 1).cast("long").alias("segments"))
+    """``bucket, segments, segment, bits``: a Bloom filter of the keys of each bucket of ``rows(bucket, key)``, in bitmaps of ``BITS``."""
+    own = rows.select("bucket", *_hashes(key))
+    sizes = own.groupBy("bucket").agg((F.floor(F.count("*") * BITS_PER_KEY / BITS) + 1).cast("long").alias("segments"))
     probes = F.explode(F.array(*[F.lit(i).cast("long") for i in range(PROBES)]))
-    at = own.join(sizes, "file").withColumn("probe", probes).withColumn("at", _places(F.col("segments"), F.col("probe")))
+    at = own.join(sizes, "bucket").withColumn("probe", probes).withColumn("at", _places(F.col("segments"), F.col("probe")))
     # bitmap_bit_position numbers from 1 on
     parts = at.withColumn("segment", F.expr(f"at div {BITS}")).withColumn("bit", F.expr(f"bitmap_bit_position(at % {BITS} + 1)"))
-    return parts.groupBy("bucket", "file", "segments", "segment").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    return parts.groupBy("bucket", "segments", "segment").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
 
 
 def candidates(keys: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """``file``: those of ``known`` filters that may hold one of ``keys(bucket, key)``."""
+    """``bucket, batch`` of those ``known(bucket, batch, segments, segment, bits)`` that may hold one of ``keys(bucket, key)``."""
     own = keys.select("bucket", *_hashes(key))
-    met = own.join(known.select("bucket", "file", "segments").distinct(), "bucket")
+    met = own.join(known.select("bucket", "batch", "segments").distinct(), "bucket")
     probes = F.explode(F.array(*[F.lit(i).cast("long") for i in range(PROBES)]))
     met = met.withColumn("probe", probes).withColumn("at", _places(F.col("segments"), F.col("probe")))
     met = met.withColumn("segment", F.expr(f"at div {BITS}")).withColumn("bit", F.expr(f"bitmap_bit_position(at % {BITS} + 1)"))
-    hit = met.join(known.select("file", "segment", "bits"), ["file", "segment"])
+    hit = met.join(known.select("bucket", "batch", "segment", "bits"), ["bucket", "batch", "segment"])
     hit = hit.filter("(shiftright(cast(conv(hex(substring(bits, cast(bit div 8 + 1 as int), 1)), 16, 10) as int), cast(bit % 8 as int)) & 1) = 1")
-    return hit.groupBy("file", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") == PROBES).select("file").distinct()
+    full = hit.groupBy("bucket", "batch", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") == PROBES)
+    return full.select("bucket", "batch").distinct()
 
 
-def _short(file: str) -> str:
-    """A file's place below its target, the same however a path is spelt."""
-    return "/".join(file.rstrip("/").split("/")[-3:])
-
-
-def _listed(spark: SparkSession, path: str, buckets: list[int]) -> dict[str, str]:
-    out = {}
-    for b in buckets:
-        folder = f"{path}/bucket={b}"
-        if files.exists(spark, folder):
-            out |= {_short(f): f for f, _, _ in files.files(spark, folder) if f.endswith(".parquet")}
-    return out
-
-
-def _batch_in(short: str) -> str:
-    return short.split("/")[1].removeprefix("batch=")
+def _listed(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The batches in every bucket folder, by the folders' names."""
+    if not files.exists(spark, path):
+        return {}
+    buckets = [n for n in files.names(spark, path) if n.startswith("bucket=")]
+    return {b: [n for n in files.names(spark, f"{path}/{b}") if n.startswith("batch=")] for b in buckets}
 
 
 def _write(spark: SparkSession, rows: DataFrame, path: str, key: str, batch: str) -> None:
     """Replace the batch's partitions by ``rows(bucket, ..)`` and its filters by theirs."""
-    rows = rows.withColumn("batch", F.lit(batch))
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
-    name = F.concat_ws("/", F.slice(F.split(F.input_file_name(), "/"), -3, 3))
-    mine = [f"{path}/bucket={r['bucket']}/batch={batch}" for r in rows.select("bucket").distinct().collect()]
-    if mine:
-        back = spark.read.option("basePath", path).parquet(*mine).select(name.alias("file"), "bucket", key)
-        filters(back, key).coalesce(1).write.mode("overwrite").parquet(f"{path}/_keys/batch={batch}")
+    named = rows.withColumn("batch", F.lit(batch))
+    named.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+    filters(rows, key).coalesce(1).write.mode("overwrite").parquet(f"{path}/_keys/batch={batch}")
 
 
 def claim(spark: SparkSession, rows: DataFrame, path: str, key: str, batch: str, buckets: int = BUCKETS) -> DataFrame:
@@ -138,37 +125,31 @@ def claim(spark: SparkSession, rows: DataFrame, path: str, key: str, batch: str,
 
 
 def _look_back(spark: SparkSession, new: DataFrame, path: str, key: str, batch: str) -> list[str]:
-    """Files of other batches that may hold a key of ``new``; one without a filter may hold any."""
-    touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # at most the number of buckets
-    there = {s: f for s, f in _listed(spark, path, touched).items() if _batch_in(s) != batch}
+    """Folders of other batches that may hold a key of ``new``; one without a filter may hold any."""
+    there = {(b, n) for b, ns in _listed(spark, path).items() for n in ns if n != f"batch={batch}"}
     if not there:
         return []
-    if not files.has_data(spark, f"{path}/_keys"):
-        return sorted(there.values())
-    known = spark.read.parquet(f"{path}/_keys").filter(F.col("bucket").isin(touched) & (F.col("batch") != batch)).drop("batch")
-    filtered = {r[0] for r in known.select("file").distinct().collect()}
-    hits = {r[0] for r in candidates(new, known, key).collect()}
-    return sorted(f for s, f in there.items() if s in hits or s not in filtered)
-
-
-def compact(spark: SparkSession, path: str, key: str, most_files: int = MOST_FILES) -> int:
-    """Merge the files of every bucket that holds more than ``most_files``; returns the number of such buckets.  No writer may
-    be at work meanwhile."""
+    keys = f"{path}/_keys"
+    filtered = set(files.names(spark, keys)) - {f"batch={batch}"} if files.exists(spark, keys) else set()
+    filtered = {n for n in filtered if n.startswith("batch=")}
+    hits = set()
+    if filtered:
+        known = spark.read.option("basePath", keys).parquet(*[f"{keys}/{n}" for n in sorted(filtered)])
+        hits = {(f"bucket={r['bucket']}", f"batch={r['batch']}") for r in candidates(new, known, key).collect()}
+    return sorted(f"{path}/{b}/{n}" for b, n in there if n not in filtered or (b, n) in hits)
+
+
+def compact(spark: SparkSession, path: str, key: str, most_batches: int = MOST_BATCHES) -> int:
+    """Merge the batches of every bucket that holds more than ``most_batches``; returns the number of such buckets.  No
+    writer may be at work meanwhile."""
     path = path.rstrip("/")
     _recover(spark, path)
-    if not files.exists(spark, path):
-        return 0
-    names = [n for n in files.names(spark, path) if n.startswith("bucket=")]
-    full = []
-    for n in names:
-        old = _listed(spark, path, [int(n.removeprefix("bucket="))])
-        if len(old) > most_files:
-            full.append((n, sorted(old.values())))
+    full = {b: ns for b, ns in _listed(spark, path).items() if len(ns) > most_batches}
     if not full:
         return 0
     batch = f"compact-{uuid.uuid4().hex}"
-    old = [f for _, fs in full for f in fs]
-    files.write_text(spark, f"{path}/_compaction.json", json.dumps({"batch": batch, "old": old, "buckets": [n for n, _ in full]}))
+    old = sorted(f"{path}/{b}/{n}" for b, ns in full.items() for n in ns)
+    files.write_text(spark, f"{path}/_compaction.json", json.dumps({"batch": batch, "old": old, "buckets": sorted(full)}))
     with scratch(spark) as s:
         rows = s.keep(spark.read.option("basePath", path).parquet(*old).drop("batch"))
         _write(spark, rows, path, key, batch)

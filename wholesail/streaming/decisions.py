@@ -122,7 +122,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out: str
         bad = bad.withColumn("event_id", F.sha1(F.concat_ws("|", "order_id", "raw_amount", "approximate_ts"))).dropDuplicates(["event_id"])
         bad = s.keep(bad)
         errors = bad.count()
-        keyed.claim(spark, bad.withColumn("batch_id", F.lit(batch_id)), f"{base}/quarantine", "event_id", name)
+        if errors:
+            keyed.claim(spark, bad.withColumn("batch_id", F.lit(batch_id)), f"{base}/quarantine", "event_id", name)
         # decision_at (J6) is the record's own time, so that a replay decides the same
         good = rows.filter(~F.col("malformed")).drop("malformed", "raw_amount").withColumnRenamed("approximate_ts", "decision_at")
         decided = score(good, zero_is_missing=zero_is_missing).withColumn("batch_id", F.lit(batch_id))
