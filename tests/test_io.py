@@ -68,3 +68,21 @@ def test_append_events_first_write_wins(spark):
     assert log.count() == 2
     assert read_events(log, "OrderShipped").count() == 1
     assert os.path.isdir(f"{d}/log/event_type=OrderShipped")
+
+
+def test_strict_payloads(spark):
+    import datetime as dt
+
+    from wholesail.sources.eventlog import malformed_events, typed
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(f"e{i}", "InvoiceCreated", "INV-1", t, p, None, None) for i, p in enumerate(
+        ['{"invoice_id":"a","amount":12.5}', '{"invoice_id":"b","amount":"12x"}', '{"invoice_id":', None, '{}'])]
+    log = spark.createDataFrame(rows, ENVELOPE)
+    assert sorted(r["event_id"] for r in malformed_events(log, "InvoiceCreated").collect()) == ["e1", "e2", "e3"]
+    assert malformed_events(log, "PaymentCaptured").count() == 0
+    got = {r["event_id"]: r["amount"] for r in typed(log, "InvoiceCreated", ["invoice_id", "amount"]).collect()}
+    assert got == {"e0": 12.5, "e1": None, "e2": None, "e3": None, "e4": None}
+    assert typed(log.filter("event_id in ('e0', 'e4')"), "InvoiceCreated", strict=True).count() == 2
+    with pytest.raises(Exception):
+        typed(log, "InvoiceCreated", ["invoice_id", "amount"], strict=True).collect()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS_PER_DAY
+from .joins import null_safe_join
 from .sequential import CHUNK, bounded_walk
 from .windows import carried, running_extreme, running_sums
 
@@ -140,6 +141,38 @@ def backorder_fulfilment(backorders: DataFrame, supply: DataFrame) -> DataFrame:
     return cuts.select("sku_id", "need.order_id", "need.timestamp", "need.shortfall", quantity.alias("quantity"), "fill.fulfilled_at", "fill.ref")
 
 
+def stock_intervals(moves: DataFrame) -> DataFrame:
+    """Stock of every SKU as validity intervals, one row per day on which it changed: ``sku_id, valid_from, valid_to`` (null: until
+    today), ``on_hand`` (received so far), ``reserved`` (net of releases), ``available`` (the rest).
+    ``moves(sku_id, timestamp, received, reserved, released)``, nulls count 0.
+
+    Moves are added up by day first, so a SKU has at most one row a day and its window is bounded by the calendar."""
+    day = moves.groupBy("sku_id", F.to_date("timestamp").alias("valid_from")).agg(
+        *[F.sum(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c) for c in ("received", "reserved", "released")])
+    w = Window.partitionBy("sku_id").orderBy("valid_from")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on_hand = F.sum("received").over(upto)
+    reserved = F.sum(F.col("reserved") - F.col("released")).over(upto)
+    return day.select("sku_id", "valid_from", F.date_sub(F.lead("valid_from").over(w), 1).alias("valid_to"), on_hand.alias("on_hand"),
+                      reserved.alias("reserved"), (on_hand - reserved).alias("available"))
+
+
+def stock_on_days(intervals: DataFrame, asked: DataFrame, stockouts: DataFrame) -> DataFrame:
+    """Stock at the end of every ``asked(sku_id, day)``: ``sku_id, day, on_hand, reserved, available, stockouts, stockout``; 0 before a SKU's
+    first move.  ``stockouts(sku_id, timestamp)`` are counted on the day itself.
+
+    An as-of join: the last interval's values are carried on over months without a change, per (SKU, month)."""
+    stock = F.struct("on_hand", "reserved", "available")
+    points = intervals.select("sku_id", F.col("valid_from").alias("day"), F.lit(0).alias("_k"), stock.alias("stock"))
+    days = asked.select("sku_id", F.col("day").cast("date").alias("day"), F.lit(1).alias("_k"))
+    u = points.unionByName(days, allowMissingColumns=True)
+    u = carried(u, "sku_id", ["day", "_k"], ["stock"], bucket=F.trunc("day", "month")).filter("_k = 1")
+    out = stockouts.groupBy("sku_id", F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n"))
+    met = null_safe_join(u, out, ["sku_id", "day"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return met.select("sku_id", "day", *[F.coalesce(f"stock.{c}", F.lit(0)).alias(c) for c in ("on_hand", "reserved", "available")], n.alias("stockouts"), (n > 0).alias("stockout"))
+
+
 def supplier_lead_times(pos: DataFrame, receipts: DataFrame) -> DataFrame:
     """PO → receipt lead time and delay against the expected lead time, per supplier."""
     j = pos.select("purchase_order_id", "supplier_id", F.col("timestamp").alias("po_at"),

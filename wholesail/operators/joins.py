@@ -1,9 +1,9 @@
 """D1–D11 join helpers: size-checked broadcast, semi/anti membership, dependency chains.
 
-Broadcast is never assumed: ``broadcast_if_small`` reads the optimizer's size estimate of the
-plan (an upper bound for scans, filters and projections of parquet) and only hints a
-broadcast under the limit; otherwise the join stays a shuffle join and AQE may still convert
-it at runtime from exact shuffle statistics.
+Broadcast is never assumed: ``broadcast_if_small`` reads the optimizer's size estimate of the plan and only hints a
+broadcast under the limit; otherwise the join stays a shuffle join and AQE may still convert it at runtime from
+exact shuffle statistics.  For parquet the estimate is the files' compressed size, in memory it may be several
+times that, so the limit is far below what an executor could hold.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 
 
 def plan_size_bytes(df: DataFrame) -> int | None:

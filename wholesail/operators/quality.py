@@ -160,7 +160,7 @@ def order_row_violations(order_events: DataFrame) -> DataFrame:
     )
 
 
-# rule id → (event type, predicate that must hold); value and enum rules of the typed events
+# Fixed values (typed events): rule id → (event type, predicate that must hold), value and enum rules
 DOMAIN_RULES: dict[str, tuple[str, str]] = {
     "order_total_positive": ("OrderCreated", "total_value > 0"),
     "order_has_lines": ("OrderCreated", "size(lines) >= 1"),

@@ -402,6 +402,36 @@ def q_reorder(spark, d):
     return p.select("sku_id", F.col("on_hand").alias("available"), on_order, "reorder_point", "reorder", "order_quantity")
 
 
+cte("daily_moves", """
+SELECT sku_id, CAST(received_at AS DATE) AS day, quantity AS received, 0 AS reserved FROM stock_po
+UNION ALL SELECT sku_id, CAST(created_at AS DATE), 0, quantity FROM lines WHERE l_linestatus = 'F'
+UNION ALL SELECT sku_id, CAST(created_at + INTERVAL 1 HOUR AS DATE), 0, -quantity FROM lines
+          WHERE l_linestatus = 'F' AND orderstatus = 'P' AND l_orderkey % 25 = 0""", ("stock_po", "lines"))
+cte("daily_asked", """
+SELECT sku_id, CAST(day AS DATE) AS day FROM (SELECT DISTINCT sku_id FROM stock_po),
+  (SELECT unnest(generate_series(TIMESTAMP '1994-11-01', TIMESTAMP '1998-12-01', INTERVAL 1 MONTH)) + INTERVAL 14 DAY AS day)""", ("stock_po",))
+
+
+@query("daily_inventory", sql("""
+SELECT a.sku_id, a.day, CAST(coalesce(m.received, 0) AS BIGINT) AS on_hand, CAST(coalesce(m.reserved, 0) AS BIGINT) AS reserved,
+       CAST(coalesce(m.received - m.reserved, 0) AS BIGINT) AS available, coalesce(s.n, 0) AS stockouts, coalesce(s.n, 0) > 0 AS stockout
+FROM daily_asked a
+LEFT JOIN (SELECT a.sku_id, a.day, sum(m.received) AS received, sum(m.reserved) AS reserved
+           FROM daily_asked a JOIN daily_moves m ON m.sku_id = a.sku_id AND m.day <= a.day GROUP BY ALL) m ON m.sku_id = a.sku_id AND m.day = a.day
+LEFT JOIN (SELECT sku_id, CAST(timestamp AS DATE) AS day, count(*) AS n FROM stockouts_t GROUP BY ALL) s ON s.sku_id = a.sku_id AND s.day = a.day""",
+    "daily_asked", "daily_moves", "stockouts_t"), "N D10")
+def q_daily_inventory(spark, d):
+    """Every SKU's stock at the end of the fifteenth of each month, also before its first receipt."""
+    log = log_of(spark, d)
+    moves = None
+    for kind, column in (("StockReceived", "received"), ("StockReserved", "reserved"), ("StockReleased", "released")):
+        part = typed(log, kind, ["sku_id", "quantity"]).select("sku_id", "timestamp", F.col("quantity").alias(column))
+        moves = part if moves is None else moves.unionByName(part, allowMissingColumns=True)
+    days = F.explode(F.expr("sequence(date'1994-11-15', date'1998-12-15', interval 1 month)")).alias("day")
+    asked = tables_of(spark, d)["inventory_snapshot"].select("sku_id", days)
+    return INV.stock_on_days(INV.stock_intervals(moves), asked, tables_of(spark, d)["stockout_events"])
+
+
 @query("supplier_lead_times", sql(f"""
 SELECT supplier_id, count(*) AS purchase_orders, sum(lead) / count(lead) AS avg_lead_days,
        sum(lead - expected_lead_time_days) / count(lead) AS avg_delay_days,

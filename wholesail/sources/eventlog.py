@@ -49,7 +49,7 @@ ORDER_LINE = T.StructType(
     ]
 )
 
-# event_type -> payload schema (the typed-event registry; envelope fields excluded)
+# Fixed values (typed-event registry): event_type -> payload schema, envelope fields excluded
 REGISTRY: dict[str, T.StructType] = {
     "CustomerCreated": T.StructType(
         [
@@ -154,17 +154,33 @@ def read_events(log: DataFrame, *event_types: str) -> DataFrame:
     return log.filter(F.col("event_type").isin(list(event_types)))
 
 
-def typed(log: DataFrame, event_type: str, fields: list[str] | None = None) -> DataFrame:
-    """B1/B2: envelope + the payload decoded once with the registry schema (absent fields → null)."""
+def typed(log: DataFrame, event_type: str, fields: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """B1/B2: envelope + the payload decoded once with the registry schema (absent fields → null).
+
+    A payload that does not fit (broken JSON, text where a number belongs) gives nulls; with ``strict`` (B7) it fails the
+    job.  ``malformed_events`` finds them."""
     schema = REGISTRY[event_type]
     if fields is not None:
         schema = T.StructType([schema[f] for f in fields])
-    p = F.from_json(F.col("payload"), schema)
+    p = F.from_json(F.col("payload"), schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
     return read_events(log, event_type).select(
         *[c for c in ENVELOPE_COLS if c != "payload"], "payload", p.alias("_p")
     ).select(*ENVELOPE_COLS, "_p.*")
 
 
+def malformed_events(log: DataFrame, *event_types: str) -> DataFrame:
+    """The events whose payload does not fit the registry schema of their type; a null payload does not.  All registered
+    types if none is named."""
+    out = None
+    for t in event_types or REGISTRY:
+        schema = T.StructType([*REGISTRY[t].fields, T.StructField("_bad", T.StringType())])
+        p = F.from_json(F.col("payload"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        own = read_events(log, t).withColumn("_p", p)
+        own = own.filter(F.col("payload").isNull() | F.col("_p").isNull() | F.col("_p._bad").isNotNull()).select(*ENVELOPE_COLS)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def event_count(log: DataFrame) -> DataFrame:
     """A5: total rows as a one-row frame."""
     return log.agg(F.count(F.lit(1)).alias("events"))
