@@ -54,3 +54,45 @@ def best_promotion(orders: DataFrame, customers: DataFrame, promotions: DataFram
         F.coalesce("best_discount", F.lit(0.0)).alias("discount_amount"),
         (F.col("total_value") - F.coalesce("best_discount", F.lit(0.0))).alias("discounted_total"),
         ((F.col("total_value") - F.coalesce("best_discount", F.lit(0.0))) <= 0).alias("rejected"))
+
+
+def fitting_rules(orders: DataFrame, attributes: dict[str, Column], rules: DataFrame, conditions: DataFrame) -> DataFrame:
+    """The rules that fit each order: ``orders`` columns, ``promotion_id``, ``promotion_type``, ``value``.
+
+    A rule names values for any number of scopes (``conditions(promotion_id, scope, scope_value)``); it fits when every scope it
+    names holds the order's value (``attributes``: scope → column), and on days between ``start_day`` and ``end_day`` of
+    ``rules(promotion_id, promotion_type, value, start_day, end_day)``.  A rule without conditions fits every order of its days.
+
+    Relational division over an inverted index: an order has one row per scope, meets the conditions on (scope, value), and the
+    rules of which it met as many scopes as they name are left.  Rules that share no value with an order never meet it."""
+    named = conditions.filter("scope_value is not null").select("promotion_id", "scope", "scope_value").distinct()
+    needs = conditions.groupBy("promotion_id").agg(F.countDistinct("scope").alias("_need"))
+    index = named.join(needs, "promotion_id")
+    scopes = F.array(*[F.struct(F.lit(k).alias("scope"), v.cast("string").alias("scope_value")) for k, v in attributes.items()])
+    o = orders.withColumn("_day", F.to_date("created_at"))
+    facets = o.select("order_id", F.explode(scopes).alias("_s")).select("order_id", "_s.scope", "_s.scope_value")
+    met = facets.join(broadcast_if_small(index), ["scope", "scope_value"])
+    full = met.groupBy("order_id", "promotion_id").agg(F.count("*").alias("_n"), F.first("_need").alias("_need"))
+    scoped = full.filter(F.col("_n") == F.col("_need")).select("order_id", "promotion_id")
+    inside = (F.col("_day") >= F.col("start_day")) & (F.col("_day") <= F.col("end_day"))
+    one = o.join(scoped, "order_id").join(broadcast_if_small(rules), "promotion_id").filter(inside)
+    free = rules.join(needs, "promotion_id", "left_anti").withColumn("_day", F.explode(F.sequence("start_day", "end_day")))
+    every = o.join(broadcast_if_small(free), "_day")
+    columns = [*orders.columns, "promotion_id", "promotion_type", "value"]
+    return one.select(*columns).unionByName(every.select(*columns))
+
+
+def best_fitting(orders: DataFrame, attributes: dict[str, Column], rules: DataFrame, conditions: DataFrame) -> DataFrame:
+    """L9 with targets of several scopes: ``order_id, fitting`` (rules that fit), the best of them (largest discount above 0, first id
+    on ties) with ``promotion_type, discount_amount, discounted_total``, and ``rejected`` where nothing would be left to pay."""
+    fit = fitting_rules(orders, attributes, rules, conditions)
+    d = discount_amount(F.col("total_value"), F.col("promotion_type"), F.col("value"))
+    best = F.min_by(F.struct("promotion_id", "promotion_type", "_d"), F.when(F.col("_d") > 0, F.struct(-F.col("_d"), F.col("promotion_id"))))
+    per = fit.withColumn("_d", d).groupBy("order_id").agg(F.count("*").alias("fitting"), best.alias("b"), F.max("_d").alias("_top"))
+    j = orders.select("order_id", "total_value").join(per, "order_id", "left")
+    some = F.coalesce(F.col("_top") > 0, F.lit(False))
+    off = F.when(some, F.col("b._d")).otherwise(F.lit(0.0))
+    left = F.col("total_value") - off
+    return j.select("order_id", F.coalesce("fitting", F.lit(0)).alias("fitting"), F.when(some, F.col("b.promotion_id")).alias("promotion_id"),
+                    F.when(some, F.col("b.promotion_type")).alias("promotion_type"), off.alias("discount_amount"), left.alias("discounted_total"),
+                    (left <= 0).alias("rejected"))

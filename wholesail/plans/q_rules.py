@@ -413,7 +413,7 @@ SELECT sku_id, CAST(day AS DATE) AS day FROM (SELECT DISTINCT sku_id FROM stock_
 
 
 @query("daily_inventory", sql("""
-SELECT a.sku_id, a.day, CAST(coalesce(m.received, 0) AS BIGINT) AS on_hand, CAST(coalesce(m.reserved, 0) AS BIGINT) AS reserved,
+SELECT a.sku_id, strftime(a.day, '%Y-%m-%d') AS day, CAST(coalesce(m.received, 0) AS BIGINT) AS on_hand, CAST(coalesce(m.reserved, 0) AS BIGINT) AS reserved,
        CAST(coalesce(m.received - m.reserved, 0) AS BIGINT) AS available, coalesce(s.n, 0) AS stockouts, coalesce(s.n, 0) > 0 AS stockout
 FROM daily_asked a
 LEFT JOIN (SELECT a.sku_id, a.day, sum(m.received) AS received, sum(m.reserved) AS reserved
@@ -429,7 +429,8 @@ def q_daily_inventory(spark, d):
         moves = part if moves is None else moves.unionByName(part, allowMissingColumns=True)
     days = F.explode(F.expr("sequence(date'1994-11-15', date'1998-12-15', interval 1 month)")).alias("day")
     asked = tables_of(spark, d)["inventory_snapshot"].select("sku_id", days)
-    return INV.stock_on_days(INV.stock_intervals(moves), asked, tables_of(spark, d)["stockout_events"])
+    days = INV.stock_on_days(INV.stock_intervals(moves), asked, tables_of(spark, d)["stockout_events"])
+    return days.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("supplier_lead_times", sql(f"""
@@ -469,6 +470,45 @@ def q_best_promotion(spark, d):
     return PR.best_promotion(tables_of(spark, d)["orders"], tables_of(spark, d)["customers"], cal)
 
 
+cte("scoped_rules", """
+SELECT promotion_id, CAST(n AS INTEGER) AS n, ['percentage', 'fixed', 'bogo', 'percentage'][CAST(n AS INTEGER) % 4 + 1] AS promotion_type,
+       CASE WHEN CAST(n AS INTEGER) % 4 = 1 THEN n * 20000 ELSE n END AS value, start_day, end_day
+FROM (SELECT *, value AS n FROM promo_cal)""", ("promo_cal",))
+cte("scoped_facts", """
+SELECT o.order_id, o.total_value, CAST(o.created_at AS DATE) AS day, c.segment, o.channel, c.payment_method
+FROM orders_t o LEFT JOIN customers_t c USING (customer_id)""", ("orders_t", "customers_t"))
+cte("scoped_fit", """
+SELECT f.order_id, p.promotion_id, p.promotion_type,
+       greatest(0.0::DOUBLE, f.total_value - CASE p.promotion_type WHEN 'percentage' THEN greatest(0.0::DOUBLE, f.total_value * (1.0::DOUBLE - p.value / 100.0::DOUBLE))
+                WHEN 'fixed' THEN greatest(0.0::DOUBLE, f.total_value - p.value) ELSE f.total_value * 0.5::DOUBLE END) AS d
+FROM scoped_facts f JOIN scoped_rules p ON f.day BETWEEN p.start_day AND p.end_day
+WHERE (n % 2 <> 0 OR f.segment IN ('premium', 'regular')) AND (n % 3 <> 0 OR f.channel IN ('app', 'rep'))
+  AND (n % 5 <> 0 OR f.payment_method = 'credit')""", ("scoped_facts", "scoped_rules"))
+cte("scoped_best", """
+SELECT order_id, count(*) AS fitting,
+       arg_min({'id': promotion_id, 't': promotion_type, 'd': d}, {'nd': -d, 'id': promotion_id}) FILTER (d > 0) AS b
+FROM scoped_fit GROUP BY order_id""", ("scoped_fit",))
+
+
+@query("scoped_promotion", sql("""
+SELECT f.order_id, coalesce(fitting, 0) AS fitting, b.id AS promotion_id, b.t AS promotion_type, coalesce(b.d, 0.0::DOUBLE) AS discount_amount,
+       f.total_value - coalesce(b.d, 0.0::DOUBLE) AS discounted_total, f.total_value - coalesce(b.d, 0.0::DOUBLE) <= 0 AS rejected
+FROM scoped_facts f LEFT JOIN scoped_best USING (order_id)""", "scoped_facts", "scoped_best"), "L9 N")
+def q_scoped_promotion(spark, d):
+    """Fixed, percentage and buy-one-get-one rules by promotion number, aimed at segments, channels and payment methods at once."""
+    rules = PR.promotion_calendar(typed(log_of(spark, d), "PromotionApplied", ["promotion_id"])).withColumn("n", F.col("value").cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("percentage", "fixed", "bogo", "percentage")]), F.col("n") % 4 + 1)
+    rules = rules.select("promotion_id", "n", kind.alias("promotion_type"), F.when(F.col("n") % 4 == 1, F.col("value") * 20000).otherwise(F.col("value")).alias("value"), "start_day", "end_day")
+    aims = [("segment", ["premium", "regular"], 2), ("channel", ["app", "rep"], 3), ("payment", ["credit"], 5)]
+    conditions = None
+    for scope, values, every in aims:
+        own = rules.filter(F.col("n") % every == 0).select("promotion_id", F.lit(scope).alias("scope"), F.explode(F.array(*[F.lit(v) for v in values])).alias("scope_value"))
+        conditions = own if conditions is None else conditions.unionByName(own)
+    t = tables_of(spark, d)
+    o = t["orders"].select("order_id", "customer_id", "created_at", "total_value", "channel").join(t["customers"].select("customer_id", "segment", "payment_method"), "customer_id", "left")
+    return PR.best_fitting(o, {"segment": F.col("segment"), "channel": F.col("channel"), "payment": F.col("payment_method")}, rules.drop("n"), conditions)
+
+
 cte("credit_ev", """
 SELECT u.*, coalesce(c.credit_limit, 0.0::DOUBLE) AS credit_limit,
        row_number() OVER (PARTITION BY u.customer_id ORDER BY ts, k, order_id) AS rn
