@@ -81,6 +81,27 @@ def test_mixed_rows(spark):
         assert size or not whole
 
 
+def test_rows_carry_the_slot_of_their_block(spark):
+    r = rows()
+    got = M.scheduled(data.docs(spark, r), block=64).selectExpr("row.doc_id", "row.source", "slot").collect()
+    assert sorted(x["doc_id"] for x in got) == sorted(x["doc_id"] for x in M.mixed(data.docs(spark, r), block=64).collect())
+    line = {}  # where each document starts on its source's line
+    for s in {x[3] for x in r}:
+        at = 0
+        for x in sorted((x for x in r if x[3] == s), key=lambda x: (hashlib.md5(f"mix-7|{x[0]}".encode()).hexdigest(), len(x[1].split()))):
+            line[x[0]] = at
+            at += len(x[1].split())
+    by_source = {}
+    for x in got:
+        slots = by_source.setdefault(x["source"], {})
+        slots[x["slot"]] = max(slots.get(x["slot"], 0), line[x["doc_id"]] // 64)
+    for slots in by_source.values():  # in slot order a source's blocks follow its line, twice over at most
+        blocks = [slots[k] for k in sorted(slots)]
+        assert sum(a > b for a, b in zip(blocks, blocks[1:], strict=False)) <= 1
+    early = [x["source"] for x in sorted(got, key=lambda x: x["slot"])[: len(got) // 4]]
+    assert len(set(early)) == len({x["source"] for x in got})  # interleaved, not source by source
+
+
 def test_edge_rows(spark):
     got = data.rows_of(M.taken(data.docs(spark, clash=True)))
     want = [(a, b, c, float(d.expected), e) for a, b, c, d, e in expected([(r[0], (r[1] or "").replace("\u0000", "0"), *r[2:]) for r in data.edge_rows()])]

@@ -145,24 +145,28 @@ def taken(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """The mix as rows of ``docs`` (all columns): a document comes once for each time the slot that holds its first
-    word is scheduled, so zero to ``EPOCHS`` times.  Documents without words are in no block and do not
-    come.  Rows cross the network once, to their (source, hash prefix)."""
+def scheduled(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+    """The mix in its schedule: columns ``row`` (a struct of all columns of ``docs``) and ``slot``, one for each time the block that holds
+    a document's first word is scheduled, so zero to ``EPOCHS`` times a document.  Sorted by slot this is the
+    interleaved order.  Documents without words are in no block and do not come.  Rows cross the network once, to their
+    (source, hash prefix); the slots are one row per block."""
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     d = docs.select(row, *_placed_columns(F.col("doc_id"), F.col("text"), F.col("source"), seed))
     sized = stored(docs.select(*_placed_columns(F.col("doc_id"), F.col("text"), F.col("source"), seed)), "mix-sizes")
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("size"))
     sources = stored(targets(parts, block=block), "mix-targets")
-    kept = schedule(sources).groupBy("s").agg(F.count("*").alias("scheduled"))
-    figures = sources.join(kept, "s").select("source", "s", "source_size", "target", "quota", "scheduled")
-    placed = _with_start(d.filter("size > 0"), _offsets(parts, figures))
+    slots = stored(schedule(sources), "mix-slots")
+    placed = _with_start(d.filter("size > 0"), _offsets(parts, sources))
     epochs = F.array(*[F.lit(e) for e in range(EPOCHS)])
     first = F.col("start") + F.col("epoch") * F.col("source_size")
-    out = placed.withColumn("epoch", F.explode(epochs)).withColumn("first", first)
-    out = out.filter((F.col("first") < F.col("quota")) & (F.floor(F.col("first") / block) < F.col("scheduled")))
-    return out.select("row.*")
+    out = placed.withColumn("epoch", F.explode(epochs)).withColumn("first", first).filter(F.col("first") < F.col("quota"))
+    return out.withColumn("r", F.expr(f"first div {block}")).join(slots, ["s", "r"]).select("row", "slot")
+
+
+def mixed(docs: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
+    """The rows of ``scheduled`` with the columns of ``docs``, in no particular order."""
+    return scheduled(docs, block, seed).select("row.*")
 
 
 ORACLE = r"""
