@@ -37,6 +37,11 @@ def numeric_fields(event_type: str) -> list[str]:
     return [f.name for f in REGISTRY.get(event_type, T.StructType()).fields if isinstance(f.dataType, NUMERIC)]
 
 
+def _number(key: str, seed: int, use: str):
+    """A whole number from the md5 of seed, key and use, so that any engine can draw the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key), F.lit(use)).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def corrupt_payload(payload: str, event_type: str, key: str, seed: int):
     """I4 as a column: pick one present top-level numeric field by hash; half the time null it,
     else make it −|v|.  Top-level field names never collide with nested line fields."""
@@ -45,9 +50,9 @@ def corrupt_payload(payload: str, event_type: str, key: str, seed: int):
                        for x in (F.lit(et), F.array(*[F.lit(f) for f in fs]))])
     cands = F.coalesce(m[F.col(event_type)], F.array().cast("array<string>"))
     present = F.filter(cands, lambda f: F.regexp_like(F.col(payload), F.concat(F.lit('"'), f, F.lit('":-?[0-9]'))))
-    h = F.abs(F.xxhash64(F.lit(seed), F.col(key), F.lit("field")))
+    h = _number(key, seed, "field")
     field = F.element_at(present, (h % F.greatest(F.size(present), F.lit(1))).cast("int") + 1)
-    to_null = (F.abs(F.xxhash64(F.lit(seed), F.col(key), F.lit("mode"))) % 2) == 0
+    to_null = _number(key, seed, "mode") % 2 == 0
     pattern = F.concat(F.lit('"'), field, F.lit('":-?([0-9][0-9.eE+-]*)'))
     repl = F.when(to_null, F.concat(F.lit('"'), field, F.lit('":null'))).otherwise(
         F.concat(F.lit('"'), field, F.lit('":-$1')))

@@ -604,6 +604,28 @@ def q_noisy_orders(spark, d):
                  F.count_if(F.col("total_value") < 0).alias("negative_totals"))
 
 
+cte("noisy_pick", """
+SELECT *, row_number() OVER (ORDER BY md5('127|' || id), id) <= CAST(floor(n * 0.05::DOUBLE) AS BIGINT) AS oor,
+       row_number() OVER (ORDER BY md5('128|' || id), id) <= CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS cor,
+       row_number() OVER (ORDER BY md5('129|' || id), id) <= CAST(floor(n * 0.02::DOUBLE) AS BIGINT) AS late,
+       ('0x' || substr(md5('42|' || id || '|field'), 1, 8))::BIGINT % 2 AS field, ('0x' || substr(md5('42|' || id || '|mode'), 1, 8))::BIGINT % 2 = 0 AS gone
+FROM (SELECT *, replace(invoice_id, 'INV-', 'IC-') AS id, count(*) OVER () AS n FROM invoices_t)""", ("invoices_t",))
+
+
+@query("noisy_invoices", sql("""
+SELECT invoice_id, CASE WHEN cor AND field = 0 THEN CASE WHEN gone THEN NULL ELSE -abs(amount) END ELSE amount END AS amount,
+       CASE WHEN cor AND field = 1 THEN CASE WHEN gone THEN NULL ELSE -abs(terms_days) END ELSE terms_days END AS terms_days,
+       timestamp - CASE WHEN oor THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END - CASE WHEN late THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END AS timestamp
+FROM noisy_pick""", "noisy_pick"), "I1 I2 I3 I4 I5")
+def q_noisy_invoices(spark, d):
+    """The invoices of a log of invoices alone, with more noise than usual."""
+    from ..operators.noise import NoiseConfig, inject_noise
+
+    log = read_events(log_of(spark, d), "InvoiceCreated")
+    noisy, _ = inject_noise(log, NoiseConfig(out_of_order_rate=0.05, corruption_rate=0.1, late_arrival_rate=0.02))
+    return typed(noisy, "InvoiceCreated", ["invoice_id", "amount", "terms_days"]).select("invoice_id", "amount", "terms_days", "timestamp")
+
+
 # The true trailing-90-day basket mean as the baseline (the seeded path uses RFM monetary)
 
 cte("enriched90", """
