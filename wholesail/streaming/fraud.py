@@ -2,11 +2,15 @@
 
 State per customer is a list of its orders' times and values, cut after every batch to what a later order can
 still ask for: the last 24 hours, and the last 90 orders.  A customer's orders of a micro-batch are walked in time order, and
-every order comes out once, with the features it had when it arrived."""
+every order comes out once, with the features it had when it arrived.
+
+A call to a Python state function costs milliseconds, whatever it does, so customers are grouped into buckets by hash: a call
+walks all customers of a bucket, and the bucket's state is one Arrow table (``buckets.pack``)."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,9 +20,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalar import MICROS_PER_HOUR
 from ..operators.features import HISTORY_ORDERS, fraud_score
+from .buckets import bucket_of, pack, unpack
 
 ORDERS = "order_id string, customer_id string, created_at timestamp, total_value double"
 OUT = "order_id string, customer_id string, total_value double, risk double, velocity_24h long, avg_prev double"
+STATE = {"customer_id": "string", "at_us": "int64", "cents": "int64"}
 WINDOW_US = 24 * MICROS_PER_HOUR
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -45,21 +51,28 @@ def walk(old: list[tuple[int, int]], new: list[tuple[int, str, int]], window_us:
 
 
 class RecentOrders(StatefulProcessor):
+    """Walks the customers of one bucket."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "at_us long, cents long")
+        self.recent = handle.getValueState("recent", "orders binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new, own = [], {}
+        new = defaultdict(list)
         for pdf in rows:
-            for t, oid, cents, value, risk in pdf[["at_us", "order_id", "cents", "total_value", "risk"]].itertuples(index=False):
-                new.append((int(t), oid, int(cents)))
-                own[oid] = (value, risk)
-        new.sort()
-        out, keep = walk([(int(t), int(c)) for t, c in self.recent.get()], new)
-        self.recent.put(keep)
-        yield pd.DataFrame(
-            [(oid, key[0], *own[oid], velocity, mean) for (_, oid, _), (velocity, mean) in zip(new, out, strict=True)],
-            columns=["order_id", "customer_id", "total_value", "risk", "velocity_24h", "avg_prev"])
+            cols = pdf[["customer_id", "at_us", "order_id", "cents", "total_value", "risk"]]
+            for cid, t, oid, cents, value, risk in cols.itertuples(index=False, name=None):
+                new[cid].append((int(t), oid, int(cents), value, risk))
+        recent = defaultdict(list)
+        if self.recent.exists():
+            for cid, t, cents in unpack(self.recent.get()[0]):
+                recent[cid].append((t, cents))
+        scored = []
+        for cid, own in new.items():
+            own.sort(key=lambda r: r[:3])
+            out, recent[cid] = walk(recent[cid], [r[:3] for r in own])
+            scored += [(oid, cid, value, risk, *o) for (_, oid, _, value, risk), o in zip(own, out, strict=True)]
+        self.recent.update((pack(STATE, ((cid, *o) for cid, kept in recent.items() for o in kept)),))
+        yield pd.DataFrame(scored, columns=["order_id", "customer_id", "total_value", "risk", "velocity_24h", "avg_prev"])
 
     def close(self) -> None:
         pass
@@ -72,7 +85,7 @@ def fraud_features(orders: DataFrame, customers: DataFrame) -> DataFrame:
     o = orders.join(risk, "customer_id", "left").select(
         "order_id", "customer_id", F.unix_micros("created_at").alias("at_us"), F.coalesce("risk", F.lit(0.0)).alias("risk"),
         F.col("total_value").cast("double").alias("total_value"), (F.col("total_value").cast("decimal(20,2)") * 100).cast("long").alias("cents"))
-    f = o.groupBy("customer_id").transformWithStateInPandas(RecentOrders(), OUT, "Append", "None")
+    f = o.withColumn("bucket", bucket_of("customer_id")).groupBy("bucket").transformWithStateInPandas(RecentOrders(), OUT, "Append", "None")
     return f.select("order_id", "customer_id", "velocity_24h", "avg_prev",
                     fraud_score(F.col("velocity_24h"), F.col("total_value"), F.col("avg_prev"), F.col("risk")).alias("fraud_model_score"))
 
