@@ -56,3 +56,22 @@ def test_stream_lifecycle_matches_closed_part_of_batch(spark):
         "customer_id", "event_type", "timestamp").collect()}
     # the final watermark is day(899): every expected crossing is before it
     assert got == expected()
+
+
+def test_one_state_call_walks_many_customers(spark, monkeypatch):
+    """A bucket's customers are walked in one call, and come out as if each had one of its own."""
+    from wholesail.streaming import buckets
+
+    monkeypatch.setattr(SL, "bucket_of", lambda key: buckets.bucket_of(key, 2))
+    customers = [(f"{c}-{i}", t) for i in range(20) for c, t in CUSTOMERS]
+    rows = [(c, t, None, "created") for c, t in customers]
+    rows += [(f"{c}-{i}", t, ch, "order") for i in range(20) for c, t, ch in ORDERS]
+    df = spark.createDataFrame(rows, "customer_id string, ts timestamp, channel string, kind string")
+    base = tempfile.mkdtemp(prefix="wholesail-test-lc-", dir="/tmp")
+    per = write_time_sliced(df, f"{base}/src", "ts", files=2, per_slice=3)
+    q = SL.run_lifecycle_stream(spark, f"{base}/src", "customer_id string, ts timestamp, channel string, kind string",
+                                f"{base}/out", f"{base}/ck", watermark="1 day", files_per_trigger=per)
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 2
+    got = [(r[0], r[1], r[2]) for r in spark.read.parquet(f"{base}/out").select("customer_id", "event_type", "timestamp").collect()]
+    want = {(f"{c}-{i}", e, t) for i in range(20) for c, e, t in expected()}
+    assert len(got) == len(want) and set(got) == want
