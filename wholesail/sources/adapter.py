@@ -12,6 +12,8 @@ The same rules are restated in SQL in ``wholesail.plans.oracle`` for the DuckDB
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,30 +135,44 @@ def orders_domain(t: Tables) -> DataFrame:
     )
 
 
-def lines_domain(t: Tables) -> DataFrame:
-    """One row per driver line item with its order context (join on the order key).
-
-    During a full log build the joined lines are materialised once (``event_log``) and reused
-    by the five branches that need them."""
-    cached = t.__dict__.get("_lines")
-    if cached is not None:
-        return cached
+def joined_lines(t: Tables) -> DataFrame:
+    """One row per driver line item with its order's and its part's fields, as they are in the tables: what five branches
+    of the log are derived from.  Texts are made after the join (``lines_domain``), so that it moves numbers."""
     li, p = t.lineitem, t.part
-    o = orders_domain(t).select("orderkey", "order_id", "customer_id", "custkey", "created_at", "orderstatus")
+    o = orders_domain(t).select("orderkey", "custkey", "created_at", "orderstatus")
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_discount", "l_quantity", "l_extendedprice")
     return (
         li.join(o, li.l_orderkey == o.orderkey)
         .join(p.select("p_partkey", "p_size"), li.l_partkey == p.p_partkey, "left")
-        .select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_discount",
-            "order_id", "customer_id", "custkey", "created_at", "orderstatus",
-            sku_id(F.col("l_partkey")).alias("sku_id"),
-            F.col("l_quantity").cast("long").alias("quantity"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
-            F.col("l_extendedprice").alias("line_total"),
-            demand_class(F.col("p_size")).alias("demand_class"),
-            (F.col("l_discount") > 0).alias("promotion_applied"),
-            (F.col("l_extendedprice") * F.col("l_discount")).alias("discount_amount"),
-        )
+        .select(*li.columns, "custkey", "created_at", "orderstatus", "p_size")
+    )
+
+
+def line_fields(f: Callable[[str], Column]) -> dict[str, Column]:
+    """The fields of a line as an order event lists them (``ORDER_LINE``), from the joined columns ``f(name)``."""
+    return {
+        "sku_id": sku_id(f("l_partkey")),
+        "quantity": f("l_quantity").cast("long"),
+        "unit_price": f("l_extendedprice") / f("l_quantity"),
+        "line_total": f("l_extendedprice"),
+        "demand_class": demand_class(f("p_size")),
+        "promotion_applied": f("l_discount") > 0,
+        "discount_amount": f("l_extendedprice") * f("l_discount"),
+    }
+
+
+def lines_joined(t: Tables) -> DataFrame:
+    """The joined lines; during a full log build they are stored once (``event_log``) and read by the five branches."""
+    stored = t.__dict__.get("_lines")
+    return joined_lines(t) if stored is None else stored
+
+
+def lines_domain(t: Tables) -> DataFrame:
+    """One row per driver line item with its order context (join on the order key)."""
+    return lines_joined(t).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_discount",
+        order_id(F.col("l_orderkey")).alias("order_id"), cust_id(F.col("custkey")).alias("customer_id"),
+        "custkey", "created_at", "orderstatus", *[c.alias(n) for n, c in line_fields(F.col).items()],
     )
 
 
@@ -185,13 +201,17 @@ def customer_created(t: Tables) -> DataFrame:
 
 
 def order_created(t: Tables) -> DataFrame:
-    lines = lines_domain(t)
-    line_struct = F.struct(*[F.col(f.name) for f in ORDER_LINE.fields])
     # one array per order (an order is one event); sorted so the payload is deterministic
-    per_order = lines.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(line_struct)).alias("lines"),
+    per_order = lines_joined(t).groupBy("l_orderkey").agg(
+        F.collect_list(F.struct("l_partkey", "l_quantity", "l_extendedprice", "l_discount", "p_size")).alias("own"),
         F.max("l_discount").alias("max_discount"),
     )
+
+    def line(x: Column) -> Column:
+        fields = line_fields(lambda n: x[n])
+        return F.struct(*[fields[f.name].alias(f.name) for f in ORDER_LINE.fields])
+
+    per_order = per_order.select("l_orderkey", F.array_sort(F.transform("own", line)).alias("lines"), "max_discount")
     o = orders_domain(t)
     j = o.join(per_order, o.orderkey == per_order.l_orderkey, "left")
     empty = F.array().cast(T.ArrayType(ORDER_LINE))
@@ -465,17 +485,14 @@ def lifecycle_events(t: Tables) -> DataFrame:
     )
 
 
-def event_log(t: Tables, materialise_lines: bool = False) -> DataFrame:
+def event_log(t: Tables, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The whole log as one union of branches (see the module docstring).
 
-    With ``materialise_lines`` (the ingestion job) the line-item join — the largest input,
-    needed by five branches — is checkpointed once to the shared folder instead of being
+    With ``keep`` (the ingestion job; it stores a frame in the shared folder and returns it read back) the
+    line-item join — the largest input, needed by five branches — is stored once instead of being
     shuffled five times."""
-    if materialise_lines:
-        from ..session import checkpoint_dir
-
-        checkpoint_dir(t.spark)
-        t.__dict__["_lines"] = lines_domain(t).checkpoint(eager=True)
+    if keep is not None:
+        t.__dict__["_lines"] = keep(joined_lines(t))
     parts = [
         customer_created(t), order_created(t), order_status_events(t), invoice_created(t), payment_events(t),
         stock_events(t), promotion_applied(t), activity_events(t), lifecycle_events(t),
