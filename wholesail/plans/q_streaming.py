@@ -35,8 +35,8 @@ def scratch(spark, name: str) -> str:
 @query("stream_decision_audit", sql("SELECT * FROM audit_t", "audit_t"), "M1 M2 M3 M4 J9 J10 A10 A11 B4 B5 B6 B8")
 def q_stream_decisions(spark, d):
     base = scratch(spark, "decisions")
-    SD.write_change_records(SD.change_records(enriched(spark, d)), f"{base}/source", files=4)
-    SD.run_decisions(spark, f"{base}/source", f"{base}/out", f"{base}/_checkpoint")
+    per = SD.write_change_records(SD.change_records(enriched(spark, d)), f"{base}/source", files=4)
+    SD.run_decisions(spark, f"{base}/source", f"{base}/out", f"{base}/_checkpoint", files_per_trigger=per)
     return spark.read.parquet(f"{base}/out/actions").drop("batch_id", "actioned_at", "bucket", "batch")
 
 
@@ -51,9 +51,9 @@ def q_stream_metrics(spark, d):
 
     base = scratch(spark, "metrics")
     ev = load_table(spark, d, "events")
-    SM.write_time_sliced(ev, f"{base}/source", "ts", files=6)
+    per = SM.write_time_sliced(ev, f"{base}/source", "ts", files=6)
     SM.run_window_stream(spark, f"{base}/source", ev.schema, f"{base}/out", f"{base}/_checkpoint",
-                         watermark="10 minutes", width="5 minutes")
+                         watermark="10 minutes", width="5 minutes", files_per_trigger=per)
     # a window holds far fewer events than the sketch's accuracy, so its p99 is the exact one
     return spark.read.parquet(f"{base}/out").select("window_start", "window_end", "events", "value_sum", "value_p99")
 
@@ -108,8 +108,8 @@ def faulty_run(spark, d) -> str:
     key = (spark.sparkContext.applicationId, d)
     if key not in _RUNS:
         base = scratch(spark, "faulty")
-        SD.write_change_records(faulty_records(enriched(spark, d)), f"{base}/source", files=4)
-        SD.run_decisions(spark, f"{base}/source", f"{base}/out", f"{base}/_checkpoint")
+        per = SD.write_change_records(faulty_records(enriched(spark, d)), f"{base}/source", files=4)
+        SD.run_decisions(spark, f"{base}/source", f"{base}/out", f"{base}/_checkpoint", files_per_trigger=per)
         _RUNS[key] = f"{base}/out"
     return _RUNS[key]
 
@@ -163,9 +163,10 @@ def q_stream_lifecycle(spark, d):
     c = tables_of(spark, d)["customers"].select("customer_id", F.col("created_at").alias("ts"),
                                 F.lit(None).cast("string").alias("channel"), F.lit("created").alias("kind"))
     base = scratch(spark, "lifecycle")
-    SM.write_time_sliced(c.unionByName(o), f"{base}/source", "ts", files=8)
+    per = SM.write_time_sliced(c.unionByName(o), f"{base}/source", "ts", files=8)
     schema = "customer_id string, ts timestamp, channel string, kind string"
-    SL.run_lifecycle_stream(spark, f"{base}/source", schema, f"{base}/out", f"{base}/_checkpoint", watermark="1 day")
+    SL.run_lifecycle_stream(spark, f"{base}/source", schema, f"{base}/out", f"{base}/_checkpoint", watermark="1 day",
+                            files_per_trigger=per)
     return spark.read.parquet(f"{base}/out")
 
 
@@ -181,10 +182,10 @@ def q_stream_ingest(spark, d):
     base = scratch(spark, "ingest")
     src = read_events(log, *STATUS_TYPES)
     # every event delivered twice, in different files, plus types the filter must drop
-    SM.write_time_sliced(src, f"{base}/source/copy1", "timestamp", files=3)
-    SM.write_time_sliced(src, f"{base}/source/copy2", "timestamp", files=2)
+    per = SM.write_time_sliced(src, f"{base}/source/copy1", "timestamp", files=3)
+    SM.write_time_sliced(src, f"{base}/source/copy2", "timestamp", files=2, per_slice=per)
     SI.run_ingest(spark, f"{base}/source/*", f"{base}/log", f"{base}/_checkpoint",
-                  event_types=STATUS_TYPES[:4], files_per_trigger=2)
+                  event_types=STATUS_TYPES[:4], files_per_trigger=2 * per)
     return spark.read.parquet(f"{base}/log").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -204,9 +205,10 @@ def q_stream_order_windows(spark, d):
     o = tables_of(spark, d)["orders"].select("customer_id", F.col("created_at").alias("ts"),
                                              F.col("total_value").alias("value"))
     base = scratch(spark, "order-windows")
-    SM.write_time_sliced(o, f"{base}/source", "ts", files=4)
+    per = SM.write_time_sliced(o, f"{base}/source", "ts", files=4)
     SM.run_window_stream(spark, f"{base}/source", o.schema, f"{base}/out", f"{base}/_checkpoint",
-                         watermark="1 day", width="24 hours", slide="6 hours", by=("customer_id",))
+                         watermark="1 day", width="24 hours", slide="6 hours", by=("customer_id",),
+                         files_per_trigger=per)
     return spark.read.parquet(f"{base}/out").select("customer_id", "window_start", "window_end", "events",
                                                     "value_sum")
 
@@ -219,6 +221,7 @@ LEFT JOIN cust c ON o.customer_id = c.customer_id""", "feat_o", "feat_vel", "fea
 def q_stream_fraud(spark, d):
     o = tables_of(spark, d)["orders"].select("order_id", "customer_id", "created_at", "total_value")
     base = scratch(spark, "fraud")
-    SM.write_time_sliced(o, f"{base}/source", "created_at", files=4)
-    SF.run_fraud_stream(spark, f"{base}/source", tables_of(spark, d)["customers"], f"{base}/out", f"{base}/_checkpoint")
+    per = SM.write_time_sliced(o, f"{base}/source", "created_at", files=4)
+    SF.run_fraud_stream(spark, f"{base}/source", tables_of(spark, d)["customers"], f"{base}/out", f"{base}/_checkpoint",
+                        files_per_trigger=per)
     return spark.read.parquet(f"{base}/out")

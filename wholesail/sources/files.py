@@ -18,9 +18,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def data_files(spark: SparkSession, path: str) -> int:
+    """Number of a table folder's files of data (markers left out)."""
+    return sum(not n.rsplit("/", 1)[-1].startswith(("_", ".")) for n, _, _ in files(spark, path)) if exists(spark, path) else 0
+
+
 def has_data(spark: SparkSession, path: str) -> bool:
     """Whether a table folder holds files of data (a folder of markers alone is an empty table)."""
-    return any(not n.rsplit("/", 1)[-1].startswith(("_", ".")) for n, _, _ in files(spark, path)) if exists(spark, path) else False
+    return data_files(spark, path) > 0
 
 
 def names(spark: SparkSession, path: str) -> list[str]:

@@ -59,12 +59,12 @@ def change_records(enriched: DataFrame) -> DataFrame:
                            F.col("created_at").alias("approximate_ts"), img.alias("new_image"))
 
 
-def write_change_records(records: DataFrame, path: str, files: int) -> None:
+def write_change_records(records: DataFrame, path: str, files: int) -> int:
     """Split the records into ``files`` time slices, written in time order (one micro-batch each
-    with ``maxFilesPerTrigger=1``)."""
+    with ``maxFilesPerTrigger`` = the number returned)."""
     from .metrics import write_time_sliced
 
-    write_time_sliced(records, path, "approximate_ts", files)
+    return write_time_sliced(records, path, "approximate_ts", files)
 
 
 def upsert_if_absent(spark: SparkSession, batch: DataFrame, path: str, key: str, first_by: str, name: str) -> DataFrame:

@@ -6,10 +6,17 @@ runs in append mode, so it emits exactly the windows the watermark has closed.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import data_files
+from ..sources.keyed import scratch
+
+ROWS_PER_FILE = 250_000
+
 
 def window_metrics(events: DataFrame, ts: str = "ts", width: str = "5 minutes", slide: str | None = None,
                    by: tuple[str, ...] = ()) -> DataFrame:
@@ -42,29 +49,36 @@ def late_share(events: DataFrame, ts: str, arrival: str, delay_us: int) -> DataF
                  (F.count_if(late) / F.count(F.lit(1))).alias("late_share"))
 
 
-def write_time_sliced(df: DataFrame, path: str, ts: str, files: int, per_slice: int = 1) -> int:
+def write_time_sliced(df: DataFrame, path: str, ts: str, files: int, per_slice: int | None = None) -> int:
     """Write a table as ``files`` time slices for stream replay, one append per slice in time order.
 
     A file source picks the oldest files first, so slices written by one parallel job would be
     replayed in task-completion order and the watermark would drop earlier slices as late.  Each
-    slice is its own write of ``per_slice`` files; read it back with ``maxFilesPerTrigger =
-    per_slice`` so one micro-batch is one slice.  The input is checkpointed once (shared folder)
-    so slicing does not recompute it; slice bounds come from ``approx_percentile`` (one row)."""
-    from ..session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
-    probs = [i / files for i in range(1, files)]
-    bounds = df.agg(F.percentile_approx(F.unix_micros(ts), probs, 10000).alias("b")).first()["b"] if files > 1 else []
-    edges = [None] + sorted(set(int(x) for x in bounds)) + [None]
-    t = F.unix_micros(ts)
-    for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (t > F.lit(lo))
-        if hi is not None:
-            cond = cond & (t <= F.lit(hi))
-        df.filter(cond).repartition(per_slice).write.mode("overwrite" if i == 0 else "append").parquet(path)
+    slice is its own write of ``per_slice`` files (default: as many as its rows need, so that no task
+    holds a whole slice); read it back with ``maxFilesPerTrigger`` = the number returned, so one micro-batch
+    is one slice.  The input is stored once (shared folder) so slicing does not recompute it; slice
+    bounds come from ``approx_percentile`` (one row)."""
+    spark = df.sparkSession
+    with scratch(spark) as s:
+        df = s.keep(df)
+        probs = [i / files for i in range(1, files)]
+        b = df.agg(F.percentile_approx(F.unix_micros(ts), probs or [0.5], 10000).alias("b"), F.count(F.lit(1)).alias("n")).first()
+        per_slice = per_slice or max(1, ceil(b["n"] / files / ROWS_PER_FILE))
+        edges = [None] + sorted(set(int(x) for x in (b["b"] or [] if files > 1 else []))) + [None]
+        t = F.unix_micros(ts)
+        there = 0
+        for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+            cond = F.lit(True)
+            if lo is not None:
+                cond = cond & (t > F.lit(lo))
+            if hi is not None:
+                cond = cond & (t <= F.lit(hi))
+            df.filter(cond).repartition(per_slice).write.mode("overwrite" if i == 0 else "append").parquet(path)
+            # a slice of very few rows fills fewer files: empty ones keep the next slice out of its batch
+            missing = there + per_slice - data_files(spark, path)
+            for _ in range(missing):
+                df.limit(0).coalesce(1).write.mode("append").parquet(path)
+            there += per_slice
     return per_slice
 
 
