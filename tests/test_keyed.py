@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from wholesail.sources import files, keyed
 
@@ -87,3 +88,16 @@ def test_scratch_is_removed(spark):
     with keyed.scratch(spark) as s:
         assert s.keep(spark.range(3)).count() == 3 and files.exists(spark, s.path)
     assert not files.exists(spark, s.path)
+
+
+def test_a_look_up_meets_one_bitmap_row_per_key(spark):
+    """All probes of a key lie in one bitmap; a filter without blocks (an older layout) may hold any key."""
+    some = batch(spark, 0, 9000).selectExpr("key", "1 bucket")
+    f = keyed.filters(some, "key").selectExpr("*", "'f' batch").cache()
+    in_block = some.join(f.select("bucket", "segments").distinct(), "bucket").select(*keyed._hashed("key", F.col("segments")))
+    per = {r["segment"]: r["n"] for r in f.selectExpr("segment", "bitmap_count(block) n").collect()}
+    for seg, n in in_block.groupBy("segment").count().collect():
+        assert per[seg] <= keyed.PROBES * n
+    assert keyed.candidates(some, f, "key").count() == 1
+    older = f.selectExpr("bucket", "segments", "segment", "cast(null as binary) block", "batch")
+    assert keyed.candidates(batch(spark, 90_000, 90_001).selectExpr("key", "1 bucket"), older, "key").count() == 1

@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,7 @@ BUCKETS = 16
 BITS = 1 << 15  # of one bitmap (Spark's bitmap functions)
 BITS_PER_KEY = 12
 PROBES = 4
+FILTER = "bucket int, segments long, segment long, block binary, batch string"
 MOST_BATCHES = 16  # in a bucket before compaction
 
 
@@ -41,7 +42,7 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.path}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,39 +59,45 @@ def bucket_of(key: str, buckets: int = BUCKETS):
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
-def _places(segments, probe):
-    """Bit of a key's filter that probe ``probe`` looks at (``h1``, ``h2`` are the key's hashes)."""
-    return F.pmod(F.col("h1") + probe * F.col("h2"), segments * F.lit(BITS))
-
-
-def _hashes(key: str):
+def _hashed(key: str, segments: Column) -> list[Column]:
+    """A key's place in a filter of ``segments`` bitmaps: one bitmap, and the numbers its probes' bits are drawn from."""
     k = F.col(key).cast("string")
+    at = F.xxhash64(F.lit(1), k)
     odd = F.xxhash64(F.lit(2), k).bitwiseAND(F.lit((1 << 40) - 1)).bitwiseOR(F.lit(1))
-    return [F.xxhash64(F.lit(1), k).bitwiseAND(F.lit((1 << 40) - 1)).alias("h1"), odd.alias("h2")]
+    return [F.pmod(F.xxhash64(F.lit(3), k), segments).alias("segment"), at.bitwiseAND(F.lit((1 << 40) - 1)).alias("h1"), odd.alias("h2")]
+
+
+def _bit(probe: int) -> Column:
+    """Bit of the key's bitmap that probe ``probe`` looks at."""
+    return F.pmod(F.col("h1") + F.lit(probe) * F.col("h2"), F.lit(BITS))
 
 
 def filters(rows: DataFrame, key: str) -> DataFrame:
-    """``bucket, segments, segment, bits``: a Bloom filter of the keys of each bucket of ``rows(bucket, key)``, in bitmaps of ``BITS``."""
-    own = rows.select("bucket", *_hashes(key))
-    sizes = own.groupBy("bucket").agg((F.floor(F.count("*") * BITS_PER_KEY / BITS) + 1).cast("long").alias("segments"))
-    probes = F.explode(F.array(*[F.lit(i).cast("long") for i in range(PROBES)]))
-    at = own.join(sizes, "bucket").withColumn("probe", probes).withColumn("at", _places(F.col("segments"), F.col("probe")))
+    """``bucket, segments, segment, block``: a Bloom filter of the keys of each bucket of ``rows(bucket, key)``, in bitmaps of ``BITS``.
+    All probes of a key lie in one bitmap, so that a look-up meets one row."""
+    sizes = rows.groupBy("bucket").agg((F.floor(F.count("*") * BITS_PER_KEY / BITS) + 1).cast("long").alias("segments"))
+    own = rows.select("bucket", key).join(F.broadcast(sizes), "bucket")  # one row per bucket
+    at = own.select("bucket", "segments", *_hashed(key, F.col("segments"))).select(
+        "bucket", "segments", "segment", F.explode(F.array(*[_bit(i) for i in range(PROBES)])).alias("at"))
     # bitmap_bit_position numbers from 1 on
-    parts = at.withColumn("segment", F.expr(f"at div {BITS}")).withColumn("bit", F.expr(f"bitmap_bit_position(at % {BITS} + 1)"))
-    return parts.groupBy("bucket", "segments", "segment").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    return at.groupBy("bucket", "segments", "segment").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at + 1))").alias("block"))
 
 
 def candidates(keys: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """``bucket, batch`` of those ``known(bucket, batch, segments, segment, bits)`` that may hold one of ``keys(bucket, key)``."""
-    own = keys.select("bucket", *_hashes(key))
-    met = own.join(known.select("bucket", "batch", "segments").distinct(), "bucket")
-    probes = F.explode(F.array(*[F.lit(i).cast("long") for i in range(PROBES)]))
-    met = met.withColumn("probe", probes).withColumn("at", _places(F.col("segments"), F.col("probe")))
-    met = met.withColumn("segment", F.expr(f"at div {BITS}")).withColumn("bit", F.expr(f"bitmap_bit_position(at % {BITS} + 1)"))
-    hit = met.join(known.select("bucket", "batch", "segment", "bits"), ["bucket", "batch", "segment"])
-    hit = hit.filter("(shiftright(cast(conv(hex(substring(bits, cast(bit div 8 + 1 as int), 1)), 16, 10) as int), cast(bit % 8 as int)) & 1) = 1")
-    full = hit.groupBy("bucket", "batch", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") == PROBES)
-    return full.select("bucket", "batch").distinct()
+    """``bucket, batch`` of those ``known(bucket, batch, segments, segment, block)`` that may hold one of ``keys(bucket, key)``."""
+    sizes = known.select("bucket", "batch", "segments").distinct()  # one row per folder
+    met = keys.select("bucket", key).join(F.broadcast(sizes), "bucket").select("bucket", "batch", *_hashed(key, F.col("segments")))
+    hit = met.join(known.select("bucket", "batch", "segment", "block"), ["bucket", "batch", "segment"])
+
+    def is_set(bit: Column) -> Column:
+        byte = F.conv(F.hex(F.substring("block", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    for i in range(PROBES):
+        hit = hit.filter(is_set(_bit(i)))
+    # filters written before there were blocks may hold any key
+    older = known.filter(F.col("block").isNull()).select("bucket", "batch")
+    return hit.select("bucket", "batch").union(older).distinct()
 
 
 def _listed(spark: SparkSession, path: str) -> dict[str, list[str]]:
@@ -134,7 +141,7 @@ def _look_back(spark: SparkSession, new: DataFrame, path: str, key: str, batch:
     filtered = {n for n in filtered if n.startswith("batch=")}
     hits = set()
     if filtered:
-        known = spark.read.option("basePath", keys).parquet(*[f"{keys}/{n}" for n in sorted(filtered)])
+        known = spark.read.schema(FILTER).option("basePath", keys).parquet(*[f"{keys}/{n}" for n in sorted(filtered)])
         hits = {(f"bucket={r['bucket']}", f"batch={r['batch']}") for r in candidates(new, known, key).collect()}
     return sorted(f"{path}/{b}/{n}" for b, n in there if n not in filtered or (b, n) in hits)
 
