@@ -284,7 +284,7 @@ class StoredProjections(Mapping):
             if not files.exists(self.spark, f"{path}/_SUCCESS"):
                 from ..sources.logstore import stored_log
 
-                make(stored_log(self.spark, self.sf_dir)).write.mode("overwrite").parquet(path)
+                make(stored_log(self.spark, self.sf_dir)).write.mode("overwrite").option("compression", "zstd").parquet(path)
             self._schemas[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(self._schemas[path]).parquet(path)
 
