@@ -1,9 +1,9 @@
 """Perturb a log the way real pipelines see it — out-of-order and late timestamps,
 corrupted numeric payload fields — and count what was done.
 
-Selection is exact-n by hash order (``sampling.exact_n``): no ``rand``, no driver-side id list.
-The rewrite is one join: each row is looked up in one table of picked ids with their flags, and its
-timestamp or payload is changed in place, so the row count never changes.
+Selection is exact-n by hash order: no ``rand``, no driver-side id list.  The n smallest hashes are those up to the n-th
+(``sampling.hash_bounds``), so each row tells by itself whether it is picked, and its timestamp or payload is changed
+in place: the log is not shuffled and the row count never changes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.eventlog import ENVELOPE_COLS, REGISTRY
-from .sampling import exact_n
+from .sampling import hash_bounds, hash_key
 
 NUMERIC = (T.DoubleType, T.LongType, T.IntegerType, T.FloatType)
 
@@ -68,13 +68,26 @@ def inject_noise(log: DataFrame, cfg: NoiseConfig | None = None) -> tuple[DataFr
     n_oor = int(total * cfg.out_of_order_rate)
     n_cor = max(1, int(total * cfg.corruption_rate))
     n_late = int(total * cfg.late_arrival_rate)
-    # one table of picked ids (few rows) with their flags: one join with the log
-    def pick(ids: DataFrame, n: int, i: int, flag: str) -> DataFrame:
-        return exact_n(ids.select("event_id").distinct(), n, "event_id", cfg.seed * 3 + i).select("event_id", F.lit(flag).alias("kind"))
-
-    picked = pick(eligible, n_oor, 1, "_oor").unionByName(pick(log, n_cor, 2, "_cor")).unionByName(pick(eligible, n_late, 3, "_late"))
-    flags = picked.groupBy("event_id").agg(*[F.max(F.when(F.col("kind") == k, True)).alias(k) for k in ("_oor", "_cor", "_late")])
-    j = log.join(flags, "event_id", "left")
+    seeds = {"_oor": cfg.seed * 3 + 1, "_cor": cfg.seed * 3 + 2, "_late": cfg.seed * 3 + 3}
+    shifts = {seeds["_oor"]: n_oor, seeds["_late"]: n_late}
+    if cfg.since is None:
+        bounds = hash_bounds(log, "event_id", {**shifts, seeds["_cor"]: n_cor})
+    else:
+        bounds = {**hash_bounds(eligible, "event_id", shifts), **hash_bounds(log, "event_id", {seeds["_cor"]: n_cor})}
+
+    def picked(kind: str):
+        if bounds[seeds[kind]] is None:
+            return F.lit(False)
+        own, last = F.struct(hash_key(F.col("event_id"), seeds[kind]), F.col("event_id")), bounds[seeds[kind]]
+        return F.col("event_id").isNotNull() & (own <= F.struct(*[F.lit(x).cast("string") for x in last]))  # without an id: never
+
+    j = log
+    if cfg.since is not None:  # a late row of an id that also came before: only rows of small hashes look for their id
+        shifted = picked("_oor") | picked("_late")
+        ids = eligible.filter(shifted).select("event_id").distinct().withColumn("_in", F.lit(True))
+        j = log.filter(~shifted).withColumn("_in", F.lit(None).cast("boolean")).unionByName(log.filter(shifted).join(ids, "event_id", "left"))
+    inside = F.lit(True) if cfg.since is None else F.coalesce("_in", F.lit(False))
+    j = j.withColumns({k: F.when(picked(k) if k == "_cor" else picked(k) & inside, True) for k in seeds})
     ts = F.col("timestamp")
     ts = F.when(F.col("_oor"), ts - F.make_dt_interval(F.lit(0), F.lit(cfg.out_of_order_hours))).otherwise(ts)
     ts = F.when(F.col("_late"), ts - F.make_dt_interval(F.lit(cfg.late_arrival_days))).otherwise(ts)
