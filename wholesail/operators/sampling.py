@@ -10,7 +10,7 @@ bucket, so even a stratum holding a third of the data is ranked by many tasks.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -267,12 +267,33 @@ def size_budget_sample(df: DataFrame, budget_bytes: int, key: str, seed: int, pr
     return out
 
 
+class OnDemand(Mapping):
+    """Named frames, each made when it is first asked for: a table of a run that nobody reads is not opened (a stored
+    projection would be built for it)."""
+
+    def __init__(self, names: Sequence[str], make: Callable[[str], DataFrame]):
+        self._names, self._make, self._made = list(names), make, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._made:
+            self._made[name] = self._make(name)
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
 # --- the run (G11) --------------------------------------------------------------------------------
 @dataclass
 class SampleRun:
-    samples: dict[str, dict[str, DataFrame]]
-    reference: dict[str, DataFrame]
-    tagged: dict[str, DataFrame] | None = None     # table -> rows with their ``_sample``
+    samples: Mapping[str, Mapping[str, DataFrame]]
+    reference: Mapping[str, DataFrame]
+    tagged: Mapping[str, DataFrame] | None = None  # table -> rows with their ``_sample``
     sample_names: list[str] | None = None
 
 
@@ -318,24 +339,24 @@ def run_sampler(tables: dict[str, DataFrame], cfg: SamplerConfig, preserve_keys:
                                  "take more days, loosen the tolerance or ask for fewer rows")
         a = trim(a, akey, {n_: (cfg.target_rows if got[n_] > hi else got[n_]) for n_ in names})
 
-    def derive(anchor: DataFrame) -> dict[str, DataFrame]:
-        resolved = {anchor_spec.name: anchor}
-        every = F.array(*[F.lit(n_) for n_ in names])
-        for t in cfg.tables:
-            if t.static or t.split_anchor:
-                continue
-            df = tables[t.name]
+    every = F.array(*[F.lit(n_) for n_ in names])
+    specs = {t.name: t for t in cfg.tables if not t.static}
+
+    def derive(anchor: DataFrame) -> OnDemand:
+        def make(name: str) -> DataFrame:
+            t = specs[name]
+            if t.split_anchor:
+                return anchor
+            df = tables[name]
             cols = df.columns
             if t.filter == "date_window":
                 df = date_window(df, anchor_dt, cfg.days)
-            if t.join is not None:
-                if t.join.parent not in resolved:
-                    raise ValueError(f"parent '{t.join.parent}' of '{t.name}' is not resolved yet")
-                keys = resolved[t.join.parent].select(t.join.key, "_sample").distinct()
-                df = df.join(keys, t.join.key).select(*cols, "_sample")
-            else:
-                df = df.withColumn("_sample", F.explode(every))
-            resolved[t.name] = df
+            if t.join is None:
+                return df.withColumn("_sample", F.explode(every))
+            keys = resolved[t.join.parent].select(t.join.key, "_sample").distinct()
+            return df.join(keys, t.join.key).select(*cols, "_sample")
+
+        resolved = OnDemand(list(specs), make)
         return resolved
 
     tagged = derive(a)
@@ -345,17 +366,19 @@ def run_sampler(tables: dict[str, DataFrame], cfg: SamplerConfig, preserve_keys:
         if preserve_keys:
             tagged = derive(trim(tagged[anchor_spec.name], akey, {n_: sizes[n_][anchor_spec.name] for n_ in names}))
         else:
-            for t in list(tagged):
-                if any(sizes[n_][t] < counts[n_][t] for n_ in names):
-                    spec = next(x for x in cfg.tables if x.name == t)
-                    key = spec.key or tagged[t].columns[0]
-                    tagged[t] = trim(tagged[t], key, {n_: sizes[n_][t] for n_ in names})
-    samples = {n_: {t: df.filter(F.col("_sample") == n_).drop("_sample") for t, df in tagged.items()} for n_ in names}
-    reference = {t.name: tables[t.name] for t in cfg.tables if t.static}
-    return SampleRun(samples, reference, tagged, names)
+            whole = tagged
+
+            def capped(name: str) -> DataFrame:
+                if all(sizes[n_][name] >= counts[n_][name] for n_ in names):
+                    return whole[name]
+                return trim(whole[name], specs[name].key or whole[name].columns[0], {n_: sizes[n_][name] for n_ in names})
+
+            tagged = OnDemand(list(specs), capped)
+    of = lambda n_: OnDemand(list(specs), lambda t: tagged[t].filter(F.col("_sample") == n_).drop("_sample"))
+    return SampleRun({n_: of(n_) for n_ in names}, OnDemand([t.name for t in cfg.tables if t.static], lambda t: tables[t]), tagged, names)
 
 
-def tagged_counts(tagged: dict[str, DataFrame], names: list[str]) -> dict[str, dict[str, int]]:
+def tagged_counts(tagged: Mapping[str, DataFrame], names: list[str]) -> dict[str, dict[str, int]]:
     """Rows per (sample, table) in ONE job: one conditional-count aggregate per table, unioned and
     collected (samples × tables small rows)."""
     parts = [df.agg(*[F.count_if(F.col("_sample") == n_).alias(f"n{i}") for i, n_ in enumerate(names)])
