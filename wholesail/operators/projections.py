@@ -246,6 +246,23 @@ PROJECTIONS = {
     "promotion_roi": promotion_roi,
 }
 
+#: The event types each projection reads.
+READS = {
+    "orders": ["OrderCreated", *ORDER_STATUS_TYPES],
+    "order_lines": ["OrderCreated"],
+    "customers": LIFECYCLE_TYPES,
+    "customer_history": [*LIFECYCLE_TYPES, "CustomerSegmentChanged"],
+    "inventory_snapshot": ["StockReceived", "StockReserved", "StockReleased"],
+    "stockout_events": ["StockoutOccurred"],
+    "invoices": ["InvoiceCreated"],
+    "payments": ["PaymentCaptured", "PaymentFailed"],
+    "credit_ledger": ["OrderCreated", "PaymentCaptured", "CreditWrittenOff"],
+    "rfm_scores": ["OrderCreated"],
+    "monthly_customer_snapshot": LIFECYCLE_TYPES,
+    "rep_performance": ["RepVisitCompleted", "OrderCreated"],
+    "promotion_roi": ["PromotionApplied"],
+}
+
 
 def project_all(log: DataFrame, out_dir: str | None = None) -> dict[str, DataFrame]:
     """C14: every projection over one log.  With ``out_dir`` each table is written (A6) and
@@ -268,7 +285,8 @@ class StoredProjections(Mapping):
     """C14 as storage: the projections of the stored log, each written once when it is first asked for
     (parquet, ``_SUCCESS``-guarded, next to the log in the shared checkpoint folder) and read back — what downstream
     consumers such as the sampler read, as the reference's sampler reads projected tables.  Asking for one table
-    opens that table only; its schema is looked up once per process."""
+    opens that table only, and stores only those parts of the log that hold the events it reads; its schema is looked up
+    once per process."""
 
     _schemas: dict[str, T.StructType] = {}
 
@@ -284,7 +302,7 @@ class StoredProjections(Mapping):
             if not files.exists(self.spark, f"{path}/_SUCCESS"):
                 from ..sources.logstore import stored_log
 
-                make(stored_log(self.spark, self.sf_dir)).write.mode("overwrite").option("compression", "zstd").parquet(path)
+                make(stored_log(self.spark, self.sf_dir, READS[name])).write.mode("overwrite").option("compression", "zstd").parquet(path)
             self._schemas[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(self._schemas[path]).parquet(path)
 

@@ -12,14 +12,14 @@ The same rules are restated in SQL in ``wholesail.plans.oracle`` for the DuckDB
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import pick, rec, plus_days, plus_hours, plus_micros
-from .eventlog import ORDER_LINE, envelope
+from .eventlog import LIFECYCLE_TYPES, ORDER_LINE, ORDER_STATUS_TYPES, envelope
 from .tables import Tables
 
 # ---------------------------------------------------------------------------
@@ -141,9 +141,10 @@ def joined_lines(t: Tables) -> DataFrame:
     li, p = t.lineitem, t.part
     o = orders_domain(t).select("orderkey", "custkey", "created_at", "orderstatus")
     li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_discount", "l_quantity", "l_extendedprice")
+    # the part first: where it is too large to broadcast, lines then lie by order at the end, as ``order_created`` groups them
     return (
-        li.join(o, li.l_orderkey == o.orderkey)
-        .join(p.select("p_partkey", "p_size"), li.l_partkey == p.p_partkey, "left")
+        li.join(p.select("p_partkey", "p_size"), li.l_partkey == p.p_partkey, "left")
+        .join(o, li.l_orderkey == o.orderkey)
         .select(*li.columns, "custkey", "created_at", "orderstatus", "p_size")
     )
 
@@ -485,21 +486,38 @@ def lifecycle_events(t: Tables) -> DataFrame:
     )
 
 
-def event_log(t: Tables, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The whole log as one union of branches (see the module docstring).
+#: The log's parts, each stored without the others: their branches, those that read the lines, and the types they hold.
+PARTS = {
+    "customers": ([customer_created, lifecycle_events], 0, LIFECYCLE_TYPES),
+    "orders": ([order_created], 1, ["OrderCreated"]),
+    "statuses": ([order_status_events], 0, ORDER_STATUS_TYPES),
+    "billing": ([invoice_created, payment_events], 0, ["InvoiceCreated", "PaymentCaptured", "PaymentFailed", "CreditWrittenOff",
+                                                       "CollectionScheduled", "CollectionPromiseMade"]),
+    "stock": ([stock_events], 3, ["PurchaseOrderCreated", "StockReceived", "StockReserved", "StockReleased", "StockoutOccurred"]),
+    "promotions": ([promotion_applied], 1, ["PromotionApplied"]),
+    "activity": ([activity_events], 0, ["RepVisitCompleted", "AppSessionEvent", "AppError"]),
+}
+
+
+def parts_of(event_types: Iterable[str] | None = None) -> list[str]:
+    """The parts that hold events of these types (default: all parts); a type that no part holds has no events."""
+    wanted = None if event_types is None else set(event_types)
+    return [p for p, (_, _, types) in PARTS.items() if wanted is None or wanted & set(types)]
+
+
+def event_log(t: Tables, keep: Callable[[DataFrame], DataFrame] | None = None, parts: Iterable[str] | None = None) -> DataFrame:
+    """The log, or ``parts`` of it, as one union of branches (see the module docstring).
 
     With ``keep`` (the ingestion job; it stores a frame in the shared folder and returns it read back) the
     line-item join — the largest input, needed by five branches — is stored once instead of being
-    shuffled five times."""
-    if keep is not None:
+    shuffled by each; a single branch reads the join itself."""
+    parts = list(PARTS if parts is None else parts)
+    if keep is not None and sum(PARTS[p][1] for p in parts) > 1:
         t.__dict__["_lines"] = keep(joined_lines(t))
-    parts = [
-        customer_created(t), order_created(t), order_status_events(t), invoice_created(t), payment_events(t),
-        stock_events(t), promotion_applied(t), activity_events(t), lifecycle_events(t),
-    ]
-    log = parts[0]
-    for p in parts[1:]:
-        log = log.unionByName(p)
+    branches = [branch(t) for p in parts for branch in PARTS[p][0]]
+    log = branches[0]
+    for b in branches[1:]:
+        log = log.unionByName(b)
     return log
 
 
