@@ -80,7 +80,7 @@ def lifecycle_transitions(
         crossing("CustomerChurned", churned),
         react,
     )
-    tr = a.select("customer_id", F.explode(F.filter(cands, lambda s: s["on"])).alias("e")).select(
+    tr = a.select("customer_id", F.explode(cands).alias("e")).filter("e.on").select(
         "customer_id", "e.event_type", "e.timestamp", "e.days_without_order", "e.days_inactive", "e.channel"
     )
     first_churn = F.min(F.when(F.col("event_type") == "CustomerChurned", F.col("timestamp"))).over(

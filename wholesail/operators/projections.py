@@ -149,11 +149,15 @@ def credit_ledger(log: DataFrame) -> DataFrame:
     The running balance is summed in exact cents and computed per (customer, day) partitions
     (``windows.running_sum``), so a hot customer is not sorted by one task.
     """
-    p = F.from_json("payload", "customer_id string, total_value double, amount double")  # one parse per row
+    text, fields = F.col("payload"), [F.lit(None).cast("string"), F.lit(None).cast("double")]
+    if "OrderCreated" in log.columns:  # the fields of orders, as ``typed`` takes them
+        text = F.when(F.col("event_type") != "OrderCreated", text)
+        fields = [F.col("OrderCreated")[f] for f in ("customer_id", "total_value")]
+    p = F.from_json(text, "customer_id string, total_value double, amount double")  # one parse per row
     ev = read_events(log, "OrderCreated", "PaymentCaptured", "CreditWrittenOff").select(
-        "event_id", "event_type", "timestamp", p.alias("_p")
-    ).select("event_id", "event_type", "timestamp", "_p.customer_id",
-             F.coalesce("_p.total_value", "_p.amount").alias("amount"))
+        "event_id", "event_type", "timestamp", p.alias("_p"), F.struct(*[c.alias(n) for c, n in zip(fields, ("c", "v"))]).alias("_o")
+    ).select("event_id", "event_type", "timestamp", F.coalesce("_p.customer_id", "_o.c").alias("customer_id"),
+             F.coalesce("_p.total_value", "_p.amount", "_o.v").alias("amount"))
     tt = F.when(F.col("event_type") == "OrderCreated", "debit").when(
         F.col("event_type") == "PaymentCaptured", "credit").otherwise("writeoff")
     ev = ev.withColumn("transaction_type", tt).withColumn(
@@ -302,7 +306,8 @@ class StoredProjections(Mapping):
             if not files.exists(self.spark, f"{path}/_SUCCESS"):
                 from ..sources.logstore import stored_log
 
-                make(stored_log(self.spark, self.sf_dir, READS[name])).write.mode("overwrite").option("compression", "zstd").parquet(path)
+                log = stored_log(self.spark, self.sf_dir, READS[name], decoded=True)
+                make(log).write.mode("overwrite").option("compression", "zstd").parquet(path)
             self._schemas[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(self._schemas[path]).parquet(path)
 

@@ -73,8 +73,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], out: str =
 
 def bin_by_breaks(value: Column, breaks: Column, labels: Sequence[str]) -> Column:
     """T4: label index = number of breaks strictly below the value (right-closed bins)."""
-    idx = F.size(F.filter(breaks, lambda b: b < value))
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), idx + 1)
+    idx = sum((F.when(F.get(breaks, F.lit(i)) < value, 1).otherwise(0) for i in range(len(labels) - 1)), F.lit(0))
+    return F.when(breaks.isNotNull(), F.element_at(F.array(*[F.lit(x) for x in labels]), idx + 1))
 
 
 def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float], ranges: int = 128) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import pick, rec, plus_days, plus_hours, plus_micros
-from .eventlog import LIFECYCLE_TYPES, ORDER_LINE, ORDER_STATUS_TYPES, envelope
+from .eventlog import LIFECYCLE_TYPES, ORDER_LINE, ORDER_STATUS_TYPES, envelope, order_envelope
 from .tables import Tables
 
 # ---------------------------------------------------------------------------
@@ -201,42 +201,42 @@ def customer_created(t: Tables) -> DataFrame:
     )
 
 
-def order_created(t: Tables) -> DataFrame:
+def order_events(t: Tables) -> DataFrame:
+    """OrderCreated with its fields as columns, not yet as text (``eventlog.DECODED``)."""
+    stored = t.__dict__.get("_order_events")
+    if stored is not None:
+        return stored
     # one array per order (an order is one event); sorted so the payload is deterministic
-    per_order = lines_joined(t).groupBy("l_orderkey").agg(
-        F.collect_list(F.struct("l_partkey", "l_quantity", "l_extendedprice", "l_discount", "p_size")).alias("own"),
-        F.max("l_discount").alias("max_discount"),
+    fields = line_fields(F.col)
+    line = F.struct(*[fields[f.name].alias(f.name) for f in ORDER_LINE.fields])
+    per_order = lines_joined(t).select("l_orderkey", "l_discount", line.alias("line")).groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list("line")).alias("lines"), F.max("l_discount").alias("max_discount"),
     )
-
-    def line(x: Column) -> Column:
-        fields = line_fields(lambda n: x[n])
-        return F.struct(*[fields[f.name].alias(f.name) for f in ORDER_LINE.fields])
-
-    per_order = per_order.select("l_orderkey", F.array_sort(F.transform("own", line)).alias("lines"), "max_discount")
     o = orders_domain(t)
     j = o.join(per_order, o.orderkey == per_order.l_orderkey, "left")
     empty = F.array().cast(T.ArrayType(ORDER_LINE))
     return j.select(
-        *envelope(
-            "OrderCreated",
-            F.concat(F.lit("OC-"), F.col("orderkey").cast("string")),
-            F.col("order_id"),
-            F.col("created_at"),
-            {
-                "customer_id": F.col("customer_id"),
-                "order_id": F.col("order_id"),
-                "total_value": F.col("total_value"),
-                "lines": F.coalesce(F.col("lines"), empty),
-                "channel": F.col("channel"),
-                "rep_id": F.col("rep_id"),
-                "promotion_id": F.when(F.col("max_discount") > 0, promo_id(F.col("max_discount"))),
-                "fraud_score": F.col("fraud_score"),
-            },
-            correlation_id=F.col("order_id"),
-        )
+        F.concat(F.lit("OC-"), F.col("orderkey").cast("string")).alias("event_id"),
+        F.col("order_id").alias("aggregate_id"),
+        F.col("created_at").alias("timestamp"),
+        F.col("order_id").alias("correlation_id"),
+        rec(
+            customer_id=F.col("customer_id"),
+            order_id=F.col("order_id"),
+            total_value=F.col("total_value"),
+            lines=F.coalesce(F.col("lines"), empty),
+            channel=F.col("channel"),
+            rep_id=F.col("rep_id"),
+            promotion_id=F.when(F.col("max_discount") > 0, promo_id(F.col("max_discount"))),
+            fraud_score=F.col("fraud_score"),
+        ).alias("OrderCreated"),
     )
 
 
+def order_created(t: Tables) -> DataFrame:
+    return order_events(t).select(*order_envelope())
+
+
 def order_status_events(t: Tables) -> DataFrame:
     o = orders_domain(t)
     k, st = F.col("orderkey"), F.col("orderstatus")
@@ -251,7 +251,7 @@ def order_status_events(t: Tables) -> DataFrame:
         rec(et="OrderCancelled", p="OX-", h=1, on=(st == "P") & (k % CANCEL_EVERY == 0),
             reason=F.lit("customer_request")),
     )
-    e = o.select("*", F.explode(F.filter(cands, lambda s: s["on"])).alias("s"))
+    e = o.select("*", F.explode(cands).alias("s")).filter("s.on")
     et = F.col("s.et")
     return e.select(
         *envelope(
@@ -321,7 +321,7 @@ def payment_events(t: Tables) -> DataFrame:
         rec(et="CollectionScheduled", n=1, d=base, on=m >= 7),
         rec(et="CollectionPromiseMade", n=1, d=base, on=m >= 7),
     )
-    e = d.select("*", F.explode(F.filter(cands, lambda s: s["on"])).alias("s"))
+    e = d.select("*", F.explode(cands).alias("s")).filter("s.on")
     et = F.col("s.et")
     abbrev = (F.when(et == "PaymentCaptured", "PC-").when(et == "PaymentFailed", "PF-")
               .when(et == "CollectionScheduled", "CS-").when(et == "CollectionPromiseMade", "CP-").otherwise("CW-"))
