@@ -97,12 +97,12 @@ def allocate(receipts: DataFrame, demand: DataFrame, chunk: int = CHUNK) -> Data
 
     receipts(sku_id, timestamp, ref, quantity), demand(sku_id, timestamp, ref, quantity);
     receipts sort before demand at the same instant.  A SKU's rows are walked in chunks (``sequential``)."""
-    cols = ["sku_id", "timestamp", "ref", F.col("quantity").cast("long").alias("quantity"), F.col("quantity").cast("long").alias("amount")]
-    r = receipts.select(*cols, F.lit("receipt").alias("kind"), F.lit(0).alias("_k"), F.lit(False).alias("take"))
-    d = demand.select(*cols, F.lit("demand").alias("kind"), F.lit(1).alias("_k"), F.lit(True).alias("take"))
-    walked = bounded_walk(r.unionByName(d), "sku_id", ["timestamp", "_k", "ref", "quantity"], chunk=chunk)
-    return walked.select("sku_id", "timestamp", "kind", "ref", "quantity", F.col("accepted").alias("reserved"),
-                         F.col("room_before").alias("available_before"), F.col("room_after").alias("level_after"))
+    cols = ["sku_id", "timestamp", "ref", F.col("quantity").cast("long").alias("quantity")]
+    rows = receipts.select(*cols, F.lit(0).alias("_k")).unionByName(demand.select(*cols, F.lit(1).alias("_k")))
+    demanded = F.col("_k") == 1
+    walked = bounded_walk(rows, "sku_id", ["timestamp", "_k", "ref", "quantity"], chunk=chunk, take=demanded, amount=F.col("quantity"))
+    return walked.select("sku_id", "timestamp", F.when(demanded, "demand").otherwise("receipt").alias("kind"), "ref", "quantity",
+                         F.col("accepted").alias("reserved"), F.col("room_before").alias("available_before"), F.col("room_after").alias("level_after"))
 
 
 UNITS = 1024  # width of the buckets on a SKU's line of backordered units

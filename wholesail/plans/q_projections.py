@@ -11,8 +11,9 @@ from .oracle import cte, sql
 from .registry import query
 
 
-def log_of(spark, sf_dir):
-    return stored_log(spark, sf_dir)
+def log_of(spark, sf_dir, *event_types, decoded=False):
+    """The stored log, or its events of the types named: only the parts that hold them are stored for it."""
+    return stored_log(spark, sf_dir, event_types or None, decoded)
 
 
 def tables_of(spark, sf_dir):

@@ -24,9 +24,13 @@ FRAUD_SCORE_SQL = """least(1.0::DOUBLE,
  + ({risk} * 0.3::DOUBLE) * 0.1::DOUBLE)"""
 
 
-def lines_with_time(log):
-    """Order lines with their order's timestamp (OrderCreated payload, inlined)."""
-    return typed(log, "OrderCreated", ["order_id", "lines"]).select("order_id", "timestamp", F.inline("lines"))
+def lines_with_time(log, *fields):
+    """Order lines with their order's timestamp (OrderCreated payload, inlined), or only ``fields`` of theirs."""
+    o = typed(log, "OrderCreated", ["order_id", "lines"])
+    if not fields:
+        return o.select("order_id", "timestamp", F.inline("lines"))
+    own = F.arrays_zip(*[F.col("lines")[f] for f in fields])  # of stored columns, no other field is read
+    return o.select("order_id", "timestamp", F.inline(own)).toDF("order_id", "timestamp", *fields)
 
 
 # --- L1–L3 -----------------------------------------------------------------------------------------
@@ -319,10 +323,10 @@ FROM alloc_walk w JOIN alloc_ev e ON e.sku_id = w.sku_id AND e.rn = w.rn + 1""",
 SELECT sku_id, timestamp, kind, ref, quantity, reserved, available_before, CAST(level_after AS BIGINT) AS level_after
 FROM alloc_walk""", "alloc_walk", recursive=True), "L12")
 def q_allocation(spark, d):
-    log = log_of(spark, d)
+    log = log_of(spark, d, "OrderCreated", "StockReceived", decoded=True)
     receipts = typed(log, "StockReceived").select("sku_id", "timestamp", F.col("purchase_order_id").alias("ref"),
                                                   "quantity")
-    demand = lines_with_time(log).select("sku_id", "timestamp", F.col("order_id").alias("ref"), "quantity")
+    demand = lines_with_time(log, "sku_id", "quantity").select("sku_id", "timestamp", F.col("order_id").alias("ref"), "quantity")
     return INV.allocate(receipts, demand)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import pick, rec, plus_days, plus_hours, plus_micros
+from ..functions.scalar import pick, rec, plus_days, plus_micros
 from .eventlog import LIFECYCLE_TYPES, ORDER_LINE, ORDER_STATUS_TYPES, envelope, order_envelope
 from .tables import Tables
 
@@ -75,7 +75,7 @@ def demand_class(p_size: Column) -> Column:
     return F.when(p_size <= 17, "A").when(p_size <= 34, "B").otherwise("C")
 
 
-def line_key(prefix: str) -> Column:
+def line_key(prefix: str | Column) -> Column:
     # (l_orderkey, l_linenumber) repeats in the driver data; widen with part and supplier
     return F.concat_ws("-", F.lit(prefix), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -136,7 +136,7 @@ def orders_domain(t: Tables) -> DataFrame:
 
 
 def joined_lines(t: Tables) -> DataFrame:
-    """One row per driver line item with its order's and its part's fields, as they are in the tables: what five branches
+    """One row per driver line item with its order's and its part's fields, as they are in the tables: what three branches
     of the log are derived from.  Texts are made after the join (``lines_domain``), so that it moves numbers."""
     li, p = t.lineitem, t.part
     o = orders_domain(t).select("orderkey", "custkey", "created_at", "orderstatus")
@@ -163,7 +163,7 @@ def line_fields(f: Callable[[str], Column]) -> dict[str, Column]:
 
 
 def lines_joined(t: Tables) -> DataFrame:
-    """The joined lines; during a full log build they are stored once (``event_log``) and read by the five branches."""
+    """The joined lines; during a full log build they are stored once (``event_log``) and read by the three branches."""
     stored = t.__dict__.get("_lines")
     return joined_lines(t) if stored is None else stored
 
@@ -351,8 +351,8 @@ def payment_events(t: Tables) -> DataFrame:
     )
 
 
-def stock_events(t: Tables) -> DataFrame:
-    """Purchase orders and receipts per part; reservations, releases and stockouts per line."""
+def purchase_events(t: Tables) -> DataFrame:
+    """Purchase orders and receipts per part."""
     p = t.part
     pk = F.col("p_partkey")
     lead = F.lit(7) + pk % 14
@@ -375,36 +375,35 @@ def stock_events(t: Tables) -> DataFrame:
             causation_id=F.concat(F.lit("PO-"), pk.cast("string")),
         )
     )
+    return po.unionByName(received)
+
+
+def stock_events(t: Tables) -> DataFrame:
+    """Reservations, releases and stockouts per line, in one pass over the lines."""
     li = lines_domain(t)
-    k = F.col("l_orderkey")
-    reserved = li.filter(F.col("l_linestatus") == "F").select(
-        *envelope(
-            "StockReserved", line_key("SR"), F.col("sku_id"), F.col("created_at"),
-            {"sku_id": F.col("sku_id"), "order_id": F.col("order_id"), "quantity": F.col("quantity")},
-            correlation_id=F.col("order_id"),
-        )
-    )
-    released = li.filter(
-        (F.col("l_linestatus") == "F") & (F.col("orderstatus") == "P") & (k % CANCEL_EVERY == 0)
-    ).select(
-        *envelope(
-            "StockReleased", line_key("SL"), F.col("sku_id"), plus_hours("created_at", 1),
-            {"sku_id": F.col("sku_id"), "order_id": F.col("order_id"), "reason": F.lit("order_cancelled"),
-             "quantity": F.col("quantity")},
-            correlation_id=F.col("order_id"),
-        )
+    k, q = F.col("l_orderkey"), F.col("quantity")
+    closed = F.col("l_linestatus") == "F"
+    # as ``order_status_events``: candidates of a line, filtered per rule
+    cands = F.array(
+        rec(et="StockReserved", p="SR", h=0, on=closed),
+        rec(et="StockReleased", p="SL", h=1, on=closed & (F.col("orderstatus") == "P") & (k % CANCEL_EVERY == 0)),
+        rec(et="StockoutOccurred", p="SO", h=0, on=(F.col("l_linestatus") == "O") & (q > STOCKOUT_MIN_QTY)),
     )
-    stockout = li.filter((F.col("l_linestatus") == "O") & (F.col("quantity") > STOCKOUT_MIN_QTY)).select(
+    e = li.select("*", F.explode(cands).alias("s")).filter("s.on")
+    et = F.col("s.et")
+    out = et == "StockoutOccurred"
+    return e.select(
         *envelope(
-            "StockoutOccurred", line_key("SO"), F.col("sku_id"), F.col("created_at"),
+            et, line_key(F.col("s.p")), F.col("sku_id"), plus_micros("created_at", F.col("s.h").cast("long") * 3_600_000_000),
             {"sku_id": F.col("sku_id"), "order_id": F.col("order_id"),
-             "resolution": pick((F.col("l_orderkey") + F.col("l_linenumber")) % 10, RESOLUTIONS),
-             "requested_quantity": F.col("quantity"),
-             "available_quantity": F.col("quantity") - 1 - F.col("l_orderkey") % STOCKOUT_MIN_QTY},
+             "reason": F.when(et == "StockReleased", F.lit("order_cancelled")),
+             "quantity": F.when(~out, q),
+             "resolution": F.when(out, pick((k + F.col("l_linenumber")) % 10, RESOLUTIONS)),
+             "requested_quantity": F.when(out, q),
+             "available_quantity": F.when(out, q - 1 - k % STOCKOUT_MIN_QTY)},
             correlation_id=F.col("order_id"),
         )
     )
-    return po.unionByName(received).unionByName(reserved).unionByName(released).unionByName(stockout)
 
 
 def replenishment(stockouts: DataFrame) -> DataFrame:
@@ -493,7 +492,8 @@ PARTS = {
     "statuses": ([order_status_events], 0, ORDER_STATUS_TYPES),
     "billing": ([invoice_created, payment_events], 0, ["InvoiceCreated", "PaymentCaptured", "PaymentFailed", "CreditWrittenOff",
                                                        "CollectionScheduled", "CollectionPromiseMade"]),
-    "stock": ([stock_events], 3, ["PurchaseOrderCreated", "StockReceived", "StockReserved", "StockReleased", "StockoutOccurred"]),
+    "purchases": ([purchase_events], 0, ["PurchaseOrderCreated", "StockReceived"]),
+    "stock": ([stock_events], 1, ["StockReserved", "StockReleased", "StockoutOccurred"]),
     "promotions": ([promotion_applied], 1, ["PromotionApplied"]),
     "activity": ([activity_events], 0, ["RepVisitCompleted", "AppSessionEvent", "AppError"]),
 }
@@ -509,7 +509,7 @@ def event_log(t: Tables, keep: Callable[[DataFrame], DataFrame] | None = None, p
     """The log, or ``parts`` of it, as one union of branches (see the module docstring).
 
     With ``keep`` (the ingestion job; it stores a frame in the shared folder and returns it read back) the
-    line-item join — the largest input, needed by five branches — is stored once instead of being
+    line-item join — the largest input, needed by three branches — is stored once instead of being
     shuffled by each; a single branch reads the join itself."""
     parts = list(PARTS if parts is None else parts)
     if keep is not None and sum(PARTS[p][1] for p in parts) > 1:
