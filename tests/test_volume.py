@@ -66,3 +66,34 @@ def test_walk_of_rows_that_name_take_and_amount(spark):
     few = bounded_walk(rows, "key", ["ts"], chunk=7, take=F.col("k") > 0, amount=F.col("q"))
     of = lambda df: sorted(tuple(r) for r in df.select("n", "accepted", "room_before", "room_after").collect())
     assert str(of(one)) == str(of(two)) == str(of(few))
+
+
+# --- daily_inventory ---------------------------------------------------------------------------------
+def test_days_store_only_events_they_read(spark, tmp_path):
+    df, d = built(spark, tmp_path, "daily_inventory")
+    assert df.count() == 200 * 50
+    assert stored_types(spark, d) <= {"PurchaseOrderCreated", "StockReceived", "StockReserved", "StockReleased", "StockoutOccurred"}
+
+
+def test_skus_are_moved_before_they_are_multiplied_by_days(spark):
+    iv = spark.createDataFrame([("a", dt.date(2024, 1, 2), 5, 2, 3)], "sku_id string, valid_from date, on_hand long, reserved long, available long")
+    asked = spark.createDataFrame([("a",)], "sku_id string").withColumn("day", F.expr("sequence(date'2024-01-01', date'2024-01-03', interval 1 day)"))
+    shown = plan(INV.stock_on_days(iv, asked, spark.createDataFrame([], "sku_id string, timestamp timestamp")))
+    assert shown.index("Generate explode") < shown.index("Window") and "Join" not in shown  # the plan's end is its first line
+    assert shown.count("Exchange hashpartitioning(") == 3  # asked, stockouts, all by SKU
+
+
+def test_days_missing_and_asked_twice(spark):
+    """A missing day lies before all others; days asked twice, in one array or in several rows, are answered twice."""
+    day = lambda n: n and dt.date(2024, 1, n)
+    iv = spark.createDataFrame([("a", day(None), 1, 0, 1), ("a", day(5), 7, 2, 5), (None, day(3), 9, 0, 9)],
+                               "sku_id string, valid_from date, on_hand long, reserved long, available long")
+    outs = [("a", dt.datetime(2024, 1, 6, 3)), ("a", dt.datetime(2024, 1, 6, 9)), ("a", None), (None, dt.datetime(2024, 1, 2))]
+    asked = [("a", [day(None), day(4), day(5), day(6), day(6)]), ("a", [day(7)]), (None, [day(2), day(3)]), ("new", [day(1)]), ("b", []), ("c", None)]
+    s = spark.createDataFrame(outs, "sku_id string, timestamp timestamp")
+    many = spark.createDataFrame(asked, "sku_id string, day array<date>")
+    single = spark.createDataFrame([(k, x) for k, xs in asked for x in xs or []], "sku_id string, day date")
+    want = [("a", None, 1, 0, 1, 1, True), ("a", day(4), 1, 0, 1, 0, False), ("a", day(5), 7, 2, 5, 0, False), ("a", day(6), 7, 2, 5, 2, True),
+            ("a", day(6), 7, 2, 5, 2, True), ("a", day(7), 7, 2, 5, 0, False), (None, day(2), 0, 0, 0, 1, True), (None, day(3), 9, 0, 9, 0, False), ("new", day(1), 0, 0, 0, 0, False)]
+    for a in (many, single):
+        assert sorted((tuple(r) for r in INV.stock_on_days(iv, a, s).collect()), key=repr) == sorted(want, key=repr)

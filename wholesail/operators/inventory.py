@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import MICROS_PER_DAY
-from .joins import null_safe_join
 from .sequential import CHUNK, bounded_walk
 from .windows import carried, running_extreme, running_sums
 
@@ -157,20 +156,38 @@ def stock_intervals(moves: DataFrame) -> DataFrame:
                       reserved.alias("reserved"), (on_hand - reserved).alias("available"))
 
 
+NO_DAY = -(1 << 31)  # the number of a missing day, which sorts before all others
+LAST_DAY = (1 << 31) - 1
+
+
+def _numbered(day: Column) -> Column:
+    return F.coalesce(F.unix_date(day.cast("date")), F.lit(NO_DAY))
+
+
 def stock_on_days(intervals: DataFrame, asked: DataFrame, stockouts: DataFrame) -> DataFrame:
     """Stock at the end of every ``asked(sku_id, day)``: ``sku_id, day, on_hand, reserved, available, stockouts, stockout``; 0 before a SKU's
-    first move.  ``stockouts(sku_id, timestamp)`` are counted on the day itself.
-
-    An as-of join: the last interval's values are carried on over months without a change, per (SKU, month)."""
+    first move.  ``stockouts(sku_id, timestamp)`` are counted on the day itself.  ``day`` may be an array of days: SKUs are
+    then not multiplied before they are moved.
+
+    An as-of join in one shuffle: a SKU's days asked come before its changes (at most one of either kind a day), each change
+    answers those that lie before the next one."""
+    one = asked.schema["day"].dataType.typeName() != "array"
+    days = F.array(_numbered(F.col("day"))) if one else F.transform("day", _numbered)
+    asked = asked.select("sku_id", days.alias("days")).groupBy("sku_id").agg(F.flatten(F.collect_list("days")).alias("days"))
     stock = F.struct("on_hand", "reserved", "available")
-    points = intervals.select("sku_id", F.col("valid_from").alias("day"), F.lit(0).alias("_k"), stock.alias("stock"))
-    days = asked.select("sku_id", F.col("day").cast("date").alias("day"), F.lit(1).alias("_k"))
-    u = points.unionByName(days, allowMissingColumns=True)
-    u = carried(u, "sku_id", ["day", "_k"], ["stock"], bucket=F.trunc("day", "month")).filter("_k = 1")
-    out = stockouts.groupBy("sku_id", F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n"))
-    met = null_safe_join(u, out, ["sku_id", "day"], "left")
-    n = F.coalesce("n", F.lit(0))
-    return met.select("sku_id", "day", *[F.coalesce(f"stock.{c}", F.lit(0)).alias(c) for c in ("on_hand", "reserved", "available")], n.alias("stockouts"), (n > 0).alias("stockout"))
+    points = intervals.select("sku_id", _numbered(F.col("valid_from")).alias("at"), F.lit(0).alias("_k"), stock.alias("stock"))
+    out = stockouts.groupBy("sku_id", _numbered(F.to_date("timestamp")).alias("at")).agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
+    u = points.unionByName(out, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy("sku_id").orderBy("at", "_k")  # the days asked have no ``at``: they come first
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = u.select("sku_id", "at", "n", F.coalesce(F.lead("at").over(w), F.lit(LAST_DAY)).alias("until"),
+                 F.last("stock", ignorenulls=True).over(upto).alias("stock"), F.first("days", ignorenulls=True).over(upto).alias("days"))
+    since = F.coalesce("at", F.lit(NO_DAY))
+    mine = F.filter("days", lambda d: (d >= since) & (d < F.col("until")))
+    met = u.select("sku_id", "at", "n", "stock", F.explode(mine).alias("d"))
+    n = F.coalesce(F.when(F.col("d") == F.col("at"), F.col("n")), F.lit(0))
+    day = F.when(F.col("d") != NO_DAY, F.date_from_unix_date("d"))
+    return met.select("sku_id", day.alias("day"), *[F.coalesce(f"stock.{c}", F.lit(0)).alias(c) for c in ("on_hand", "reserved", "available")], n.alias("stockouts"), (n > 0).alias("stockout"))
 
 
 def supplier_lead_times(pos: DataFrame, receipts: DataFrame) -> DataFrame:

@@ -426,12 +426,12 @@ LEFT JOIN (SELECT sku_id, CAST(timestamp AS DATE) AS day, count(*) AS n FROM sto
     "daily_asked", "daily_moves", "stockouts_t"), "N D10")
 def q_daily_inventory(spark, d):
     """Every SKU's stock at the end of the fifteenth of each month, also before its first receipt."""
-    log = log_of(spark, d)
+    log = log_of(spark, d, "StockReceived", "StockReserved", "StockReleased")
     moves = None
     for kind, column in (("StockReceived", "received"), ("StockReserved", "reserved"), ("StockReleased", "released")):
         part = typed(log, kind, ["sku_id", "quantity"]).select("sku_id", "timestamp", F.col("quantity").alias(column))
         moves = part if moves is None else moves.unionByName(part, allowMissingColumns=True)
-    days = F.explode(F.expr("sequence(date'1994-11-15', date'1998-12-15', interval 1 month)")).alias("day")
+    days = F.expr("sequence(date'1994-11-15', date'1998-12-15', interval 1 month)").alias("day")
     asked = tables_of(spark, d)["inventory_snapshot"].select("sku_id", days)
     days = INV.stock_on_days(INV.stock_intervals(moves), asked, tables_of(spark, d)["stockout_events"])
     return days.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
