@@ -1,16 +1,22 @@
 """What queries store and move: only the events they read, and their rows as few times as the job needs."""
 
 import datetime as dt
+import glob
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from test_bounded_walk import plain
+from test_decoded_orders import odd_source
 from test_logstore import small_source, stored_types
+from wholesail.operators import graphs as G
 from wholesail.operators import inventory as INV
 from wholesail.operators.sequential import bounded_walk
 from wholesail.plans import catalog
 from wholesail.plans.registry import QUERIES
+from wholesail.sources import adapter, logstore
+from wholesail.sources.tables import Tables
 
 
 def built(spark, tmp_path, name):
@@ -97,3 +103,28 @@ def test_days_missing_and_asked_twice(spark):
             ("a", day(6), 7, 2, 5, 2, True), ("a", day(7), 7, 2, 5, 0, False), (None, day(2), 0, 0, 0, 1, True), (None, day(3), 9, 0, 9, 0, False), ("new", day(1), 0, 0, 0, 0, False)]
     for a in (many, single):
         assert sorted((tuple(r) for r in INV.stock_on_days(iv, a, s).collect()), key=repr) == sorted(want, key=repr)
+
+
+# --- causal_chains -----------------------------------------------------------------------------------
+def test_chains_store_no_part_of_the_log(spark, tmp_path):
+    df, d = built(spark, tmp_path, "causal_chains")
+    assert df.count() == 4899 and not glob.glob(f"{logstore.log_path(spark, d)}/*")
+
+
+def test_envelopes_are_those_of_the_log(spark, tmp_path):
+    d = odd_source(spark, tmp_path)
+    types = ["OrderCreated", "OrderDelivered", "PaymentCaptured", "StockReceived", "StockReserved"]
+    log = adapter.event_log(Tables(spark, d), None, adapter.parts_of(types))
+    want = sorted(map(str, log.filter(F.col("event_type").isin(types)).drop("payload").collect()))
+    of = lambda: sorted(map(str, logstore.stored_envelopes(spark, d, types).collect()))
+    assert of() == want and len(want) > 8
+    logstore.stored_log(spark, d, ["StockReserved", "OrderDelivered"])  # some parts stored, the others derived
+    assert of() == want and stored_types(spark, d) <= {"StockReserved", "StockReleased", "StockoutOccurred", "OrderDelivered", "OrderShipped", "OrderReturned", "OrderCancelled"}
+
+
+def test_settled_events_are_not_written_again(spark, monkeypatch):
+    sizes, whole = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, eager=True: (sizes.append(self.count()), whole(self, eager))[1])
+    rows = [("r", None), *((f"a{i}", "r") for i in range(20)), ("b", "a1"), ("c", "b"), ("lost", "gone")]
+    got = G.causal_chains(spark.createDataFrame(rows, "event_id string, causation_id string"))
+    assert got.count() == 24 and sizes == [24, 22, 2]

@@ -2,7 +2,7 @@
 
 Both walk references that may be long and go through hubs.  Every step is a grouped aggregate (combined before the
 shuffle) or an equi-join with one row per id on one side, which adaptive execution may split on the other; rounds are
-written tables, removed once the next one stands.
+written tables, those of the causal chains without the events that an earlier round has settled.
 """
 
 from __future__ import annotations
@@ -34,16 +34,18 @@ def causal_chains(events: DataFrame) -> DataFrame:
         "event_id", F.when(open_, F.col("up")).alias("jump"), F.when(open_, 1).otherwise(0).cast("long").alias("depth"),
         F.when(~open_, F.col("event_id")).alias("root_id"), F.when(~open_, F.col("up")).alias("missing_id"),
     ).checkpoint(eager=True)
-    left = s.filter("jump is not null").count()
+    settled, s = s.filter("jump is null"), s.filter("jump is not null")  # an event that has found its root is not written again
+    left = s.count()
     while left:
-        far = s.select(F.col("event_id").alias("jump"), F.struct(F.col("jump"), "depth", "root_id", "missing_id").alias("f"))
-        moved = s.filter("jump is not null").join(far, "jump").select(
-            "event_id", F.col("f.jump").alias("jump"), (F.col("depth") + F.col("f.depth")).alias("depth"), "f.root_id", "f.missing_id")
-        s = s.filter("jump is null").unionByName(moved).checkpoint(eager=True)
-        now = s.filter("jump is not null").count()
+        far = settled.unionByName(s).select(F.col("event_id").alias("jump"), F.struct(F.col("jump"), "depth", "root_id", "missing_id").alias("f"))
+        moved = s.join(far, "jump").select(
+            "event_id", F.col("f.jump").alias("jump"), (F.col("depth") + F.col("f.depth")).alias("depth"), "f.root_id", "f.missing_id").checkpoint(eager=True)
+        settled, s = settled.unionByName(moved.filter("jump is null")), moved.filter("jump is not null")
+        now = s.count()
         if now == left:  # whoever is nearest to a root gets there in every round: the rest have none
             break
         left = now
+    s = settled.unionByName(s)
     cyclic = F.col("jump").isNotNull()
     return s.select("event_id", F.when(~cyclic, F.col("root_id")).alias("root_id"), F.when(~cyclic, F.col("depth")).alias("depth"),
                     F.when(~cyclic, F.col("missing_id")).alias("missing_id"), cyclic.alias("cyclic"))

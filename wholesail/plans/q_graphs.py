@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs as G
+from ..sources.logstore import stored_envelopes
 from .oracle import cte, sql
-from .q_projections import log_of, tables_of
+from .q_projections import tables_of
 from .registry import query
 
 CAUSED = ["OrderCreated", "OrderShipped", "OrderDelivered", "OrderReturned", "OrderCancelled", "InvoiceCreated", "PaymentCaptured",
@@ -35,7 +36,7 @@ SELECT id AS event_id, tip AS root_id, depth, up AS missing_id, false AS cyclic
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth DESC) AS last FROM chain_walk) WHERE last = 1""", "chain_walk", recursive=True), "N")
 def q_causal_chains(spark, d):
     """A log in which every seventh delivery was lost: the invoices it caused, and what they caused, hang in the air."""
-    log = log_of(spark, d).filter(F.col("event_type").isin(CAUSED))
+    log = stored_envelopes(spark, d, CAUSED)
     lost = (F.col("event_type") == "OrderDelivered") & (F.substring_index("event_id", "-", -1).cast("long") % 7 == 0)
     return G.causal_chains(log.filter(~lost))
 

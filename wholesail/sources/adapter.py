@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import pick, rec, plus_days, plus_micros
-from .eventlog import LIFECYCLE_TYPES, ORDER_LINE, ORDER_STATUS_TYPES, envelope, order_envelope
+from .eventlog import ENVELOPES, HEAD_FIELDS, LIFECYCLE_TYPES, ORDER_LINE, ORDER_STATUS_TYPES, REGISTRY, envelope, order_envelope
 from .tables import Tables
 
 # ---------------------------------------------------------------------------
@@ -201,6 +201,18 @@ def customer_created(t: Tables) -> DataFrame:
     )
 
 
+def order_heads(t: Tables) -> DataFrame:
+    """OrderCreated with the fields that the order's own row gives (``eventlog.HEAD_FIELDS``): all but its lines and promotion."""
+    return orders_domain(t).select(
+        F.concat(F.lit("OC-"), F.col("orderkey").cast("string")).alias("event_id"),
+        F.col("order_id").alias("aggregate_id"),
+        F.col("created_at").alias("timestamp"),
+        F.col("order_id").alias("correlation_id"),
+        rec(**{f: F.col(f) for f in HEAD_FIELDS}).alias("OrderCreated"),
+        "orderkey",
+    )
+
+
 def order_events(t: Tables) -> DataFrame:
     """OrderCreated with its fields as columns, not yet as text (``eventlog.DECODED``)."""
     stored = t.__dict__.get("_order_events")
@@ -212,25 +224,14 @@ def order_events(t: Tables) -> DataFrame:
     per_order = lines_joined(t).select("l_orderkey", "l_discount", line.alias("line")).groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list("line")).alias("lines"), F.max("l_discount").alias("max_discount"),
     )
-    o = orders_domain(t)
+    o = order_heads(t)
     j = o.join(per_order, o.orderkey == per_order.l_orderkey, "left")
     empty = F.array().cast(T.ArrayType(ORDER_LINE))
-    return j.select(
-        F.concat(F.lit("OC-"), F.col("orderkey").cast("string")).alias("event_id"),
-        F.col("order_id").alias("aggregate_id"),
-        F.col("created_at").alias("timestamp"),
-        F.col("order_id").alias("correlation_id"),
-        rec(
-            customer_id=F.col("customer_id"),
-            order_id=F.col("order_id"),
-            total_value=F.col("total_value"),
-            lines=F.coalesce(F.col("lines"), empty),
-            channel=F.col("channel"),
-            rep_id=F.col("rep_id"),
-            promotion_id=F.when(F.col("max_discount") > 0, promo_id(F.col("max_discount"))),
-            fraud_score=F.col("fraud_score"),
-        ).alias("OrderCreated"),
-    )
+    own = {f: F.col("OrderCreated")[f] for f in HEAD_FIELDS}
+    own["lines"] = F.coalesce(F.col("lines"), empty)
+    own["promotion_id"] = F.when(F.col("max_discount") > 0, promo_id(F.col("max_discount")))
+    return j.select("event_id", "aggregate_id", "timestamp", "correlation_id",
+                    rec(**{f: own[f] for f in REGISTRY["OrderCreated"].fieldNames()}).alias("OrderCreated"))
 
 
 def order_created(t: Tables) -> DataFrame:
@@ -505,6 +506,16 @@ def parts_of(event_types: Iterable[str] | None = None) -> list[str]:
     return [p for p, (_, _, types) in PARTS.items() if wanted is None or wanted & set(types)]
 
 
+def envelopes(t: Tables, parts: Iterable[str]) -> DataFrame:
+    """``ENVELOPES`` of these parts of the log: every event, without its payload.  An order's lines are in its payload only, so
+    they are not joined."""
+    out = None
+    for branch in (b for p in parts for b in PARTS[p][0]):
+        own = order_heads(t).select(*order_envelope(False)) if branch is order_created else branch(t).select(*ENVELOPES)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def event_log(t: Tables, keep: Callable[[DataFrame], DataFrame] | None = None, parts: Iterable[str] | None = None) -> DataFrame:
     """The log, or ``parts`` of it, as one union of branches (see the module docstring).
 

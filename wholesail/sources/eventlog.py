@@ -27,6 +27,8 @@ ENVELOPE = T.StructType(
     ]
 )
 ENVELOPE_COLS = [f.name for f in ENVELOPE.fields]
+#: An event without its payload.
+ENVELOPES = [c for c in ENVELOPE_COLS if c != "payload"]
 
 
 def _s(*names: str, **typed: T.DataType) -> T.StructType:
@@ -118,6 +120,9 @@ DECODED = T.StructType(
     ]
 )
 
+#: Those of its fields that do not come from its lines.
+HEAD_FIELDS = ["customer_id", "order_id", "total_value", "channel", "rep_id", "fraud_score"]
+
 LIFECYCLE_TYPES = [
     "CustomerCreated",
     "CustomerBecameInactive",
@@ -151,11 +156,12 @@ def envelope(
     ]
 
 
-def order_envelope() -> list[Column]:
-    """The envelope of ``DECODED`` rows."""
-    fields = {f: F.col("OrderCreated")[f] for f in REGISTRY["OrderCreated"].fieldNames()}
-    return envelope("OrderCreated", F.col("event_id"), F.col("aggregate_id"), F.col("timestamp"), fields,
-                    correlation_id=F.col("correlation_id"))
+def order_envelope(payload: bool = True) -> list[Column]:
+    """The envelope of ``DECODED`` rows, or all of it but the payload."""
+    names = REGISTRY["OrderCreated"].fieldNames() if payload else HEAD_FIELDS
+    cols = envelope("OrderCreated", F.col("event_id"), F.col("aggregate_id"), F.col("timestamp"),
+                    {f: F.col("OrderCreated")[f] for f in names}, correlation_id=F.col("correlation_id"))
+    return [c for n, c in zip(ENVELOPE_COLS, cols, strict=True) if payload or n != "payload"]
 
 
 def to_envelope(df: DataFrame, event_type: str, id_col: str, aggregate_col: str, ts_col: str) -> DataFrame:
