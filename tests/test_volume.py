@@ -16,7 +16,9 @@ from wholesail.operators.sequential import bounded_walk
 from wholesail.plans import catalog
 from wholesail.plans.registry import QUERIES
 from wholesail.sources import adapter, logstore
+from wholesail.sources.eventlog import HEAD_FIELDS, typed
 from wholesail.sources.tables import Tables
+from wholesail.streaming import metrics
 
 
 def built(spark, tmp_path, name):
@@ -128,3 +130,32 @@ def test_settled_events_are_not_written_again(spark, monkeypatch):
     rows = [("r", None), *((f"a{i}", "r") for i in range(20)), ("b", "a1"), ("c", "b"), ("lost", "gone")]
     got = G.causal_chains(spark.createDataFrame(rows, "event_id string, causation_id string"))
     assert got.count() == 24 and sizes == [24, 22, 2]
+
+
+# --- stream_order_windows ----------------------------------------------------------------------------
+def test_order_windows_store_no_part_of_the_log(spark, tmp_path):
+    df, d = built(spark, tmp_path, "stream_order_windows")
+    assert df.count() > 4000 and not glob.glob(f"{logstore.log_path(spark, d)}*")
+
+
+def test_order_heads_are_the_orders(spark, tmp_path):
+    d = odd_source(spark, tmp_path)
+    log = adapter.event_log(Tables(spark, d), None, ["orders"])
+    want = sorted(map(str, typed(log, "OrderCreated", HEAD_FIELDS).select("event_id", "timestamp", *HEAD_FIELDS).collect()))
+    of = lambda: sorted(map(str, logstore.stored_order_heads(spark, d).collect()))
+    assert of() == want and len(want) == 5
+    logstore.stored_log(spark, d, ["OrderCreated"], decoded=True)
+    assert of() == want
+
+
+def test_windows_do_not_depend_on_the_slices(spark, monkeypatch, tmp_path):
+    """A table of more rows is more slices, not larger ones: no batch, and so no state, holds more than a part of it."""
+    rows = spark.range(1000).selectExpr("concat('C', id % 7) customer_id", "timestamp_seconds(id * 3000) ts", "id % 90 + 0.5D value")
+    got = []
+    for most in (None, 100):
+        base = f"{tmp_path}/{most}"
+        per = metrics.write_time_sliced(rows, f"{base}/src", "ts", files=2, most_rows=most)
+        q = metrics.run_window_stream(spark, f"{base}/src", rows.schema, f"{base}/out", f"{base}/ck", watermark="1 day", width="24 hours",
+                                      slide="6 hours", by=("customer_id",), files_per_trigger=per)
+        got.append((max(p["numInputRows"] for p in q.recentProgress), sorted(map(str, spark.read.parquet(f"{base}/out").collect()))))
+    assert got[0][0] >= 500 and got[1][0] <= 150 and got[0][1] == got[1][1] and len(got[0][1]) > 500

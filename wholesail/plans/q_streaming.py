@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from ..sources.eventlog import read_events
+from ..sources.logstore import stored_order_heads
 from ..streaming import decisions as SD
 from ..streaming import fraud as SF
 from ..streaming import ingest as SI
@@ -200,12 +201,9 @@ HAVING b * 21600000000 + 86400000000 <= (SELECT epoch_us(max(created_at)) - 8640
     "orders_t"), "M6 L4")
 def q_stream_order_windows(spark, d):
     """Sliding 24 h windows every 6 h per customer, in append mode behind a 1-day watermark."""
-    from .q_projections import tables_of
-
-    o = tables_of(spark, d)["orders"].select("customer_id", F.col("created_at").alias("ts"),
-                                             F.col("total_value").alias("value"))
+    o = stored_order_heads(spark, d).select("customer_id", F.col("timestamp").alias("ts"), F.col("total_value").alias("value"))
     base = scratch(spark, "order-windows")
-    per = SM.write_time_sliced(o, f"{base}/source", "ts", files=4)
+    per = SM.write_time_sliced(o, f"{base}/source", "ts", files=4, most_rows=SM.ROWS_PER_SLICE)
     SM.run_window_stream(spark, f"{base}/source", o.schema, f"{base}/out", f"{base}/_checkpoint",
                          watermark="1 day", width="24 hours", slide="6 hours", by=("customer_id",),
                          files_per_trigger=per)

@@ -16,6 +16,7 @@ from ..sources.files import data_files
 from ..sources.keyed import scratch
 
 ROWS_PER_FILE = 250_000
+ROWS_PER_SLICE = 2_000_000  # of a stream whose state holds what a slice brings
 
 
 def window_metrics(events: DataFrame, ts: str = "ts", width: str = "5 minutes", slide: str | None = None,
@@ -49,18 +50,23 @@ def late_share(events: DataFrame, ts: str, arrival: str, delay_us: int) -> DataF
                  (F.count_if(late) / F.count(F.lit(1))).alias("late_share"))
 
 
-def write_time_sliced(df: DataFrame, path: str, ts: str, files: int, per_slice: int | None = None) -> int:
+def write_time_sliced(df: DataFrame, path: str, ts: str, files: int, per_slice: int | None = None,
+                      most_rows: int | None = None) -> int:
     """Write a table as ``files`` time slices for stream replay, one append per slice in time order.
 
     A file source picks the oldest files first, so slices written by one parallel job would be
     replayed in task-completion order and the watermark would drop earlier slices as late.  Each
     slice is its own write of ``per_slice`` files (default: as many as its rows need, so that no task
     holds a whole slice); read it back with ``maxFilesPerTrigger`` = the number returned, so one micro-batch
-    is one slice.  The input is stored once (shared folder) so slicing does not recompute it; slice
+    is one slice.  With ``most_rows`` there are as many slices more as it takes for none to hold many more rows than
+    that: a stateful stream holds in memory what its batches bring until the watermark has passed it, whatever the
+    table's size.  The input is stored once (shared folder) so slicing does not recompute it; slice
     bounds come from ``approx_percentile`` (one row)."""
     spark = df.sparkSession
     with scratch(spark) as s:
         df = s.keep(df)
+        if most_rows is not None:
+            files = max(files, ceil(df.count() / most_rows))
         probs = [i / files for i in range(1, files)]
         b = df.agg(F.percentile_approx(F.unix_micros(ts), probs or [0.5], 10000).alias("b"), F.count(F.lit(1)).alias("n")).first()
         per_slice = per_slice or max(1, ceil(b["n"] / files / ROWS_PER_FILE))
